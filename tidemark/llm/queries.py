@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .shared import table
+from . import bpe, sharding, url_filter
+from .shared import table, text_of
 
 QUERIES, ORACLES = {}, {}
 
@@ -28,3 +28,22 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
     found = found.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
     return bpe.bpe_decode(found, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = text_of()
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash")
+    )
+    found = sharding.shard(docs, 40, "size", "text_hash", ["doc_id", "text_hash"])
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+@query
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
