@@ -116,7 +116,7 @@ def occurrences(runs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(key, doc_id, window, start, length) of each place where a window's terms stand one after another."""
     lists = runs.select("key", "doc_id", "first", "terms", F.posexplode("terms").alias("at", "term"))
     wanted = distinct.select("window", F.col("terms").alias("phrase"), F.posexplode("terms").alias("offset", "term"))
-    frequency = lists.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    frequency = lists.groupBy("term").agg(F.count(F.lit(1)).alias("n"))  # summed before the shuffle, so a hot term is one row a task
     rarest = wanted.join(frequency, "term").groupBy("window").agg(F.min_by(F.struct("term", "offset", "phrase"), F.struct("n", "offset")).alias("r"), F.count(F.lit(1)).alias("found"))
     rarest = rarest.filter(F.col("found") == F.size("r.phrase"))  # a term without postings: the phrase is nowhere
     anchors = rarest.select("window", "r.term", "r.offset", "r.phrase")
