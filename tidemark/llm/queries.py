@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, language, minhash, quality, sharding, url_filter
+from . import bpe, decontaminate, html_text, language, minhash, pii, quality, sharding, url_filter
 from .shared import table, text_of
 
 QUERIES, ORACLES = {}, {}
@@ -86,3 +86,13 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "source", "lang", "good", "toxic", "kept")
+
+
+#: Stands for the secret key that a user passes.
+PII_KEY = "key-of-the-example-queries"
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY).select("doc_id", "text", "n_private")
