@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, language, minhash, pii, quality, sharding, url_filter
+from . import ann, bpe, decontaminate, html_text, language, minhash, pii, quality, sharding, url_filter
 from .shared import table, text_of
 
 QUERIES, ORACLES = {}, {}
@@ -96,3 +96,9 @@ PII_KEY = "key-of-the-example-queries"
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, PII_KEY).select("doc_id", "text", "n_private")
+
+
+@query
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(rows, F.col("vec_id") % 20 == 0, k=20)
