@@ -53,6 +53,11 @@ def windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
     return each.select(F.xxhash64("terms").alias("window"), "terms", "item_id").distinct()
 
 
+def document_key():
+    """Tells apart rows of one doc_id by their texts."""
+    return F.xxhash64("doc_id", text_of())
+
+
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mixed(a * np.uint64(3) + b)
@@ -107,7 +112,7 @@ def postings(docs: DataFrame, distinct: DataFrame) -> DataFrame:
                 ["key", "doc_id", "n_words", "first", "terms"],
             )
 
-    rows = docs.select("doc_id", text_of().alias("text")).select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    rows = docs.select(document_key().alias("key"), "doc_id", text_of().alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"key bigint, doc_id {kind}, n_words bigint, first bigint, terms array<bigint>")
 
