@@ -1,8 +1,8 @@
 """Document quality by hierarchical empirical Bayes.
 
 1. Evidence of the document: two logistic models (good, toxic) over figures of the text and sums of the log-odds of its words
-   and word beginnings. They are fitted on at most SAMPLE labelled documents, by the order of a hash of the doc_id: half of them
-   give the log-odds, the other half the weights.
+   and word beginnings. They are fitted on at most SAMPLE labelled documents (of each at most CHARS characters), by the order of a hash of the doc_id:
+   half of them give the log-odds, the other half the weights. Documents are judged by their whole texts.
 2. Evidence of the site: over all documents, grouped sums of what is known of each host and of each path within a host: the
    label where there is one, else the model's probability. A host's rate is shrunk towards the global rate, a path's towards its
    host's, by beta priors whose strengths come from the spread between hosts, or between paths, beyond chance (method of
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from .shared import byte_slices, materialize, text_of
 
-SAMPLE, WORDS, LEAST, GOOD, TOXIC = 8_000, 20_000, 4, 0.5, 0.5
+SAMPLE, CHARS, WORDS, LEAST, GOOD, TOXIC = 8_000, 20_000, 20_000, 4, 0.5, 0.5
 #: Sites that are sent to all tasks; with more of them the documents are joined by a shuffle.
 SENT_SITES = 50_000
 SLICE_BYTES = 2 << 20
@@ -104,23 +104,27 @@ def fit(texts: list[str], label: np.ndarray) -> Model:
     base = math.log((yes + 1) / (len(label) - yes + 1))
     if not yes or yes == len(label) or len(label) < 20:
         return Model(base=base)
-    cut = [pieces(t) for t in texts]
     first = np.arange(len(texts)) % 2 == 0
     counts = [Counter(), Counter()]
     for i in np.flatnonzero(first):
-        counts[label[i]].update(cut[i][1])
+        counts[label[i]].update(pieces(texts[i])[1])
     n1, n0 = int(label[first].sum()) + 1, int((~label.astype(bool))[first].sum()) + 1
     odds = {}
-    for f in set(counts[0]) | set(counts[1]):
-        a, b = counts[1][f], counts[0][f]
+    for f in counts[0].keys() | counts[1].keys():
+        a, b = counts[1].get(f, 0), counts[0].get(f, 0)
         if a + b >= LEAST:
             value = math.log((a + 0.5) / n1) - math.log((b + 0.5) / n0)
             if abs(value) > 1.0:
                 odds[f] = value
-    odds = dict(sorted(odds.items(), key=lambda x: (-abs(x[1]) * math.sqrt(counts[0][x[0]] + counts[1][x[0]]), x[0]))[:WORDS])
+    odds = dict(sorted(odds.items(), key=lambda x: (-abs(x[1]) * math.sqrt(counts[0].get(x[0], 0) + counts[1].get(x[0], 0)), x[0]))[:WORDS])
+    counts.clear()
     model = Model(odds, base=base)
     rest = np.flatnonzero(~first)
-    rows = np.array([model.row(cut[i][1], figures(texts[i], cut[i][0])) for i in rest])
+    rows = []
+    for i in rest:
+        words, features = pieces(texts[i])
+        rows.append(model.row(features, figures(texts[i], words)))
+    rows = np.array(rows)
     model.mean, model.scale = rows.mean(axis=0), rows.std(axis=0) + 1e-6
     x = np.clip((rows - model.mean) / model.scale, -8, 8)
     x = np.c_[x, x**2, np.ones(len(x))]
@@ -138,10 +142,9 @@ def fit(texts: list[str], label: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, Model]:
     """Models of good (quality 1) and toxic (1), from at most `sample` labelled documents."""
     known = labels.filter("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    # By the ids that both tables have; ten of them for each row wanted narrow the search down to a bounded set.
     ids = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text"))
+    rows = docs.select("doc_id", F.substring(text_of(), 1, CHARS).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text"))
     got = sorted(rows.collect(), key=lambda r: r["doc_id"])
     models = []
     for name in ("quality", "toxic"):
