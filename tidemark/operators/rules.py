@@ -160,7 +160,7 @@ def rule_violations(rules: DataFrame) -> DataFrame:
     """
     crossing = F.col("operator").startswith("crosses_")
     scopes = sum(F.col(c).isNotNull().cast("int") for c in ("target_id", "theme_id", "mandate_id"))
-    n = F.count(F.lit(1)).over(W.partitionBy("rule_id"))
+    rules = rules.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("rule_id")))
     found = F.array(
         F.when(~F.col("operator").isin(*OPERATORS), "operator_unknown"),
         F.when((F.col("comparison_type") == "sign_transition") & ~crossing, "sign_needs_crossing"),
@@ -168,7 +168,7 @@ def rule_violations(rules: DataFrame) -> DataFrame:
         F.when(crossing & F.col("threshold_value").isNotNull(), "crossing_takes_no_threshold"),
         F.when(~crossing & F.col("threshold_value").isNull(), "threshold_missing"),
         F.when(scopes != 1, "one_scope_needed"),
-        F.when(n > 20, "too_many_conditions"),
+        F.when(F.col("_n") > 20, "too_many_conditions"),
     )
     return rules.withColumn("violation", F.explode(F.filter(found, lambda x: x.isNotNull()))).select("rule_id", "violation").distinct()
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from ..functions.columns import pick_first
 
@@ -25,7 +26,7 @@ def read_arrays(spark: SparkSession, found: DataFrame, schema: str) -> DataFrame
     """
     rows = found.collect()
     if not rows:
-        return spark.createDataFrame([], schema + ", ingestion_run_id bigint")
+        return spark.createDataFrame([], f"{schema}, ingestion_run_id bigint")
     paths = [r["location"] for r in rows]
     index = spark.createDataFrame([(_name(r["location"]), r["ingestion_run_id"]) for r in rows], "_name string, ingestion_run_id bigint")
     read = spark.read.schema(schema).option("multiLine", True).json(paths).withColumn("_name", _name_column(F.col("_metadata.file_path")))
@@ -34,26 +35,25 @@ def read_arrays(spark: SparkSession, found: DataFrame, schema: str) -> DataFrame
 
 def _name(path: str) -> str:
     """The path without its scheme, as stores write them differently."""
-    return path.split("://", 1)[-1].split(":", 1)[-1].lstrip("/") if "://" in path or path.startswith("file:") else path.lstrip("/")
+    return re.sub(r"^(?:[a-z0-9]+:)?/*", "", path)
 
 
 def _name_column(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[a-z0-9]+:/*", "")
-
+    return F.regexp_replace(c, r"^(?:[a-z0-9]+:)?/*", "")
 
-@pandas_udf("string")
-def _inflated(body):
-    import gzip
 
-    return body.map(lambda b: gzip.decompress(b).decode("utf-8"))
+def _inflated(files: DataFrame) -> DataFrame:
+    """(_name, payload_json, _sha) of gzip files; Spark has no function that unpacks a column."""
 
+    def run(batches):
+        import gzip
+        import hashlib
 
-@pandas_udf("string")
-def _inflated_hash(body):
-    import gzip
-    import hashlib
+        for batch in batches:
+            bodies = [gzip.decompress(b) for b in batch["content"]]
+            yield batch[["_name"]].assign(payload_json=[b.decode("utf-8") for b in bodies], _sha=[hashlib.sha256(b).hexdigest() for b in bodies])
 
-    return body.map(lambda b: hashlib.sha256(gzip.decompress(b)).hexdigest())
+    return files.select(_name_column(F.col("path")).alias("_name"), "content").mapInPandas(run, "_name string, payload_json string, _sha string")
 
 
 def read_manifests(spark: SparkSession, glob: str) -> DataFrame:
@@ -67,8 +67,7 @@ def responses(manifests: DataFrame, folder: str) -> DataFrame:
     """Manifests with their payload; a body whose hash is not the manifest's raises."""
     spark = manifests.sparkSession
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json.gz").load(folder)
-    bodies = files.select(_name_column(F.col("path")).alias("_name"), _inflated("content").alias("payload_json"), _inflated_hash("content").alias("_sha"))
-    rows = manifests.filter("status = 'succeeded'").withColumn("_name", _name_column("local_raw_path")).join(bodies, "_name")
+    rows = manifests.filter("status = 'succeeded'").withColumn("_name", _name_column(F.col("local_raw_path"))).join(_inflated(files), "_name")
     checked = F.when(F.col("_sha") == F.col("response_sha256"), F.col("payload_json")).otherwise(F.raise_error(F.concat(F.lit("hash differs: "), "_name")).cast("string"))
     key = F.concat_ws("/", "source", "endpoint", "unit_key", "response_sha256")
     return rows.withColumns({"payload_json": checked, "raw_object_key": key}).drop("_sha", "_name")
