@@ -8,6 +8,9 @@ a forecast that is missing names no disclosure; rows have a key, and decimals ar
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,14 @@ def input_status(current: Column, reference: Column, kind: Column) -> Column:
     )
 
 
+def select_facts(facts: DataFrame, metrics: Sequence[str], kinds: Sequence[str], securities: Sequence[str] | None = None, until: dt.date | None = None) -> DataFrame:
+    """One scan for all conditions of a rule: facts of these metrics and kinds, of these securities, available until a day."""
+    rows = facts.filter(F.col("metric_key").isin(list(metrics)) & F.col("comparison_type").isin(list(kinds)))
+    if securities is not None:
+        rows = rows.filter(F.col("security_key").isin(list(securities)))
+    return rows if until is None else rows.filter(F.col("available_on") <= F.lit(until))
+
+
 def _with_prior(first: DataFrame, before: Column, keep: dict[str, str]) -> DataFrame:
     """Left join with the release of the year before on the same basis, if `before` holds. keep: new names of its columns.
 

@@ -46,6 +46,22 @@ def build_prices(raw: DataFrame, source: str) -> DataFrame:
     return keep_last(rows, PRICE_KEYS)
 
 
+def build_library_prices(records: DataFrame, source: str) -> DataFrame:
+    """Price rows from a library's records: target_key, obs_date, open, high, low, close, volume, all adjusted."""
+    kinds = {"open_price": "open", "high_price": "high", "low_price": "low", "close_price": "close"}
+    rows = records.select(
+        "target_key",
+        n.code_of(F.col("target_key")).alias("jpx_code"),
+        F.lit(source).alias("source_key"),
+        F.col("obs_date").cast("date").alias("obs_date"),
+        *(F.col(f).cast("double").alias(c) for c, f in kinds.items()),
+        F.col("volume").cast("double").alias("volume"),
+        F.lit("adjusted").alias("price_basis"),
+        "ingestion_run_id",
+    )
+    return keep_last(rows.withColumn("security_key", F.coalesce("jpx_code", "target_key")), PRICE_KEYS)
+
+
 def rejected_prices(raw: DataFrame) -> DataFrame:
     return raw.filter(n.is_bad_flag(F.col("UL")) | n.is_bad_flag(F.col("LL")))
 

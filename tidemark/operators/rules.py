@@ -55,7 +55,7 @@ def evidence(columns: list[str]) -> tuple[Column, Column]:
 
 
 def evaluate_rules(facts: DataFrame, rules: DataFrame, as_of: Column) -> DataFrame:
-    """One row for each rule and event: rule_id, the event's columns, status, reason, n_conditions.
+    """One row for each rule and event: rule_id, the event's columns, status, reason, n_conditions, evidence (JSON), its hash, event_key.
 
     rules: rule_id, logic (all / any), position, metric_key, comparison_type, operator, threshold_value. Facts are scanned once for
     all rules: those that no condition names go with the join on (metric, comparison). A condition without its fact is unavailable.
@@ -66,14 +66,28 @@ def evaluate_rules(facts: DataFrame, rules: DataFrame, as_of: Column) -> DataFra
     # Each rule's number of conditions travels with it, so missing facts show as a difference.
     size = rules.groupBy("rule_id").agg(F.count(F.lit(1)).alias("_size"))
     count = lambda s: F.count_if(F.col("status") == s).alias(f"_{s}")
-    events = judged.groupBy("rule_id", "logic", *EVENT).agg(count("fired"), count("not_fired"), count("unavailable"), F.count(F.lit(1)).alias("_met"))
+    # A rule has at most twenty conditions, so an event's list is short.
+    condition = F.struct("position", "metric_key", "comparison_type", "operator", F.col("threshold_value").cast("string").alias("threshold_value"), "status", "reason", "observed_value", "reference_value", "event_key")
+    conditions = F.array_sort(F.collect_list(condition)).alias("conditions")
+    events = judged.groupBy("rule_id", "logic", *EVENT).agg(count("fired"), count("not_fired"), count("unavailable"), F.count(F.lit(1)).alias("_met"), conditions)
     events = events.join(size, "rule_id")
     open_ = F.col("_unavailable") + F.col("_size") - F.col("_met") > 0
     every = F.when(F.col("_not_fired") > 0, "not_fired").when(open_, "unavailable").otherwise("fired")
     some = F.when(F.col("_fired") > 0, "fired").when(open_, "unavailable").otherwise("not_fired")
     events = events.withColumn("status", F.when(F.col("logic") == "all", every).otherwise(some))
     reason = F.when(F.col("status") == "fired", F.concat("logic", F.lit("_conditions_fired"))).when(F.col("status") == "not_fired", "condition_not_fired").otherwise("condition_unavailable")
-    return events.withColumns({"reason": reason, "n_conditions": F.col("_size")}).drop("_fired", "_not_fired", "_unavailable", "_met", "_size")
+    text = F.to_json(F.struct(*EVENT, F.col("logic").alias("logic_operator"), "conditions"))
+    identity = F.to_json(F.struct(*EVENT, F.transform("conditions", lambda c: F.struct(c["position"], c["event_key"])).alias("members")))
+    key = F.when(F.col("_size") == 1, F.get("conditions", F.lit(0))["event_key"]).otherwise(F.concat(F.lit("multi:"), F.sha2(identity, 256)))
+    events = events.withColumns({"reason": reason, "n_conditions": F.col("_size"), "evidence": text, "event_key": key})
+    return events.withColumn("evidence_hash", F.sha2("evidence", 256)).drop("_fired", "_not_fired", "_unavailable", "_met", "_size", "conditions")
+
+
+def conditions_json(rules: DataFrame) -> DataFrame:
+    """(rule_id, conditions): each rule's conditions as a JSON array in their order."""
+    one = F.struct("position", "metric_key", "comparison_type", "operator", "threshold_value")
+    listed = rules.groupBy("rule_id").agg(F.array_sort(F.collect_list(one)).alias("c"))
+    return listed.select("rule_id", F.to_json(F.transform("c", lambda x: x.dropFields("position"))).alias("conditions"))
 
 
 def live_only(events: DataFrame, created: Column) -> DataFrame:

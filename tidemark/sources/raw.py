@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,12 @@ def locations(runs: DataFrame, job_type: str, after_run_id: int | None = None) -
     return rows.select("ingestion_run_id", F.col("raw_path").alias("location")).orderBy("ingestion_run_id")
 
 
+def without_lost(found: DataFrame) -> DataFrame:
+    """Without local files that are gone; a path in a store stays, so that its absence is an error."""
+    rows = [tuple(r) for r in found.collect() if "://" in r["location"] or os.path.exists(r["location"])]
+    return found.sparkSession.createDataFrame(rows, found.schema)
+
+
 def read_arrays(spark: SparkSession, found: DataFrame, schema: str) -> DataFrame:
     """The records of JSON array files, each with its file's run id.
 
@@ -73,6 +80,29 @@ def responses(manifests: DataFrame, folder: str) -> DataFrame:
     return rows.withColumns({"payload_json": checked, "raw_object_key": key}).drop("_sha", "_name")
 
 
+def responses_of_runs(runs: DataFrame, job_type: str, folder: str, source: str, endpoint: str) -> DataFrame:
+    """Successful runs as responses: the file's array under data, its hash, and the snapshot's day (else the fetch's)."""
+    spark = runs.sparkSession
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json.gz").load(folder)
+    wanted = runs.filter((F.col("job_type") == job_type) & (F.col("status") == "succeeded") & F.col("raw_path").isNotNull()).withColumn("_name", _name_column(F.col("raw_path")))
+    rows = wanted.join(_inflated(files), "_name")
+    array = F.when(F.ltrim("payload_json").startswith("[{") | F.ltrim("payload_json").startswith("[]"), F.col("payload_json")).otherwise(F.raise_error(F.concat(F.lit("no array of objects: "), "_name")).cast("string"))
+    return rows.select(
+        F.concat_ws("/", F.lit(source), F.lit(endpoint), F.col("ingestion_run_id").cast("string")).alias("raw_object_key"),
+        "ingestion_run_id",
+        F.coalesce("snapshot_date", F.col("fetched_at").cast("date")).alias("snapshot_date"),
+        "fetched_at",
+        F.col("_sha").alias("response_sha256"),
+        F.col("raw_path").alias("raw_uri"),
+        F.concat(F.lit('{"data":'), array, F.lit("}")).alias("payload_json"),
+    )
+
+
+def response_years(items: DataFrame, year: str = "fiscal_year") -> DataFrame:
+    """Rows and first and last year of each response."""
+    return items.groupBy("raw_object_key").agg(F.count(F.lit(1)).alias("record_count"), F.min(year).alias("min_fiscal_year"), F.max(year).alias("max_fiscal_year"))
+
+
 def exploded(responses: DataFrame, array: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
     """One row for each item of a JSON array in the payload. fields: column to (path, type); what does not fit its type is null."""
     items = responses.withColumn("_v", F.parse_json("payload_json"))
