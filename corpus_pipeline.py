@@ -55,8 +55,7 @@ def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids, with the number of them and whether they decode to the text."""
     ship(spark)
-    path = tokenizer_path()
-    found = bpe.bpe_decode(bpe.bpe_encode(docs, path), path)
+    found = bpe.bpe_encode(docs, tokenizer_path(), decoded="decoded")
     return found.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 

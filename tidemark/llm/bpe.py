@@ -29,8 +29,8 @@ from .shared import byte_slices, text_of
 #: Fixed values of the tokenizer's file format: how byte-level pre-tokenization splits text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words kept from slice to slice, per Python worker.
-CACHE = 300_000
-SLICE_BYTES, SLICE_ROWS = 6 << 20, 1_000
+CACHE = 200_000
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 1_000
 SHIFT, MASK = 20, (1 << 20) - 1
 
 
@@ -108,6 +108,7 @@ class Vocabulary:
                         places[made] = [k]
                         put(active, (found[0], made))
         done = np.array(sym)
+        del sym, after, before, places, active
         kept = done >= 0
         total = np.concatenate([[0], np.cumsum(kept)])
         return done[kept], total[ends] - total[ends - length]
@@ -160,8 +161,8 @@ def _gathered(start: np.ndarray, length: np.ndarray, flat: np.ndarray, which: np
     return flat[np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
+def _with(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([f for f in schema.fields if f.name != name] + [T.StructField(name, kind)])
 
 
 def _put(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
@@ -169,18 +170,23 @@ def _put(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + [values], keep + [name])
 
 
-def bpe_encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds the token ids of each whole text. vocabulary: the tokenizer file's path, as every executor sees it."""
+def bpe_encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Adds the token ids of each whole text, and what they decode to if `decoded` names a column for it.
+
+    vocabulary: the tokenizer file's path, as every executor sees it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, known = Vocabulary(vocabulary), {}
         for batch in byte_slices(batches, text, SLICE_BYTES):
             found, counts = v.encode(((t or "") for t in batch.column(text).to_pylist()), known)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            yield _put(batch, ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.astype(np.int32))))
+            batch = _put(batch, ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(found)))
+            yield batch if decoded is None else _put(batch, decoded, pa.array(v.decode(found, counts), pa.string()))
 
     df = df.withColumn(text, text_of(text))
-    return df.mapInArrow(run, _with(df, ids, T.ArrayType(T.IntegerType())))
+    schema = _with(df.schema, ids, T.ArrayType(T.IntegerType()))
+    return df.mapInArrow(run, schema if decoded is None else _with(schema, decoded, T.StringType()))
 
 
 def bpe_decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -195,4 +201,4 @@ def bpe_decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "de
                 counts = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 yield _put(part, text, pa.array(v.decode(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts), pa.string()))
 
-    return df.mapInArrow(run, _with(df, text, T.StringType()))
+    return df.mapInArrow(run, _with(df.schema, text, T.StringType()))

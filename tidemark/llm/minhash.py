@@ -33,7 +33,7 @@ from pyspark.sql.window import Window as W
 from .shared import byte_slices, materialize, text_of
 from .words import BETWEEN_SPACES, hashed_words, mixed, shingles
 
-ROWS, BANDS, BLOCK, HEAVY, SLICE_BYTES = 6, 40, 512, 2_000, 1 << 20
+ROWS, BANDS, BLOCK, HEAVY, SLICE_BYTES = 6, 40, 512, 2_000, 1 << 19
 
 
 def super_minhash(values: np.ndarray, counts: np.ndarray, places: int, seed: int = 0) -> np.ndarray:
@@ -87,7 +87,7 @@ def signatures(docs: DataFrame, k: int, rows: int, bands: int, seed: int = 0) ->
             a, b = _set_names(values, counts)
             # The per-element permutations of a part of the texts fit in a few MB.
             keys, done = [], 0
-            for part in np.array_split(np.arange(len(counts)), max(1, len(values) // 60_000)):
+            for part in np.array_split(np.arange(len(counts)), max(1, len(values) // 40_000)):
                 own = counts[part]
                 keys.append(band_keys(super_minhash(values[done : done + own.sum()], own, rows * bands, seed), rows, bands))
                 done += own.sum()

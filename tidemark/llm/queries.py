@@ -25,9 +25,13 @@ def tokenizer_path() -> str:
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
-    found = bpe.bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    found = found.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
-    return bpe.bpe_decode(found, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    found = bpe.bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded="decoded")
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 @query

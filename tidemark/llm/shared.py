@@ -16,12 +16,18 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application, as their Python may not find it."""
+    """Sends this package to the executors, once for each application, as their Python may not find it.
+
+    Texts are long rows, so Arrow batches are bounded by bytes unless the session has set a bound.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "8m")
     if sc.applicationId not in _shipped:
         _shipped.add(sc.applicationId)
         package = Path(__file__).resolve().parent.parent
