@@ -3,8 +3,8 @@
 1. Each benchmark item gives its windows of WIDTH consecutive words (one of all words if it has fewer).
 2. The index: the postings (term, document, position) of the training documents, stored as a table in the shared folder. A
    posting is left out only where no phrase can lie: an occurrence of a window is a run of words each pair of which follow
-   each other in some window, so positions outside such runs of the shortest window's length are not needed. The pairs are
-   sent to the tasks if there are at most PAIRS of them; beyond that every position is stored and joined with the terms.
+   each other in some window, so positions outside such runs of the shortest window's length are not needed (windows of one
+   word need their words only). Pairs and words are sent to the tasks if there are at most PAIRS; beyond that every position is stored.
 3. The postings of a run lie together, as the array of its terms from its first position on.
 4. Each window starts from its rarest term, that with the fewest postings over the whole corpus. Its list is joined by the
    term, moved by the term's offset in the window, and intersected with the lists of all other terms at theirs.
@@ -29,7 +29,7 @@ from pyspark.sql.window import Window as W
 from .shared import byte_slices, materialize, text_of
 from .words import ALPHANUMERIC, hashed_words, mixed
 
-WIDTH, PAIRS, SLICE_BYTES = 13, 2_000_000, 2 << 20
+WIDTH, PAIRS, CHUNK, SLICE_BYTES = 13, 500_000, 64, 1 << 20
 
 
 def term_lists(df: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
@@ -63,44 +63,59 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mixed(a * np.uint64(3) + b)
 
 
+def _bounded(df: DataFrame) -> np.ndarray | None:
+    """The rows as numbers if there are at most PAIRS, else nothing."""
+    got = df.distinct().limit(PAIRS + 1).toArrow()
+    return None if got.num_rows > PAIRS else np.stack([c.to_numpy().view(np.uint64) for c in got.columns], axis=1).reshape(-1, len(got.columns))
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the sorted known ones."""
+    if not known.size:
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), known.size - 1)] == values
+
+
 def postings(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(key, doc_id, n_words, first, terms): the runs of each document; first is null in the one row that only counts words.
 
-    distinct: the windows' terms. key tells apart rows of one doc_id.
+    distinct: the windows' terms. key tells apart rows of one doc_id. A long run is stored in pieces that own CHUNK starts each and
+    overlap by the longest window, so no list is longer than that.
     """
     spark = docs.sparkSession
-    follow = distinct.filter(F.size("terms") > 1).select(F.explode(F.arrays_zip(F.slice("terms", 1, F.size("terms") - 1).alias("a"), F.slice("terms", 2, F.size("terms") - 1).alias("b"))).alias("p")).select("p.a", "p.b").distinct()
-    shortest = distinct.agg(F.min(F.size("terms"))).first()[0] or 1
-    pairs = follow.limit(PAIRS + 1).collect() if shortest > 1 else None
-    if pairs is not None and len(pairs) <= PAIRS:
-        known = np.sort(_pair(np.array([r[0] for r in pairs], np.int64).view(np.uint64), np.array([r[1] for r in pairs], np.int64).view(np.uint64)))
-    else:
-        known = None  # every position is kept
-    sent = spark.sparkContext.broadcast(known)
+    n = F.size("terms")
+    long = distinct.filter(n > 1)
+    follow = long.select(F.explode(F.arrays_zip(F.slice("terms", 1, n - 1).alias("a"), F.slice("terms", 2, n - 1).alias("b"))).alias("p")).select("p.a", "p.b")
+    sizes = distinct.agg(F.min(F.when(n > 1, n)).alias("shortest"), F.max(n).alias("longest")).first()
+    shortest, longest = sizes["shortest"] or 2, sizes["longest"] or 1
+    pairs, words = _bounded(follow), _bounded(distinct.filter(n == 1).select(F.get("terms", F.lit(0)).alias("a")))
+    pairs = None if pairs is None else np.sort(_pair(pairs[:, 0], pairs[:, 1]))
+    words = None if words is None else np.sort(words[:, 0])
+    sent = spark.sparkContext.broadcast((pairs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        pairs, words = sent.value  # None: too many to send, every position is kept
         for batch in byte_slices(batches, "text", SLICE_BYTES):
             hashes, counts = hashed_words(batch.column("text"), ALPHANUMERIC)
             begin = np.cumsum(counts) - counts
             doc = np.repeat(np.arange(len(counts)), counts)
             linked = np.zeros(len(hashes), bool)  # to the word before
             linked[1:] = doc[1:] == doc[:-1]
-            if known is not None:
-                if known.size and len(hashes) > 1:
-                    pair = _pair(hashes[:-1], hashes[1:])
-                    at = np.minimum(np.searchsorted(known, pair), known.size - 1)
-                    linked[1:] &= known[at] == pair
-                else:
-                    linked[:] = False
+            if pairs is not None:
+                linked[1:] &= _among(_pair(hashes[:-1], hashes[1:]), pairs)
             starts = np.flatnonzero(~linked)
-            lengths = np.diff(np.append(starts, len(hashes)))
-            long = lengths >= shortest
-            starts, lengths = starts[long], lengths[long]
-            picked = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-            rows = np.concatenate([np.arange(len(counts)), doc[starts]])
+            ends = np.append(starts[1:], len(hashes))
+            keep = ends - starts >= shortest
+            starts, ends = starts[keep], ends[keep]
+            pieces = -(-(ends - starts - shortest + 1) // CHUNK)
+            firsts = np.repeat(starts - CHUNK * (np.cumsum(pieces) - pieces), pieces) + CHUNK * np.arange(pieces.sum())
+            lengths = np.minimum(np.repeat(ends, pieces) - firsts, CHUNK + longest - 1)
+            alone = np.arange(len(hashes)) if words is None else np.flatnonzero(_among(hashes, words))  # windows of one word
+            firsts, lengths = np.concatenate([firsts, alone]), np.concatenate([lengths, np.ones(len(alone), np.int64)])
+            picked = np.repeat(firsts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+            rows = np.concatenate([np.arange(len(counts)), doc[firsts]])
             offsets = np.concatenate([np.zeros(len(counts), np.int64), [0], np.cumsum(lengths)]).astype(np.int32)
-            first = np.concatenate([np.zeros(len(counts), np.int64), starts - begin[doc[starts]]])
+            first = np.concatenate([np.zeros(len(counts), np.int64), firsts - begin[doc[firsts]]])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("key").take(pa.array(rows)),
@@ -126,7 +141,7 @@ def occurrences(runs: DataFrame, distinct: DataFrame) -> DataFrame:
     rarest = rarest.filter(F.col("found") == F.size("r.phrase"))  # a term without postings: the phrase is nowhere
     anchors = rarest.select("window", "r.term", "r.offset", "r.phrase")
     begun = lists.join(anchors, "term").withColumn("shift", F.col("at") - F.col("offset"))
-    met = begun.filter((F.col("shift") >= 0) & (F.slice("terms", F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("phrase")) == F.col("phrase")))
+    met = begun.filter(F.col("shift").between(0, CHUNK - 1) & (F.slice("terms", F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("phrase")) == F.col("phrase")))
     return met.select("key", "doc_id", "window", (F.col("first") + F.col("shift")).alias("start"), F.size("phrase").cast("long").alias("length"))
 
 
@@ -144,9 +159,11 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
     hits = covered.groupBy("key", "doc_id").agg(F.sum("new").alias("n_hit"))
     named = found.select("key", "doc_id", "window").distinct().join(each.select("window", F.col("item_id").cast("string").alias("item")), "window")
     named = named.groupBy("key", "doc_id").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
-    hits = hits.join(named, ["key", "doc_id"], "left").select("key", F.col("doc_id").alias("_id"), "n_hit", "item_ids")
+    same = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))  # a null doc_id is one too
+    named = named.withColumnsRenamed({"key": "_key", "doc_id": "_id"})
+    hits = hits.join(named, same, "left").select("key", "doc_id", "n_hit", "item_ids").withColumnsRenamed({"key": "_key", "doc_id": "_id"})
     rows = index.filter(F.col("first").isNull()).select("key", "doc_id", "n_words")
-    joined = rows.join(hits.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    joined = rows.join(hits, same, "left")
     return joined.select("doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
 
