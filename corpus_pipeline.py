@@ -20,8 +20,9 @@ SENT_KEYS = 500_000
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts: good and not toxic."""
-    judged = quality.judge(docs, table(spark, sf_dir, "labels"), text=True)
-    return judged.filter("kept").select(*docs.columns)
+    own = {c: f"_own_{c}" for c in docs.columns if c in quality.OUTPUTS}  # columns that only share a name with the judge's
+    judged = quality.judge(docs.withColumnsRenamed(own), table(spark, sf_dir, "labels"), text=True)
+    return judged.filter("kept").select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

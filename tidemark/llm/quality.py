@@ -2,14 +2,14 @@
 
 1. Evidence of the document: two logistic models (good, toxic) over figures of the text and sums of the log-odds of its words
    and word beginnings. They are fitted on at most SAMPLE labelled documents (of each at most CHARS characters), by the order of a hash of the doc_id:
-   half of them give the log-odds, the other half the weights. Documents are judged by their whole texts.
+   the weights come from log-odds of the other half of them. Documents are judged by their whole texts.
 2. Evidence of the site: over all documents, grouped sums of what is known of each host and of each path within a host: the
    label where there is one, else the model's probability. A host's rate is shrunk towards the global rate, a path's towards its
    host's, by beta priors whose strengths come from the spread between hosts, or between paths, beyond chance (method of
    moments). So a site of few documents says little, and hosts that do not differ say nothing.
 3. Posterior: the document's log-odds plus the path's log-odds less the global log-odds, for each model.
 
-A document is kept if it is good with probability GOOD or more and toxic with less than TOXIC.
+A document is kept if it is good with probability GOOD or more and toxic with at most TOXIC.
 
 Cases: null and empty texts have the figures of an empty text; null hosts and paths count as empty names; documents without labels and
 tables without any are judged by sites alone (prior 1/2) and kept; repeated rows give equal rows; other columns pass through
@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
@@ -36,8 +36,9 @@ from .shared import byte_slices, materialize, text_of
 SAMPLE, CHARS, WORDS, LEAST, GOOD, TOXIC = 8_000, 20_000, 20_000, 4, 0.5, 0.5
 #: Sites that are sent to all tasks; with more of them the documents are joined by a shuffle.
 SENT_SITES = 50_000
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 PREFIX = 5
+OUTPUTS = ("good", "toxic", "kept", "good_evidence", "toxic_evidence")
 
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 
@@ -76,98 +77,130 @@ def figures(text: str, words: list[str]) -> list[float]:
     ]
 
 
+@dataclass
+class Part:
+    """Weights of one label, fitted on texts with the log-odds of others."""
+
+    label: int
+    mean: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+
+    def log_odds(self, rows: np.ndarray) -> np.ndarray:
+        return np.clip(_expanded((rows - self.mean) / self.scale) @ self.weights, -12, 12)
+
+
 @dataclass
 class Model:
-    """Log-odds of features and weights for one label."""
+    """Log-odds of features (one column for each part), the parts, and what is known of each label without any text."""
 
-    odds: dict[str, float] = field(default_factory=dict)
-    mean: np.ndarray | None = None
-    scale: np.ndarray | None = None
-    weights: np.ndarray | None = None
-    base: float = 0.0  # the label's log-odds in the sample
+    number: dict[str, int]
+    odds: np.ndarray
+    parts: list[Part]
+    base: list[float]
 
-    def row(self, features: set[str], own: list[float]) -> list[float]:
-        found = [self.odds[f] for f in features if f in self.odds]
-        up, down = [x for x in found if x > 0], [x for x in found if x < 0]
-        return [*own, math.log1p(sum(up)), math.log1p(-sum(down)), max(up, default=0.0), -min(down, default=0.0), sum(found) / (5 + len(features))]
+    def evidence(self, texts: list[str]) -> np.ndarray:
+        """Log-odds of each label (texts x labels): the mean over its parts."""
+        rows = np.array([_row(self.number, self.odds, t) for t in texts]) if self.parts else None
+        out = np.tile(np.array(self.base), (len(texts), 1))
+        for label in range(len(self.base)):
+            if own := [p.log_odds(rows[:, i]) for i, p in enumerate(self.parts) if p.label == label]:
+                out[:, label] = np.mean(own, axis=0)
+        return out
 
-    def log_odds(self, rows: np.ndarray) -> np.ndarray:
-        if self.weights is None:
-            return np.full(len(rows), self.base)
-        x = np.clip((rows - self.mean) / self.scale, -8, 8)
-        return np.clip(np.c_[x, x**2, np.ones(len(x))] @ self.weights, -12, 12)
-
-
-def fit(texts: list[str], label: np.ndarray) -> Model:
-    """A model of a 0/1 label; without both labels it only knows their share."""
-    yes = int(label.sum())
-    base = math.log((yes + 1) / (len(label) - yes + 1))
-    if not yes or yes == len(label) or len(label) < 20:
-        return Model(base=base)
-    first = np.arange(len(texts)) % 2 == 0
-    counts = [Counter(), Counter()]
-    for i in np.flatnonzero(first):
-        counts[label[i]].update(pieces(texts[i])[1])
-    n1, n0 = int(label[first].sum()) + 1, int((~label.astype(bool))[first].sum()) + 1
+
+def _expanded(x: np.ndarray) -> np.ndarray:
+    x = np.clip(x, -8, 8)
+    return np.c_[x, x**2, np.ones(len(x))]
+
+
+def _row(number: dict[str, int], odds: np.ndarray, text: str) -> np.ndarray:
+    """For each part: the text's figures, and sums and extremes of the log-odds of its features."""
+    words, features = pieces(text)
+    found = odds[[number[f] for f in features if f in number]]
+    up, down = np.maximum(found, 0), np.maximum(-found, 0)
+    own = np.tile(np.array(figures(text, words)), (odds.shape[1], 1))
+    return np.c_[own, np.log1p(up.sum(axis=0)), np.log1p(down.sum(axis=0)), up.max(axis=0, initial=0), down.max(axis=0, initial=0), found.sum(axis=0) / (5 + len(features))]
+
+
+def _odds(no: Counter, yes: Counter, n_no: int, n_yes: int) -> dict[str, float]:
+    """Log-odds of the features that say most; counts are of texts."""
     odds = {}
-    for f in counts[0].keys() | counts[1].keys():
-        a, b = counts[1].get(f, 0), counts[0].get(f, 0)
+    for f in no.keys() | yes.keys():
+        a, b = yes.get(f, 0), no.get(f, 0)
         if a + b >= LEAST:
-            value = math.log((a + 0.5) / n1) - math.log((b + 0.5) / n0)
+            value = math.log((a + 0.5) / (n_yes + 1)) - math.log((b + 0.5) / (n_no + 1))
             if abs(value) > 1.0:
                 odds[f] = value
-    odds = dict(sorted(odds.items(), key=lambda x: (-abs(x[1]) * math.sqrt(counts[0].get(x[0], 0) + counts[1].get(x[0], 0)), x[0]))[:WORDS])
-    counts.clear()
-    model = Model(odds, base=base)
-    rest = np.flatnonzero(~first)
-    rows = []
-    for i in rest:
-        words, features = pieces(texts[i])
-        rows.append(model.row(features, figures(texts[i], words)))
-    rows = np.array(rows)
-    model.mean, model.scale = rows.mean(axis=0), rows.std(axis=0) + 1e-6
-    x = np.clip((rows - model.mean) / model.scale, -8, 8)
-    x = np.c_[x, x**2, np.ones(len(x))]
-    y, w = label[rest].astype(float), np.zeros(x.shape[1])
-    for _ in range(30):  # Newton steps with a ridge
+    return dict(sorted(odds.items(), key=lambda x: (-abs(x[1]) * math.sqrt(no.get(x[0], 0) + yes.get(x[0], 0)), x[0]))[:WORDS])
+
+
+def fit(texts: list[str], labels: np.ndarray) -> Model:
+    """A model of 0/1 labels (texts x labels, -1 for unknown). A label without both values only has its share.
+
+    Each half of the texts gives the log-odds for weights that are fitted on the other half, so no text is judged by words it
+    has itself brought in; both of these parts count.
+    """
+    half, wanted, base = np.arange(len(texts)) % 2, [], []
+    for y in labels.T:
+        yes, no = int((y == 1).sum()), int((y == 0).sum())
+        base.append(math.log((yes + 1) / (no + 1)))
+        if min(((y == v) & (half == h)).sum() for v in (0, 1) for h in (0, 1)) >= 2:
+            wanted += [(len(base) - 1, 0), (len(base) - 1, 1)]
+    columns = []
+    for label, h in wanted:
+        y, counts = labels[:, label], (Counter(), Counter())
+        for i in np.flatnonzero((half == h) & (y >= 0)):
+            counts[y[i]].update(pieces(texts[i])[1])
+        columns.append(_odds(*counts, *(int(((y == v) & (half == h)).sum()) for v in (0, 1))))
+    number = {f: i for i, f in enumerate(sorted(set().union(*columns)))}
+    odds = np.zeros((len(number), len(columns)))
+    for k, column in enumerate(columns):
+        for f, value in column.items():
+            odds[number[f], k] = value
+    rows = np.array([_row(number, odds, t) for t in texts]) if wanted else None
+    parts = []
+    for k, (label, h) in enumerate(wanted):
+        rest = (half != h) & (labels[:, label] >= 0)
+        x, y = rows[rest, k], labels[rest, label].astype(float)
+        mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+        parts.append(Part(label, mean, scale, _weights(_expanded((x - mean) / scale), y)))
+    return Model(number, odds, parts, base)
+
+
+def _weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic regression with a ridge, by Newton steps."""
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.eye(len(w)), x.T @ (y - p) - w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
-    model.weights = w
-    return model
+    return w
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, Model]:
-    """Models of good (quality 1) and toxic (1), from at most `sample` labelled documents."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model of good (quality 1) and toxic (1), from at most `sample` labelled documents."""
     known = labels.filter("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     ids = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.substring(text_of(), 1, CHARS).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text"))
     got = sorted(rows.collect(), key=lambda r: r["doc_id"])
-    models = []
-    for name in ("quality", "toxic"):
-        use = [r for r in got if r[name] is not None]
-        models.append(fit([r["text"] for r in use], np.array([int(r[name] > 0) for r in use], np.int64)))
-    return tuple(models)
+    got = list({r["text"]: r for r in got}.values())  # copies would count their words again and again
+    return fit([r["text"] for r in got], np.array([[-1 if r[c] is None else int(r[c] > 0) for c in ("quality", "toxic")] for r in got], np.int64).reshape(-1, 2))
 
 
-def score(docs: DataFrame, models: tuple[Model, Model], text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds good_evidence and toxic_evidence: log-odds from the whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     names = ["good_evidence", "toxic_evidence"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = sent.value
+        model = sent.value
         for batch in byte_slices(batches, text, SLICE_BYTES):
-            rows = ([], [])
-            for t in batch.column(text).to_pylist():
-                words, features = pieces(t or "")
-                own = figures(t or "", words)
-                for m, into in zip(models, rows, strict=True):
-                    into.append(m.row(features, own))
-            values = [pa.array(m.log_odds(np.array(r)), pa.float64()) for m, r in zip(models, rows, strict=True)]
+            found = model.evidence([t or "" for t in batch.column(text).to_pylist()])
+            values = [pa.array(np.ascontiguousarray(c)) for c in found.T]
             keep = [n for n in batch.schema.names if n not in names]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *values], [*keep, *names])
 
@@ -224,13 +257,13 @@ def decide(scored: DataFrame, found: DataFrame, host: str, path: str) -> DataFra
         return 1 / (1 + F.exp(-(F.col(f"{name}_evidence") + F.coalesce(f"{name}_prior", F.lit(0.0)))))
 
     joined = scored.join(found, match, "left").withColumns({"good": posterior("good"), "toxic": posterior("toxic")})
-    joined = joined.withColumn("kept", (F.col("good") >= GOOD) & (F.col("toxic") < TOXIC))
+    joined = joined.withColumn("kept", (F.col("good") >= GOOD - 1e-9) & (F.col("toxic") <= TOXIC + 1e-9))
     return joined.drop("_host", "_path", "good_prior", "toxic_prior")
 
 
 def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", text: bool = False) -> DataFrame:
     """Each document with its evidence, posteriors and kept. text: whether the documents' own columns come along, scored again."""
-    models = train(docs, labels)
-    narrow = materialize(score(docs.select("doc_id", host, path, text_of().alias("text")), models).drop("text"), "quality-scores")
+    model = train(docs, labels)
+    narrow = materialize(score(docs.select("doc_id", host, path, text_of().alias("text")), model).drop("text"), "quality-scores")
     found = sites(narrow, labels, host, path)
-    return decide(score(docs, models) if text else narrow, found, host, path)
+    return decide(score(docs, model) if text else narrow, found, host, path)
