@@ -27,7 +27,7 @@ from pyspark.sql.window import Window as W
 
 from .shared import byte_slices, text_of
 
-CHARS, ROWS, STEP, SLICE_BYTES = 120_000, 40, 512, 2 << 20
+CHARS, ROWS, STEP, SLICE_BYTES = 120_000, 40, 512, 1 << 20
 #: Letters in an automaton's table beyond the rarest, which share one symbol that never matches.
 ALPHABET = 64
 
@@ -103,21 +103,17 @@ class Model:
         live = np.searchsorted(-filled, -np.arange(STEP), side="left")  # rows with more than i symbols
         out = np.zeros((len(texts), len(self.languages)), np.int64)
         for k, table in enumerate(self.automata):
-            state, count = np.zeros(len(filled), np.int32), np.ones(len(filled), np.int64)
+            state, count = np.zeros(len(filled), np.int32), np.zeros(len(filled), np.int64)
             flat_table = table.ravel()
             for i in range(STEP):
                 n = live[i]
                 if not n:
                     break
-                c = columns[i, :n].astype(np.int64)
-                to = flat_table[state[:n].astype(np.int64) * ALPHABET + c]
+                c, now = columns[i, :n].astype(np.int64), state[:n]
+                to = flat_table[now.astype(np.int64) * ALPHABET + c]
+                count[:n] += (to < 0) | (now == 0)  # a phrase begins here
                 stuck = np.flatnonzero(to < 0)
-                if stuck.size:  # a phrase ends before this symbol, or at it if the language lacks it
-                    again = flat_table[c[stuck]]
-                    count[stuck] += state[stuck] > 0
-                    lacking = again < 0
-                    count[stuck[lacking]] += 1
-                    to[stuck] = np.where(lacking, 0, again)
+                to[stuck] = np.maximum(flat_table[c[stuck]], 0)  # a letter that the language lacks is a phrase of its own
                 state[:n] = to
             out[:, k] = np.bincount(owner[order], weights=count, minlength=len(texts))
         return out
