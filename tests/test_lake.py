@@ -2,6 +2,7 @@ import datetime as dt
 import gzip
 import json
 
+from tidemark.operators import prices
 from tidemark.plans.cli import shown
 from tidemark.sources import demo, raw, staging
 from tidemark.sources.lake import DEFINITIONS
@@ -20,6 +21,20 @@ def test_demo_lake(spark, tmp_path):
     assert ok["90040"] == "financial_not_available"
 
 
+def test_plans(spark, tmp_path):
+    """Filters and columns reach the scan; a query's windows share one shuffle; comparisons scan once."""
+    lake = demo.build(spark, str(tmp_path))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    one = plan(prices.price_history(lake.observations(), "90010", demo.END, 30).select("obs_date", "cumulative_return"))
+    assert "PushedFilters" in one and "isnull(jpx_code" in one and "turnover_value" not in one and one.count("hashpartitioning") == 1
+    assert plan(lake.run("daily_return")).count("hashpartitioning") == 1
+    assert plan(lake.run("point_in_time_forecast")).count("hashpartitioning") == 1
+    assert "WindowGroupLimit" in plan(prices.latest_prices(lake.observations(), ["90010"]))
+    year = plan(lake.spark.read.parquet(f"{tmp_path}/observed/market_price").filter("year = 2026"))
+    assert "PartitionFilters: [isnotnull(year" in year
+    assert plan(lake.run("metric_comparison_input")).count("Union") == 0
+
+
 def test_staging(spark, tmp_path):
     items = [{"Code": "72030", "DiscNo": "1", "DiscDate": "2026-05-08", "DiscTime": "", "DocType": "FYFinancialStatements_Consolidated_IFRS", "CurPerType": "FY", "Sales": "10", "NCSales": "3", "OP": "x"}]
     for run in (1, 2):

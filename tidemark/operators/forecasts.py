@@ -23,6 +23,7 @@ def point_in_time_forecast(disclosures: DataFrame) -> DataFrame:
     value = F.when(quarter, F.col("forecast_operating_income")).when(annual, F.col("next_forecast_operating_income"))
     year = F.when(quarter, F.col("fiscal_year_end")).when(annual, next_year(F.col("fiscal_year_end")))
     rows = disclosures.withColumns({"forecast_operating_income": value, "fiscal_year_end": year}).filter(F.col("forecast_operating_income").isNotNull())
+    rows = rows.repartition("security_key", "fiscal_year_end")  # the one shuffle of both windows
     rows = pick_first(rows, ["security_key", "fiscal_year_end", "disclosed_date"], same_day_order())
     by = W.partitionBy("security_key", "fiscal_year_end").orderBy("disclosed_date", "disclosure_number")
     return rows.withColumn("as_of_date", F.date_add("disclosed_date", 1)).withColumns({"superseded_at": F.lead("as_of_date").over(by), "forecast_seq": F.row_number().over(by).cast("long")})

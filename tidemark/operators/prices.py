@@ -21,6 +21,8 @@ def preferred_price(observations: DataFrame, preferred: str = PREFERRED, where:
     """
     rows = observations.filter(F.col("price_basis") == "adjusted")
     rows = rows.filter(where) if where is not None else rows
+    # Dealt by security at once: the windows of all that follows are by security too, so this is their only shuffle.
+    rows = rows.repartition("security_key")
     return pick_first(rows, ["security_key", "obs_date"], [F.when(F.col("source_key") == preferred, 0).otherwise(1), F.col("source_key").asc_nulls_last()])
 
 
@@ -33,6 +35,14 @@ def daily_return(prices: DataFrame) -> DataFrame:
     return rows.withColumn("daily_return", change)
 
 
+def of_securities(observations: DataFrame, keys: Sequence[str]) -> Column:
+    """Rows of these securities, in a form that reaches the Parquet scan where the stored columns are there: the key itself is derived."""
+    keys = list(keys)
+    if {"jpx_code", "target_key"} <= set(observations.columns):
+        return F.col("jpx_code").isin(keys) | (F.col("jpx_code").isNull() & F.col("target_key").isin(keys))
+    return F.col("security_key").isin(keys)
+
+
 def price_history(observations: DataFrame, security_key: str, today: dt.date, days: int, preferred: str = PREFERRED) -> DataFrame:
     """The last `days` days of one security with daily and cumulative returns, oldest first.
 
@@ -41,7 +51,7 @@ def price_history(observations: DataFrame, security_key: str, today: dt.date, da
     """
     if not 1 <= days <= 3650:
         raise ValueError("days must be between 1 and 3650")
-    rows = daily_return(preferred_price(observations, preferred, F.col("security_key") == security_key))
+    rows = daily_return(preferred_price(observations, preferred, of_securities(observations, [security_key])))
     rows = rows.filter(F.col("obs_date") >= F.lit(today - dt.timedelta(days=days)))
     base = F.first("close_price", ignorenulls=True).over(W.partitionBy("security_key").orderBy("obs_date"))
     return rows.withColumn("_base", base).withColumn("cumulative_return", F.when(F.col("_base") != 0, F.col("close_price") / F.col("_base") - 1)).drop("_base").orderBy("obs_date")
@@ -49,5 +59,5 @@ def price_history(observations: DataFrame, security_key: str, today: dt.date, da
 
 def latest_prices(observations: DataFrame, keys: Sequence[str], preferred: str = PREFERRED) -> DataFrame:
     """The latest row of each security of a list; unknown ones give none, and an empty list gives no rows."""
-    rows = preferred_price(observations, preferred, F.col("security_key").isin(list(keys)))
+    rows = preferred_price(observations, preferred, of_securities(observations, keys))
     return pick_first(rows, ["security_key"], [F.desc("obs_date")])
