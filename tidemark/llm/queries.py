@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, decontaminate, html_text, language, minhash, pii, quality, sharding, url_filter
+from .oracles import OP5_ORACLE, OP7_ORACLE, OP10_ORACLE
 from .shared import table, text_of
 
-QUERIES, ORACLES = {}, {}
+QUERIES = {}
+#: The others have no SQL: fitted models, merges, approximate search, keyed permutations, packing.
+ORACLES = {"op5_decontaminate": OP5_ORACLE, "op7_urls": OP7_ORACLE, "op10_near_duplicates": OP10_ORACLE}
 
 
 def query(f):
@@ -50,7 +53,7 @@ URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("bloc
 @query
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+    return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 9).alias("purity"))
 
 
 @query
