@@ -117,7 +117,7 @@ def _expanded(x: np.ndarray) -> np.ndarray:
 def _row(number: dict[str, int], odds: np.ndarray, text: str) -> np.ndarray:
     """For each part: the text's figures, and sums and extremes of the log-odds of its features."""
     words, features = pieces(text)
-    found = odds[[number[f] for f in features if f in number]]
+    found = odds[sorted(number[f] for f in features if f in number)]  # in order, so that sums come out alike everywhere
     up, down = np.maximum(found, 0), np.maximum(-found, 0)
     own = np.tile(np.array(figures(text, words)), (odds.shape[1], 1))
     return np.c_[own, np.log1p(up.sum(axis=0)), np.log1p(down.sum(axis=0)), up.max(axis=0, initial=0), down.max(axis=0, initial=0), found.sum(axis=0) / (5 + len(features))]
