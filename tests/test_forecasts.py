@@ -57,3 +57,11 @@ def test_revisions_and_latest_parts(spark):
     (r,) = f.latest_parts(parts, {"actual": ["operating_income"], "forecast": ["forecast_operating_income"], "dividend": ["annual_dividend_per_share"]}).collect()
     assert (r.actual.disclosure_number, r.forecast.disclosure_number, r.dividend) == ("1", "2", None)
     assert [r.disclosure_number for r in f.with_any(rows, ["forecast_operating_income"], 2).collect()] == ["4", "3"]
+
+
+def test_later_forecasts_change_nothing_before_them(spark):
+    rows = [quarter(1, 100), quarter(10, 250, "2")]
+    before = f.forecast_at(intervals(spark, rows), F.lit(day(9))).collect()
+    after = f.forecast_at(intervals(spark, [*rows, quarter(5, 999, "3", fiscal_year_end=dt.date(2027, 3, 31)), quarter(20, 750, "4")]), F.lit(day(9)))
+    assert before == after.filter("fiscal_year_end = '2026-03-31'").collect()
+    assert [r.forecast_operating_income for r in before] == [100]
