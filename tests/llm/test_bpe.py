@@ -22,6 +22,17 @@ def test_equals_the_library(vocabulary, prose):
     assert v.decode(ids.astype(np.int64), counts) == [library.decode(x, skip_special_tokens=False) for x in encoded(v, texts)]
 
 
+def test_ranks_at_once_and_one_by_one_agree(vocabulary, prose, monkeypatch):
+    import tidemark.llm.bpe as bpe
+
+    v, texts = Vocabulary(vocabulary), [*prose, "aaaaaaaa aaaaa ......... ----------", " " * 33, "hahahahaha the the"]
+    found = []
+    for common in (0, 3, 200, 60_000):
+        monkeypatch.setattr(bpe, "COMMON", common)
+        found.append(encoded(v, texts))
+    assert found[0] == found[1] == found[2] == found[3]
+
+
 def test_known_words_do_not_change_results(vocabulary, prose, monkeypatch):
     import tidemark.llm.bpe as bpe
 

@@ -1,8 +1,9 @@
 """Byte-level BPE by a pair occurrence index.
 
 The distinct new pre-tokens of a slice of a partition are laid out as one chain of symbols. An index maps each pair of
-neighbouring symbols to all its positions. A heap holds the ranks of the pairs present; the lowest is applied at all its
-positions from left to right, and the lists of the pairs to its left and right are updated. A merge only makes pairs of
+neighbouring symbols, named by its rank, to all its positions. The ranks present are applied in ascending order, each at all
+its positions from left to right, and the lists of the pairs to its left and right are updated: the first COMMON ranks with
+their long lists as whole arrays, the others from a heap, position by position. A merge only makes pairs of
 higher rank, so this equals merging each word on its own.
 
 Cases: null text is empty; an empty text has no ids; repeated rows give equal rows; other columns pass through, and a
@@ -32,6 +33,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 CACHE = 200_000
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 1_000
 SHIFT, MASK = 20, (1 << 20) - 1
+#: Ranks that are applied to all their positions at once.
+COMMON = 200
 
 
 def byte_letters() -> dict[str, int]:
@@ -51,6 +54,11 @@ class Vocabulary:
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         #: A pair is one number: its left id shifted, plus its right id.
         self.ranks = {(ids[a] << SHIFT) + ids[b]: (rank, ids[a + b]) for rank, (a, b) in enumerate(merges)}
+        order = sorted(self.ranks)
+        #: The same for many pairs at once.
+        self.pairs = np.array(order, np.int64)
+        self.pair_ranks = np.array([self.ranks[p][0] for p in order], np.int64)
+        self.by_rank = [((p >> SHIFT, p & MASK), new) for p, (_, new) in sorted(self.ranks.items(), key=lambda x: x[1][0])]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         pieces = {i: bytes(letters[c] for c in token) for token, i in ids.items()} | {i: c.encode() for c, i in self.special.items()}
         self.start, self.length, self.bytes = _laid_out([pieces.get(i, b"") for i in range(max(pieces, default=-1) + 1)])
@@ -64,30 +72,78 @@ class Vocabulary:
         """The ids of the words one after another, and each word's number of ids; by one pair index over all of them."""
         length = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(length)
-        flat = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-        if not flat.size:
-            return flat, length
+        sym = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        if not sym.size:
+            return sym, length
         last = ends[length > 0] - 1
-        right = np.arange(1, flat.size + 1)
-        right[last] = -1
-        left = np.arange(-1, flat.size - 1)
-        left[last[:-1] + 1] = -1
-
-        pairs = (flat[:-1] << SHIFT) + flat[1:]
-        open_ = np.flatnonzero(right[:-1] >= 0)
-        order = open_[np.argsort(pairs[open_], kind="stable")]
-        kinds, first = np.unique(pairs[order], return_index=True)
-        ranks = self.ranks
-        places = {int(k): at.tolist() for k, at in zip(kinds, np.split(order, first[1:]), strict=False) if int(k) in ranks}
-        active = [(ranks[k][0], k) for k in places]
+        after = np.arange(1, sym.size + 1)
+        after[last] = -1
+        before = np.arange(-1, sym.size - 1)
+        before[last[:-1] + 1] = -1
+        index: dict[int, list[np.ndarray]] = {}
+        at = np.flatnonzero(after >= 0)
+        self._enter(index, at, (sym[at] << SHIFT) + sym[at + 1])
+        self._merge_common(sym, after, before, index)
+        done = np.array(self._merge_rare(sym.tolist(), after.tolist(), before.tolist(), {r: np.concatenate(x).tolist() for r, x in index.items()}))
+        kept = done >= 0
+        total = np.concatenate([[0], np.cumsum(kept)])
+        return done[kept], total[ends] - total[ends - length]
+
+    def _enter(self, index: dict[int, list[np.ndarray]], at: np.ndarray, pairs: np.ndarray) -> None:
+        """Adds positions to the lists of their pairs, which are named by rank; pairs that never merge are left out."""
+        if not at.size:
+            return
+        found = np.minimum(np.searchsorted(self.pairs, pairs), self.pairs.size - 1)
+        known = self.pairs[found] == pairs
+        at, ranks = at[known], self.pair_ranks[found[known]]
+        order = np.argsort(ranks, kind="stable")
+        at, ranks = at[order], ranks[order]
+        cuts = np.flatnonzero(np.diff(ranks)) + 1
+        for rank, part in zip(ranks[np.concatenate([[0], cuts])].tolist() if ranks.size else (), np.split(at, cuts), strict=False):
+            index.setdefault(rank, []).append(part)
+
+    def _merge_common(self, sym: np.ndarray, after: np.ndarray, before: np.ndarray, index: dict[int, list[np.ndarray]]) -> None:
+        """Applies the first ranks, whose lists are long, each at all its positions at once."""
+        for rank in range(min(COMMON, len(self.by_rank))):
+            if rank not in index:
+                continue
+            at = np.unique(np.concatenate(index.pop(rank)))
+            (a, b), new = self.by_rank[rank]
+            right = after[at]
+            ok = (sym[at] == a) & (right >= 0)
+            at, right = at[ok], right[ok]
+            ok = sym[right] == b
+            at, right = at[ok], right[ok]
+            if a == b and at.size:  # in a run of equal symbols every other position merges, from the left
+                firsts, taken = [], -1
+                for i, j in zip(at.tolist(), right.tolist(), strict=True):
+                    if i != taken:
+                        firsts.append(i)
+                        taken = j
+                at = np.array(firsts, np.int64)
+                right = after[at]
+            if not at.size:
+                continue
+            sym[at], sym[right] = new, -1
+            beyond = after[right]
+            after[at] = beyond
+            has = beyond >= 0
+            before[beyond[has]] = at[has]
+            front = before[at]
+            left = front[front >= 0]
+            # A pair of two new symbols is met from both sides; np.unique above takes it once.
+            self._enter(index, at[has], (sym[at[has]] << SHIFT) + sym[beyond[has]])
+            self._enter(index, left, (sym[left] << SHIFT) + sym[after[left]])
+
+    def _merge_rare(self, sym: list[int], after: list[int], before: list[int], places: dict[int, list[int]]) -> list[int]:
+        """Applies the other ranks in ascending order, position by position."""
+        active = list(places)
         heapq.heapify(active)
-        sym, after, before = flat.tolist(), right.tolist(), left.tolist()
-        rank_of, put = ranks.get, heapq.heappush
+        rank_of, put, by_rank = self.ranks.get, heapq.heappush, self.by_rank
         while active:
-            pair = heapq.heappop(active)[1]
-            a, b = pair >> SHIFT, pair & MASK
-            new = ranks[pair][1]
-            at = places.pop(pair, ())
+            rank = heapq.heappop(active)
+            (a, b), new = by_rank[rank]
+            at = places.pop(rank, ())
             for i in sorted(at) if a == b else at:  # only equal symbols can overlap
                 if sym[i] != a or (j := after[i]) < 0 or sym[j] != b:
                     continue  # an earlier merge took one of the two
@@ -95,23 +151,19 @@ class Vocabulary:
                 k = after[i] = after[j]
                 if k >= 0:
                     before[k] = i
-                    if found := rank_of(made := (new << SHIFT) + sym[k]):
-                        if made in places:
-                            places[made].append(i)
+                    if found := rank_of((new << SHIFT) + sym[k]):
+                        if (r := found[0]) in places:
+                            places[r].append(i)
                         else:
-                            places[made] = [i]
-                            put(active, (found[0], made))
-                if (k := before[i]) >= 0 and (found := rank_of(made := (sym[k] << SHIFT) + new)):
-                    if made in places:
-                        places[made].append(k)
+                            places[r] = [i]
+                            put(active, r)
+                if (k := before[i]) >= 0 and (found := rank_of((sym[k] << SHIFT) + new)):
+                    if (r := found[0]) in places:
+                        places[r].append(k)
                     else:
-                        places[made] = [k]
-                        put(active, (found[0], made))
-        done = np.array(sym)
-        del sym, after, before, places, active
-        kept = done >= 0
-        total = np.concatenate([[0], np.cumsum(kept)])
-        return done[kept], total[ends] - total[ends - length]
+                        places[r] = [k]
+                        put(active, r)
+        return sym
 
     def split(self, text: str) -> list[str]:
         if self.cut and any(s in text for s in self.special):
