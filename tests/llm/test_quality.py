@@ -30,3 +30,14 @@ def test_sparse_sites_shrink(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     prior = {r["_host"]: r["good_prior"] for r in quality.sites(scored, labels, "source", "lang").collect()}
     assert prior["bad"] < prior["rare"] < prior["big"]
+
+
+def test_training_reads_whole_texts(spark):
+    """What comes after a long beginning teaches its label, and long texts are judged as they were learned."""
+    tail = {0: "calm gentle kindly friend ", 1: "vile nasty wicked insult "}
+    rows = [(i, f"start{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]} " + "filler words of it " * 1_200 + tail[i % 3 % 2] * 20, i % 3 % 2) for i in range(90)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    clean, toxic = model.evidence(["new " + "filler words of it " * 1_200 + tail[y] * 20 for y in (0, 1)])[:, 1]
+    assert clean < -1 and toxic > 1

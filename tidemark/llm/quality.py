@@ -1,8 +1,9 @@
 """Document quality by hierarchical empirical Bayes.
 
 1. Evidence of the document: two logistic models (good, toxic) over figures of the text and sums of the log-odds of its words
-   and word beginnings. They are fitted on at most SAMPLE labelled documents (of each at most CHARS characters), by the order of a hash of the doc_id:
-   the weights come from log-odds of the other half of them. Documents are judged by their whole texts.
+   and word beginnings. They are fitted on at most SAMPLE labelled documents, by the order of a hash of the doc_id: the weights
+   come from log-odds of the other half of them. Whole texts are learned from and judged alike: tasks count the features of the
+   sample and make its rows of figures, and only the WORDS features that say most and these rows reach the driver.
 2. Evidence of the site: over all documents, grouped sums of what is known of each host and of each path within a host: the
    label where there is one, else the model's probability. A host's rate is shrunk towards the global rate, a path's towards its
    host's, by beta priors whose strengths come from the spread between hosts, or between paths, beyond chance (method of
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 
 from .shared import byte_slices, materialize, text_of
 
-SAMPLE, CHARS, WORDS, LEAST, GOOD, TOXIC = 8_000, 20_000, 20_000, 4, 0.5, 0.5
+SAMPLE, WORDS, LEAST, GOOD, TOXIC = 8_000, 20_000, 4, 0.5, 0.5
 #: Sites that are sent to all tasks; with more of them the documents are joined by a shuffle.
 SENT_SITES = 50_000
 SLICE_BYTES = 1 << 20
@@ -123,46 +124,82 @@ def _row(number: dict[str, int], odds: np.ndarray, text: str) -> np.ndarray:
     return np.c_[own, np.log1p(up.sum(axis=0)), np.log1p(down.sum(axis=0)), up.max(axis=0, initial=0), down.max(axis=0, initial=0), found.sum(axis=0) / (5 + len(features))]
 
 
-def _odds(no: Counter, yes: Counter, n_no: int, n_yes: int) -> dict[str, float]:
-    """Log-odds of the features that say most; counts are of texts."""
-    odds = {}
-    for f in no.keys() | yes.keys():
-        a, b = yes.get(f, 0), no.get(f, 0)
-        if a + b >= LEAST:
-            value = math.log((a + 0.5) / (n_yes + 1)) - math.log((b + 0.5) / (n_no + 1))
-            if abs(value) > 1.0:
-                odds[f] = value
-    return dict(sorted(odds.items(), key=lambda x: (-abs(x[1]) * math.sqrt(no.get(x[0], 0) + yes.get(x[0], 0)), x[0]))[:WORDS])
+def _taken(rows: DataFrame, places: dict, wanted: list[tuple[int, int]]) -> list[dict[str, float]]:
+    """For each (label, half): the log-odds of the features that say most; counts are of texts. rows: doc_id and whole texts."""
+    sent = rows.sparkSession.sparkContext.broadcast((places, wanted))
+    names = [f"{v}{k}" for k in range(len(wanted)) for v in ("no", "yes")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, wanted = sent.value
+        for batch in byte_slices(batches, "text", SLICE_BYTES):
+            counts: dict[str, list[int]] = {}
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if doc_id not in places:
+                    continue
+                i, y = places[doc_id]
+                at = [2 * k + y[label] for k, (label, h) in enumerate(wanted) if i % 2 == h and y[label] >= 0]
+                for f in pieces(text)[1]:
+                    row = counts.setdefault(f, [0] * len(names))
+                    for k in at:
+                        row[k] += 1
+            values = np.array(list(counts.values()), np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array(np.ascontiguousarray(c)) for c in values.T)], ["feature", *names])
+
+    fields = [T.StructField("feature", T.StringType()), *(T.StructField(n, T.LongType()) for n in names)]
+    counted = rows.select("doc_id", "text").mapInArrow(run, T.StructType(fields)).groupBy("feature").agg(*(F.sum(n).alias(n) for n in names))
+    counted = materialize(counted, "quality-counts")
+    out = []
+    for k, (label, h) in enumerate(wanted):
+        y = [own[label] for i, own in places.values() if i % 2 == h]
+        n_no, n_yes = y.count(0), y.count(1)
+        no, yes = F.col(f"no{k}"), F.col(f"yes{k}")
+        value = F.log((yes + 0.5) / (n_yes + 1)) - F.log((no + 0.5) / (n_no + 1))
+        found = counted.select("feature", no.alias("no"), yes.alias("yes"), value.alias("value")).filter((F.col("no") + F.col("yes") >= LEAST) & (F.abs("value") > 1.0))
+        top = found.orderBy(F.desc(F.abs("value") * F.sqrt(F.col("no") + F.col("yes"))), "feature").limit(WORDS).collect()
+        out.append({r["feature"]: math.log((r["yes"] + 0.5) / (n_yes + 1)) - math.log((r["no"] + 0.5) / (n_no + 1)) for r in top})
+    return out
+
+
+def _rows(rows: DataFrame, places: dict, number: dict[str, int], odds: np.ndarray) -> np.ndarray:
+    """The rows of the sample's whole texts (texts x parts x figures), in the order of their places."""
+    sent = rows.sparkSession.sparkContext.broadcast((places, number, odds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, number, odds = sent.value
+        for batch in byte_slices(batches, "text", SLICE_BYTES):
+            own = [(places[d][0], t) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if d in places]
+            values = [_row(number, odds, t).ravel().tolist() for _, t in own]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.array(values, pa.list_(pa.float64()))], ["i", "row"])
+
+    found = rows.select("doc_id", "text").mapInArrow(run, "i long, row array<double>").collect()
+    return np.array([r["row"] for r in sorted(found, key=lambda r: r["i"])]).reshape(len(found), odds.shape[1], -1)
 
 
-def fit(texts: list[str], labels: np.ndarray) -> Model:
-    """A model of 0/1 labels (texts x labels, -1 for unknown). A label without both values only has its share.
+def fit(rows: DataFrame, places: dict) -> Model:
+    """A model of 0/1 labels. rows: doc_id and whole texts; places: doc_id to its place and labels (-1 for unknown). A label
+    without both values only has its share.
 
     Each half of the texts gives the log-odds for weights that are fitted on the other half, so no text is judged by words it
     has itself brought in; both of these parts count.
     """
-    half, wanted, base = np.arange(len(texts)) % 2, [], []
+    labels = np.array([y for _, y in sorted(places.values())], np.int64).reshape(-1, 2)
+    half, wanted, base = np.arange(len(labels)) % 2, [], []
     for y in labels.T:
         yes, no = int((y == 1).sum()), int((y == 0).sum())
         base.append(math.log((yes + 1) / (no + 1)))
         if min(((y == v) & (half == h)).sum() for v in (0, 1) for h in (0, 1)) >= 2:
             wanted += [(len(base) - 1, 0), (len(base) - 1, 1)]
-    columns = []
-    for label, h in wanted:
-        y, counts = labels[:, label], (Counter(), Counter())
-        for i in np.flatnonzero((half == h) & (y >= 0)):
-            counts[y[i]].update(pieces(texts[i])[1])
-        columns.append(_odds(*counts, *(int(((y == v) & (half == h)).sum()) for v in (0, 1))))
+    columns = _taken(rows, places, wanted) if wanted else []
     number = {f: i for i, f in enumerate(sorted(set().union(*columns)))}
     odds = np.zeros((len(number), len(columns)))
     for k, column in enumerate(columns):
         for f, value in column.items():
             odds[number[f], k] = value
-    rows = np.array([_row(number, odds, t) for t in texts]) if wanted else None
+    found = _rows(rows, places, number, odds) if wanted else None
     parts = []
     for k, (label, h) in enumerate(wanted):
         rest = (half != h) & (labels[:, label] >= 0)
-        x, y = rows[rest, k], labels[rest, label].astype(float)
+        x, y = found[rest, k], labels[rest, label].astype(float)
         mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
         parts.append(Part(label, mean, scale, _weights(_expanded((x - mean) / scale), y)))
     return Model(number, odds, parts, base)
@@ -185,10 +222,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.filter("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     ids = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", F.substring(text_of(), 1, CHARS).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text"))
-    got = sorted(rows.collect(), key=lambda r: r["doc_id"])
-    got = list({r["text"]: r for r in got}.values())  # copies would count their words again and again
-    return fit([r["text"] for r in got], np.array([[-1 if r[c] is None else int(r[c] > 0) for c in ("quality", "toxic")] for r in got], np.int64).reshape(-1, 2))
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text"))
+    rows = materialize(rows, "quality-sample")
+    got = sorted(rows.select("doc_id", "quality", "toxic", F.sha2("text", 256).alias("digest")).collect(), key=lambda r: r["doc_id"])
+    got = list({r["digest"]: r for r in got}.values())  # copies would count their words again and again
+    return fit(rows, {r["doc_id"]: (i, tuple(-1 if r[c] is None else int(r[c] > 0) for c in ("quality", "toxic"))) for i, r in enumerate(got)})
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
