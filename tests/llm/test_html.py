@@ -19,6 +19,13 @@ def test_density_finds_the_article_without_semantic_tags():
     assert text(html) == "\n\n".join(["A sentence of the article, long enough to count. " * 4] * 4).replace(". \n", ".\n").strip()
 
 
+def test_all_articles_of_a_page():
+    """Every article that reaches the threshold is taken, not only the one around the densest node."""
+    article = lambda name, n: "<article>" + f"<p>{f'A sentence of article {name}, long enough to count. ' * 4}</p>" * n + "</article>"
+    found = text(f"<body><nav><a href=/>Home</a></nav><main>{article('one', 6)}{article('two', 5)}</main></body>")
+    assert found.count("article one") == 24 and found.count("article two") == 20 and "Home" not in found
+
+
 def test_odd_pages():
     assert text("") == "" and text("plain  text") == "plain text" and text("<p>a<p>b") == "a\n\nb"
     assert text("<<<>>> & < b") == "<<<>>> & < b" and text("<div>" * 30_000 + "deep") == "deep"

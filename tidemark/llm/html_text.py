@@ -8,8 +8,8 @@ footers, sidebars, notices, adverts, forms, reader comments - are left out. For
 
 with C characters, T tags, LC and LT those of links, each 1 at least where it divides. A node's density sum adds its children's.
 The node of the largest sum gives the threshold: the least density on its path to the body. From the body down, every node at
-or above the threshold adds the node of the largest sum in its subtree. The article is what was so selected, widened to the
-article or main element around it where the page has one.
+or above the threshold adds the node of the largest sum in its subtree. The main text is all that was so selected, each node
+widened to the nearest article or main element around it where there is one.
 
 Text: references decoded, white space within a block is one space, blocks stand apart by an empty line. Nothing is capped.
 
@@ -196,21 +196,20 @@ class Page:
         for i in range(body, n):
             up = self.parent[i]
             if i != body and (chosen[up] or not open_[up]):
-                chosen[i] = chosen[up]
+                chosen[i] = chosen[i] or chosen[up]
                 continue
             open_[i] = density[i] >= threshold and density[i] > 0 and not self.noise[i]
             if open_[i]:
                 target = best[i]
                 chosen[target] = True
             chosen[i] = chosen[i] or False
-        # The article around the best node.
-        node = top
-        while node > 0:
-            if self.tag[node] in ("article", "main"):
-                chosen = [False] * n
-                chosen[node] = True
-                break
-            node = self.parent[node]
+        # Each chosen node takes the article around it along.
+        around = [0] * n
+        for i in range(1, n):
+            around[i] = i if self.tag[i] in ("article", "main") else around[self.parent[i]]
+        for i in range(1, n):
+            if chosen[i] and around[i]:
+                chosen[around[i]] = True
         for i in range(1, n):
             chosen[i] = (chosen[i] or chosen[self.parent[i]]) and not self.noise[i]
         return chosen
