@@ -38,6 +38,16 @@ def test_each_kind_keeps_its_format(spark):
     assert re.fullmatch(r"[a-z]\.[a-z]@[a-z]{4}\d\.[a-z]{7}\.com", out[10]) and re.fullmatch(r'token = "[0-9a-f]{40}"', out[11])
 
 
+def test_cards_beside_short_groups(spark):
+    """A card is found although other digits follow or precede it."""
+    cards = ["4111 1111 1111 1111", "4111111111111111", "3782-822463-10005"]
+    texts = [f"{a}{c}{b}" for c in cards for a, b in (("", " 123 "), ("", " 12/27"), ("no 12 ", "."))]
+    out, found = hidden(spark, texts)
+    assert found == [1] * len(texts) and not any(c in t for c in cards for t in out)
+    assert luhn(out[0][:19]) and out[0][19:] == " 123 " and out[4][16:] == " 12/27" and out[8].startswith("no 12 ")
+    assert hidden(spark, ["4111 1111 1111 1112 123"]) == (["4111 1111 1111 1112 123"], [0])
+
+
 def test_equal_values_stay_linked_and_keys_differ(spark):
     card = "4845168114407329"
     texts, _ = hidden(spark, [f"{card} x", f"y {card}.", f"{card}"])

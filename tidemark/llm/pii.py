@@ -2,7 +2,8 @@
 
 One pattern finds candidates in the whole text; each is validated by its kind, and what is not valid stays:
 
-card    13 to 19 digits with a right Luhn sum          pseudonym: other digits, Luhn sum right again
+card    13 to 19 digits with a right Luhn sum          pseudonym: other digits, Luhn sum right again; if the sum is wrong, the
+                                                       longest piece between separators whose sum is right, the first of equals
 iban    country, mod-97 sum right                      same country, same layout, sum right again
 phone   7 to 15 digits, with + or in a national form   same country code and layout
 ssn     ddd-dd-dddd, no part of zeros only             same layout
@@ -129,6 +130,20 @@ def _card(v: Column, key: str) -> Column:
     return F.aggregate(F.array(new), F.lit(""), lambda _, b: F.concat(b, F.pmod(-_luhn(F.concat(_digits(b), F.lit("0"))), F.lit(10)).cast("string")))
 
 
+def _card_within(v: Column, key: str) -> Column:
+    """The candidate with its longest valid piece replaced; itself if it has none. Pieces begin and end at separators."""
+    at = F.sequence(F.lit(1), F.length(v))
+    split = lambda p: F.substring(v, p, F.lit(1)).isin(" ", "-")
+    begins = F.filter(at, lambda p: ~split(p) & ((p == 1) | split(p - 1)))
+    ends = F.filter(at, lambda p: ~split(p) & ((p == F.length(v)) | split(p + 1)))
+    pieces = F.flatten(F.transform(begins, lambda p: F.transform(ends, lambda e: F.struct((e - p + 1).alias("n"), (-p).alias("p")))))
+    piece = lambda x: F.substring(v, -x["p"], x["n"])
+    valid = F.filter(pieces, lambda x: F.when(x["n"] >= 13, (F.length(_digits(piece(x))) >= 13) & (_luhn(_digits(piece(x))) % 10 == 0)).otherwise(F.lit(False)))
+    longest = F.array_max(F.transform(valid, lambda x: F.struct(F.length(_digits(piece(x))).alias("size"), x["p"].alias("p"), x["n"].alias("n"))))
+    put = lambda x: F.concat(F.substring(v, F.lit(1), -x["p"] - 1), _card(piece(x), key), F.substring(v, x["n"] - x["p"], F.length(v)))
+    return F.aggregate(F.array(longest), v, lambda a, x: F.when(x.isNull(), a).otherwise(put(x)))
+
+
 def _mod97(v: Column) -> Column:
     """The IBAN sum of a value without spaces: its first four characters last, letters as 10 to 35."""
     turned = F.concat(F.substring(v, F.lit(5), F.length(v)), F.substring(v, 1, 4))
@@ -209,7 +224,7 @@ def pseudonym(v: Column, key: str) -> Column:
         .when(is_["date"], F.when(_is_date(v), _date(v, key)).otherwise(v))
         .when(is_["ssn"], F.when(~v.rlike("000-|-00-|-0000"), permuted(v, f"{key}:ssn")).otherwise(v))
         .when(is_["phone"], F.when(n.between(7, 15), _after(v, r"^(?:\+[0-9]{1,3}(?=[ .(-]))?", "phone", key)).otherwise(v))
-        .when(is_["card"] & (_luhn(_digits(v)) % 10 == 0), _card(v, key))
+        .when(is_["card"], F.when(_luhn(_digits(v)) % 10 == 0, _card(v, key)).otherwise(_card_within(v, key)))
         .otherwise(v)
     )
 
