@@ -31,6 +31,18 @@ def test_phrases_equal_a_naive_parse(monkeypatch):
     assert model.phrases([long, "ab"])[0].tolist() == [sum(naive(samples[k], p) for p in pieces) for k in ("a", "b")]
 
 
+def test_every_letter_of_a_sample_matches():
+    """Languages of thousands of letters, beyond the first 65,536 code points too, parse as by the naive search."""
+    rng = random.Random(2)
+    scripts = {"a": "abcdefgh ", "b": [chr(0x4E00 + i) for i in range(900)], "c": [chr(0x4E00 + i) for i in range(600, 1500)], "d": [chr(0x20000 + i) for i in range(300)]}
+    samples = {k: "".join(rng.choices(letters, k=3000)).strip() for k, letters in scripts.items()}
+    texts = [samples[k][1000 : 1000 + n] for k in scripts for n in (40, 300)] + ["zz", samples["b"][:100] + "z" + samples["d"][:100]]
+    model = language.Model(samples)
+    found = model.phrases(texts)
+    assert found.tolist() == [[naive(samples[k], t) for k in scripts] for t in texts]
+    assert [model.languages[i] for i in found[:8].argmin(axis=1)] == [k for k in scripts for _ in range(2)]
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     model = language.learn(odd_docs.withColumn("lang", F.coalesce("lang", F.lit("xx"))))
     found = language.identify(odd_docs, model).collect()

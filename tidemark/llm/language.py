@@ -28,7 +28,7 @@ from pyspark.sql.window import Window as W
 from .shared import byte_slices, text_of
 
 CHARS, ROWS, STEP, SLICE_BYTES = 120_000, 40, 512, 1 << 20
-#: Letters in an automaton's table beyond the rarest, which share one symbol that never matches.
+#: Letters of a language that have a column in its automaton's table; the ways of its rarer ones are a sorted list.
 ALPHABET = 64
 
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
@@ -39,8 +39,52 @@ def normalised(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
-def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
-    """Transitions (states x alphabet) of the automaton of all pieces of the text; 0 is the start, -1 no way on."""
+class Automaton:
+    """The automaton of all pieces of a text of symbols 0 to size - 1, the commonest first; 0 is the start, -1 no way on.
+
+    letters: where each symbol stands among the letters of all languages. Any number of symbols matches: the first ALPHABET ones
+    by a table (states x ALPHABET + 1, the last column has no ways), the others by their sorted keys (state * size + symbol).
+    """
+
+    def __init__(self, text: np.ndarray):
+        found, first, times = np.unique(text, return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.letters, self.size = found[order], len(order)
+        goes = suffix_automaton(rank[first].tolist())
+        self.table = np.full((len(goes), ALPHABET + 1), -1, np.int32)
+        self.start = np.full(self.size + 1, -1, np.int32)
+        rare = []
+        for s, to in enumerate(goes):
+            for c, t in to.items():
+                if c < ALPHABET:
+                    self.table[s, c] = t
+                else:
+                    rare.append((s * self.size + c, t))
+        for c, t in goes[0].items():
+            self.start[c] = t
+        rare.sort()
+        self.keys, self.to = np.array([k for k, _ in rare], np.int64), np.array([t for _, t in rare], np.int32)
+
+    def symbols(self, letters: np.ndarray, known: int) -> np.ndarray:
+        """Symbols of letters (of `known`, and one for all others); what this language lacks is `size`."""
+        symbol = np.full(known + 1, self.size, np.int32)
+        symbol[self.letters] = np.arange(self.size)
+        return symbol[letters]
+
+    def step(self, now: np.ndarray, c: np.ndarray) -> np.ndarray:
+        to = self.table.ravel()[now.astype(np.int64) * (ALPHABET + 1) + np.minimum(c, ALPHABET)]
+        if len(self.keys):
+            at = np.flatnonzero((c >= ALPHABET) & (c < self.size))
+            keys = now[at].astype(np.int64) * self.size + c[at]
+            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            to[at] = np.where(self.keys[place] == keys, self.to[place], -1)
+        return to
+
+
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """The ways on from each state."""
     goes: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -66,25 +110,19 @@ def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    table = np.full((len(goes), alphabet), -1, np.int32)
-    for s, to in enumerate(goes):
-        for c, t in to.items():
-            table[s, c] = t
-    return table
+    return goes
 
 
 class Model:
-    """languages, symbol (of each code point below 65,536) and one automaton for each language."""
+    """languages, the letters of all of them, and one automaton for each language."""
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        seen = np.bincount(np.concatenate([_points(t) for t in samples.values()] or [np.empty(0, np.int64)]), minlength=1 << 16)
-        kept = np.argsort(-seen, kind="stable")[: ALPHABET - 1]
-        self.symbol = np.full(1 << 16, ALPHABET - 1, np.int16)
-        self.symbol[kept] = np.arange(len(kept))
-        self.automata = [suffix_automaton(self.symbol[_points(samples[x])].tolist(), ALPHABET) for x in self.languages]
-        for a in self.automata:
-            a[:, ALPHABET - 1] = -1
+        points = np.unique(np.concatenate([_points(t) for t in samples.values()] or [np.empty(0, np.int64)]))
+        self.known = len(points)
+        self.letter = np.full(int(points.max(initial=0)) + 2, self.known, np.int32)  # the last one stands for all later code points
+        self.letter[points] = np.arange(self.known)
+        self.automata = [Automaton(self.letter[_points(samples[x])]) for x in self.languages]
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases (texts x languages) of the normalised texts."""
@@ -92,9 +130,9 @@ class Model:
         length = np.fromiter(map(len, points), np.int64, len(points))
         parts = -(-length // STEP)
         owner = np.repeat(np.arange(len(texts)), parts)
-        grid = np.full(len(owner) * STEP, -1, np.int16)
+        grid = np.full(len(owner) * STEP, -1, np.int32)
         at = np.cumsum(parts) - parts
-        flat = self.symbol[np.concatenate(points)] if len(points) else np.empty(0, np.int16)
+        flat = self.letter[np.minimum(np.concatenate(points), len(self.letter) - 1)] if len(points) else np.empty(0, np.int32)
         grid[np.repeat(at * STEP - (np.cumsum(length) - length), length) + np.arange(length.sum())] = flat
         grid = grid.reshape(-1, STEP)
         filled = (grid >= 0).sum(axis=1)
@@ -102,26 +140,26 @@ class Model:
         columns, filled = np.ascontiguousarray(grid[order].T), filled[order]
         live = np.searchsorted(-filled, -np.arange(STEP), side="left")  # rows with more than i symbols
         out = np.zeros((len(texts), len(self.languages)), np.int64)
-        for k, table in enumerate(self.automata):
+        for k, automaton in enumerate(self.automata):
+            symbols = automaton.symbols(columns, self.known)
             state, count = np.zeros(len(filled), np.int32), np.zeros(len(filled), np.int64)
-            flat_table = table.ravel()
             for i in range(STEP):
                 n = live[i]
                 if not n:
                     break
-                c, now = columns[i, :n].astype(np.int64), state[:n]
-                to = flat_table[now.astype(np.int64) * ALPHABET + c]
+                c, now = symbols[i, :n], state[:n]
+                to = automaton.step(now, c)
                 count[:n] += (to < 0) | (now == 0)  # a phrase begins here
                 stuck = np.flatnonzero(to < 0)
-                to[stuck] = np.maximum(flat_table[c[stuck]], 0)  # a letter that the language lacks is a phrase of its own
+                to[stuck] = np.maximum(automaton.start[c[stuck]], 0)  # a letter that the language lacks is a phrase of its own
                 state[:n] = to
             out[:, k] = np.bincount(owner[order], weights=count, minlength=len(texts))
         return out
 
 
 def _points(text: str) -> np.ndarray:
-    """Code points, those from 65,536 up as 65,535."""
-    return np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), (1 << 16) - 1).astype(np.int64)
+    """Code points."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
