@@ -1,3 +1,7 @@
+import math
+import random
+import time
+
 from tidemark.llm.html_text import Page, extract
 
 
@@ -37,3 +41,72 @@ def test_rows(spark):
     rows = spark.createDataFrame([(1, "u", "<p>x</p>", "old"), (2, None, None, None), (2, None, "", None)], "page_id long, url string, html string, text string")
     assert [(r.page_id, r.text) for r in extract(rows).orderBy("page_id").collect()] == [(1, "x"), (2, ""), (2, "")]
     assert extract(rows.limit(0)).count() == 0
+
+
+def test_headers_and_sections_of_an_article_stay():
+    prose = "A sentence of the article, long enough to count. " * 6
+    html = f'<body><div class="site-header">Site</div><div class="post-header"><h1>Real title</h1></div><div><p>{prose}</p></div><div class="related-work"><p>{prose}work</p></div><div class="related"><a href=/>More</a></div><div id="comments"><p>Reader</p></div></body>'
+    found = text(html)
+    assert found.startswith("Real title\n\n") and found.endswith("work") and not any(w in found for w in ("Site", "More", "Reader"))
+
+
+def test_a_name_does_not_outweigh_the_text():
+    prose = "A sentence of the article, long enough to count. " * 6
+    assert text(f'<body><div class="sidebar"><p>{prose * 2}</p><p>{prose * 2}</p></div><div class="ad">Buy</div></body>').count("sentence") == 24
+    assert text('<body><div class="ad">An advert that is longer than the article.</div><article><h1>Short</h1></article></body>') == "Short"
+    assert "Reader" not in text(f'<body><div><p>{prose}</p></div><div class="comments"><p>{"Reader says so. " * 90}</p></div></body>')
+
+
+def test_broken_quotes_are_read_in_linear_time():
+    start = time.perf_counter()
+    for odd in ('<a "', '<a x="', "<a ='\"", "<a ", "<", '<a b=">" '):
+        Page(odd * 25_000)
+        Page("<p>x</p><a " + odd[3:] * 25_000 + "<p>y</p>")
+        Page("<a " + '"' * 100_000)
+    assert time.perf_counter() - start < 10
+    assert text('<p title="a>b">x</p><p title=\'"\'>y</p><p a"b>z') == "x\n\ny\n\nz"
+
+
+def test_densities_equal_a_plain_recursion():
+    """The sums in page order against the definition, on random trees."""
+    rng = random.Random(5)
+
+    def tree(depth):
+        return [rng.choice(("div", "p", "a", "span", "section")), [tree(depth - 1) if depth and rng.random() < 0.7 else "w" * rng.randint(1, 30) for _ in range(rng.randint(1, 4))]]
+
+    def html(t):
+        return t if isinstance(t, str) else f"<{t[0]}>" + "".join(map(html, t[1])) + f"</{t[0]}>"
+
+    def counts(t, link):
+        if isinstance(t, str):
+            return len(t), 0, len(t) * link, 0
+        link = link or t[0] == "a"
+        all_ = [counts(c, link) for c in t[1]]
+        n = lambda i: sum(c[i] for c in all_)
+        return n(0), n(1) + sum(not isinstance(c, str) for c in t[1]), n(2), n(3) + sum(not isinstance(c, str) and c[0] == "a" for c in t[1])
+
+    def density(t, link, whole):
+        c, tags, lc, lt = counts(t, link)
+        tags, lc1, lt = max(1, tags), max(1, lc), max(1, lt)
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + whole[2] / max(1, whole[0]) * c + math.e)
+        return c / tags * math.log(c / lc1 * tags / lt) / math.log(base) if whole[2] else c / tags  # without links there is no base
+
+    def walk(t, link, whole, out):
+        link = link or t[0] == "a"
+        mine = density(t, link, whole)
+        children = [walk(c, link, whole, out) for c in t[1] if not isinstance(c, str)]
+        out.append((round(mine, 9), round(sum(children) or mine, 9)))
+        return mine
+
+    for _ in range(40):
+        t = ["body", [tree(3) for _ in range(3)]]
+        source = html(t)
+        if "<p>" in source:  # paragraphs end where blocks begin, which the plain tree does not do
+            source, t = source.replace("p>", "i>"), eval(repr(t).replace("'p'", "'i'"))
+        page, out = Page(source), []
+        walk(t, False, counts(t, False), out)
+        found, sums = page.densities()[:2]
+        body = page.tag.index("body")
+        assert sorted(out) == sorted((round(a, 9), round(b, 9)) for a, b in zip(found[body:], sums[body:], strict=True))

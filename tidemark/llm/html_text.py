@@ -1,15 +1,16 @@
 """Main text of web pages by composite text density.
 
 A page is read into a tree with the usual repairs (open paragraphs, list items and cells end where the next begins; end tags
-close what lies open in theirs; scripts and styles are skipped as raw text). Elements that say what they are - menus, page headers and
-footers, sidebars, notices, adverts, forms, reader comments - are left out. For each other node the composite density is
+close what lies open in theirs; scripts and styles are skipped as raw text). Elements that say what they are by their tag or role -
+menus, page headers and footers, sidebars, notices, adverts, forms, reader comments - are left out, and those that say so by a whole
+class or id unless they hold a main heading, an article or half of a page's long text. For each other node the composite density is
 
     C / T * log(C / LC * T / LT) to the base ln(C / (C - LC) * LC + LC_body / C_body * C + e)
 
 with C characters, T tags, LC and LT those of links, each 1 at least where it divides. A node's density sum adds its children's.
 The node of the largest sum gives the threshold: the least density on its path to the body. From the body down, every node at
 or above the threshold adds the node of the largest sum in its subtree. The main text is all that was so selected, each node
-widened to the nearest article or main element around it where there is one.
+widened to the nearest article or main element around it where there is one that reaches the threshold and is not mostly links.
 
 Text: references decoded, white space within a block is one space, blocks stand apart by an empty line. Nothing is capped.
 
@@ -53,14 +54,37 @@ ENDED_BY = {name: [x for x, at in ENDS_AT.items() if name in at] for name in fro
 WALLS = frozenset({"table", "ul", "ol", "dl", "article", "main", "section", "body", "html", "select"})
 NOISE_TAGS = frozenset("nav footer aside form button select textarea iframe object svg canvas audio video dialog menu head".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
+#: Names of classes and ids. A whole name speaks, never a part of it: it must be made of these words and of words for places, so
+#: "site-header" is a page's header, while "post-header" and "related-work" are not.
 NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner menu nav navbar navigation breadcrumb breadcrumbs footer header masthead sidebar aside cookie cookies consent notice notices popup modal overlay newsletter subscribe signup share sharing social related comment comments disqus respond reply".split()
-)
-_TOKEN = regex.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>|<[!?][^>]*>""",
-    regex.S | regex.I,
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner menu nav navbar navigation breadcrumb breadcrumbs footer header masthead sidebar aside cookie cookies consent notice notices popup modal overlay newsletter subscribe signup share sharing social related comment comments disqus respond reply replies".split()
 )
+PLACE_WORDS = frozenset("site page global main top bottom left right box bar block area section widget wrapper wrap container inner content list item items links slot unit text body form thread user reader policy info message button buttons js".split())
+#: Around an article, these are places for all but its header.
+ARTICLE_WORDS = frozenset("post article entry story".split())
+TITLE_WORDS = frozenset("header masthead banner".split())
+#: Where length says nothing: readers' comments and adverts can be longer than the article.
+LONG_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent comment comments disqus respond reply replies".split())
+#: Characters from which on the half of a page's text is not taken for a menu or a sidebar by its name alone.
+PROSE = 1_000
+_TAG = regex.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: What stands between a tag's name and its end. A quote counts after a = only; no choice is ever taken back, so this is linear.
+_ATTRIBUTES = regex.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|[="'])*+>""")
+#: The same without quotes, for pages with one that never ends.
+_PLAIN = regex.compile("[^>]*+>")
+_RAW = {name: regex.compile(rf"</{name}\s*+>", regex.I) for name in ("script", "style", "noscript", "template", "title")}
 _ATTRIBUTE = regex.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", regex.I)
+_NAME_PARTS = regex.compile("[^a-z]+")
+
+
+def says_noise(name: str) -> str | None:
+    """What a class or id says: "long" or "other" kinds of noise, or nothing."""
+    words = [w for w in _NAME_PARTS.split(name) if w]
+    said = NOISE_WORDS.intersection(words)
+    rest = set(words) - NOISE_WORDS - PLACE_WORDS
+    if not said or not rest <= ARTICLE_WORDS or (rest and said <= TITLE_WORDS):
+        return None
+    return "long" if said & LONG_WORDS else "other"
 
 
 class Page:
@@ -70,15 +94,40 @@ class Page:
         self.tag, self.parent, self.noise = ["#page"], [-1], [False]
         self.events: list[tuple[int, str | None]] = []  # a node's text, or None where a block begins or ends
         self.stack, self.open = [0], Counter()  # open elements, and how many of each name
-        at = 0
-        for m in _TOKEN.finditer(html):
-            if m.start() > at:
-                self.text(html[at : m.start()])
-            at = m.end()
-            if name := m[3]:
-                (self.end if m[2] else self.start)(name.lower(), m[4])
+        self.named: dict[int, str] = {}  # nodes whose class or id says that they are noise
+        at = begin = 0  # where the text that is not yet taken begins, and where the next tag may
+        quotes = True
+        while (begin := html.find("<", begin)) >= 0:
+            name, close = "", None
+            if html.startswith("<!--", begin):
+                end = html.find("-->", begin + 4)
+                end = len(html) if end < 0 else end + 3
+            elif html.startswith(("<!", "<?"), begin):
+                end = html.find(">", begin) + 1
+            elif m := _TAG.match(html, begin):
+                close, name = m[1], m[2].lower()
+                rest = _ATTRIBUTES.match(html, m.end()) if quotes else None
+                if rest is None:
+                    quotes = False
+                    rest = _PLAIN.match(html, m.end())
+                end = rest.end() if rest else 0
+            else:
+                begin += 1
+                continue
+            if not end:  # no > is left, so the rest is text
+                break
+            if begin > at:
+                self.text(html[at:begin])
+            attributes = html[m.end() : end - 1] if name else ""
+            if name in _RAW and not close:
+                found = _RAW[name].search(html, end)
+                end = found.end() if found else len(html)
+            elif name:
+                self.end(name) if close else self.start(name, attributes)
+            at = begin = end
         if at < len(html):
             self.text(html[at:])
+        self.mark_named()
 
     def text(self, raw: str) -> None:
         if raw and self.tag[self.stack[-1]] != "head":
@@ -98,7 +147,7 @@ class Page:
         node, up = len(self.tag), self.stack[-1]
         self.tag.append(name)
         self.parent.append(up)
-        self.noise.append(self.noise[up] or self.is_noise(name, attributes))
+        self.noise.append(self.noise[up] or self.is_noise(node, name, attributes))
         if name in BLOCK:
             self.events.append((node, None))
         elif name in ("td", "th"):
@@ -111,7 +160,7 @@ class Page:
         self.open.subtract(self.tag[i] for i in self.stack[depth:])
         del self.stack[depth:]
 
-    def end(self, name: str, _: str) -> None:
+    def end(self, name: str) -> None:
         for depth in range(len(self.stack) - 1 if self.open[name] else 0, 0, -1):
             open_ = self.tag[self.stack[depth]]
             if open_ == name:
@@ -122,7 +171,8 @@ class Page:
         if name in BLOCK:
             self.events.append((self.stack[-1], None))
 
-    def is_noise(self, name: str, attributes: str) -> bool:
+    def is_noise(self, node: int, name: str, attributes: str) -> bool:
+        """Whether the element itself or its role says so. What its class or id says is kept for mark_named."""
         if name in NOISE_TAGS:
             return True
         if name in ("html", "body", "main", "article", "#page"):
@@ -130,16 +180,42 @@ class Page:
         if name == "header":  # an article's own header holds its title
             return not any(self.tag[n] in ("article", "main") for n in self.stack)
         for key, value in _ATTRIBUTE.findall(attributes) if attributes else ():
-            words = value.strip("\"'").lower()
+            words = value.strip("\"'").lower().split()
             if key.lower() == "role":
-                if words in NOISE_ROLES:
+                if not NOISE_ROLES.isdisjoint(words):
                     return True
-            elif not NOISE_WORDS.isdisjoint(regex.split(r"[^a-z0-9]+", words)):
-                return True
+            else:
+                for word in words:
+                    if said := says_noise(word):
+                        self.named[node] = said
         return False
 
-    def densities(self) -> tuple[list[float], list[float]]:
-        """Composite density and density sum of each node."""
+    def mark_named(self) -> None:
+        """Nodes that are noise by their class or id, unless what they hold speaks against it: a main heading or the main element;
+        an article, or PROSE characters outside links and half of the page's (but not for LONG_WORDS)."""
+        if not self.named:
+            return
+        n = len(self.tag)
+        text, title, article = [0] * n, [False] * n, [False] * n
+        in_link = [False] * n
+        for i in range(1, n):
+            in_link[i] = self.tag[i] == "a" or in_link[self.parent[i]]
+        for i, t in self.events:
+            if t and not self.noise[i] and not in_link[i]:
+                text[i] += len(t.strip())
+        for i in range(n - 1, 0, -1):
+            p = self.parent[i]
+            if not self.noise[i]:
+                text[p] += text[i]
+            title[p] |= title[i] or self.tag[i] in ("h1", "main")
+            article[p] |= article[i] or self.tag[i] == "article"
+        for i, said in self.named.items():
+            self.noise[i] |= not (title[i] or (said == "other" and (article[i] or (text[i] >= PROSE and 2 * text[i] > text[0]))))
+        for i in range(1, n):
+            self.noise[i] |= self.noise[self.parent[i]]
+
+    def densities(self) -> tuple[list[float], list[float], list[int], list[int]]:
+        """Composite density, density sum, characters and characters in links of each node."""
         n = len(self.tag)
         chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
         in_link = [False] * n
@@ -175,11 +251,11 @@ class Page:
         for i in range(n):  # a leaf's sum is its own
             if not sums[i]:
                 sums[i] = density[i]
-        return density, sums
+        return density, sums, chars, link_chars
 
     def selected(self) -> list[bool]:
         n = len(self.tag)
-        density, sums = self.densities()
+        density, sums, chars, link_chars = self.densities()
         best = list(range(n))  # of each subtree
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
@@ -203,12 +279,12 @@ class Page:
                 target = best[i]
                 chosen[target] = True
             chosen[i] = chosen[i] or False
-        # Each chosen node takes the article around it along.
+        # A chosen node takes the article around it along, which reached the threshold like all nodes above it, unless links prevail there.
         around = [0] * n
         for i in range(1, n):
-            around[i] = i if self.tag[i] in ("article", "main") else around[self.parent[i]]
+            around[i] = i if self.tag[i] in ("article", "main") and 2 * link_chars[i] <= chars[i] else around[self.parent[i]]
         for i in range(1, n):
-            if chosen[i] and around[i]:
+            if chosen[i] and around[i] and density[around[i]] >= threshold:
                 chosen[around[i]] = True
         for i in range(1, n):
             chosen[i] = (chosen[i] or chosen[self.parent[i]]) and not self.noise[i]
