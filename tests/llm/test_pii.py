@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ def test_each_kind_keeps_its_format(spark):
     assert all(a != b for a, b in zip(out, values))
     shape = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", s)))
     assert [shape(x) for x in out[:6]] == [shape(x) for x in values[:6]]
-    assert luhn(out[0]) and re.sub(" ", "", out[1]) == out[0] if False else luhn(out[0]) and luhn(out[1])
+    assert luhn(out[0]) and re.sub(" ", "", out[1]) == out[0] and re.sub(r"\D", "", out[3])[1:] != re.sub(r"\D", "", values[3])[1:]
     assert out[2].startswith("DE") and mod97(out[2]) == 1 and out[3].startswith("+1 (")
     assert all(int(x) <= 255 for x in out[6].split("."))
     assert dt.date.fromisoformat(out[7]) and dt.datetime.strptime(out[8], "%d.%m.%Y") and dt.datetime.strptime(out[9], "%m/%d/%Y")
@@ -77,3 +78,66 @@ def test_long_texts_and_odd_rows(spark, odd_docs, no_docs):
     assert pii.pseudonymise(odd_docs, KEY).count() == 8 and pii.pseudonymise(no_docs, KEY).count() == 0
     many, (n,) = hidden(spark, ["; ".join(f"10.0.{i // 200}.{i % 200}" for i in range(3000))])
     assert n == 3000 and len(set(many[0].split("; "))) == 3000
+
+
+def test_one_number_has_one_pseudonym_in_all_layouts(spark):
+    same = [["4845168114407329", "4845 1681 1440 7329", "4845-1681-1440-7329"], ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"], ["+1 (499) 555-6503", "+1 499 555 6503", "+14995556503"], ["(499) 555-6503", "499-555-6503", "499.555.6503"]]
+    all_, found = hidden(spark, sum(same, []))
+    assert found == [1] * len(all_)
+    for layouts in same:
+        out, all_ = all_[: len(layouts)], all_[len(layouts) :]
+        assert len({re.sub("[^0-9A-Z]", "", x) for x in out}) == 1
+        assert [re.sub("[0-9A-Z]", "", x) for x in out] == [re.sub("[0-9A-Z]", "", x) for x in layouts]
+
+
+def test_failed_candidates_are_searched_again(spark):
+    texts = ["ID12 4845168114407329", "AB12 CDEF 4845 1681 1440 7329", "+1 4845 1681 1440 7329", "DE89370400440532013000 ABCD EFGH", "XY00 10.1.2.3"]
+    out, found = hidden(spark, texts)
+    assert found == [1] * len(texts)
+    assert out[0].startswith("ID12 4") and luhn(out[0][5:]) and out[1].startswith("AB12 CDEF 4") and out[3].endswith(" ABCD EFGH") and mod97(out[3][:22]) == 1
+
+
+def test_numbers_of_no_issuer_stay(spark):
+    """Sixteen random digits pass the Luhn sum once in ten, so the issuer's range counts too."""
+    texts = [next(b + c for c in "0123456789" if luhn(b + c)) for b in ("868799696973550", "099752394720028", "111111111111111", "999999999999999")]
+    assert hidden(spark, texts) == (texts, [0] * len(texts))
+
+
+def test_planted_values_against_what_was_planted(spark):
+    """Random texts of words, valid values and look-alikes: exactly the planted values change, each to a value of its kind."""
+    rng = random.Random(11)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = "4" + digits(14)
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
+    def iban():
+        body = digits(18)
+        return next(f"DE{c:02d}{body}" for c in range(2, 99) if mod97(f"DE{c:02d}{body}") == 1)
+
+    def not_card():
+        body = "4" + digits(14)
+        return next(body + c for c in "0123456789" if not luhn(body + c))
+
+    good = [card, iban, lambda: f"+1 ({rng.randint(200, 999)}) 555-{digits(4)}", lambda: f"{rng.randint(1, 255)}.{rng.randint(0, 255)}.7.{rng.randint(0, 255)}", lambda: f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", lambda: f"n{digits(2)}@mail{digits(1)}.example.com", lambda: f"{rng.randint(100, 899)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"]
+    bad = [not_card, lambda: f"DE00{digits(18)}", lambda: f"{rng.randint(256, 999)}.1.2.3", lambda: f"2021-13-{rng.randint(10, 28)}", lambda: digits(6), lambda: f"000-{digits(2)}-{digits(4)}", lambda: "word"]
+    rows, want = [], []
+    for _ in range(150):
+        parts, n = [], 0
+        for _ in range(rng.randint(0, 8)):
+            ok = rng.random() < 0.5
+            parts += [rng.choice(("then", "and", "so it is")), (rng.choice(good) if ok else rng.choice(bad))()]
+            n += ok
+            want.append((len(rows), parts[-1], ok))
+        rows.append(" , ".join(parts))
+    out, found = hidden(spark, rows)
+    got = [list(zip(a.split(" , ")[1::2], b.split(" , ")[1::2], strict=True)) for a, b in zip(rows, out, strict=True)]
+    assert [(i, v, v != w) for i, pairs in enumerate(got) for v, w in pairs] == want
+    assert found == [sum(a != b for a, b in pairs) for pairs in got]
+
+
+def test_the_key_is_not_in_the_plan(spark, capsys):
+    pii.pseudonymise(spark.createDataFrame([("a@b.com",)], "text string"), "very-secret-key").explain("extended")
+    shown = capsys.readouterr().out
+    assert "very-secret-key" not in shown and not re.search("pii-key-[0-9a-f]{8}", shown)

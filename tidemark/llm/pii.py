@@ -2,16 +2,20 @@
 
 One pattern finds candidates in the whole text; each is validated by its kind, and what is not valid stays:
 
-card    13 to 19 digits with a right Luhn sum          pseudonym: other digits, Luhn sum right again; if the sum is wrong, the
-                                                       longest piece between separators whose sum is right, the first of equals
-iban    country, mod-97 sum right                      same country, same layout, sum right again
-phone   7 to 15 digits, with + or in a national form   same country code and layout
-ssn     ddd-dd-dddd, no part of zeros only             same layout
+card    13 to 19 digits of a card issuer's range       same issuer, Luhn sum right again; if a candidate is no card, the longest
+        with a right Luhn sum                          piece between separators that is one, the first of equals
+iban    country, mod-97 sum right                      same country, sum right again; the longest part up to a space that is one
+phone   7 to 15 digits, with + or in a national form   same country code
+ssn     ddd-dd-dddd, no part of zeros only             another such number
 ip      four numbers of at most 255                    another such address
 date    yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy, mm/dd/yyyy of 1800 to 2199   another such day, same layout
 email   name and domain                                same layout, same top-level domain
 secret  the value after token =, password: and the like, or 32 to 64 hex digits   same layout
 
+Digits are permuted apart from their separators, so a number has one pseudonym in all its layouts, and the pseudonym has the
+value's own layout. A candidate that is not valid is searched again for the kinds that come later: a card beside what looks like
+the head of an IBAN is found.
+
 A pseudonym is a keyed permutation, so equal values get equal pseudonyms in all documents and different ones different
 pseudonyms, and who has the key can undo it. It is an alternating Feistel network of ROUNDS rounds: one half of the value is
 moved by a stream drawn by SHA-512 from the key, the round and the other half; each character moves within its own kind
@@ -23,10 +27,16 @@ whole; repeated rows give equal rows; other columns pass through, and columns of
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: A derived key begins so in plans, where REDACTION hides it.
+KEY_MARK = "pii-key-"
+REDACTION = "spark.sql.redaction.string.regex"
 
 _SECRET_NAME = r"(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)"
 #: The patterns of each kind, in the order in which they are tried. A run of characters is entered at its beginning only, so a search is linear.
@@ -40,7 +50,28 @@ KINDS = {
     "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}(?![0-9]|[.-][0-9])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Country calling codes, and the issuer ranges of payment cards with their lengths.
+CALLING_CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+ISSUERS = (
+    "4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})",
+    "5[1-5][0-9]{14}",
+    "2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}",
+    "3[47][0-9]{13}",
+    "3(?:0[0-5]|[689][0-9])[0-9]{11}",
+    "35(?:2[89]|[3-8][0-9])[0-9]{12}",
+    "6(?:011|4[4-9][0-9]|5[0-9]{2})[0-9]{12,15}",
+    "62[0-9]{14,17}",
+    "(?:50(?:18|20|38)|5[6-8][0-9]{2}|6304|6759|676[1-3]|639[0-9])[0-9]{9,15}",
+)
+
+
+def _either(kinds) -> str:
+    return "|".join(f"(?:{KINDS[k]})" for k in kinds)
+
+
+PATTERN = _either(KINDS)
+#: What a candidate that is no IBAN is searched for.
+LATER = ("ip", "date", "ssn", "phone", "card")
 #: The 400 years of days, from DAY_ZERO on.
 DAYS, DAY_ZERO = (189, 773), "1800-01-01"
 
@@ -66,16 +97,18 @@ def _hex_moved(c: Column, by: Column) -> Column:
     return F.when(code.between(97, 102), F.char(97 + F.pmod(code - 97 + by, F.lit(6)))).when(code.between(65, 70), F.char(65 + F.pmod(code - 65 + by, F.lit(6)))).otherwise(_moved(c, by))
 
 
-def _drawn(key: str, round_: Column, other: Column) -> Column:
-    return F.sha2(F.concat(F.lit(f"{key}:"), round_.cast("string"), F.lit(":"), other), 512)
+def _drawn(key: str, round_: Column, other: Column, block: Column | None = None) -> Column:
+    """128 hex digits; longer streams take one block for each 64 characters."""
+    at = [] if block is None else [block.cast("string"), F.lit(":")]
+    return F.sha2(F.concat(F.lit(f"{key}:"), round_.cast("string"), F.lit(":"), *at, other), 512)
 
 
 def permuted(value: Column, key: str, moved=_moved, sign: int = 1) -> Column:
     """The Feistel network over a text; sign -1 undoes it."""
 
     def half(x: Column, other: Column, round_: Column) -> Column:
-        stream = _drawn(key, round_, other)
-        step = lambda i: moved(F.substring(x, i, F.lit(1)), sign * F.conv(F.substring(stream, F.pmod((i - 1) * 2, F.lit(128)) + 1, F.lit(2)), 16, 10).cast("int"))
+        stream = lambda i: _drawn(key, round_, other, F.shiftright(i - 1, 6))
+        step = lambda i: moved(F.substring(x, i, F.lit(1)), sign * F.conv(F.substring(stream(i), F.pmod((i - 1) * 2, F.lit(128)) + 1, F.lit(2)), 16, 10).cast("int"))
         return F.array_join(_each(F.length(x), step), "")
 
     def step(a: Column, i: Column) -> Column:
@@ -123,11 +156,28 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), add)
 
 
+def _laid_out(v: Column, new: Column) -> Column:
+    """The letters and digits of `new` in the places of those of v, which has as many."""
+    bare = lambda i: F.length(F.regexp_replace(F.substring(v, F.lit(1), i), "[^0-9A-Za-z]", ""))
+    each = _each(F.length(v), lambda i: F.when(F.substring(v, i, F.lit(1)).rlike("[0-9A-Za-z]"), F.substring(new, bare(i), F.lit(1))).otherwise(F.substring(v, i, F.lit(1))))
+    return F.array_join(each, "")
+
+
+def _once(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.aggregate(F.array(value), F.lit(""), lambda _, x: f(x))
+
+
+def _is_card(digits: Column) -> Column:
+    return digits.rlike(f"^(?:{'|'.join(ISSUERS)})$") & (_luhn(digits) % 10 == 0)
+
+
 def _card(v: Column, key: str) -> Column:
-    """All digits but the last are permuted; the last makes the sum right."""
-    body = F.substring(v, F.lit(1), F.length(v) - 1)
-    new = permuted(body, f"{key}:card")
-    return F.aggregate(F.array(new), F.lit(""), lambda _, b: F.concat(b, F.pmod(-_luhn(F.concat(_digits(b), F.lit("0"))), F.lit(10)).cast("string")))
+    """The digits between the issuer's and the last are permuted; the last makes the sum right."""
+    digits = _digits(v)
+    head = F.when(digits.startswith("4"), 1).otherwise(4)
+    body = F.concat(F.substring(digits, F.lit(1), head), permuted(F.substring(digits, head + 1, F.length(digits) - head - 1), f"{key}:card"))
+    return _once(body, lambda b: _laid_out(v, F.concat(b, F.pmod(-_luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))))
 
 
 def _card_within(v: Column, key: str) -> Column:
@@ -138,7 +188,7 @@ def _card_within(v: Column, key: str) -> Column:
     ends = F.filter(at, lambda p: ~split(p) & ((p == F.length(v)) | split(p + 1)))
     pieces = F.flatten(F.transform(begins, lambda p: F.transform(ends, lambda e: F.struct((e - p + 1).alias("n"), (-p).alias("p")))))
     piece = lambda x: F.substring(v, -x["p"], x["n"])
-    valid = F.filter(pieces, lambda x: F.when(x["n"] >= 13, (F.length(_digits(piece(x))) >= 13) & (_luhn(_digits(piece(x))) % 10 == 0)).otherwise(F.lit(False)))
+    valid = F.filter(pieces, lambda x: F.when(x["n"] >= 13, _is_card(_digits(piece(x)))).otherwise(F.lit(False)))
     longest = F.array_max(F.transform(valid, lambda x: F.struct(F.length(_digits(piece(x))).alias("size"), x["p"].alias("p"), x["n"].alias("n"))))
     put = lambda x: F.concat(F.substring(v, F.lit(1), -x["p"] - 1), _card(piece(x), key), F.substring(v, x["n"] - x["p"], F.length(v)))
     return F.aggregate(F.array(longest), v, lambda a, x: F.when(x.isNull(), a).otherwise(put(x)))
@@ -156,10 +206,22 @@ def _mod97(v: Column) -> Column:
 
 
 def _iban(v: Column, key: str) -> Column:
-    new = permuted(F.substring(v, F.lit(5), F.length(v)), f"{key}:iban")
-    country = F.substring(v, 1, 2)
-    sum_ = lambda b: F.lpad((98 - _mod97(F.concat(country, F.lit("00"), F.replace(b, F.lit(" "), F.lit(""))))).cast("string"), 2, "0")
-    return F.aggregate(F.array(new), F.lit(""), lambda _, b: F.concat(country, sum_(b), b))
+    flat = F.replace(v, F.lit(" "), F.lit(""))
+    country = F.substring(flat, 1, 2)
+    sum_ = lambda b: F.lpad((98 - _mod97(F.concat(country, F.lit("00"), b))).cast("string"), 2, "0")
+    return _once(permuted(F.substring(flat, F.lit(5), F.length(flat)), f"{key}:iban"), lambda b: _laid_out(v, F.concat(country, sum_(b), b)))
+
+
+def _ssn(v: Column, key: str) -> Column:
+    """Permuted again while a part is of zeros only; that walks the permutation's cycle."""
+    zeros = "^000|^...00|0000$"
+    return _laid_out(v, F.aggregate(F.array(*map(F.lit, range(8))), _digits(v), lambda a, i: F.when((i > 0) & ~a.rlike(zeros), a).otherwise(permuted(a, f"{key}:ssn"))))
+
+
+def _phone(v: Column, key: str) -> Column:
+    """The digits after the country code are permuted."""
+    digits = F.regexp_replace(v, "[^0-9+]", "")
+    return _laid_out(v, F.replace(_after(digits, rf"(?:{CALLING_CODE})?", "phone", key), F.lit("+"), F.lit("")))
 
 
 def _ip_number(v: Column) -> Column:
@@ -181,14 +243,22 @@ def _days(v: Column, fmt: str) -> Column:
     return F.when(n.between(0, DAYS[0] * DAYS[1] - 1), n.cast("long"))
 
 
+def _date_format(v: Column) -> Column:
+    """The format in which v is a day; null if it is none."""
+    found = F.lit(None).cast("string")
+    for fmt in reversed(_DATE_FORMATS):
+        found = F.when(_days(v, fmt).isNotNull(), fmt).otherwise(found)
+    return found
+
+
 def _date(v: Column, key: str) -> Column:
-    new = lambda fmt: F.date_format(F.date_add(F.lit(DAY_ZERO).cast("date"), permuted_number(_days(v, fmt), DAYS, f"{key}:date").cast("int")), fmt)
-    layout = {"-": F.substring(v, 5, 1) == "-", ".": F.substring(v, 3, 1) == "."}
-    return F.when(layout["-"], new(_DATE_FORMATS[0])).when(layout["."], new(_DATE_FORMATS[1])).when(_days(v, _DATE_FORMATS[2]).isNotNull(), new(_DATE_FORMATS[2])).otherwise(new(_DATE_FORMATS[3]))
+    days = F.coalesce(*(_days(v, f) for f in _DATE_FORMATS))
+    new = F.date_add(F.lit(DAY_ZERO).cast("date"), permuted_number(days, DAYS, f"{key}:date").cast("int"))
+    return F.call_function("date_format", new.cast("timestamp"), _date_format(v))
 
 
 def _is_date(v: Column) -> Column:
-    return F.coalesce(*(_days(v, f) for f in _DATE_FORMATS)).isNotNull()
+    return _date_format(v).isNotNull()
 
 
 def _after(v: Column, head: str, kind: str, key: str, moved=_moved) -> Column:
@@ -208,35 +278,64 @@ def _email(v: Column, key: str) -> Column:
 def _secret(v: Column, key: str) -> Column:
     head = rf"^(?:{_SECRET_NAME}[\"']?\s*[=:]\s*[\"']?)?"
     value = F.regexp_replace(v, head, "")
-    return F.when(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _after(v, head, "secret", key, _hex_moved)).otherwise(_after(v, head, "secret", key))
+    hex_ = value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+    return _after(v, head, "secret", key, lambda c, by: F.when(hex_, _hex_moved(c, by)).otherwise(_moved(c, by)))
+
+
+def _is(v: Column, kind: str) -> Column:
+    return v.rlike(f"^(?:{KINDS[kind]})$")
+
+
+def _all(text: Column, kinds) -> Column:
+    """All candidates in the text. The pattern's own group is the second here."""
+    return F.regexp_extract_all(text, F.lit(f"({_either(kinds).replace(chr(92) + '1', chr(92) + '2')})"), 1)
+
+
+def _segment(v: Column, candidate: bool) -> Column:
+    return F.struct(v.alias("v"), F.lit(candidate).alias("candidate"))
+
+
+def _segments(v: Column) -> Column:
+    """A candidate as itself; of one that looks like an IBAN, the longest part from its beginning up to a space or its end that is
+    one, and the candidates of LATER kinds in the rest with what stands between them."""
+    part = lambda e: F.replace(F.substring(v, F.lit(1), e), F.lit(" "), F.lit(""))
+    ends = F.filter(F.sequence(F.lit(1), F.length(v)), lambda e: (F.substring(v, e, F.lit(1)) != " ") & ((e == F.length(v)) | (F.substring(v, e + 1, F.lit(1)) == " ")))
+    end = F.coalesce(F.array_max(F.filter(ends, lambda e: F.when(F.length(part(e)) >= 15, _mod97(part(e)) == 1).otherwise(F.lit(False)))), F.lit(0))
+    rest = F.substring(v, end + 1, F.length(v))
+    later = F.transform(_all(rest, LATER), lambda x: _segment(x, True))
+    between = F.transform(F.split(rest, _either(LATER), -1), lambda x: _segment(x, False))
+    last = F.array(_segment(F.lit(""), False))
+    mixed = F.flatten(F.zip_with(between, F.concat(later, last), lambda a, b: F.array(a, b)))
+    return F.when(_is(v, "iban"), F.concat(F.array(_segment(F.substring(v, F.lit(1), end), True)), mixed)).otherwise(F.array(_segment(v, True)))
 
 
 def pseudonym(v: Column, key: str) -> Column:
     """What a candidate becomes; itself if no kind finds it valid."""
-    is_ = {k: v.rlike(f"^(?:{p})$") for k, p in KINDS.items()}
-    flat = F.replace(v, F.lit(" "), F.lit(""))
     n = F.length(_digits(v))
     return (
-        F.when(is_["secret"], _secret(v, key))
-        .when(is_["email"], _email(v, key))
-        .when(is_["iban"] & (_mod97(flat) == 1), _iban(v, key))
-        .when(is_["ip"], F.when(F.forall(F.split(v, r"\."), lambda x: x.cast("int") <= 255), _ip(v, key)).otherwise(v))
-        .when(is_["date"], F.when(_is_date(v), _date(v, key)).otherwise(v))
-        .when(is_["ssn"], F.when(~v.rlike("000-|-00-|-0000"), permuted(v, f"{key}:ssn")).otherwise(v))
-        .when(is_["phone"], F.when(n.between(7, 15), _after(v, r"^(?:\+[0-9]{1,3}(?=[ .(-]))?", "phone", key)).otherwise(v))
-        .when(is_["card"], F.when(_luhn(_digits(v)) % 10 == 0, _card(v, key)).otherwise(_card_within(v, key)))
+        F.when(_is(v, "secret"), _secret(v, key))
+        .when(_is(v, "email"), _email(v, key))
+        .when(_is(v, "iban"), _iban(v, key))
+        .when(_is(v, "ip"), F.when(F.forall(F.split(v, r"\."), lambda x: x.cast("int") <= 255), _ip(v, key)).otherwise(v))
+        .when(_is(v, "date"), F.when(_is_date(v), _date(v, key)).otherwise(v))
+        .when(_is(v, "ssn"), F.when(~v.rlike("000-|-00-|-0000"), _ssn(v, key)).otherwise(v))
+        .when(_is(v, "phone") & n.between(7, 15), _phone(v, key))
+        .when(n >= 13, _card_within(v, key))
         .otherwise(v)
     )
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str = "n_private") -> DataFrame:
     """Replaces the text's private values by pseudonyms; adds how many were replaced."""
+    spark = docs.sparkSession
+    if not spark.conf.get(REDACTION, None):  # plans hold the derived key
+        spark.conf.set(REDACTION, KEY_MARK + "[0-9a-f]+")
+    key = KEY_MARK + hmac.new(key.encode(), b"pii", hashlib.sha256).hexdigest()
     # Every kind has one of these characters, so a text without them is not searched; one without candidates is searched once.
     has = F.coalesce(F.col(text).rlike("[0-9@=:]") & F.col(text).rlike(PATTERN), F.lit(False))
-    none = F.array().cast("array<string>")
-    docs = docs.withColumn("_met", F.when(has, F.regexp_extract_all(text, F.lit(f"({PATTERN.replace(chr(92) + '1', chr(92) + '2')})"), 1)).otherwise(none))
-    docs = docs.withColumn("_new", F.transform("_met", lambda v: pseudonym(v, key)))
-    between = F.split(F.col(text), PATTERN, -1)
-    joined = F.array_join(F.zip_with(between, F.concat("_new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    changed = F.size(F.filter(F.zip_with("_met", "_new", lambda a, b: a != b), lambda x: x))
-    return docs.withColumns({text: F.when(has, joined).otherwise(F.col(text)), found: changed.cast("long")}).drop("_met", "_new")
+    met = F.transform(_all(F.col(text), KINDS), _segments)
+    docs = docs.withColumn("_met", F.when(has, met))
+    docs = docs.withColumn("_new", F.transform("_met", lambda p: F.transform(p, lambda x: F.when(x["candidate"], pseudonym(x["v"], key)).otherwise(x["v"]))))
+    joined = F.zip_with(F.split(F.col(text), PATTERN, -1), F.concat(F.transform("_new", lambda n: F.array_join(n, "")), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    changed = F.zip_with(F.flatten("_met"), F.flatten("_new"), lambda a, b: a["v"] != b)
+    return docs.withColumns({text: F.when(has, F.array_join(joined, "")).otherwise(F.col(text)), found: F.when(has, F.size(F.filter(changed, lambda x: x))).otherwise(0).cast("long")}).drop("_met", "_new")
