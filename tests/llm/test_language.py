@@ -18,17 +18,39 @@ def naive(sample, text):
     return n
 
 
-def test_phrases_equal_a_naive_parse(monkeypatch):
+def test_phrases_equal_a_naive_parse():
     rng = random.Random(1)
     samples = {k: language.normalised("".join(rng.choices(letters, k=600))) for k, letters in (("a", "abcd "), ("b", "cdef "))}
     model = language.Model(samples)
     texts = [language.normalised("".join(rng.choices("abcdefg ", k=n))) for n in (1, 2, 50, 400)]
     texts = [t for t in texts if t]
     assert model.phrases(texts).tolist() == [[naive(samples[k], t) for k in ("a", "b")] for t in texts]
-    # Texts longer than a piece are parsed piece by piece.
-    long = ("abc def " * 200)[:1500]
-    pieces = [long[i : i + language.STEP] for i in range(0, len(long), language.STEP)]
-    assert model.phrases([long, "ab"])[0].tolist() == [sum(naive(samples[k], p) for p in pieces) for k in ("a", "b")]
+
+
+def test_long_texts_are_parsed_whole():
+    """Beyond a piece, the count is that of one greedy parse: random texts, texts out of the sample, and repetitions that never fall into step."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcde", k=rng.randint(1, 6))) for _ in range(60)]
+    samples = {"a": " ".join(rng.choices(words, k=700)), "b": " ".join(rng.choices("abcdefg", k=300)), "c": "abc " * 30}
+    texts = [" ".join(rng.choices(words, k=900)), samples["a"], samples["a"][17:2900] + "xyz " + samples["a"][100:], "abc " * 700, "a" * 1537, "abcdefghijk" * 150, "abc"]
+    model = language.Model(samples)
+    assert all(len(t) > 2 * language.STEP for t in texts[:6])
+    assert model.phrases(texts).tolist() == [[naive(samples[k], t) for k in "abc"] for t in texts]
+
+
+def test_whole_texts_and_all_languages_are_learned_from(spark):
+    """What stands late in a text is learned, and no language is left out, however many there are."""
+    rows = [(1, "x" * 300 + " " + "y" * 300, "l0")] + [(i, f"{chr(0x4E00 + i)} " * 40, f"l{i}") for i in range(2, 400)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 399
+    one = language.learn(spark.createDataFrame(rows[:1] * 3, "doc_id long, text string, lang string"))
+    assert one.phrases(["y" * 99])[0, 0] == 1 and one.phrases(["x" * 300])[0, 0] == 1
+
+
+def test_columns_of_the_outputs_names_are_replaced(spark):
+    rows = spark.createDataFrame([(1, "abc", "en", "old", 7.0)], "doc_id long, text string, lang string, lang_pred string, score double")
+    found = language.identify(rows, language.learn(rows))
+    assert found.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and [tuple(r)[3:] for r in found.collect()] == [("en", 1.0)]
 
 
 def test_every_letter_of_a_sample_matches():

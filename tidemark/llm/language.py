@@ -5,9 +5,11 @@ longest piece from the current place that occurs in the language's text. The lan
 each character wins; ties go to the smaller name.
 
 Text is normalised for learning and for parsing alike: lower case, letters kept, every other run of characters one space.
-The automata are learned from a bounded sample: CHARS characters over all languages together, so the tables sent to the
-tasks are bounded whatever the data: the documents come in the order of a hash of their id, at most ROWS of a language. The
-texts judged are parsed whole, in pieces of STEP characters beside each other (a phrase ends at a piece's end).
+The automata are learned from a bounded sample of the labelled rows: of each language at most ROWS different texts, in the order
+of a hash of them; of all passages of PASSAGE characters of these whole texts, in the order of a hash again, CHARS characters over
+all languages together, one passage of each language at least. No language is left out. The texts judged are parsed whole:
+tasks parse pieces of STEP characters beside each other, then each piece's last phrase goes on into the next piece until a phrase
+begins where one began in that piece too. From there both parses are one, so the phrases are those of the one greedy parse.
 
 Cases: a null text, or one without a letter, is `und` with score 0; with nothing to learn from, all are; repeated rows give
 equal rows; other columns pass through unless they carry an output's name.
@@ -25,9 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .shared import byte_slices, text_of
+from .shared import byte_slices, materialize, text_of
 
-CHARS, ROWS, STEP, SLICE_BYTES = 120_000, 40, 512, 1 << 20
+CHARS, ROWS, PASSAGE, STEP, SLICE_BYTES = 120_000, 400, 500, 512, 1 << 20
 #: Letters of a language that have a column in its automaton's table; the ways of its rarer ones are a sorted list.
 ALPHABET = 64
 
@@ -73,6 +75,16 @@ class Automaton:
         symbol[self.letters] = np.arange(self.size)
         return symbol[letters]
 
+    def one(self, now: int, c: int) -> int:
+        """step() for one state."""
+        if c < ALPHABET:
+            return int(self.table[now, c])
+        if c < self.size and len(self.keys):
+            place = int(np.searchsorted(self.keys, now * self.size + c))
+            if place < len(self.keys) and self.keys[place] == now * self.size + c:
+                return int(self.to[place])
+        return -1
+
     def step(self, now: np.ndarray, c: np.ndarray) -> np.ndarray:
         to = self.table.ravel()[now.astype(np.int64) * (ALPHABET + 1) + np.minimum(c, ALPHABET)]
         if len(self.keys):
@@ -128,59 +140,130 @@ class Model:
         """Phrases (texts x languages) of the normalised texts."""
         points = [_points(t) for t in texts]
         length = np.fromiter(map(len, points), np.int64, len(points))
-        parts = -(-length // STEP)
-        owner = np.repeat(np.arange(len(texts)), parts)
-        grid = np.full(len(owner) * STEP, -1, np.int32)
-        at = np.cumsum(parts) - parts
         flat = self.letter[np.minimum(np.concatenate(points), len(self.letter) - 1)] if len(points) else np.empty(0, np.int32)
-        grid[np.repeat(at * STEP - (np.cumsum(length) - length), length) + np.arange(length.sum())] = flat
-        grid = grid.reshape(-1, STEP)
-        filled = (grid >= 0).sum(axis=1)
-        order = np.argsort(-filled, kind="stable")  # pieces that have ended are the last rows
-        columns, filled = np.ascontiguousarray(grid[order].T), filled[order]
-        live = np.searchsorted(-filled, -np.arange(STEP), side="left")  # rows with more than i symbols
+        laid = Pieces(length)
         out = np.zeros((len(texts), len(self.languages)), np.int64)
         for k, automaton in enumerate(self.automata):
-            symbols = automaton.symbols(columns, self.known)
-            state, count = np.zeros(len(filled), np.int32), np.zeros(len(filled), np.int64)
-            for i in range(STEP):
-                n = live[i]
-                if not n:
-                    break
-                c, now = symbols[i, :n], state[:n]
-                to = automaton.step(now, c)
-                count[:n] += (to < 0) | (now == 0)  # a phrase begins here
-                stuck = np.flatnonzero(to < 0)
-                to[stuck] = np.maximum(automaton.start[c[stuck]], 0)  # a letter that the language lacks is a phrase of its own
-                state[:n] = to
-            out[:, k] = np.bincount(owner[order], weights=count, minlength=len(texts))
+            out[:, k] = laid.parsed(automaton, automaton.symbols(flat, self.known))
+        return out
+
+
+class Pieces:
+    """Texts that lie one after another, in pieces of STEP symbols, the longest pieces first."""
+
+    def __init__(self, length: np.ndarray):
+        self.text_end = np.cumsum(length)
+        self.text_begin = self.text_end - length
+        parts = -(-length // STEP)
+        self.first = np.cumsum(parts) - parts  # of each text
+        self.owner = np.repeat(np.arange(len(length)), parts)
+        self.begin = self.text_begin[self.owner] + STEP * (np.arange(len(self.owner)) - self.first[self.owner])
+        self.end = np.minimum(self.begin + STEP, self.text_end[self.owner])
+        self.order = np.argsort(self.begin - self.end, kind="stable")
+
+    def parsed(self, automaton: Automaton, symbols: np.ndarray) -> np.ndarray:
+        """The number of phrases of each text."""
+        starts, state = self.alone(automaton, symbols)
+        met, extra, pos = self.gone_on(automaton, symbols, starts, state)
+        before = np.concatenate([[0], np.cumsum(starts)])
+        out = before[self.text_end] - before[self.text_begin]
+        for t in np.flatnonzero(self.text_end - self.text_begin > STEP).tolist():
+            out[t] = self.walked(t, automaton, symbols, starts, before, state, met, extra, pos)
         return out
 
+    def alone(self, automaton: Automaton, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where phrases begin if each piece is parsed from its beginning, and the state at each piece's end."""
+        starts, last = np.zeros(len(symbols), bool), np.zeros(len(self.owner), np.int32)
+        begin, size = self.begin[self.order], (self.end - self.begin)[self.order]
+        state = np.zeros(len(begin), np.int32)
+        live = np.searchsorted(-size, -np.arange(STEP), side="left")  # pieces with more than i symbols
+        for i in range(STEP):
+            n = live[i]
+            if not n:
+                break
+            at = begin[:n] + i
+            starts[at], state[:n] = self.moved(automaton, state[:n], symbols[at])
+        last[self.order] = state
+        return starts, last
+
+    @staticmethod
+    def moved(automaton: Automaton, now: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a phrase begins with the symbol, and the state after it."""
+        to = automaton.step(now, c)
+        new = (to < 0) | (now == 0)
+        stuck = np.flatnonzero(to < 0)
+        to[stuck] = np.maximum(automaton.start[c[stuck]], 0)  # a letter that the language lacks is a phrase of its own
+        return new, to
+
+    def gone_on(self, automaton: Automaton, symbols: np.ndarray, starts: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each piece that is not its text's last, parsed on for STEP symbols at most: where it meets the parse of a later piece
+        (-1: not yet, the text's end: never), the phrases that begin before that, and how far it has come. Changes state."""
+        met, extra, pos = np.full(len(state), -1, np.int64), np.zeros(len(state), np.int64), self.end.copy()
+        lanes = np.flatnonzero(self.end < self.text_end[self.owner])
+        for _ in range(STEP):
+            if not lanes.size:
+                break
+            at = pos[lanes]
+            new, to = self.moved(automaton, state[lanes], symbols[at])
+            same = new & starts[at]
+            met[lanes[same]] = at[same]
+            lanes, new, to = lanes[~same], new[~same], to[~same]
+            extra[lanes] += new
+            state[lanes] = to
+            pos[lanes] += 1
+            over = pos[lanes] == self.text_end[self.owner[lanes]]
+            met[lanes[over]] = pos[lanes[over]]
+            lanes = lanes[~over]
+        return met, extra, pos
+
+    def walked(self, t: int, automaton: Automaton, symbols: np.ndarray, starts: np.ndarray, before: np.ndarray, state: np.ndarray, met: np.ndarray, extra: np.ndarray, pos: np.ndarray) -> int:
+        """The phrases of text t: from piece to piece where their parses meet."""
+        at, end, found = int(self.text_begin[t]), int(self.text_end[t]), 0
+        while at < end:
+            p = int(self.first[t]) + (at - int(self.text_begin[t])) // STEP
+            found += int(before[self.end[p]] - before[at])
+            if self.end[p] == end:
+                break
+            found += int(extra[p])
+            at = int(met[p])
+            if at < 0:  # it did not meet the next piece's parse: symbol by symbol
+                at, now = int(pos[p]), int(state[p])
+                while at < end:
+                    c = int(symbols[at])
+                    to = automaton.one(now, c)
+                    if to < 0 or now == 0:
+                        if starts[at]:
+                            break
+                        found += 1
+                    now = to if to >= 0 else max(int(automaton.start[c]), 0)
+                    at += 1
+        return found
+
 
 def _points(text: str) -> np.ndarray:
     """Code points."""
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """A model from labelled rows. The rows are found by narrow columns; only those taken bring their texts."""
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    named = known.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"))
-    number = F.row_number().over(W.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    chosen = named.withColumn("_n", number).filter(F.col("_n") <= ROWS).select("_id", "_lang", "_n")
-    languages = min(CHARS // 100, chosen.select("_lang").distinct().count())
+    known = docs.select(F.col(lang).alias("_lang"), F.col(text).cast("string").alias("_text")).filter("_lang is not null and _text is not null")
+    known = known.withColumn("_h", F.xxhash64("_text"))
+    different = known.groupBy("_lang", "_h").agg(F.max(F.char_length("_text")).alias("chars"))
+    chosen = different.withColumn("_n", F.row_number().over(W.partitionBy("_lang").orderBy(F.xxhash64("_h"), "_h"))).filter(F.col("_n") <= ROWS)
+    chosen = materialize(chosen.drop("_n"), "language-rows")  # at most ROWS of a language
+    languages = chosen.select("_lang").distinct().count()
     if not languages:
         return Model({})
-    most = CHARS // languages
-    # The commonest languages first, if there are very many.
-    top = known.groupBy(F.col(lang).alias("_lang")).count().orderBy(F.desc("count"), "_lang").limit(languages).select("_lang")
-    chosen = chosen.join(F.broadcast(top), "_lang")
-    rows = known.join(F.broadcast(chosen), (F.col(doc_id) == F.col("_id")) & (F.col(lang) == F.col("_lang")))
-    # No row brings more than its share; the order is that of the hash.
-    samples: dict[str, list[str]] = {}
-    for r in rows.select("_lang", "_n", F.substring(text, 1, most).alias("t")).orderBy("_lang", "_n", "t").toLocalIterator():
-        samples.setdefault(r["_lang"], []).append(normalised(r["t"]))
-    return Model({k: " ".join(x for x in v if x)[:most] for k, v in samples.items()})
+    passages = chosen.select("_lang", "_h", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("chars") / PASSAGE), F.lit(1)).cast("int") - 1)).alias("i"))
+    number = F.row_number().over(W.partitionBy("_lang").orderBy(F.xxhash64("_h", "i"), "_h", "i"))
+    taken = materialize(passages.withColumn("_n", number).filter(F.col("_n") <= max(1, CHARS // languages // PASSAGE)), "language-passages")
+    texts = known.join(F.broadcast(taken.select("_lang", "_h").distinct()), ["_lang", "_h"]).groupBy("_lang", "_h").agg(F.min("_text").alias("_text"))
+    taken = texts.join(F.broadcast(taken), ["_lang", "_h"]).select("_lang", "_n", F.expr(f"substring(_text, 1 + i * {PASSAGE}, {PASSAGE})").alias("t"))
+    samples: dict[str, list[tuple[int, str]]] = {}
+    for r in taken.select("_lang", "_n", "t").collect():  # CHARS characters, or a passage of each language
+        samples.setdefault(r["_lang"], []).append((r["_n"], normalised(r["t"])))
+    return Model({k: " ".join(x for _, x in sorted(v) if x) for k, v in samples.items()})
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
