@@ -1,11 +1,15 @@
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from tidemark.llm import minhash as m
+from tidemark.llm import words
 from tidemark.llm.words import ALPHANUMERIC, BETWEEN_SPACES, hashed_words, shingles
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -108,3 +112,40 @@ def test_shingles_of_slices():
     part = shingles(*hashed_words(texts.slice(1, 3), BETWEEN_SPACES), 3)
     assert whole[1].tolist() == [1, 2, 1, 0, 3]
     assert part[0].tolist() == whole[0][1:4].tolist()
+
+
+def test_long_texts_part_by_part(prose, monkeypatch):
+    """Words, shingles and signatures do not depend on how much is taken at once."""
+    texts = pa.array([" ".join(prose[:30]), "", None, "x" * 5000 + " a b", "one two", "a\x00b " * 300, *prose[30:50]])
+    whole = [(hashed_words(texts, t), shingles(*hashed_words(texts, t), 3)) for t in (ALPHANUMERIC, BETWEEN_SPACES)]
+    signed = m.super_minhash(*whole[1][1], 40)
+    monkeypatch.setattr(words, "PIECE", 1000)
+    monkeypatch.setattr(words, "MANY_WORDS", 100)
+    monkeypatch.setattr(m, "ELEMENTS", 97)
+    for table, (hashed, shingled) in zip((ALPHANUMERIC, BETWEEN_SPACES), whole, strict=True):
+        again = hashed_words(texts, table)
+        assert all((a == b).all() for a, b in zip(again, hashed, strict=True))
+        assert all((a == b).all() for a, b in zip(shingles(*again, 3), shingled, strict=True))
+    assert (m.super_minhash(*whole[1][1], 40) == signed).all()
+
+
+def test_memory_of_a_very_long_text():
+    """Five million words stay below 1 GB."""
+    code = """
+import resource, numpy as np, pyarrow as pa
+from tidemark.llm import minhash as m
+from tidemark.llm.words import BETWEEN_SPACES, hashed_words, shingles
+rng = np.random.default_rng(1)
+text = pa.array([" ".join(map(str, rng.integers(0, 10**6, 5_000_000).tolist()))])
+values, counts = shingles(*hashed_words(text, BETWEEN_SPACES), 3)
+assert m.super_minhash(values, counts, 240).max() < 240 and counts[0] > 4_999_000
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True, cwd=Path(__file__).parents[2])
+    assert int(done.stdout) < 1000
+
+
+def test_other_kinds_of_ids(spark, prose):
+    docs = [(f"d{i:03d}", t) for i, t in enumerate([*prose[:5], prose[0], prose[1] + " more"])]
+    found = m.near_duplicates(spark.createDataFrame(docs, "doc_id string, text string"), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in found} == {d: {"d005": "d000", "d006": "d001"}.get(d, d) for d, _ in docs}

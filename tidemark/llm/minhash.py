@@ -34,17 +34,31 @@ from .shared import byte_slices, materialize, text_of
 from .words import BETWEEN_SPACES, hashed_words, mixed, shingles
 
 ROWS, BANDS, BLOCK, HEAVY, SLICE_BYTES = 6, 40, 512, 2_000, 1 << 19
+#: Elements whose permutations are held at once; a longer text's set is taken part by part.
+ELEMENTS = 40_000
 
 
 def super_minhash(values: np.ndarray, counts: np.ndarray, places: int, seed: int = 0) -> np.ndarray:
     """Signatures (texts x places) of sets that lie one after another, counts of them each; infinite for an empty set."""
     out = np.full((len(counts), places), np.inf)
     text = np.repeat(np.arange(len(counts)), counts)
-    order = np.tile(np.arange(places, dtype=np.uint16), (len(values), 1)) if len(values) else np.empty((0, places), np.uint16)
+    for at in range(0, len(values), ELEMENTS):
+        own = text[at : at + ELEMENTS]
+        _fold(out[own[0] : own[-1] + 1], values[at : at + ELEMENTS], own - own[0], seed)
+    return out
+
+
+def _fold(out: np.ndarray, values: np.ndarray, text: np.ndarray, seed: int) -> None:
+    """Takes elements into the signatures of their texts. A minimum folds, so what came before stops these the earlier."""
+    places = out.shape[1]
+    order = np.tile(np.arange(places, dtype=np.uint16), (len(values), 1))
     live = np.arange(len(values))
     with np.errstate(over="ignore"):
         base = mixed(values ^ mixed(np.array([seed + 1], np.uint64)))
         for rank in range(places):
+            if rank:
+                open_ = out.max(axis=1) > rank
+                live = live[open_[text[live]]]
             if not live.size:
                 break
             drawn = mixed(base[live] + np.uint64(2 * rank + 1) * np.uint64(0x9E3779B97F4A7C15))
@@ -54,10 +68,6 @@ def super_minhash(values: np.ndarray, counts: np.ndarray, places: int, seed: int
             order[live, chosen] = order[live, rank]
             order[live, rank] = place
             np.minimum.at(out, (text[live], place), rank + uniform)
-            if rank + 1 < places:
-                open_ = out.max(axis=1) > rank + 1
-                live = live[open_[text[live]]]
-    return out
 
 
 def band_keys(signatures: np.ndarray, rows: int, bands: int) -> np.ndarray:
@@ -85,13 +95,7 @@ def signatures(docs: DataFrame, k: int, rows: int, bands: int, seed: int = 0) ->
         for batch in byte_slices(batches, "text", SLICE_BYTES):
             values, counts = shingles(*hashed_words(batch.column("text"), BETWEEN_SPACES), k)
             a, b = _set_names(values, counts)
-            # The per-element permutations of a part of the texts fit in a few MB.
-            keys, done = [], 0
-            for part in np.array_split(np.arange(len(counts)), max(1, len(values) // 40_000)):
-                own = counts[part]
-                keys.append(band_keys(super_minhash(values[done : done + own.sum()], own, rows * bands, seed), rows, bands))
-                done += own.sum()
-            flat = np.concatenate(keys).ravel().view(np.int64)
+            flat = band_keys(super_minhash(values, counts, rows * bands, seed), rows, bands).ravel().view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * bands), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(a), pa.array(b), lists], ["doc_id", "n_shingles", "a", "b", "bands"])
 
@@ -186,7 +190,7 @@ def _edges(ids: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> pd.DataFram
     """Of the linked pairs those that join what was apart."""
     forest = UnionFind(len(ids))
     kept = [(i, j) for i, j in zip(*(p.tolist() for p in pairs), strict=True) if i != j and forest.join(i, j)]
-    return pd.DataFrame({"u": ids[[i for i, _ in kept]], "v": ids[[j for _, j in kept]]}, dtype="int64")
+    return pd.DataFrame({"u": ids[[i for i, _ in kept]], "v": ids[[j for _, j in kept]]}, dtype=ids.dtype)
 
 
 def _unpacked(column: pd.Series) -> list[np.ndarray]:
@@ -225,7 +229,9 @@ def verified(sets: DataFrame, percent: int) -> DataFrame:
         first = np.flatnonzero(pdf["side"].to_numpy() == 0)
         return _edges(pdf["node"].to_numpy(), linked_pairs(_unpacked(pdf["set"]), first, np.arange(len(pdf)), percent))
 
-    inner = sets.select("cluster", "block", "node", "set").groupBy("cluster", "block").applyInPandas(within, "u long, v long")
+    kind = sets.schema["node"].dataType.simpleString()
+    edge = f"u {kind}, v {kind}"
+    inner = sets.select("cluster", "block", "node", "set").groupBy("cluster", "block").applyInPandas(within, edge)
     large = sets.filter("block > 0")
     blocks = materialize(large.groupBy("cluster", "block").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi")), "dedup-blocks")
     if not blocks.take(1):
@@ -235,7 +241,7 @@ def verified(sets: DataFrame, percent: int) -> DataFrame:
     def sides(tasks: DataFrame, first: DataFrame) -> DataFrame:
         one = first.join(tasks.withColumnRenamed("one", "block"), ["cluster", "block"]).select("cluster", F.col("block").alias("one"), "two", "node", "set", F.lit(0).alias("side"))
         two = large.join(tasks.withColumnRenamed("two", "block"), ["cluster", "block"]).select("cluster", "one", F.col("block").alias("two"), "node", "set", F.lit(1).alias("side"))
-        return one.union(two).groupBy("cluster", "one", "two").applyInPandas(across, "u long, v long")
+        return one.union(two).groupBy("cluster", "one", "two").applyInPandas(across, edge)
 
     # Two blocks can hold a link only if sizes of theirs are within percent of each other.
     may = (F.col("a.block") != F.col("b.block")) & (F.col("a.hi") * 100 >= F.col("b.lo") * percent) & (F.col("b.hi") * 100 >= F.col("a.lo") * percent)
@@ -293,5 +299,6 @@ def shingle_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
             same = pa.array((a == batch.column("a").to_numpy()) & (b == batch.column("b").to_numpy()))  # not another text of that doc_id
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), packed], [*keep, "set"]).filter(same)
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select(F.col("doc_id").alias("node"), text_of().alias("text")).join(members.hint("shuffle_hash"), "node")
-    return texts.select(*keep, "a", "b", "text").mapInArrow(run, "node bigint, cluster bigint, block bigint, size bigint, set binary")
+    return texts.select(*keep, "a", "b", "text").mapInArrow(run, f"node {kind}, cluster {kind}, block bigint, size bigint, set binary")

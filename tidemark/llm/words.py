@@ -10,6 +10,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+#: Bytes that are hashed, and words whose shingles are made, at once; what is longer goes piece by piece to the same hashes.
+PIECE, MANY_WORDS = 4 << 20, 1 << 20
+
 with np.errstate(over="ignore"):
     _BASE = np.uint64(0x9E3779B97F4A7C15)
     _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -59,18 +62,38 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def hashed_words(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words in order, and how many words each text has.
+def _inside(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each byte belongs to a word. The table keeps 0 for separators, so a NUL that is no separator is found apart."""
+    inside = table[data] > 0
+    return inside | (data == 0) if table is BETWEEN_SPACES else inside
 
-    A NUL byte counts as a separator only if the table says so: the table keeps 0 for separators, so NUL is mapped apart.
-    """
+
+def hashed_words(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words in order, and how many words each text has."""
     data, offsets = buffer_of(texts)
+    if data.size <= PIECE:
+        return _hashed(data, offsets, table)
+    parts, counts, begin = [], np.zeros(len(texts), np.int64), 0
+    while begin < data.size:  # cut behind a separator
+        end = step = min(begin + PIECE, data.size)
+        if end < data.size:
+            gaps = np.flatnonzero(~_inside(data[begin:end], table))
+            while not gaps.size and step < data.size:  # a word longer than a piece
+                gaps = np.flatnonzero(~_inside(data[step : step + PIECE], table)) + step - begin
+                step += PIECE
+            end = begin + int(gaps[0 if step > end else -1]) + 1 if gaps.size else data.size
+        found, n = _hashed(data[begin:end], np.clip(offsets, begin, end) - begin, table)
+        parts.append(found)
+        counts += n
+        begin = end
+    return np.concatenate(parts), counts
+
+
+def _hashed(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not data.size:
-        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+        return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     seen = table[data]
-    inside = seen > 0
-    if table is BETWEEN_SPACES:
-        inside |= data == 0
+    inside = _inside(data, table)
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     firsts = offsets[:-1][offsets[:-1] < data.size]
@@ -92,6 +115,10 @@ def hashed_words(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of k words, sorted within each text, and their number. Fewer words are one shingle."""
+    if len(hashes) > MANY_WORDS:
+        ends = np.cumsum(counts)
+        each = [_of_one(hashes[e - n : e], k) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+        return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
     doc = np.repeat(np.arange(len(counts)), counts)
     end = np.cumsum(counts)
     left = end[doc] - np.arange(len(hashes))  # words from here to the end of the text
@@ -108,3 +135,20 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
     return value[new], np.bincount(doc[new], minlength=len(counts))
+
+
+def _of_one(hashes: np.ndarray, k: int) -> np.ndarray:
+    """shingles() of one text, in less memory."""
+    m = len(hashes) - k + 1
+    if m <= 1:
+        return shingles(hashes, np.array([len(hashes)]), k)[0]
+    with np.errstate(over="ignore"):
+        value = mixed(hashes[:m] + np.uint64(1))
+        for j in range(1, k):
+            value *= _BASE
+            value += hashes[j : m + j]
+            value = mixed(value)
+    value.sort()
+    new = np.ones(m, bool)
+    np.not_equal(value[1:], value[:-1], out=new[1:])
+    return value[new]
