@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -57,8 +58,7 @@ def test_without_the_filter_on_pairs(spark, prose, monkeypatch):
     check(spark, *cases(prose))
 
 
-def test_short_pieces_and_windows_of_one_word(spark, prose, monkeypatch):
-    monkeypatch.setattr(d, "CHUNK", 4)
+def test_windows_of_one_word(spark, prose):
     docs, items = cases(prose)
     check(spark, docs, [*items, (7, "Ord"), (8, prose[9].split()[3])])
     check(spark, docs, [(7, "Ord")])
@@ -86,3 +86,28 @@ def test_document_key_is_of_the_text(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a")], "doc_id long, text string")
     assert rows.select(d.document_key().alias("k")).distinct().count() == 2
     assert rows.filter(F.col("doc_id") == 1).count() == 3
+
+
+def test_columns_of_inner_names(spark, prose):
+    """Columns that the operator uses inside may stand in the tables."""
+    docs, items = cases(prose)
+    plain = rows(d.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    names = ("key", "terms", "places", "term", "window", "n_hit", "first")
+    more = lambda df: df.withColumns({n: F.lit("x") for n in names})
+    again = d.contamination(more(spark.createDataFrame(docs, "doc_id long, text string")), more(spark.createDataFrame(items, "item_id long, text string")))
+    assert rows(again) == plain
+
+
+def test_repeated_terms(spark):
+    """Windows of one term again and again, in texts of the same: every place counts."""
+    check(spark, [(1, "a " * 40), (2, "a b " * 20), (3, "b a"), (4, "a " * 12)], [(1, "a " * 14), (2, "a b " * 8), (3, "a " * 12 + "b")])
+
+
+def test_proximity_equals_brute_force(spark):
+    rng = random.Random(3)
+    docs = [(i % 25, " ".join(rng.choices("abcdefgh", k=rng.randint(0, 30)))) for i in range(40)]
+    items = [(i, " ".join(rng.choices("abcdefghz", k=rng.randint(1, 5)))) for i in range(12)]
+    for span in (3, 6):
+        found = d.proximity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), span)
+        want = {(i, j) for i, t in docs for j, q in items if any(set(q.split()) <= set(t.split()[p : p + span]) for p in range(30))}
+        assert {(r.doc_id, r.item_id) for r in found.collect()} == want

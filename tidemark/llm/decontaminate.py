@@ -5,9 +5,10 @@
    posting is left out only where no phrase can lie: an occurrence of a window is a run of words each pair of which follow
    each other in some window, so positions outside such runs of the shortest window's length are not needed (windows of one
    word need their words only). Pairs and words are sent to the tasks if there are at most PAIRS; beyond that every position is stored.
-3. The postings of a run lie together, as the array of its terms from its first position on.
-4. Each window starts from its rarest term, that with the fewest postings over the whole corpus. Its list is joined by the
-   term, moved by the term's offset in the window, and intersected with the lists of all other terms at theirs.
+3. Each window starts from its rarest term, that with the fewest postings over the whole corpus: each of its postings, moved by the
+   term's offset in the window, is a place where the window may stand.
+4. These places are intersected with the second rarest term's list moved by its own offset, and what is left with the lists of
+   all other terms at once: a place counts if every term of the window has its posting there.
 5. Hits of one document are merged into intervals, so words in several windows count once.
 
 proximity() finds the documents in which all terms of a phrase lie within a span, in any order, from the same postings.
@@ -29,7 +30,7 @@ from pyspark.sql.window import Window as W
 from .shared import byte_slices, materialize, text_of
 from .words import ALPHANUMERIC, hashed_words, mixed
 
-WIDTH, PAIRS, CHUNK, SLICE_BYTES = 13, 500_000, 64, 1 << 20
+WIDTH, PAIRS, SLICE_BYTES = 13, 500_000, 1 << 20
 
 
 def term_lists(df: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
@@ -76,18 +77,16 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), known.size - 1)] == values
 
 
-def postings(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(key, doc_id, n_words, first, terms): the runs of each document; first is null in the one row that only counts words.
+def indexed(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(key, doc_id, n_words, terms, places) of each document: the terms and positions of its postings.
 
-    distinct: the windows' terms. key tells apart rows of one doc_id. A long run is stored in pieces that own CHUNK starts each and
-    overlap by the longest window, so no list is longer than that.
+    distinct: the windows' terms. key tells apart rows of one doc_id.
     """
     spark = docs.sparkSession
     n = F.size("terms")
     long = distinct.filter(n > 1)
     follow = long.select(F.explode(F.arrays_zip(F.slice("terms", 1, n - 1).alias("a"), F.slice("terms", 2, n - 1).alias("b"))).alias("p")).select("p.a", "p.b")
-    sizes = distinct.agg(F.min(F.when(n > 1, n)).alias("shortest"), F.max(n).alias("longest")).first()
-    shortest, longest = sizes["shortest"] or 2, sizes["longest"] or 1
+    shortest = long.agg(F.min(n)).first()[0] or 2
     pairs, words = _bounded(follow), _bounded(distinct.filter(n == 1).select(F.get("terms", F.lit(0)).alias("a")))
     pairs = None if pairs is None else np.sort(_pair(pairs[:, 0], pairs[:, 1]))
     words = None if words is None else np.sort(words[:, 0])
@@ -104,53 +103,56 @@ def postings(docs: DataFrame, distinct: DataFrame) -> DataFrame:
             if pairs is not None:
                 linked[1:] &= _among(_pair(hashes[:-1], hashes[1:]), pairs)
             starts = np.flatnonzero(~linked)
-            ends = np.append(starts[1:], len(hashes))
-            keep = ends - starts >= shortest
-            starts, ends = starts[keep], ends[keep]
-            pieces = -(-(ends - starts - shortest + 1) // CHUNK)
-            firsts = np.repeat(starts - CHUNK * (np.cumsum(pieces) - pieces), pieces) + CHUNK * np.arange(pieces.sum())
-            lengths = np.minimum(np.repeat(ends, pieces) - firsts, CHUNK + longest - 1)
-            alone = np.arange(len(hashes)) if words is None else np.flatnonzero(_among(hashes, words))  # windows of one word
-            firsts, lengths = np.concatenate([firsts, alone]), np.concatenate([lengths, np.ones(len(alone), np.int64)])
-            picked = np.repeat(firsts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-            rows = np.concatenate([np.arange(len(counts)), doc[firsts]])
-            offsets = np.concatenate([np.zeros(len(counts), np.int64), [0], np.cumsum(lengths)]).astype(np.int32)
-            first = np.concatenate([np.zeros(len(counts), np.int64), firsts - begin[doc[firsts]]])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("key").take(pa.array(rows)),
-                    batch.column("doc_id").take(pa.array(rows)),
-                    pa.array(counts[rows]),
-                    pa.array(first, mask=np.arange(len(rows)) < len(counts)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[picked].view(np.int64))),
-                ],
-                ["key", "doc_id", "n_words", "first", "terms"],
-            )
+            size = np.diff(np.append(starts, len(hashes)))
+            kept = np.repeat(size >= shortest, size)
+            kept |= True if words is None else _among(hashes, words)  # windows of one word
+            at = np.flatnonzero(kept)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[at], minlength=len(counts)))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (hashes[at].view(np.int64), at - begin[doc[at]])]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(counts), *lists], ["key", "doc_id", "n_words", "terms", "places"])
 
     rows = docs.select(document_key().alias("key"), "doc_id", text_of().alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key bigint, doc_id {kind}, n_words bigint, first bigint, terms array<bigint>")
+    return rows.mapInArrow(run, f"key bigint, doc_id {kind}, n_words bigint, terms array<bigint>, places array<bigint>")
 
 
-def occurrences(runs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(key, doc_id, window, start, length) of each place where a window's terms stand one after another."""
-    lists = runs.select("key", "doc_id", "first", "terms", F.posexplode("terms").alias("at", "term"))
-    wanted = distinct.select("window", F.col("terms").alias("phrase"), F.posexplode("terms").alias("offset", "term"))
+def postings(index: DataFrame) -> DataFrame:
+    """(term, key, doc_id, place)."""
+    each = index.select("key", "doc_id", F.explode(F.arrays_zip("terms", "places")).alias("p"))
+    return each.select(F.col("p.terms").alias("term"), "key", "doc_id", F.col("p.places").alias("place"))
+
+
+def occurrences(lists: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(key, doc_id, window, start, length) of each place where a window's terms stand one after another. lists: postings."""
     frequency = lists.groupBy("term").agg(F.count(F.lit(1)).alias("n"))  # summed before the shuffle, so a hot term is one row a task
-    rarest = wanted.join(frequency, "term").groupBy("window").agg(F.min_by(F.struct("term", "offset", "phrase"), F.struct("n", "offset")).alias("r"), F.count(F.lit(1)).alias("found"))
-    rarest = rarest.filter(F.col("found") == F.size("r.phrase"))  # a term without postings: the phrase is nowhere
-    anchors = rarest.select("window", "r.term", "r.offset", "r.phrase")
-    begun = lists.join(anchors, "term").withColumn("shift", F.col("at") - F.col("offset"))
-    met = begun.filter(F.col("shift").between(0, CHUNK - 1) & (F.slice("terms", F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("phrase")) == F.col("phrase")))
-    return met.select("key", "doc_id", "window", (F.col("first") + F.col("shift")).alias("start"), F.size("phrase").cast("long").alias("length"))
+    wanted = distinct.select("window", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term")).join(frequency, "term", "left")
+    ordered = wanted.groupBy("window", "size").agg(F.sort_array(F.collect_list(F.struct("n", "offset", "term"))).alias("by"), F.count("n").alias("known"))
+    ordered = materialize(ordered.filter(F.col("known") == F.col("size")), "window-terms")  # a term without postings: the phrase is nowhere
+    offset = F.col("t.offset").cast("long")
+    anchors = ordered.select("window", "size", "by", F.expr("by[0]").alias("t"))
+    begun = anchors.join(lists, F.col("t.term") == F.col("term")).select("window", "size", "by", "key", "doc_id", (F.col("place") - offset).alias("start")).filter("start >= 0")
+
+    def met(begun: DataFrame, first: int, last) -> DataFrame:
+        """The places where the lists of the terms from `first` on, `last` of them, have their postings too."""
+        few = F.slice("by", F.lit(first + 1), F.greatest(last, F.lit(0)))
+        each = begun.filter(F.size(few) > 0).select("window", "size", "by", "key", "doc_id", "start", F.explode(few).alias("t"))
+        each = each.withColumns({"_term": F.col("t.term"), "_place": F.col("start") + offset, "_key": F.col("key"), "_id": F.col("doc_id")}).drop("key", "doc_id")
+        same = (F.col("_term") == F.col("term")) & (F.col("_key") == F.col("key")) & (F.col("_place") == F.col("place")) & F.col("_id").eqNullSafe(F.col("doc_id"))
+        found = each.join(lists, same).groupBy("window", "size", "key", "doc_id", "start").agg(F.first("by").alias("by"), F.size(F.collect_set("_place")).alias("m"))
+        found = found.filter(F.col("m") == F.least(last, F.col("size") - first)).select("window", "size", "by", "key", "doc_id", "start")
+        return found.unionByName(begun.filter(F.size(few) <= 0))
+
+    begun = begun.distinct()  # repeated rows
+    second = met(begun, 1, F.lit(1))
+    return met(materialize(second, "second-terms"), 2, F.col("size") - 2).select("key", "doc_id", "window", "start", F.col("size").cast("long").alias("length"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row for each document: doc_id, key, n_words, n_hit, n_items, item_ids (sorted strings)."""
     each = materialize(windows(items, width), "benchmark-windows")
     distinct = each.groupBy("window").agg(F.first("terms").alias("terms"))
-    index = materialize(postings(docs, distinct), "postings")
-    found = materialize(occurrences(index.filter(F.col("first").isNotNull()), distinct), "occurrences")
+    index = materialize(indexed(docs, distinct), "postings")
+    found = materialize(occurrences(postings(index), distinct), "occurrences")
     # Each start counts the words up to the next start, its window's length at most; of equal starts the longest window.
     starts = found.groupBy("key", "doc_id", "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
     by = W.partitionBy("key", "doc_id").orderBy("start")
@@ -162,7 +164,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
     same = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))  # a null doc_id is one too
     named = named.withColumnsRenamed({"key": "_key", "doc_id": "_id"})
     hits = hits.join(named, same, "left").select("key", "doc_id", "n_hit", "item_ids").withColumnsRenamed({"key": "_key", "doc_id": "_id"})
-    rows = index.filter(F.col("first").isNull()).select("key", "doc_id", "n_words")
+    rows = index.select("key", "doc_id", "n_words")
     joined = rows.join(hits, same, "left")
     return joined.select("doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
@@ -173,20 +175,20 @@ def is_contaminated():
 
 
 def proximity(docs: DataFrame, items: DataFrame, span: int) -> DataFrame:
-    """(doc_id, item_id) where all distinct terms of an item lie within `span` words, in any order.
+    """(doc_id, key, item_id) where all distinct terms of an item lie within `span` words, in any order.
 
-    From each posting of the item's rarest term; the other terms are looked for in their lists around it.
+    The documents come from the postings of the item's rarest term. There the item's postings go in order of place, and each looks
+    back over the `span` places up to its own. key tells apart rows of one doc_id.
     """
-    wanted = term_lists(items, ["item_id"]).select("item_id", F.explode(F.array_distinct("terms")).alias("term"))
-    lists = term_lists(docs, ["doc_id"]).select("doc_id", F.posexplode("terms").alias("at", "term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    lists = materialize(lists, "proximity-postings")
+    wanted = term_lists(items, ["item_id"]).select("item_id", F.explode(F.array_distinct("terms")).alias("term")).distinct()
+    texts = docs.select(document_key().alias("key"), "doc_id", F.col("text"))
+    lists = term_lists(texts, ["key", "doc_id"]).select("key", "doc_id", F.posexplode("terms").alias("place", "term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    lists = materialize(lists.distinct(), "proximity-postings")
     frequency = lists.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     need = wanted.join(frequency, "term", "left").groupBy("item_id").agg(F.min_by("term", F.struct("n", "term")).alias("term"), F.collect_set("term").alias("all"), F.count("n").alias("known"))
     need = need.filter(F.col("known") == F.size("all"))
-    begun = lists.join(need, "term").select("doc_id", "item_id", F.col("at").alias("center"), F.size("all").alias("size"), F.explode("all").alias("term"))
-    near = begun.join(lists, ["doc_id", "term"]).filter(F.abs(F.col("at") - F.col("center")) < span)
-    # The span may begin at any of the postings near the center.
-    left = near.alias("l").select("doc_id", "item_id", "center", "size", F.col("at").alias("from")).filter(F.col("from") <= F.col("center")).distinct()
-    within = left.join(near.select("doc_id", "item_id", "center", "term", "at"), ["doc_id", "item_id", "center"]).filter((F.col("at") >= F.col("from")) & (F.col("at") < F.col("from") + span))
-    full = within.groupBy("doc_id", "item_id", "center", "from", "size").agg(F.count_distinct("term").alias("n")).filter(F.col("n") == F.col("size"))
-    return full.select("doc_id", "item_id").distinct()
+    begun = lists.join(need, "term").select("key", "doc_id", "item_id", "all").distinct()
+    begun = begun.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), "item_id", F.size("all").alias("size"), F.explode("all").alias("_term"))
+    near = begun.join(lists, (F.col("_term") == F.col("term")) & (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("doc_id")))
+    back = W.partitionBy("key", "doc_id", "item_id").orderBy("place").rangeBetween(-(span - 1), 0)
+    return near.withColumn("met", F.size(F.collect_set("term").over(back))).filter(F.col("met") == F.col("size")).select("doc_id", "key", "item_id").distinct()
