@@ -1,3 +1,6 @@
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from tidemark.llm import quality
@@ -41,3 +44,44 @@ def test_training_reads_whole_texts(spark):
     model = quality.train(docs, labels)
     clean, toxic = model.evidence(["new " + "filler words of it " * 1_200 + tail[y] * 20 for y in (0, 1)])[:, 1]
     assert clean < -1 and toxic > 1
+
+
+def test_posteriors_equal_a_plain_computation(spark):
+    """Sites and posteriors recomputed in plain Python from the documents' evidence and labels, with null hosts and repeated rows."""
+    rng = random.Random(6)
+    evidence = [(i, rng.choice(["a", "b", "c", None, f"h{i % 9}"]), rng.choice(["x", "y", None]), rng.gauss(2, 3), rng.gauss(-4, 2)) for i in range(300)]
+    evidence += evidence[:5]
+    labels = [(i, rng.choice([0, 1, None]), rng.choice([0, 1, None])) for i in range(0, 300, 3)] + [(0, 1, 1)]
+    scored = spark.createDataFrame(evidence, "doc_id long, source string, lang string, good_evidence double, toxic_evidence double")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = quality.decide(scored, quality.sites(scored, known, "source", "lang"), "source", "lang").collect()
+
+    best = {}
+    for i, *y in labels:
+        best[i] = [max((v for v in (a, b) if v is not None), default=None) for a, b in zip(best.get(i, (None, None)), y, strict=True)]
+    logistic = lambda v: 1 / (1 + math.exp(-v))
+    odds = lambda v: math.log(v / (1 - v))
+
+    def strength(groups):  # (n, rate, parent's rate)
+        n = sum(g[0] for g in groups)
+        between = (sum(m * (r - p) ** 2 for m, r, p in groups) - sum(p * (1 - p) for _, _, p in groups)) / n
+        return max(1.0, sum(m * p * (1 - p) for m, _, p in groups) / n / max(between, 1e-9) - 1)
+
+    prior = {}
+    for label in (0, 1):
+        values = [(h or "", p or "", best[i][label] if best.get(i, (None, None))[label] is not None else logistic(e[label])) for i, h, p, *e in evidence]
+        rate = (sum(v for *_, v in values) + 0.5) / (len(values) + 1)
+        hosts, paths = {}, {}
+        for h, p, v in values:
+            hosts.setdefault(h, []).append(v)
+            paths.setdefault((h, p), []).append(v)
+        k = strength([(len(v), sum(v) / len(v), rate) for v in hosts.values()])
+        host = {h: (sum(v) + k * rate) / (len(v) + k) for h, v in hosts.items()}
+        k = strength([(len(v), sum(v) / len(v), host[x[0]]) for x, v in paths.items()])
+        for x, v in paths.items():
+            prior[label, x] = odds((sum(v) + k * host[x[0]]) / (len(v) + k)) - odds(rate)
+    assert len(found) == len(evidence)
+    for r in found:
+        site = (r.source or "", r.lang or "")
+        good, toxic = logistic(r.good_evidence + prior[0, site]), logistic(r.toxic_evidence + prior[1, site])
+        assert abs(r.good - good) < 1e-9 and abs(r.toxic - toxic) < 1e-9 and r.kept == (good >= 0.5 and toxic <= 0.5)

@@ -12,6 +12,7 @@ column of the output's name is replaced; a text of any length is encoded whole.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import sys
@@ -201,6 +202,12 @@ class Vocabulary:
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(before[ends - counts].tolist(), before[ends].tolist(), strict=True)]
 
 
+@functools.lru_cache(4)
+def vocabulary_at(path: str) -> Vocabulary:
+    """Read once for each Python worker, which serves many tasks."""
+    return Vocabulary(path)
+
+
 def _laid_out(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each part starts, its length, and all parts one after another, in bytes."""
     length = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -229,7 +236,7 @@ def bpe_encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, known = Vocabulary(vocabulary), {}
+        v, known = vocabulary_at(vocabulary), {}
         for batch in byte_slices(batches, text, SLICE_BYTES):
             found, counts = v.encode(((t or "") for t in batch.column(text).to_pylist()), known)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -245,7 +252,7 @@ def bpe_decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "de
     """Adds the text that the ids stand for; null ids are an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(vocabulary)
+        v = vocabulary_at(vocabulary)
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(i, SLICE_ROWS)

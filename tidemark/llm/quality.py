@@ -7,7 +7,8 @@
 2. Evidence of the site: over all documents, grouped sums of what is known of each host and of each path within a host: the
    label where there is one, else the model's probability. A host's rate is shrunk towards the global rate, a path's towards its
    host's, by beta priors whose strengths come from the spread between hosts, or between paths, beyond chance (method of
-   moments). So a site of few documents says little, and hosts that do not differ say nothing.
+   moments). So a site of few documents says little, and hosts that do not differ say nothing. A document is one of its site's
+   n documents and is not taken out of its sums again: its share in its own path's rate is 1 / (n + strength).
 3. Posterior: the document's log-odds plus the path's log-odds less the global log-odds, for each model.
 
 A document is kept if it is good with probability GOOD or more and toxic with at most TOXIC.
@@ -301,8 +302,10 @@ def decide(scored: DataFrame, found: DataFrame, host: str, path: str) -> DataFra
 
 
 def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", text: bool = False) -> DataFrame:
-    """Each document with its evidence, posteriors and kept. text: whether the documents' own columns come along, scored again."""
+    """Each document with its evidence, posteriors and kept. text: whether the documents' own columns come along."""
     model = train(docs, labels)
-    narrow = materialize(score(docs.select("doc_id", host, path, text_of().alias("text")), model).drop("text"), "quality-scores")
-    found = sites(narrow, labels, host, path)
-    return decide(score(docs, model) if text else narrow, found, host, path)
+    if text:  # the texts are written with their evidence, so that they are scored once
+        scored = materialize(score(docs, model), "quality-scored")
+    else:
+        scored = materialize(score(docs.select("doc_id", host, path, text_of().alias("text")), model).drop("text"), "quality-scores")
+    return decide(scored, sites(scored, labels, host, path), host, path)
