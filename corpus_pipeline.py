@@ -26,13 +26,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each near-duplicate group: five-word shingles, Jaccard 0.8 or more. Rows without doc_id stay."""
+    """The document of the smallest doc_id of each near-duplicate group: five-word shingles, Jaccard 0.8 or more. Rows without doc_id stay.
+
+    Of rows that are alike in all columns one stays; rows of one doc_id that differ are one document, and all of them stay.
+    """
     ship(spark)
     found = minhash.near_duplicates(docs, k=5, percent=80, rows=5, bands=48)
     kept = materialize(found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "dedup-kept")
     rest = docs.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
     if kept.filter("n > 1").take(1):  # repeated rows
-        rest = rest.dropDuplicates(["doc_id"])
+        rest = rest.distinct()
     return rest.unionByName(docs.filter("doc_id is null"))
 
 
