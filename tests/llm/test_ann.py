@@ -35,12 +35,53 @@ def test_odd_rows_and_ties(spark):
     assert ann.search(empty, F.col("vec_id") % 20 == 0, 2).count() == 0
 
 
-def test_probes_find_all_codes_within_the_radius():
+def test_blocks_find_all_codes_within_the_radius():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 256, (500, 16)).astype(np.uint8)
     block = ann.Block(np.arange(500), np.zeros((500, 2)), codes)
     for radius in (7, 40, 58):
-        look_up = ann.probes(radius, 16)
         for i in range(5):
             near = codes[i] ^ (rng.random(16) < 0.3).astype(np.uint8)
-            assert block.candidates(near, look_up, radius).tolist() == np.flatnonzero(ann.distances(codes, near) <= radius).tolist()
+            assert block.candidates(near, radius).tolist() == np.flatnonzero(ann.distances(codes, near) <= radius).tolist()
+
+
+def test_probes_find_all_codes_within_their_radius(spark):
+    """Each code within the radius is found by a probe, and counted at one substring only."""
+    rng = np.random.default_rng(2)
+    code = rng.integers(0, 256, (1, 16)).astype(np.uint8)
+    for bits in (8, 16, 32):
+        radius = 128 // bits * (ann.FLIPS + 1) - 1
+        others = np.unpackbits(np.repeat(code, 300, axis=0), axis=1)
+        for row in others:
+            row[rng.choice(128, rng.integers(0, radius + 8), replace=False)] ^= 1
+        others = np.packbits(others, axis=1)
+        mine, theirs = (ann.substrings(c.view(np.uint64), bits) for c in (code, others))
+        probes = mine[:, :, None] ^ ann.flips(bits)
+        found = (theirs[:, :, None] == probes).any(axis=2)
+        near = ann.distances(others, code[0]) <= radius
+        assert found[near].any(axis=1).all()
+        a, words = code.view(np.int64)[0].tolist(), others.view(np.int64).tolist()
+        df = spark.createDataFrame([(*a, *w) for w in words], "a0 long, a1 long, b0 long, b1 long")
+        first = [r[0] for r in df.select(ann.first_substring(bits)).collect()]
+        assert first == [int(np.argmax(f)) if f.any() else None for f in found]
+
+
+def test_near_neighbours_are_found_by_the_index(spark, monkeypatch):
+    """Vectors in tight groups are answered by probes alone, with copies and crowds; the result is that of brute force."""
+    rng = np.random.default_rng(4)
+    centers = rng.standard_normal((60, 24))
+    x = np.repeat(centers, 40, axis=0) + 0.02 * rng.standard_normal((2400, 24))
+    x[100:160] = x[100]  # copies
+    rows = [(i, [float(v) for v in r / np.linalg.norm(r)]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, 20)
+    met = {20_000: 0, 300: 0}
+    wide = ann.blockwise
+    monkeypatch.setattr(ann, "blockwise", lambda e, q, *a: met.update({ann.CROWD: met[ann.CROWD] + q.count()}) or wide(e, q, *a))
+    for crowd in met:
+        monkeypatch.setattr(ann, "CROWD", crowd)
+        found = ann.search(df, F.col("vec_id") % 20 == 0, 20).toPandas()
+        assert (found.groupby("query_id").size() == 20).all()
+        assert sum(len(set(g.vec_id) & set(want[q])) for q, g in found.groupby("query_id")) / (20 * len(want)) > 0.95
+        assert found[(found.query_id == 100)].sort_values("rank").vec_id.tolist() == list(range(101, 121))
+    assert met[20_000] == 0 and met[300] > 60

@@ -2,17 +2,22 @@
 
 1. Codes. A vector gets one more component, the square root of M^2 - |x|^2 with M the largest norm (queries get 0), which turns
    inner products into angles. The codes are signs of rotated principal components; the rotations are learned by iterative
-   quantization on a sample of at most SAMPLE vectors (by the order of a hash). BITS bits, in substrings of 8.
-2. Index. Vectors are dealt into blocks of about BLOCK rows. Each block has, for each substring, the list of its rows by the
-   substring's value.
-3. Probing. With radius R and m substrings, R = m a + b: a code within R of the query's is within a of it in one of the first
-   b + 1 substrings, or within a - 1 in one of the rest (pigeonhole). So looking up the values within these distances finds
-   every code within R.
-4. Reranking. The codes found within R are scored on the original vectors in double precision. Each block gives its best k,
-   and these are merged.
-
-R is learned on the sample: RECALL of the true neighbours there lie within R. In a larger table the neighbours are nearer, so
-recall only grows. Queries with fewer than k found are scored against all vectors, in the same blocks.
+   quantization on a sample of at most SAMPLE vectors (by the order of a hash). BITS bits. Equal vectors are one entry, with the
+   smallest of its ids that any answer can need.
+2. Index. Each code is cut into substrings whose length grows with the number of vectors (substring_bits); the index is a table of
+   postings (substring's number, value, entry, code), dealt by number and value.
+3. Probing. A query looks up each substring's values within FLIPS bits of its own. By the pigeonhole principle that finds every code
+   within m (FLIPS + 1) - 1 of the query's, m being the number of substrings. A code that several substrings find counts at the
+   first. Codes within that radius are reranked on the original vectors in double precision.
+4. Stopping. The worst of the k found says how far away the codes of better ones can be: an angle t makes BITS t / pi differences on
+   average, and the sample says how far above that RECALL of the neighbours lie. A query is done if that is within the radius.
+5. Wider radius. The other queries - those whose neighbours are far, and those whose buckets hold more than CROWD codes - go to the
+   vectors in blocks of about BLOCK, each query to each block with the radius it needs, at most the radius within which RECALL of
+   the sample's neighbours lie. A block applies the same pigeonhole rule to substrings of 8 bits, and gives its best.
+
+Where neighbours are near, step 3 answers, and a query meets only the buckets it probes. Where all vectors are about as far from
+each other, as in random data, no radius below that of most codes has the neighbours, and step 5 meets nearly all (queries x
+vectors, in blocks). Queries with fewer than k found are scored against all vectors, in the same blocks.
 
 Cases: vectors that are null, empty, zero, hold null or non-finite components or have another dimension than most take no part,
 nor do null ids; rows of one id with other vectors are queries of their own, and no row of an id is its own candidate;
@@ -22,18 +27,23 @@ fewer candidates than k give all; ties go to the smaller id; an empty table give
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .shared import materialize
 
-BITS, SAMPLE, BLOCK, QUERIES, RECALL, ROUNDS = 128, 4_096, 8_192, 4_096, 0.97, 30
+BITS, SAMPLE, BLOCK, QUERIES, RECALL, ROUNDS, FLIPS, CROWD = 128, 4_096, 8_192, 4_096, 0.96, 30, 2, 20_000
+#: Differing bits of two bytes.
+BYTES = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
 
 
 @dataclass
@@ -43,7 +53,9 @@ class Codes:
     mean: np.ndarray
     rotation: np.ndarray
     norm: float
-    radius: int = 0
+    radius: int = BITS
+    #: How many standard deviations above the mean RECALL of the neighbours' distances lie.
+    above: float = 2.0
 
     def of(self, x: np.ndarray, query: bool) -> np.ndarray:
         """Codes (rows x BITS / 8 bytes)."""
@@ -75,55 +87,87 @@ def learn(sample: np.ndarray, norm: float, k: int, seed: int = 0) -> Codes:
         rotations.append(parts @ r)
     codes = Codes(mean, np.concatenate(rotations, axis=1)[:, :BITS], norm)
     # The radius, by exact search of some of the sample in all of it.
-    own, far = codes.of(sample, False), []
+    own, far, above = codes.of(sample, False), [], []
     picked = np.arange(0, len(sample), max(1, len(sample) // 256))
     asked = codes.of(sample[picked], True)
     for i, q in zip(picked, asked, strict=True):
         s = sample @ sample[i]
         s[i] = -np.inf
         top = np.argsort(-s, kind="stable")[: min(k, len(sample) - 1)]
-        far.extend(distances(own[top], q).tolist())
-    codes.radius = int(np.quantile(far, RECALL, method="higher")) if far else BITS
+        differ = distances(own[top], q)
+        far.extend(differ.tolist())
+        share = np.arccos(np.clip(s[top] / (norm * np.linalg.norm(sample[i])), -1, 1)) / math.pi
+        above.extend(((differ - BITS * share) / np.sqrt(BITS * share * (1 - share) + 1)).tolist())
+    if far:
+        codes.radius = int(np.quantile(far, RECALL, method="higher"))
+        codes.above = float(np.quantile(above, RECALL, method="higher"))
     return codes
 
 
-def probes(radius: int, tables: int) -> list[list[np.ndarray]]:
-    """For each substring, the values to look up for each of its 256 values."""
-    flips = [[sum(1 << j for j in c) for d in range(most + 1) for c in combinations(range(8), d)] for most in range(9)]
+def needed_radius(score: Column, norm: Column, codes: Codes) -> Column:
+    """The radius that holds RECALL of the vectors that score as much or more."""
+    share = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score / (norm * codes.norm)))) / math.pi
+    return F.ceil(BITS * share + codes.above * F.sqrt(BITS * share * (1 - share) + 1))
+
+
+def substring_bits(n: int) -> int:
+    """So many that a bucket holds a few codes on average; a divisor of 64."""
+    return 8 if n < 1 << 12 else 16 if n < 1 << 24 else 32
+
+
+def flips(bits: int) -> np.ndarray:
+    """The numbers of `bits` bits with FLIPS ones at most."""
+    return np.array([sum(1 << j for j in c) for d in range(FLIPS + 1) for c in combinations(range(bits), d)], np.int64)
+
+
+def substrings(words: np.ndarray, bits: int) -> np.ndarray:
+    """The values of the substrings (rows x 128 / bits) of codes in two words."""
+    at = np.arange(0, 64, bits, dtype=np.uint64)
+    return np.concatenate([(words[:, w, None] >> at) & np.uint64((1 << bits) - 1) for w in range(BITS // 64)], axis=1).astype(np.int64)
+
+
+def first_substring(bits: int) -> Column:
+    """The number of the first substring in which the codes (a0, a1) and (b0, b1) differ by FLIPS bits at most."""
+    each, t = [], 0
+    for w in range(BITS // 64):
+        for at in range(0, 64, bits):
+            mask = ((1 << bits) - 1) << at
+            mask = mask - (1 << 64) if mask >= 1 << 63 else mask
+            near = F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}")).bitwiseAND(F.lit(mask).cast("long"))) <= FLIPS
+            each.append(F.when(near, t))
+            t += 1
+    return F.coalesce(*each)
+
+
+def allowances(radius: int, tables: int) -> list[int]:
+    """How many bits a code within the radius may differ by in one of the substrings at least (-1: that substring need not be looked at)."""
     a, b = divmod(radius, tables)
-    values = np.arange(256)[:, None]
-    each = [None if (most := min(8, a if t <= b else a - 1)) < 0 else values ^ np.array(flips[most])[None, :] for t in range(tables)]
-    return each
+    return [a if t <= b else a - 1 for t in range(tables)]
 
 
 class Block:
-    """Rows with, for each substring, their order by its value and where each value begins."""
+    """Entries with, for each byte of their codes, the values of all of them."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray):
-        self.ids, self.x, self.codes = ids, x, codes
-        self.order = [np.argsort(codes[:, t], kind="stable") for t in range(codes.shape[1])]
-        self.begin = [np.searchsorted(codes[o, t], np.arange(257)) for t, o in enumerate(self.order)]
+        self.ids, self.x, self.codes, self.values = ids, x, codes, np.ascontiguousarray(codes.T)
 
-    def candidates(self, code: np.ndarray, look_up: list, radius: int) -> np.ndarray:
+    def candidates(self, code: np.ndarray, radius: int) -> np.ndarray:
         """The rows whose codes lie within the radius."""
         met = np.zeros(len(self.ids), bool)
-        for t, table in enumerate(look_up):
-            if table is not None:
-                values = table[code[t]]
-                start = self.begin[t][values]
-                n = self.begin[t][values + 1] - start
-                met[self.order[t][np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]] = True
+        for t, most in enumerate(allowances(radius, len(code))):
+            if most >= 0:
+                met |= (BYTES[code[t]] <= most)[self.values[t]]
         rows = np.flatnonzero(met)
         return rows[distances(self.codes[rows], code) <= radius]
 
-    def best(self, query_id: int, q: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = rows[self.ids[rows] != query_id]
+    def best(self, q: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and scores of the k best."""
         score = (self.x[rows] * q).sum(axis=1)  # sums each row alike, so equal vectors tie
         if len(rows) > 4 * k:
             near = score >= np.partition(score, len(score) - k)[len(score) - k]
             rows, score = rows[near], score[near]
         first = np.lexsort((self.ids[rows], -score))[:k]
-        return self.ids[rows[first]], score[first]
+        return rows[first], score[first]
 
 
 def _valid(vector: Column) -> Column:
@@ -141,40 +185,105 @@ def search(df: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vect
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if most is None or not most["q"]:
         return empty
-    rows = rows.filter(F.size("x") == most["d"])
-    sample = np.array([r["x"] for r in rows.orderBy(F.xxhash64("id"), "id").select("x").limit(SAMPLE).collect()])
+    rows = rows.filter(F.size("x") == most["d"]).withColumn("entry", F.xxhash64("x"))
+    asked = materialize(rows.filter("asks").select("id", "entry").distinct(), "ann-queries")
+    need = k + asked.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]  # no answer needs more, its own rows taken out
+    # One entry for each vector, with its smallest ids. The window cuts copies down before the shuffle.
+    number = F.dense_rank().over(W.partitionBy("entry").orderBy("id"))
+    few = rows.select("entry", "id", "x").withColumn("n", number).filter(F.col("n") <= need)
+    entries = materialize(few.groupBy("entry").agg(F.first("x").alias("x"), F.sort_array(F.collect_set("id")).alias("ids")), "ann-entries")
+    n = entries.count()
+    sample = np.array([r["x"] for r in entries.orderBy(F.xxhash64("entry"), "entry").select("x").limit(SAMPLE).collect()])
     codes = learn(sample, math.sqrt(most["norm2"]), k, seed)
-    blocks, parts = -(-most["n"] // BLOCK), -(-most["q"] // QUERIES)
-    sent = spark.sparkContext.broadcast((codes, probes(codes.radius, BITS // 8)))
-    name = F.xxhash64("id", "x")
-    index = rows.select("id", "x", F.pmod(name, F.lit(blocks)).alias("block"))
-    asked = materialize(rows.filter("asks").select("id", "x", name.alias("query")).dropDuplicates(["query"]), "ann-queries")
-
-    def run(asked: DataFrame, exact: bool) -> DataFrame:
-        def task(key: tuple, data: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(data) and len(queries):
-                codes, look_up = sent.value
-                own = np.stack(data["x"].to_numpy())
-                block = Block(data["id"].to_numpy(), own, codes.of(own, False))
-                asked = np.stack(queries["x"].to_numpy())
-                everything = np.arange(len(own))
-                for i, name, q, c in zip(queries["id"], queries["query"], asked, codes.of(asked, True), strict=True):
-                    found, score = block.best(i, q, everything if exact else block.candidates(c, look_up, codes.radius), k)
-                    out.append(pd.DataFrame({"query": name, "query_id": i, "vec_id": found, "score": score}))
-            return pd.concat(out) if out else pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []})
-
-        many = asked.withColumn("part", F.pmod("query", F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        # Blocks are replicated once for each part of the queries, the queries once for each block.
-        data = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("id", "x", F.col("block").cast("long"), F.col("part").cast("long"))
-        many = many.select("id", "x", "query", F.col("block").cast("long"), F.col("part").cast("long"))
-        return data.groupBy("block", "part").cogroup(many.groupBy("block", "part")).applyInPandas(task, "query long, query_id long, vec_id long, score double")
+    sent = spark.sparkContext.broadcast(codes)
+    queries = materialize(entries.join(asked.select("entry").distinct(), "entry", "left_semi").select(F.col("entry").alias("query"), "x"), "ann-asked")
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
 
+    near, radius = probed(entries, queries, substring_bits(n), sent, need)
+    near = materialize(near, "ann-near")
+    worst = near.groupBy("query").agg(F.max("rank").alias("n"), F.min("score").alias("worst"))
+    reached = queries.join(worst, "query", "left").withColumn("radius", F.when(F.col("n") >= need, needed_radius(F.col("worst"), norm, codes)).otherwise(BITS))
+    far = materialize(reached.filter(F.col("radius") > radius).select("query", "x", F.least(F.col("radius"), F.lit(codes.radius)).cast("int").alias("radius")), "ann-far")
+    found = near.join(far.select("query"), "query", "left_anti")
+    if far.take(1):
+        wide = materialize(ranked(blockwise(entries, far, n, sent, need), entries, need), "ann-wide")
+        enough = wide.filter(F.col("rank") == min(need, k + 1)).select("query")
+        short = materialize(far.join(enough, "query", "left_anti").withColumn("radius", F.lit(BITS)), "ann-short")
+        if short.take(1):
+            wide = wide.join(enough, "query", "left_semi").unionByName(ranked(blockwise(entries, short, n, sent, need), entries, need))
+        found = found.unionByName(wide)
+    mine = asked.select(F.col("id").alias("query_id"), F.col("entry").alias("query")).join(found.drop("rank"), "query").filter(F.col("vec_id") != F.col("query_id"))
+    rank = F.row_number().over(W.partitionBy("query", "query_id").orderBy(F.desc("score"), "vec_id"))
+    return mine.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def ranked(scored: DataFrame, entries: DataFrame, need: int) -> DataFrame:
+    """(query, vec_id, score, rank): the best `need` of each query's scored entries (query, entry, score), by their ids."""
+    named = scored.join(entries.select("entry", F.explode("ids").alias("vec_id")), "entry").select("query", "vec_id", "score")
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
-    found = materialize(run(asked, False).withColumn("rank", rank).filter(F.col("rank") <= k), "ann-found")
-    enough = found.groupBy("query").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select("query")
-    short = materialize(asked.join(enough, "query", "left_anti"), "ann-short")
-    if short.take(1):
-        whole = run(short, True).withColumn("rank", rank).filter(F.col("rank") <= k)
-        found = found.join(enough, "query", "left_semi").unionByName(whole)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return named.withColumn("rank", rank).filter(F.col("rank") <= need)
+
+
+def probed(entries: DataFrame, queries: DataFrame, bits: int, sent: Broadcast, need: int) -> tuple[DataFrame, int]:
+    """The best of the entries that the queries' probes find within a radius, and that radius. Crowded queries find none."""
+    change = flips(bits)
+    tables = BITS // bits
+
+    def coded(query: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codes = sent.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    x = part.column("x").flatten().to_numpy().reshape(part.num_rows, -1)
+                    words = codes.of(x, query).view(np.uint64)
+                    values = substrings(words, bits)[:, :, None] ^ (change if query else change[:1])
+                    each = values.shape[1] * values.shape[2]
+                    row = pa.array(np.repeat(np.arange(part.num_rows), each))
+                    two = [pa.array(np.repeat(w, each)) for w in words.view(np.int64).T]
+                    number = np.tile(np.repeat(np.arange(tables, dtype=np.int32), values.shape[2]), part.num_rows)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(row), *two, pa.array(number), pa.array(values.ravel())], [part.schema.names[0], "c0", "c1", "t", "v"])
+
+        return run
+
+    postings = materialize(entries.select("entry", "x").mapInArrow(coded(False), "entry long, c0 long, c1 long, t int, v long"), "ann-postings")
+    asked = materialize(queries.select("query", "x").mapInArrow(coded(True), "query long, c0 long, c1 long, t int, v long"), "ann-probes")
+    sizes = postings.groupBy("t", "v").agg(F.count(F.lit(1)).alias("n"))
+    crowded = asked.join(sizes, ["t", "v"]).groupBy("query").agg(F.sum("n").alias("n")).filter(F.col("n") > CROWD).select("query")
+    free = asked.join(crowded, "query", "left_anti").select("query", F.col("c0").alias("a0"), F.col("c1").alias("a1"), "t", "v")
+    radius = tables * (FLIPS + 1) - 1
+    met = free.join(postings.select("entry", F.col("c0").alias("b0"), F.col("c1").alias("b1"), "t", "v"), ["t", "v"])
+    apart = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in range(1, BITS // 64)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    met = met.filter((apart <= radius) & (F.col("t") == first_substring(bits))).select("query", "entry")
+    both = met.join(entries.select("entry", "x"), "entry").join(queries.select("query", F.col("x").alias("q")), "query")
+    score = F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    return ranked(both.select("query", "entry", score.alias("score")), entries, need), radius
+
+
+def blockwise(entries: DataFrame, queries: DataFrame, n: int, sent: Broadcast, need: int) -> DataFrame:
+    """(query, entry, score) of the best entries within each query's own radius. queries: query, x, radius."""
+    blocks, parts = -(-n // BLOCK), -(-queries.count() // QUERIES)
+
+    def task(key: tuple, data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(data) and len(asked):
+            codes = sent.value
+            own = np.stack(data["x"].to_numpy())
+            block = Block(data["first"].to_numpy(), own, codes.of(own, False))
+            entry, everything = data["entry"].to_numpy(), np.arange(len(own))
+            x = np.stack(asked["x"].to_numpy())
+            for name, q, c, radius in zip(asked["query"], x, codes.of(x, True), asked["radius"].tolist(), strict=True):
+                rows, score = block.best(q, everything if radius >= BITS else block.candidates(c, radius), need)
+                out.append(pd.DataFrame({"query": name, "entry": entry[rows], "score": score}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "entry": [], "score": []})
+
+    # Blocks are replicated once for each part of the queries, the queries once for each block.
+    data = entries.select("entry", "x", F.get("ids", F.lit(0)).alias("first"), F.pmod("entry", F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    asked = queries.select("query", "x", "radius", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod("query", F.lit(parts)).alias("part"))
+    by = [F.col("block").cast("long").alias("block"), F.col("part").cast("long").alias("part")]
+    data, asked = data.select("entry", "x", "first", *by), asked.select("query", "x", "radius", *by)
+    found = data.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(task, "query long, entry long, score double")
+    # The best of all blocks' best; entries of one score in the order of their first ids.
+    first = found.join(entries.select("entry", F.get("ids", F.lit(0)).alias("first")), "entry")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "first"))
+    return first.withColumn("n", rank).filter(F.col("n") <= need).select("query", "entry", "score")
