@@ -11,7 +11,7 @@
    first. Codes within that radius are reranked on the original vectors in double precision.
 4. Stopping. The worst of the k found says how far away the codes of better ones can be: an angle t makes BITS t / pi differences on
    average, and the sample says how far above that RECALL of the neighbours lie. A query is done if that is within the radius.
-5. Wider radius. The other queries - those whose neighbours are far, and those whose buckets hold more than CROWD codes - go to the
+5. Wider radius. The other queries - those whose neighbours are far, and those whose own buckets hold more than CROWD codes - go to the
    vectors in blocks of about BLOCK, each query to each block with the radius it needs, at most the radius within which RECALL of
    the sample's neighbours lie. A block applies the same pigeonhole rule to substrings of 8 bits, and gives its best.
 
@@ -41,7 +41,7 @@ from pyspark.sql.window import Window as W
 
 from .shared import materialize
 
-BITS, SAMPLE, BLOCK, QUERIES, RECALL, ROUNDS, FLIPS, CROWD = 128, 4_096, 8_192, 4_096, 0.96, 30, 2, 20_000
+BITS, SAMPLE, BLOCK, QUERIES, RECALL, ROUNDS, FLIPS, CROWD = 128, 4_096, 8_192, 4_096, 0.94, 30, 1, 4_096
 #: Differing bits of two bytes.
 BYTES = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
 
@@ -111,8 +111,8 @@ def needed_radius(score: Column, norm: Column, codes: Codes) -> Column:
 
 
 def substring_bits(n: int) -> int:
-    """So many that a bucket holds a few codes on average; a divisor of 64."""
-    return 8 if n < 1 << 12 else 16 if n < 1 << 24 else 32
+    """So many that a bucket holds less than one code on average, however many there are."""
+    return min(32, max(8, math.ceil(math.log2(max(n, 1))) + 1))
 
 
 def flips(bits: int) -> np.ndarray:
@@ -120,22 +120,21 @@ def flips(bits: int) -> np.ndarray:
     return np.array([sum(1 << j for j in c) for d in range(FLIPS + 1) for c in combinations(range(bits), d)], np.int64)
 
 
-def substrings(words: np.ndarray, bits: int) -> np.ndarray:
-    """The values of the substrings (rows x 128 / bits) of codes in two words."""
-    at = np.arange(0, 64, bits, dtype=np.uint64)
-    return np.concatenate([(words[:, w, None] >> at) & np.uint64((1 << bits) - 1) for w in range(BITS // 64)], axis=1).astype(np.int64)
+def substrings(codes: np.ndarray, bits: int) -> np.ndarray:
+    """The values of the substrings (rows x BITS // bits) of codes; bits left over are in none."""
+    tables = BITS // bits
+    return np.unpackbits(codes, axis=1)[:, : tables * bits].reshape(len(codes), tables, bits).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
 
 
 def first_substring(bits: int) -> Column:
     """The number of the first substring in which the codes (a0, a1) and (b0, b1) differ by FLIPS bits at most."""
-    each, t = [], 0
-    for w in range(BITS // 64):
-        for at in range(0, 64, bits):
-            mask = ((1 << bits) - 1) << at
-            mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-            near = F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}")).bitwiseAND(F.lit(mask).cast("long"))) <= FLIPS
-            each.append(F.when(near, t))
-            t += 1
+    each = []
+    for t in range(BITS // bits):
+        marks = np.zeros((1, BITS), np.uint8)
+        marks[0, t * bits : (t + 1) * bits] = 1
+        words = np.packbits(marks, axis=1).view(np.int64)[0].tolist()
+        parts = [F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}")).bitwiseAND(F.lit(m).cast("long"))) for w, m in enumerate(words) if m]
+        each.append(F.when(sum(parts[1:], parts[0]) <= FLIPS, t))
     return F.coalesce(*each)
 
 
@@ -150,6 +149,8 @@ class Block:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray):
         self.ids, self.x, self.codes, self.values = ids, x, codes, np.ascontiguousarray(codes.T)
+        self.rough = x.astype(np.float32)
+        self.error = 1e-5 * np.sqrt((x**2).sum(axis=1).max(initial=0))  # of a rough score, for a query of norm 1
 
     def candidates(self, code: np.ndarray, radius: int) -> np.ndarray:
         """The rows whose codes lie within the radius."""
@@ -162,10 +163,10 @@ class Block:
 
     def best(self, q: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and scores of the k best."""
-        score = (self.x[rows] * q).sum(axis=1)  # sums each row alike, so equal vectors tie
-        if len(rows) > 4 * k:
-            near = score >= np.partition(score, len(score) - k)[len(score) - k]
-            rows, score = rows[near], score[near]
+        if len(rows) > 4 * k:  # those that can be among the best, by scores in single precision and their greatest error
+            score = self.rough[rows] @ q.astype(np.float32)
+            rows = rows[score >= np.partition(score, len(score) - k)[len(score) - k] - 2 * self.error * np.linalg.norm(q)]
+        score = (self.x[rows] * q).sum(axis=1)  # sums each row alike
         first = np.lexsort((self.ids[rows], -score))[:k]
         return rows[first], score[first]
 
@@ -212,9 +213,12 @@ def search(df: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vect
         if short.take(1):
             wide = wide.join(enough, "query", "left_semi").unionByName(ranked(blockwise(entries, short, n, sent, need), entries, need))
         found = found.unionByName(wide)
-    mine = asked.select(F.col("id").alias("query_id"), F.col("entry").alias("query")).join(found.drop("rank"), "query").filter(F.col("vec_id") != F.col("query_id"))
-    rank = F.row_number().over(W.partitionBy("query", "query_id").orderBy(F.desc("score"), "vec_id"))
-    return mine.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    # Each query's answers are one short list, which all ids of its vector read: no window over the ids of a vector that many have.
+    answers = found.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("best"))
+    mine = asked.select(F.col("id").alias("query_id"), F.col("entry").alias("query")).join(answers, "query")
+    others = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)
+    each = mine.select("query_id", F.posexplode(others).alias("at", "b"))
+    return each.select("query_id", (F.col("at") + 1).alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))
 
 
 def ranked(scored: DataFrame, entries: DataFrame, need: int) -> DataFrame:
@@ -229,28 +233,29 @@ def probed(entries: DataFrame, queries: DataFrame, bits: int, sent: Broadcast, n
     change = flips(bits)
     tables = BITS // bits
 
-    def coded(query: bool):
+    def coded(query: bool, flip: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes = sent.value
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
                     x = part.column("x").flatten().to_numpy().reshape(part.num_rows, -1)
-                    words = codes.of(x, query).view(np.uint64)
-                    values = substrings(words, bits)[:, :, None] ^ (change if query else change[:1])
+                    found = codes.of(x, query)
+                    values = substrings(found, bits)[:, :, None] ^ (change if flip else change[:1])
                     each = values.shape[1] * values.shape[2]
                     row = pa.array(np.repeat(np.arange(part.num_rows), each))
-                    two = [pa.array(np.repeat(w, each)) for w in words.view(np.int64).T]
+                    two = [pa.array(np.repeat(w, each)) for w in found.view(np.int64).T]
                     number = np.tile(np.repeat(np.arange(tables, dtype=np.int32), values.shape[2]), part.num_rows)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(row), *two, pa.array(number), pa.array(values.ravel())], [part.schema.names[0], "c0", "c1", "t", "v"])
 
         return run
 
-    postings = materialize(entries.select("entry", "x").mapInArrow(coded(False), "entry long, c0 long, c1 long, t int, v long"), "ann-postings")
-    asked = materialize(queries.select("query", "x").mapInArrow(coded(True), "query long, c0 long, c1 long, t int, v long"), "ann-probes")
+    kind = "c0 long, c1 long, t int, v long"
+    postings = materialize(entries.select("entry", "x").mapInArrow(coded(False, False), f"entry long, {kind}"), "ann-postings")
     sizes = postings.groupBy("t", "v").agg(F.count(F.lit(1)).alias("n"))
-    crowded = asked.join(sizes, ["t", "v"]).groupBy("query").agg(F.sum("n").alias("n")).filter(F.col("n") > CROWD).select("query")
-    free = asked.join(crowded, "query", "left_anti").select("query", F.col("c0").alias("a0"), F.col("c1").alias("a1"), "t", "v")
+    own = queries.select("query", "x").mapInArrow(coded(True, False), f"query long, {kind}").join(sizes, ["t", "v"]).groupBy("query").agg(F.sum("n").alias("n"))
+    free = queries.join(own, "query", "left").filter(F.coalesce("n", F.lit(0)) <= CROWD).select("query", "x")
+    free = free.mapInArrow(coded(True, True), f"query long, {kind}").select("query", F.col("c0").alias("a0"), F.col("c1").alias("a1"), "t", "v")
     radius = tables * (FLIPS + 1) - 1
     met = free.join(postings.select("entry", F.col("c0").alias("b0"), F.col("c1").alias("b1"), "t", "v"), ["t", "v"])
     apart = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in range(1, BITS // 64)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
