@@ -42,8 +42,6 @@ from pyspark.sql.window import Window as W
 from .shared import materialize
 
 BITS, SAMPLE, BLOCK, QUERIES, RECALL, ROUNDS, FLIPS, CROWD = 128, 4_096, 8_192, 4_096, 0.94, 30, 1, 4_096
-#: Differing bits of two bytes.
-BYTES = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
 
 
 @dataclass
@@ -149,6 +147,7 @@ class Block:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray):
         self.ids, self.x, self.codes, self.values = ids, x, codes, np.ascontiguousarray(codes.T)
+        self.words = np.ascontiguousarray(codes.view(np.uint64).T)
         self.rough = x.astype(np.float32)
         self.error = 1e-5 * np.sqrt((x**2).sum(axis=1).max(initial=0))  # of a rough score, for a query of norm 1
 
@@ -157,9 +156,10 @@ class Block:
         met = np.zeros(len(self.ids), bool)
         for t, most in enumerate(allowances(radius, len(code))):
             if most >= 0:
-                met |= (BYTES[code[t]] <= most)[self.values[t]]
-        rows = np.flatnonzero(met)
-        return rows[distances(self.codes[rows], code) <= radius]
+                met |= np.bitwise_count(self.values[t] ^ code[t]) <= most
+        words = code.view(np.uint64)
+        apart = sum((np.bitwise_count(w ^ c) for w, c in zip(self.words[1:], words[1:], strict=True)), np.bitwise_count(self.words[0] ^ words[0]))
+        return np.flatnonzero(met & (apart <= radius))
 
     def best(self, q: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and scores of the k best."""
@@ -270,7 +270,7 @@ def blockwise(entries: DataFrame, queries: DataFrame, n: int, sent: Broadcast, n
     blocks, parts = -(-n // BLOCK), -(-queries.count() // QUERIES)
 
     def task(key: tuple, data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        names, entries, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         if len(data) and len(asked):
             codes = sent.value
             own = np.stack(data["x"].to_numpy())
@@ -279,8 +279,10 @@ def blockwise(entries: DataFrame, queries: DataFrame, n: int, sent: Broadcast, n
             x = np.stack(asked["x"].to_numpy())
             for name, q, c, radius in zip(asked["query"], x, codes.of(x, True), asked["radius"].tolist(), strict=True):
                 rows, score = block.best(q, everything if radius >= BITS else block.candidates(c, radius), need)
-                out.append(pd.DataFrame({"query": name, "entry": entry[rows], "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query": [], "entry": [], "score": []})
+                names.append(np.full(len(rows), name))
+                entries.append(entry[rows])
+                scores.append(score)
+        return pd.DataFrame({"query": np.concatenate(names), "entry": np.concatenate(entries), "score": np.concatenate(scores)})
 
     # Blocks are replicated once for each part of the queries, the queries once for each block.
     data = entries.select("entry", "x", F.get("ids", F.lit(0)).alias("first"), F.pmod("entry", F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
