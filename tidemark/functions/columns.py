@@ -39,8 +39,10 @@ def valid_on(day: Column, start: str | Column, end: str | Column, inclusive_end:
 
 
 def exact_decimal(c: Column) -> Column:
-    """A double by its shortest decimal form, so that comparing with a decimal limit is exact."""
-    return c.cast("string").try_cast("decimal(38,15)")
+    """A double by its shortest decimal form, so that comparing with a decimal limit is exact; null if that has no such form, being
+    10^23 or more, or with digits beyond the fifteenth decimal place."""
+    found = c.cast("string").try_cast("decimal(38,15)")
+    return F.when(found.cast("double") == c, found)
 
 
 def tokyo_date(ts: Column) -> Column:

@@ -77,10 +77,20 @@ def forecast_accuracy(forecasts: DataFrame, disclosures: DataFrame) -> DataFrame
 
 def with_any(disclosures: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:
     """Disclosures that carry any of the columns, the newest first."""
-    rows = disclosures.filter(any_present(columns)).orderBy(F.col("disclosed_date").desc_nulls_last(), F.col("disclosed_time").desc_nulls_last(), F.col("disclosure_number").desc_nulls_last())
+    rows = disclosures.filter(any_present(columns)).orderBy(*_newest())
     return rows if limit is None else rows.limit(limit)
 
 
+def with_any_of_each(disclosures: DataFrame, columns: Sequence[str], limit: int) -> DataFrame:
+    """The same for all securities: the `limit` newest of each. The rank cuts rows down before the shuffle."""
+    rank = F.row_number().over(W.partitionBy("security_key").orderBy(*_newest()))
+    return disclosures.filter(any_present(columns)).withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank")
+
+
+def _newest() -> list:
+    return [F.col("disclosed_date").desc_nulls_last(), F.col("disclosed_time").desc_nulls_last(), F.col("disclosure_number").desc_nulls_last()]
+
+
 def revisions(disclosures: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Adds for each column its change from the disclosure before; null if either is missing."""
     by = W.partitionBy("security_key").orderBy("disclosed_date", F.col("disclosed_time").asc_nulls_first(), "disclosure_number")

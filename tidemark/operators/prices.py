@@ -43,18 +43,18 @@ def of_securities(observations: DataFrame, keys: Sequence[str]) -> Column:
     return F.col("security_key").isin(keys)
 
 
-def price_history(observations: DataFrame, security_key: str, today: dt.date, days: int, preferred: str = PREFERRED) -> DataFrame:
-    """The last `days` days of one security with daily and cumulative returns, oldest first.
+def price_history(observations: DataFrame, security_key: str | None, today: dt.date, days: int, preferred: str = PREFERRED) -> DataFrame:
+    """The last `days` days of one security, or of each (None), with daily and cumulative returns, oldest first.
 
-    The security is filtered in the scan; the first daily return in range refers to the day before it. Cumulative
+    A security is filtered in the scan; the first daily return in range refers to the day before it. Cumulative
     returns refer to the first close in range; rows before it have none.
     """
     if not 1 <= days <= 3650:
         raise ValueError("days must be between 1 and 3650")
-    rows = daily_return(preferred_price(observations, preferred, of_securities(observations, [security_key])))
+    rows = daily_return(preferred_price(observations, preferred, None if security_key is None else of_securities(observations, [security_key])))
     rows = rows.filter(F.col("obs_date") >= F.lit(today - dt.timedelta(days=days)))
     base = F.first("close_price", ignorenulls=True).over(W.partitionBy("security_key").orderBy("obs_date"))
-    return rows.withColumn("_base", base).withColumn("cumulative_return", F.when(F.col("_base") != 0, F.col("close_price") / F.col("_base") - 1)).drop("_base").orderBy("obs_date")
+    return rows.withColumn("_base", base).withColumn("cumulative_return", F.when(F.col("_base") != 0, F.col("close_price") / F.col("_base") - 1)).drop("_base").orderBy("obs_date", "security_key")
 
 
 def latest_prices(observations: DataFrame, keys: Sequence[str], preferred: str = PREFERRED) -> DataFrame:

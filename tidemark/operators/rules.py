@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.columns import exact_decimal, pick_first, tokyo_date, valid_on
 
+#: Operators, statuses and reasons, and what makes an event, are the contract of stored rules and events.
 OPERATORS = ("lt", "lte", "gt", "gte", "crosses_below", "crosses_above")
 #: What makes an event: rows that share these are judged together.
 EVENT = ("security_key", "fiscal_year_end", "actual_disclosure_number", "actual_disclosed_date", "reporting_scope", "accounting_standard")
@@ -22,14 +23,16 @@ def reason_of(as_of: Column) -> Column:
 
 
 def holds() -> Column:
-    """Whether the operator of a row holds; thresholds are compared as exact decimals."""
-    observed, limit, operator = exact_decimal(F.col("observed_value")), F.col("threshold_value").cast("decimal(20,4)"), F.col("operator")
+    """Whether the operator of a row holds; thresholds are compared as exact decimals, values without such a form as doubles."""
+    limit, operator = F.col("threshold_value").cast("decimal(20,4)"), F.col("operator")
+    exact, rough = exact_decimal(F.col("observed_value")), F.col("observed_value").cast("double")
+    compare = lambda f: F.when(exact.isNotNull(), f(exact, limit)).otherwise(f(rough, limit.cast("double")))
     reference, current = F.col("reference_value"), F.col("current_value")
     found = (
-        F.when(operator == "lt", observed < limit)
-        .when(operator == "lte", observed <= limit)
-        .when(operator == "gt", observed > limit)
-        .when(operator == "gte", observed >= limit)
+        F.when(operator == "lt", compare(lambda a, b: a < b))
+        .when(operator == "lte", compare(lambda a, b: a <= b))
+        .when(operator == "gt", compare(lambda a, b: a > b))
+        .when(operator == "gte", compare(lambda a, b: a >= b))
         .when(operator == "crosses_below", (reference >= 0) & (current < 0))
         .when(operator == "crosses_above", (reference <= 0) & (current > 0))
     )
@@ -101,19 +104,39 @@ def insert_absent(log: DataFrame, found: DataFrame, keys: list[str]) -> DataFram
     return log.unionByName(fresh.select(*log.columns))
 
 
-def expand_scopes(assignments: DataFrame, members: DataFrame, mandates: DataFrame, everyone: DataFrame, day: Column) -> DataFrame:
+def evaluate_rule(facts: DataFrame, rules: DataFrame, scope: DataFrame, as_of: Column, mode: str, log: DataFrame | None = None, keys: tuple[str, ...] = ("rule_id", "event_key", "mode")) -> DataFrame:
+    """Rules over the facts in their scopes that could be seen on a day: the events, or with a log those that it does not have yet.
+
+    rules: as for evaluate_rules, with created_at. scope: (rule_id, security_key), as expand_scopes gives them. mode: live takes only
+    what was disclosed after the day, in Tokyo, on which the rule was made; replay takes all.
+    """
+    if mode not in ("live", "replay"):
+        raise ValueError("mode must be live or replay")
+    visible = facts.filter(F.col("available_on") <= as_of)
+    events = evaluate_rules(visible, rules.drop("created_at"), as_of).join(scope.select("rule_id", "security_key").distinct(), ["rule_id", "security_key"], "left_semi")
+    if mode == "live":
+        made = rules.groupBy("rule_id").agg(tokyo_date(F.min("created_at")).alias("_made"))
+        events = events.join(made, "rule_id").filter(F.col("actual_disclosed_date") > F.col("_made")).drop("_made")
+    events = events.withColumn("mode", F.lit(mode))
+    return events if log is None else events.dropDuplicates(list(keys)).join(log.select(*keys), list(keys), "left_anti")
+
+
+def expand_scopes(assignments: DataFrame, members: DataFrame, mandates: DataFrame, watchlist: DataFrame, day: Column) -> DataFrame:
     """(rule_id, target_id) of the targets in each rule's scope on a day, each once.
 
-    assignments: rule_id, scope_type (target, theme, mandate, all), scope_id. members: theme_id, target_id, valid_from, valid_to;
-    mandates: mandate_id, target_id, effective_from, effective_until (half-open both). everyone: target_id.
+    assignments: rule_id, scope_type (target, theme, mandate, watchlist), scope_id, watchlist_status (null takes every entry).
+    members: theme_id, target_id, valid_from, valid_to; mandates: mandate_id, target_id, status, effective_from, effective_until, and
+    version_from, version_until of the mandate's version (half-open all; only active assignments count). watchlist: target_id, status.
     """
     of = lambda kind: assignments.filter(F.col("scope_type") == kind)
     direct = of("target").select("rule_id", F.col("scope_id").alias("target_id"))
     theme = of("theme").join(members.filter(valid_on(day, "valid_from", "valid_to")), F.col("scope_id") == F.col("theme_id")).select("rule_id", "target_id")
-    mandate = of("mandate").join(mandates.filter(valid_on(day, "effective_from", "effective_until")), F.col("scope_id") == F.col("mandate_id")).select("rule_id", "target_id")
-    whole = of("all").select("rule_id").distinct().hint("broadcast").crossJoin(everyone.select("target_id")) if everyone is not None else None
-    found = direct.unionByName(theme).unionByName(mandate)
-    return (found.unionByName(whole) if whole is not None else found).distinct()
+    valid = (F.col("status") == "active") & valid_on(day, "effective_from", "effective_until") & valid_on(day, "version_from", "version_until")
+    mandate = of("mandate").join(mandates.filter(valid), F.col("scope_id") == F.col("mandate_id")).select("rule_id", "target_id")
+    # Each entry's own status and the status "any", so that rules meet entries by an equal key.
+    entries = watchlist.select("target_id", F.explode(F.array("status", F.lit("*any*"))).alias("_status"))
+    watched = of("watchlist").withColumn("_status", F.coalesce("watchlist_status", F.lit("*any*"))).join(entries, "_status").select("rule_id", "target_id")
+    return direct.unionByName(theme).unionByName(mandate).unionByName(watched).distinct()
 
 
 def work_queue(evaluations: DataFrame, responses: DataFrame, today: Column, state: str | None = None, mode: str | None = "live", limit: int = 200) -> DataFrame:
@@ -170,10 +193,12 @@ def delete_rules(tables: dict[str, DataFrame], ids: DataFrame) -> tuple[dict[str
 def rule_violations(rules: DataFrame) -> DataFrame:
     """(rule_id, violation) of conditions and scopes that say what they must not.
 
-    rules: rule_id, position, comparison_type, operator, threshold_value, target_id, theme_id, mandate_id.
+    rules: rule_id, position, comparison_type, operator, threshold_value, target_id, theme_id, mandate_id, and scope_type where there are
+    watchlist rules, which name none of the three.
     """
     crossing = F.col("operator").startswith("crosses_")
     scopes = sum(F.col(c).isNotNull().cast("int") for c in ("target_id", "theme_id", "mandate_id"))
+    wanted = F.when(F.col("scope_type") == "watchlist", 0).otherwise(1) if "scope_type" in rules.columns else F.lit(1)
     rules = rules.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("rule_id")))
     found = F.array(
         F.when(~F.col("operator").isin(*OPERATORS), "operator_unknown"),
@@ -181,7 +206,7 @@ def rule_violations(rules: DataFrame) -> DataFrame:
         F.when((F.col("comparison_type") != "sign_transition") & crossing, "crossing_needs_sign"),
         F.when(crossing & F.col("threshold_value").isNotNull(), "crossing_takes_no_threshold"),
         F.when(~crossing & F.col("threshold_value").isNull(), "threshold_missing"),
-        F.when(scopes != 1, "one_scope_needed"),
+        F.when(scopes != wanted, "one_scope_needed"),
         F.when(F.col("_n") > 20, "too_many_conditions"),
     )
     return rules.withColumn("violation", F.explode(F.filter(found, lambda x: x.isNotNull()))).select("rule_id", "violation").distinct()
@@ -197,10 +222,10 @@ def response_violations(responses: DataFrame) -> DataFrame:
     return responses.withColumn("violation", F.explode(F.filter(found, lambda x: x.isNotNull()))).select("response_id", "violation")
 
 
-def explain_nothing(facts: DataFrame, as_of: Column, created: Column) -> DataFrame:
-    """Why a rule gave no events: no_data, not_yet_public, only_before_registration, or has_events; one scan."""
+def explain_nothing(facts: DataFrame, as_of: Column, created: Column, mode: str = "live") -> DataFrame:
+    """Why a rule gave no events: no_data, not_yet_public, only_before_registration (live rules only), or has_events; one scan."""
     public = F.col("available_on") <= as_of
     later = public & (F.col("actual_disclosed_date") > tokyo_date(created))
     counts = facts.agg(F.count(F.lit(1)).alias("n_facts"), F.count_if(public).alias("n_public"), F.count_if(later).alias("n_live"))
-    answer = F.when(F.col("n_facts") == 0, "no_data").when(F.col("n_public") == 0, "not_yet_public").when(F.col("n_live") == 0, "only_before_registration").otherwise("has_events")
+    answer = F.when(F.col("n_facts") == 0, "no_data").when(F.col("n_public") == 0, "not_yet_public").when(F.lit(mode == "live") & (F.col("n_live") == 0), "only_before_registration").otherwise("has_events")
     return counts.withColumn("explanation", answer)

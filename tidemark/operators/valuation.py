@@ -46,6 +46,7 @@ def point_in_time_pbr(prices: DataFrame, disclosures: DataFrame, sources: Sequen
         "accounting_standard",
         "reporting_scope",
         F.col("bps").alias("reported_bps"),
+        F.col("ingestion_run_id").alias("financial_ingestion_run_id"),
     )
     rows = asof_join(curve, facts, "security_key", "obs_date", "financial_disclosed_date", facts.columns[1:])
     at_end = curve.select("security_key", F.col("obs_date").alias("_day"), F.col("cumulative_adjustment_factor").alias("_end_factor"), F.col("invalid_factor_count").alias("_end_invalid"))
