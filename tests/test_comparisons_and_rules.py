@@ -97,3 +97,27 @@ def test_availability_shares_sum_to_one(spark):
     df = years(spark, {"operating_income": 85}, {"next_forecast_operating_income": 100}).withColumn("available_at", F.col("disclosed_date").cast("timestamp"))
     assert sum(r.row_rate for r in analyses.availability(c.metric_comparison_fact(df)).collect()) == pytest.approx(1.0)
     assert checks.reference_not_before(c.metric_comparison_fact(df)).count() == 0
+
+
+def test_values_beyond_the_decimal_form_are_judged(spark):
+    """A value too large or too small for an exact decimal is compared as a double."""
+    rows = [(1e24, "gt", "1"), (-1e24, "gt", "1"), (1e-17, "gt", "0"), (0.1, "lte", "0.1"), (-1e300, "lt", "-5")]
+    df = spark.createDataFrame(rows, "observed_value double, operator string, threshold_value string").withColumns({"reference_value": F.lit(None).cast("double"), "current_value": F.lit(None).cast("double")})
+    assert [r[0] for r in df.select(rules.holds()).collect()] == [True, False, True, True, True]
+
+
+def test_rules_run_over_their_scopes_once(spark):
+    """Live runs take what was disclosed after the rule's day in Tokyo; a second run finds nothing new; hidden facts take no part."""
+    fact = "security_key string, fiscal_year_end date, actual_disclosure_number string, actual_disclosed_date date, reporting_scope string, accounting_standard string, metric_key string, comparison_type string, available_on date, input_status string, observed_value double, reference_value double, current_value double"
+    end = dt.date(2025, 3, 31)
+    row = lambda s, n, d, a: (s, end, n, dt.date(2026, 5, d), "consolidated", "IFRS", "revenue", "yoy", dt.date(2026, 5, a), "ok", -30.0, 1.0, 1.0)
+    facts = spark.createDataFrame([row("A", "1", 2, 3), row("A", "2", 3, 4), row("A", "3", 20, 21), row("B", "4", 3, 4)], fact)
+    made = dt.datetime(2026, 5, 1, 16)  # the second of May in Tokyo
+    rule = spark.createDataFrame([(7, "all", 1, "revenue", "yoy", "lt", "-20", made)], "rule_id long, logic string, position int, metric_key string, comparison_type string, operator string, threshold_value string, created_at timestamp")
+    scope = spark.createDataFrame([(7, "A")], "rule_id long, security_key string")
+    day = F.lit(dt.date(2026, 5, 10))
+    run = lambda mode, log=None: rules.evaluate_rule(facts, rule, scope, day, mode, log)
+    assert [r.actual_disclosure_number for r in run("live").collect()] == ["2"]
+    replay = run("replay")
+    assert sorted((r.actual_disclosure_number, r.status) for r in replay.collect()) == [("1", "fired"), ("2", "fired")]
+    assert run("replay", replay).count() == 0 and run("live", replay).count() == 1
