@@ -16,8 +16,8 @@ from tests.helpers import make, prices
 
 
 def test_codes_and_document_types(spark):
-    rows = spark.createDataFrame([(c,) for c in ("72030", "408A0", "13010", "25935", "94346", "7203", "720300")], "c string")
-    assert [r[0] for r in rows.select(n.ticker_of(F.col("c"))).collect()] == ["7203.T", "408A.T", "1301.T", None, None, None, None]
+    rows = spark.createDataFrame([(c,) for c in ("41230", "408A0", "13010", "25935", "94346", "7203", "412300")], "c string")
+    assert [r[0] for r in rows.select(n.ticker_of(F.col("c"))).collect()] == ["4123.T", "408A.T", "1301.T", None, None, None, None]
     standard, scope = n.reporting(F.col("t"))
     kinds = spark.createDataFrame([(t,) for t in ("FYFinancialStatements_Consolidated_JP", "1QFinancialStatements_NonConsolidated_IFRS", "EarnForecastRevision", "REITEarnForecastRevision", None)], "t string")
     assert [tuple(r) for r in kinds.select(standard, scope).collect()] == [("JP", "consolidated"), ("IFRS", "non_consolidated"), (None, None), (None, "non_consolidated"), (None, None)]
@@ -28,7 +28,7 @@ def test_numbers(spark):
     assert [r[0] for r in rows.select(n.whole(F.col("v"))).collect()] == [2, 4, -2, None, None, None]
 
 
-def quote(day, close, run, code="72030", **more):
+def quote(day, close, run, code="41230", **more):
     return {"Date": day, "Code": code, "C": close, "AdjC": close, "UL": "0", "LL": "1", "ingestion_run_id": run} | more
 
 
@@ -41,7 +41,7 @@ def test_price_build_and_lake(spark, tmp_path):
     records = raw_prices(spark, rows)
     built = ingest.build_prices(records, "jpx")
     got = {(r.jpx_code, str(r.obs_date)): (r.close_price, r.target_key, r.upper_limit_flag, r.lower_limit_flag) for r in built.collect()}
-    assert got == {("72030", "2026-07-01"): (101.0, "7203.T", False, True), ("72030", "2025-07-01"): (None, "7203.T", False, True), ("25935", "2026-07-02"): (5.0, None, False, True)}
+    assert got == {("41230", "2026-07-01"): (101.0, "4123.T", False, True), ("41230", "2025-07-01"): (None, "4123.T", False, True), ("25935", "2026-07-02"): (5.0, None, False, True)}
     assert ingest.rejected_prices(records).count() == 1
     assert ingest.source_counts(records, built, ingest.PRICE_KEYS).first()["unmapped"] == 1
 
@@ -56,7 +56,7 @@ def test_price_build_and_lake(spark, tmp_path):
 
 
 def test_financial_build(spark):
-    one = {"Code": "72030", "DiscNo": "1", "DiscDate": "2026-05-01", "DocType": "FYFinancialStatements_NonConsolidated_JP", "CurPerType": "FY", "Sales": "10", "NCSales": "7.5", "BPS": "1", "NCBPS": "2.25", "DivAnn": "3", "ingestion_run_id": 1}
+    one = {"Code": "41230", "DiscNo": "1", "DiscDate": "2026-05-01", "DocType": "FYFinancialStatements_NonConsolidated_JP", "CurPerType": "FY", "Sales": "10", "NCSales": "7.5", "BPS": "1", "NCBPS": "2.25", "DivAnn": "3", "ingestion_run_id": 1}
     rows = make(spark, schemas.RAW_FINANCIAL + ", ingestion_run_id bigint", [one, one | {"ingestion_run_id": 2}, one | {"DiscNo": "2", "DocType": "FYFinancialStatements_Consolidated_JP"}])
     got = {r.disclosure_number: r for r in ingest.build_financials(rows, "jpx").collect()}
     assert (got["1"].revenue, got["1"].bps, got["1"].ingestion_run_id, got["1"].reporting_scope) == (8, 2.25, 2, "non_consolidated")
@@ -75,13 +75,13 @@ def test_incremental_equals_full(spark):
 
 def test_raw_files_never_change(spark, tmp_path):
     path = sinks.raw_path(str(tmp_path), "jpx", "prices", dt.date(2026, 7, 1), 3)
-    first = sinks.put_raw(spark, [{"Code": "72030", "C": "1"}], path)
-    assert sinks.put_raw(spark, [{"Code": "72030", "C": "1"}], path) == first
+    first = sinks.put_raw(spark, [{"Code": "41230", "C": "1"}], path)
+    assert sinks.put_raw(spark, [{"Code": "41230", "C": "1"}], path) == first
     with pytest.raises(ValueError):
-        sinks.put_raw(spark, [{"Code": "72030", "C": "2"}], path)
+        sinks.put_raw(spark, [{"Code": "41230", "C": "2"}], path)
     runs = spark.createDataFrame([(3, "prices", "succeeded", path), (4, "prices", "failed", path), (5, "prices", "succeeded", None)], "ingestion_run_id long, job_type string, status string, raw_path string")
     found = raw.read_arrays(spark, raw.locations(runs, "prices"), schemas.RAW_PRICE).collect()
-    assert [(r.Code, r.C, r.ingestion_run_id) for r in found] == [("72030", "1", 3)]
+    assert [(r.Code, r.C, r.ingestion_run_id) for r in found] == [("41230", "1", 3)]
     assert raw.locations(runs, "prices", after_run_id=3).count() == 0
 
 
@@ -101,8 +101,8 @@ def test_manifests_and_payloads(spark, tmp_path):
 
 
 def test_code_list(spark, tmp_path):
-    (tmp_path / "list.csv").write_text("jpx_code,industry\n72030 ,Cars\n13010,Food\n72030,Cars\n", encoding="utf-8-sig")
-    assert [r.code for r in raw.read_codes(spark, str(tmp_path / "list.csv"), "Cars").collect()] == ["72030"]
+    (tmp_path / "list.csv").write_text("jpx_code,industry\n41230 ,Cars\n13010,Food\n41230,Cars\n", encoding="utf-8-sig")
+    assert [r.code for r in raw.read_codes(spark, str(tmp_path / "list.csv"), "Cars").collect()] == ["41230"]
     (tmp_path / "bad.csv").write_text("code\n1\n")
     with pytest.raises(ValueError, match="industry"):
         raw.read_codes(spark, str(tmp_path / "bad.csv"))
@@ -152,10 +152,10 @@ def test_days():
 
 
 def test_search(spark):
-    rows = [("13010", "1301.T", "Kyoku", None), ("72030", "7203.T", "Car 13010", "Car"), ("99990", None, None, "x_%y")]
+    rows = [("13010", "1301.T", "Kyoku", None), ("41230", "4123.T", "Car 13010", "Car"), ("99990", None, None, "x_%y")]
     master = make(spark, schemas.MASTER, [dict(zip(("security_key", "target_key", "company_name", "company_name_english"), r, strict=True)) for r in rows])
     found = lambda t: [r.security_key for r in control.search_securities(master, t).collect()]
-    assert found("13010") == ["13010", "72030"] and found("CAR") == ["72030"] and found("_%") == ["99990"]
+    assert found("13010") == ["13010", "41230"] and found("CAR") == ["41230"] and found("_%") == ["99990"]
 
 
 def test_price_issues(spark):

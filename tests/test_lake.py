@@ -36,7 +36,7 @@ def test_plans(spark, tmp_path):
 
 
 def test_staging(spark, tmp_path):
-    items = [{"Code": "72030", "DiscNo": "1", "DiscDate": "2026-05-08", "DiscTime": "", "DocType": "FYFinancialStatements_Consolidated_IFRS", "CurPerType": "FY", "Sales": "10", "NCSales": "3", "OP": "x"}]
+    items = [{"Code": "41230", "DiscNo": "1", "DiscDate": "2026-05-08", "DiscTime": "", "DocType": "FYFinancialStatements_Consolidated_IFRS", "CurPerType": "FY", "Sales": "10", "NCSales": "3", "OP": "x"}]
     for run in (1, 2):
         (tmp_path / f"run-{run}.json.gz").write_bytes(gzip.compress(json.dumps(items).encode()))
     runs = spark.createDataFrame(
@@ -45,7 +45,7 @@ def test_staging(spark, tmp_path):
     )
     rows = raw.responses_of_runs(runs, "fin", str(tmp_path), "s", "e")
     (r,) = staging.financial_disclosure(rows).collect()
-    assert (r.ingestion_run_id, r.security_key, r.accounting_standard, r.reporting_scope, float(r.revenue), r.operating_income) == (2, "7203.T", "IFRS", "consolidated", 10.0, None)
+    assert (r.ingestion_run_id, r.security_key, r.accounting_standard, r.reporting_scope, float(r.revenue), r.operating_income) == (2, "4123.T", "IFRS", "consolidated", 10.0, None)
     assert str(r.available_at) == "2026-05-08 14:59:59"
     assert {str(x.snapshot_date) for x in rows.collect()} == {"2026-05-09"}
     lost = raw.without_lost(spark.createDataFrame([(1, str(tmp_path / "gone")), (2, "gs://bucket/x"), (3, str(tmp_path))], "ingestion_run_id long, location string"))

@@ -34,16 +34,16 @@ def test_securities_of_one_ticker_do_not_mix(spark):
 
 
 def test_history(spark):
-    found = p.price_history(prices(spark, closes(100.0, 110.0, 99.0)), "72030", day(3), 30).collect()
+    found = p.price_history(prices(spark, closes(100.0, 110.0, 99.0)), "41230", day(3), 30).collect()
     assert [None if r.daily_return is None else round(r.daily_return, 6) for r in found] == [None, 0.1, -0.1]
     assert [round(r.cumulative_return, 6) for r in found] == [0.0, 0.1, -0.01]
-    late = p.price_history(prices(spark, closes(100.0, 110.0, 99.0)), "72030", day(3), 1).collect()
+    late = p.price_history(prices(spark, closes(100.0, 110.0, 99.0)), "41230", day(3), 1).collect()
     assert [round(r.daily_return, 6) for r in late] == [0.1, -0.1]
     with pytest.raises(ValueError):
-        p.price_history(prices(spark, closes(1.0)), "72030", dt.date(2026, 1, 1), 0)
+        p.price_history(prices(spark, closes(1.0)), "41230", dt.date(2026, 1, 1), 0)
 
 
 def test_latest(spark):
     rows = prices(spark, closes(1.0, 2.0))
-    assert [(r.security_key, r.close_price) for r in p.latest_prices(rows, ["72030", "none"]).collect()] == [("72030", 2.0)]
+    assert [(r.security_key, r.close_price) for r in p.latest_prices(rows, ["41230", "none"]).collect()] == [("41230", 2.0)]
     assert p.latest_prices(rows, []).count() == 0
