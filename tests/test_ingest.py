@@ -112,12 +112,16 @@ def test_stream_of_files(spark, tmp_path):
     source = tmp_path / "raw"
     source.mkdir()
     put = lambda name, rows: (source / name).write_text(json.dumps(rows))
-    run = lambda: incremental.follow(spark, str(source), "k long, ingestion_run_id long, v long", lambda b: b, ["k"], str(tmp_path / "out"), str(tmp_path / "marks")).awaitTermination()
+    run = lambda: incremental.follow(spark, str(source), "k long, ingestion_run_id long, v long", lambda b: b, ["k"], F.col("k") % 2, str(tmp_path / "out"), str(tmp_path / "marks")).awaitTermination()
     put("1.json", [{"k": 1, "ingestion_run_id": 1, "v": 5}, {"k": 2, "ingestion_run_id": 1, "v": 6}])
     run()
     put("2.json", [{"k": 1, "ingestion_run_id": 2, "v": 7}])
     run()
-    assert sorted((r.k, r.v) for r in incremental.current(spark, str(tmp_path / "out")).collect()) == [(1, 7), (2, 6)]
+    now = lambda: sorted((r.k, r.v) for r in incremental.current(spark, str(tmp_path / "out")).collect())
+    assert now() == [(1, 7), (2, 6)]
+    assert [p.name for p in sorted((tmp_path / "out/rows/batch=1").glob("part=*"))] == ["part=1"]  # the other part is not written again
+    incremental.current(spark, str(tmp_path / "out")).selectExpr("k", "ingestion_run_id", "-1L as v", "'1' as part").write.partitionBy("part").parquet(str(tmp_path / "out/rows/batch=9"))
+    assert now() == [(1, 7), (2, 6)]  # without its commit a batch does not count
 
 
 def test_membership(spark):

@@ -29,6 +29,7 @@ def test_plans(spark, tmp_path):
     assert "PushedFilters" in one and "isnull(jpx_code" in one and "turnover_value" not in one and one.count("hashpartitioning") == 1
     assert plan(lake.run("daily_return")).count("hashpartitioning") == 1
     assert plan(lake.run("point_in_time_forecast")).count("hashpartitioning") == 1
+    assert plan(lake.run("point_in_time_pbr")).count("hashpartitioning") == 2  # prices and disclosures, each once
     assert "WindowGroupLimit" in plan(prices.latest_prices(lake.observations(), ["90010"]))
     year = plan(lake.spark.read.parquet(f"{tmp_path}/observed/market_price").filter("year = 2026"))
     assert "PartitionFilters: [isnotnull(year" in year
@@ -43,7 +44,7 @@ def test_staging(spark, tmp_path):
         [(i, "fin", "succeeded", str(tmp_path / f"run-{i}.json.gz"), None, dt.datetime(2026, 5, 9, i)) for i in (1, 2)],
         "ingestion_run_id long, job_type string, status string, raw_path string, snapshot_date date, fetched_at timestamp",
     )
-    rows = raw.responses_of_runs(runs, "fin", str(tmp_path), "s", "e")
+    rows = raw.responses_of_runs(runs, "fin", "s", "e")
     (r,) = staging.financial_disclosure(rows).collect()
     assert (r.ingestion_run_id, r.security_key, r.accounting_standard, r.reporting_scope, float(r.revenue), r.operating_income) == (2, "4123.T", "IFRS", "consolidated", 10.0, None)
     assert str(r.available_at) == "2026-05-08 14:59:59"

@@ -4,27 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.asof import asof_join
 from ..functions.columns import pick_first
 
 
-def factor_curve(prices: DataFrame) -> DataFrame:
-    """Adds the running adjustment factor (invalid ones count as 1), how many were invalid so far, and where the curve begins."""
-    upto = W.partitionBy("security_key").orderBy("obs_date").rowsBetween(W.unboundedPreceding, W.currentRow)
+def _curve(rows: DataFrame, day: Column, counts: Column) -> DataFrame:
+    """The curve over rows in the order of a day; only those that count move it, and they come first on their day."""
+    upto = W.partitionBy("security_key").orderBy(day.asc_nulls_first(), F.when(counts, 0).otherwise(1)).rowsBetween(W.unboundedPreceding, W.currentRow)
     valid = F.coalesce(F.col("adjustment_factor") > 0, F.lit(False))
-    return prices.withColumns(
+    return rows.withColumns(
         {
-            "factor_coverage_start": F.min("obs_date").over(upto),
-            "invalid_factor_count": F.sum(F.when(valid, 0).otherwise(1)).over(upto),
-            "cumulative_adjustment_factor": F.exp(F.sum(F.ln(F.when(valid, F.col("adjustment_factor")).otherwise(1.0))).over(upto)),
+            "factor_coverage_start": F.min(F.when(counts, day)).over(upto),
+            "invalid_factor_count": F.sum(F.when(valid | ~counts, 0).otherwise(1)).over(upto),
+            "cumulative_adjustment_factor": F.exp(F.sum(F.ln(F.when(valid & counts, F.col("adjustment_factor")).otherwise(1.0))).over(upto)),
         }
     )
 
 
+def factor_curve(prices: DataFrame) -> DataFrame:
+    """Adds the running adjustment factor (invalid ones count as 1), how many were invalid so far, and where the curve begins."""
+    return _curve(prices, F.col("obs_date"), F.lit(True))
+
+
 def same_day_order() -> list:
     """Of one day's disclosures: consolidated first, then the latest time, then the highest number."""
     return [F.when(F.col("reporting_scope") == "consolidated", 0).otherwise(1), F.col("disclosed_time").desc_nulls_last(), F.col("disclosure_number").desc_nulls_last()]
@@ -34,23 +38,33 @@ def point_in_time_pbr(prices: DataFrame, disclosures: DataFrame, sources: Sequen
     """Price to book of each day from the latest disclosure strictly before it, with the book value moved by splits since its period.
 
     prices: preferred prices, of which only those of `sources` are used. calculation_status says what the first obstacle was.
+    Prices and disclosures of a security are united once; two windows over that partitioning do the curve and both as-of steps.
     """
-    curve = factor_curve(prices.filter(F.col("source_key").isin(list(sources))))
-    facts = pick_first(disclosures.filter(F.col("bps").isNotNull()), ["security_key", "disclosed_date"], same_day_order())
-    facts = facts.select(
-        "security_key",
-        "disclosure_number",
-        F.col("disclosed_date").alias("financial_disclosed_date"),
-        F.col("disclosed_time").alias("financial_disclosed_time"),
-        F.col("period_end").alias("financial_period_end"),
-        "accounting_standard",
-        "reporting_scope",
-        F.col("bps").alias("reported_bps"),
-        F.col("ingestion_run_id").alias("financial_ingestion_run_id"),
-    )
-    rows = asof_join(curve, facts, "security_key", "obs_date", "financial_disclosed_date", facts.columns[1:])
-    at_end = curve.select("security_key", F.col("obs_date").alias("_day"), F.col("cumulative_adjustment_factor").alias("_end_factor"), F.col("invalid_factor_count").alias("_end_invalid"))
-    rows = asof_join(rows, at_end, "security_key", "financial_period_end", "_day", ["_end_factor", "_end_invalid"], inclusive=True)
+    kept = prices.filter(F.col("source_key").isin(list(sources)))
+    dated = disclosures.filter(F.col("bps").isNotNull() & F.col("security_key").isNotNull() & F.col("disclosed_date").isNotNull())
+    facts = pick_first(dated.repartition("security_key"), ["security_key", "disclosed_date"], same_day_order())
+    fields = {
+        "disclosure_number": "disclosure_number",
+        "financial_disclosed_date": "disclosed_date",
+        "financial_disclosed_time": "disclosed_time",
+        "financial_period_end": "period_end",
+        "accounting_standard": "accounting_standard",
+        "reporting_scope": "reporting_scope",
+        "reported_bps": "bps",
+        "financial_ingestion_run_id": "ingestion_run_id",
+    }
+    facts = facts.select("security_key", F.struct(*(F.col(c).alias(name) for name, c in fields.items())).alias("_fact"))
+    rows = kept.withColumn("_side", F.lit(0)).unionByName(facts.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+
+    # A disclosure stands in the curve at its period's end, after that day's price, and adds nothing to it: so it gets the curve's values there.
+    rows = _curve(rows, F.coalesce("obs_date", "_fact.financial_period_end"), F.col("_side") == 0)
+    placed = F.col("_fact.financial_period_end").isNotNull() & F.col("factor_coverage_start").isNotNull()
+    at_end = F.struct(F.when(placed, F.col("cumulative_adjustment_factor")).alias("factor"), F.when(placed, F.col("invalid_factor_count")).alias("invalid"))
+    rows = rows.withColumn("_known", F.when(F.col("_side") == 1, F.struct("_fact.*", at_end.alias("end"))))
+    # Then it stands at its day, after that day's price: so each price has the latest one strictly before it.
+    upto = W.partitionBy("security_key").orderBy(F.coalesce("obs_date", "_fact.financial_disclosed_date"), "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("_known", F.last("_known", ignorenulls=True).over(upto)).filter("_side = 0")
+    rows = rows.select(*(c for c in rows.columns if c not in ("_side", "_fact", "_known")), *(F.col("_known")[c].alias(c) for c in fields), F.col("_known.end.factor").alias("_end_factor"), F.col("_known.end.invalid").alias("_end_invalid"))
 
     unmoved = F.col("_end_factor").isNotNull() & (F.col("invalid_factor_count") <= F.col("_end_invalid"))
     book = F.col("reported_bps") > 0

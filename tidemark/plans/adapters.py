@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 PRICES = """
@@ -49,15 +51,13 @@ from orders
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
-def bind(spark: SparkSession, sf_dir: str) -> None:
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+_NAMED = re.compile(rf"\b(from|join)\s+({'|'.join(TABLES)})\b")
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Spark resolves the text at once, so later bindings do not change it."""
-    bind(spark, sf_dir)
-    return spark.sql(text)
+    """The text over a folder's tables, which are its arguments: no view of the session is touched, so threads may ask of different folders."""
+    used = {m[1] for m in _NAMED.findall(text)}
+    return spark.sql(_NAMED.sub(r"\1 {\2}", text), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:

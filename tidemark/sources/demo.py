@@ -51,7 +51,7 @@ def disclosures(spark: SparkSession) -> DataFrame:
 
 def build(spark: SparkSession, root: str) -> Lake:
     master = spark.createDataFrame([(c, c, f"{c[:4]}.T", f"Invented {i}") for i, c in enumerate(CODES)], "security_key string, jpx_code string, target_key string, company_name string")
-    sinks.write_by_year(prices(spark).withColumn("security_key", security_key()), f"{root}/observed/market_price", "obs_date", files_per_year=1)
-    sinks.write_by_year(disclosures(spark).withColumn("security_key", security_key()), f"{root}/observed/financial_summary", "disclosed_date", files_per_year=1)
+    sinks.write_by_year(prices(spark).withColumn("security_key", security_key()), f"{root}/observed/market_price", "obs_date")
+    sinks.write_by_year(disclosures(spark).withColumn("security_key", security_key()), f"{root}/observed/financial_summary", "disclosed_date")
     sinks.write_reference(_filled(master, schemas.MASTER), f"{root}/reference/security_master")
     return Lake(spark, root)

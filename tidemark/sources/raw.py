@@ -19,6 +19,12 @@ def locations(runs: DataFrame, job_type: str, after_run_id: int | None = None) -
     return rows.select("ingestion_run_id", F.col("raw_path").alias("location")).orderBy("ingestion_run_id")
 
 
+def pending(runs: DataFrame, base: str) -> DataFrame:
+    """(ingestion_run_id, location) of runs whose raw file is not yet under the published base, in order."""
+    rows = runs.filter(F.col("raw_path").isNotNull() & ~F.col("raw_path").startswith(base.rstrip("/") + "/"))
+    return rows.select("ingestion_run_id", F.col("raw_path").alias("location")).orderBy("ingestion_run_id")
+
+
 def without_lost(found: DataFrame) -> DataFrame:
     """Without local files that are gone; a path in a store stays, so that its absence is an error."""
     rows = [tuple(r) for r in found.collect() if "://" in r["location"] or os.path.exists(r["location"])]
@@ -64,34 +70,46 @@ def _inflated(files: DataFrame) -> DataFrame:
 
 
 def read_manifests(spark: SparkSession, glob: str) -> DataFrame:
-    """Manifests under paths that name an endpoint."""
+    """Manifests under paths that name an endpoint. A file that is no JSON object raises."""
     schema = "run_id string, source string, endpoint string, unit_key string, snapshot_date date, request_url string, fetched_at timestamp, http_status int, record_count bigint, response_sha256 string, local_raw_path string, raw_uri string, status string"
-    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(glob)
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(glob)
     return rows.withColumn("_path", F.col("_metadata.file_path")).filter(F.contains("_path", F.lit("endpoint="))).drop("_path")
 
 
+def _bodies(rows: DataFrame, location: str) -> DataFrame:
+    """The rows with the inflated files that they name, and no others; a file that is not there raises. One path for each file goes through the driver."""
+    spark = rows.sparkSession
+    named = rows.withColumn("_name", _name_column(F.col(location)))
+    paths = [r[0] for r in rows.select(location).distinct().collect()]
+    if not paths:
+        return named.withColumns({"payload_json": F.lit(None).cast("string"), "_sha": F.lit(None).cast("string")})
+    return named.join(_inflated(spark.read.format("binaryFile").load(paths)), "_name")
+
+
 def responses(manifests: DataFrame, folder: str) -> DataFrame:
-    """Manifests with their payload; a body whose hash is not the manifest's raises."""
-    spark = manifests.sparkSession
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json.gz").load(folder)
-    rows = manifests.filter("status = 'succeeded'").withColumn("_name", _name_column(F.col("local_raw_path"))).join(_inflated(files), "_name")
+    """Successful manifests with their payload; a body whose hash is not the manifest's raises. Relative paths are of the folder."""
+    path = F.col("local_raw_path")
+    located = F.when(path.startswith("/") | F.contains(path, F.lit("://")), path).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), path))
+    rows = _bodies(manifests.filter("status = 'succeeded'").withColumn("_at", located), "_at")
     checked = F.when(F.col("_sha") == F.col("response_sha256"), F.col("payload_json")).otherwise(F.raise_error(F.concat(F.lit("hash differs: "), "_name")).cast("string"))
     key = F.concat_ws("/", "source", "endpoint", "unit_key", "response_sha256")
-    return rows.withColumns({"payload_json": checked, "raw_object_key": key}).drop("_sha", "_name")
-
-
-def responses_of_runs(runs: DataFrame, job_type: str, folder: str, source: str, endpoint: str) -> DataFrame:
-    """Successful runs as responses: the file's array under data, its hash, and the snapshot's day (else the fetch's)."""
-    spark = runs.sparkSession
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json.gz").load(folder)
-    wanted = runs.filter((F.col("job_type") == job_type) & (F.col("status") == "succeeded") & F.col("raw_path").isNotNull()).withColumn("_name", _name_column(F.col("raw_path")))
-    rows = wanted.join(_inflated(files), "_name")
-    array = F.when(F.ltrim("payload_json").startswith("[{") | F.ltrim("payload_json").startswith("[]"), F.col("payload_json")).otherwise(F.raise_error(F.concat(F.lit("no array of objects: "), "_name")).cast("string"))
+    return rows.withColumns({"payload_json": checked, "raw_object_key": key}).drop("_sha", "_name", "_at")
+
+
+def responses_of_runs(runs: DataFrame, job_type: str, source: str, endpoint: str) -> DataFrame:
+    """Successful runs as responses: the file's array under data, its hash, and the snapshot's day (else the fetch's, else the run's start)."""
+    wanted = runs.filter((F.col("job_type") == job_type) & (F.col("status") == "succeeded") & F.col("raw_path").isNotNull())
+    rows = _bodies(wanted, "raw_path")
+    found = F.try_parse_json("payload_json")
+    whole = F.coalesce(F.startswith(F.schema_of_variant(found), F.lit("ARRAY<OBJECT")) | (F.schema_of_variant(found) == "ARRAY<VOID>"), F.lit(False))
+    array = F.when(whole, F.col("payload_json")).otherwise(F.raise_error(F.concat(F.lit("no array of objects: "), "_name")).cast("string"))
+    moments = [F.col(c).cast("timestamp") for c in ("fetched_at", "finished_at", "started_at") if c in runs.columns]
+    fetched = F.coalesce(*moments)
     return rows.select(
         F.concat_ws("/", F.lit(source), F.lit(endpoint), F.col("ingestion_run_id").cast("string")).alias("raw_object_key"),
         "ingestion_run_id",
-        F.coalesce("snapshot_date", F.col("fetched_at").cast("date")).alias("snapshot_date"),
-        "fetched_at",
+        F.coalesce("snapshot_date", fetched.cast("date")).alias("snapshot_date"),
+        fetched.alias("fetched_at"),
         F.col("_sha").alias("response_sha256"),
         F.col("raw_path").alias("raw_uri"),
         F.concat(F.lit('{"data":'), array, F.lit("}")).alias("payload_json"),
@@ -105,9 +123,8 @@ def response_years(items: DataFrame, year: str = "fiscal_year") -> DataFrame:
 
 def exploded(responses: DataFrame, array: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
     """One row for each item of a JSON array in the payload. fields: column to (path, type); what does not fit its type is null."""
-    items = responses.withColumn("_v", F.parse_json("payload_json"))
-    items.createOrReplaceTempView("_tidemark_payloads")
-    items = responses.sparkSession.sql(f"select p.*, t.value as _item from _tidemark_payloads p, lateral variant_explode(variant_get(_v, '$.{array}', 'variant')) t")
+    payloads = responses.withColumn("_v", F.parse_json("payload_json"))
+    items = responses.sparkSession.sql(f"select p.*, t.value as _item from {{payloads}} p, lateral variant_explode(variant_get(_v, '$.{array}', 'variant')) t", payloads=payloads)
     return items.select(*responses.columns, *(F.try_variant_get("_item", path, kind).alias(c) for c, (path, kind) in fields.items()), F.to_json("_item").alias("_item_json")).withColumn("source_record_hash", F.sha2("_item_json", 256)).drop("_item_json")
 
 

@@ -5,20 +5,21 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_by_year(df: DataFrame, path: str, day: str, sort: Sequence[str] = ("security_key",), files_per_year: int = 8) -> None:
-    """Zstd Parquet by year. Each year is dealt over some files by key, so that a large year is not one task, and sorted within for pruning by row groups.
+def write_by_year(df: DataFrame, path: str, day: str, sort: Sequence[str] = ("security_key",), rows_per_file: int = 5_000_000) -> None:
+    """Zstd Parquet by year, dealt by ranges of year, key and day: a year has as many tasks as its share of the rows, each file a range of keys for pruning.
 
-    Overwrites the whole dataset: a year that is no longer there goes.
+    The number of ranges is the session's spark.sql.shuffle.partitions. Overwrites the whole dataset: a year that is no longer there goes.
     """
-    rows = df.withColumn("year", F.year(day))
-    rows = rows.repartition("year", F.pmod(F.xxhash64(*sort), F.lit(files_per_year))).sortWithinPartitions("year", *sort, day)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd").partitionBy("year").parquet(path)
+    order = ["year", *sort, day]
+    rows = df.withColumn("year", F.year(day)).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).partitionBy("year").parquet(path)
 
 
 def write_reference(df: DataFrame, path: str) -> None:
@@ -35,24 +36,41 @@ def append_version(df: DataFrame, path: str, version: str) -> str:
 
 def put_raw(spark: SparkSession, records: list, path: str) -> str:
     """Writes one response as gzip JSON and gives its hash. An equal one that is there is success, another one an error."""
-    body = json.dumps(records, ensure_ascii=False, separators=(",", ":")).encode()
+    return put_bytes(spark, json.dumps(records, ensure_ascii=False, separators=(",", ":")).encode(), path)
+
+
+def put_bytes(spark: SparkSession, body: bytes, path: str) -> str:
+    """Writes a body as gzip and gives its hash.
+
+    Each writer has its own part and moves it without overwriting; what then stands there is read back, so of two writers only those of an equal body succeed.
+    This rests on a rename that does not overwrite, as HDFS has; on a local disk two writers within the same instant are not told apart.
+    """
     digest = hashlib.sha256(body).hexdigest()
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        old = spark.read.format("binaryFile").load(path).select("content").first()["content"]
-        if hashlib.sha256(gzip.decompress(bytes(old))).hexdigest() != digest:
-            raise ValueError(f"{path} holds another response")
-        return digest
-    part = jvm.org.apache.hadoop.fs.Path(path + ".part")
-    out = fs.create(part, True)
-    out.write(bytearray(gzip.compress(body, mtime=0)))
-    out.close()
-    if not fs.rename(part, target):
+    if not fs.exists(target):
+        part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+        out = fs.create(part, False)
+        out.write(bytearray(gzip.compress(body, mtime=0)))
+        out.close()
+        if fs.exists(target) or not fs.rename(part, target):
+            fs.delete(part, False)
+    there = read_bytes(spark, path)
+    if there is None:
         raise OSError(f"{path} could not be put in place")
+    if hashlib.sha256(gzip.decompress(there)).hexdigest() != digest:
+        raise ValueError(f"{path} holds another response")
     return digest
 
 
+def read_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """One file's content; None if there is none."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return None
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
+
+
 def raw_path(root: str, source: str, job: str, day, run_id: int) -> str:
     return f"{root.rstrip('/')}/{source}/{job}/{day:%Y/%m/%d}/run-{run_id}.json.gz"
