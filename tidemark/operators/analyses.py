@@ -16,10 +16,10 @@ def _ok(fact: DataFrame, metric: str, kind: str) -> DataFrame:
 
 
 def availability(fact: DataFrame, metric: str = "operating_income", kind: str = "forecast_variance") -> DataFrame:
-    """Rows, securities and share of each status. The window runs over one row for each status."""
+    """Rows, securities and share of each status, the most rows first. The window runs over one row for each status."""
     rows = fact.filter((F.col("metric_key") == metric) & (F.col("comparison_type") == kind))
     counted = rows.groupBy("comparison_status").agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("security_key").alias("security_count"))
-    return counted.withColumn("row_rate", ratio(F.col("row_count"), F.sum("row_count").over(W.partitionBy())))
+    return counted.withColumn("row_rate", ratio(F.col("row_count"), F.sum("row_count").over(W.partitionBy()))).orderBy(F.desc("row_count"), "comparison_status")
 
 
 def _grid(df: DataFrame, thresholds: Sequence[float]) -> DataFrame:
@@ -28,9 +28,9 @@ def _grid(df: DataFrame, thresholds: Sequence[float]) -> DataFrame:
 
 
 def calibration(fact: DataFrame, thresholds: Sequence[float] = (-5, -10, -20, -30, -50), lineage: Sequence[str] = ("raw_uri", "response_sha256", "source_record_hash")) -> DataFrame:
-    """How many comparisons would fire at each threshold in each fiscal year.
+    """How many comparisons would fire at each threshold in each fiscal year, years in order and thresholds from the highest.
 
-    Distinct securities need no distinct aggregate per threshold: a security fires at t in a year if its least value does.
+    The distinct count expands each row once more; both parts are combined before they move.
     """
     fired = F.col("observed_value") <= F.col("threshold")
     traced = F.lit(True)
@@ -43,7 +43,7 @@ def calibration(fact: DataFrame, thresholds: Sequence[float] = (-5, -10, -20, -3
         F.count_distinct(F.when(fired, F.col("security_key"))).alias("fired_securities"),
         F.count_if(fired & traced).alias("fired_with_complete_lineage"),
     )
-    return out.withColumn("fired_rate", ratio(F.col("fired"), F.col("evaluable")))
+    return out.withColumn("fired_rate", ratio(F.col("fired"), F.col("evaluable"))).orderBy("fiscal_year", F.desc("threshold"))
 
 
 def followup(fact: DataFrame, thresholds: Sequence[float] = (-10, -20, -30, -50)) -> DataFrame:

@@ -50,7 +50,7 @@ def select_facts(facts: DataFrame, metrics: Sequence[str], kinds: Sequence[str],
 def _with_prior(first: DataFrame, before: Column, keep: dict[str, str]) -> DataFrame:
     """Left join with the release of the year before on the same basis, if `before` holds. keep: new names of its columns.
 
-    Both sides are keyed by the basis, so one shuffle of each serves the self-join."""
+    The sides differ in the year of their keys, so each is shuffled once; first releases are few beside the disclosures they come from."""
     prior = first.select(
         F.col("security_key").alias("_s"), next_year(F.col("fiscal_year_end")).alias("_y"), F.col("reporting_scope").alias("_r"), F.col("accounting_standard").alias("_a"), *(F.col(c).alias(n) for c, n in keep.items())
     )

@@ -56,6 +56,23 @@ def import_once(imports: DataFrame, theme_id: int, sha256: str) -> bool:
     return imports.filter((F.col("theme_id") == theme_id) & (F.col("sha256") == sha256)).isEmpty()
 
 
+def same_name(a: Column, b: Column) -> Column:
+    """Whether two names differ in nothing but case and outer spaces."""
+    return F.lower(F.trim(a)) == F.lower(F.trim(b))
+
+
+def name_clashes(themes: DataFrame) -> DataFrame:
+    """Active themes whose name another active theme has too. themes: theme_id, theme_name, is_active."""
+    named = themes.filter("is_active").withColumn("_name", F.lower(F.trim("theme_name")))
+    twice = named.groupBy("_name").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 and _name is not null")
+    return named.join(twice, "_name").drop("_name", "_n")
+
+
+def with_ids(rows: DataFrame, targets: DataFrame, key: str = "security_key") -> DataFrame:
+    """Rows with the id and the name that the kept tables have for them; those unknown there keep nulls. targets: key, target_id, target_name."""
+    return rows.join(targets.select(key, "target_id", "target_name"), key, "left")
+
+
 def theme_summary(themes: DataFrame, members: DataFrame, day: Column) -> DataFrame:
     """Themes with the number of their members on a day; empty ones have 0."""
     counted = members.filter(valid_on(day, "valid_from", "valid_to")).groupBy("theme_id").agg(F.count_distinct("target_id").alias("n"))

@@ -142,10 +142,13 @@ def expand_scopes(assignments: DataFrame, members: DataFrame, mandates: DataFram
 def work_queue(evaluations: DataFrame, responses: DataFrame, today: Column, state: str | None = None, mode: str | None = "live", limit: int = 200) -> DataFrame:
     """Evaluations with what was answered so far, the newest disclosure first.
 
+    The disclosure's day is actual_disclosed_date, or without that column the field of the evidence's JSON; what is no date comes last.
     State: unhandled (fired, no answer), actionable (that, or deferred to a day that has come), deferred (to a later day), settled.
     """
     answered = responses.groupBy("evaluation_id").agg(F.count(F.lit(1)).alias("response_count"), F.max_by(F.struct("disposition", "next_review_on"), "response_id").alias("_last"))
     rows = evaluations if mode is None else evaluations.filter(F.col("mode") == mode)
+    if "actual_disclosed_date" not in rows.columns:
+        rows = rows.withColumn("actual_disclosed_date", F.get_json_object("evidence", "$.actual_disclosed_date").try_cast("date"))
     rows = rows.join(answered, "evaluation_id", "left")
     rows = rows.withColumns({"response_count": F.coalesce("response_count", F.lit(0)).cast("long"), "latest_response_disposition": F.col("_last.disposition"), "next_review_on": F.col("_last.next_review_on")}).drop("_last")
     fired, last, due = F.col("status") == "fired", F.col("latest_response_disposition"), F.col("next_review_on") <= today
@@ -190,6 +193,19 @@ def delete_rules(tables: dict[str, DataFrame], ids: DataFrame) -> tuple[dict[str
     return {n: t.join(named, "rule_id", "left_anti") for n, t in tables.items()}, total
 
 
+def scope_labels(assignments: DataFrame, targets: DataFrame, mandates: DataFrame, themes: DataFrame, everything: str = "watchlist") -> DataFrame:
+    """Adds scope_label: the name of the target, mandate or theme that an assignment is for, or the watchlist and the status it is limited to.
+
+    assignments: scope_type, scope_id, watchlist_status. The other tables: an id and a name each; they are one row for each thing people keep.
+    """
+    names = {"target": (targets, "target_id", "target_name"), "mandate": (mandates, "mandate_id", "mandate_name"), "theme": (themes, "theme_id", "theme_name")}
+    rows, label = assignments, F.when(F.col("scope_type") == "watchlist", F.concat_ws(": ", F.lit(everything), "watchlist_status"))
+    for kind, (table, key, name) in names.items():
+        rows = rows.join(table.select(F.col(key).alias(f"_{kind}"), F.col(name).alias(f"_{kind}_name")), (F.col("scope_type") == kind) & (F.col("scope_id") == F.col(f"_{kind}")), "left")
+        label = label.when(F.col("scope_type") == kind, F.col(f"_{kind}_name"))
+    return rows.withColumn("scope_label", label).select(*assignments.columns, "scope_label")
+
+
 def rule_violations(rules: DataFrame) -> DataFrame:
     """(rule_id, violation) of conditions and scopes that say what they must not.
 

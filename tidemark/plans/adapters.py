@@ -57,7 +57,8 @@ _NAMED = re.compile(rf"\b(from|join)\s+({'|'.join(TABLES)})\b")
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """The text over a folder's tables, which are its arguments: no view of the session is touched, so threads may ask of different folders."""
     used = {m[1] for m in _NAMED.findall(text)}
-    return spark.sql(_NAMED.sub(r"\1 {\2}", text), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    plain = text.replace("{", "{{").replace("}", "}}")
+    return spark.sql(_NAMED.sub(r"\1 {\2}", plain), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:

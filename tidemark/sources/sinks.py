@@ -40,28 +40,39 @@ def put_raw(spark: SparkSession, records: list, path: str) -> str:
 
 
 def put_bytes(spark: SparkSession, body: bytes, path: str) -> str:
-    """Writes a body as gzip and gives its hash.
+    """Writes a body as gzip and gives its hash. An equal one that is there is success, another one an error."""
+    put_packed(spark, gzip.compress(body, mtime=0), path)
+    return hashlib.sha256(body).hexdigest()
 
-    Each writer has its own part and moves it without overwriting; what then stands there is read back, so of two writers only those of an equal body succeed.
+
+def put_packed(spark: SparkSession, packed: bytes, path: str) -> None:
+    """Writes a gzip file as it is; what is there already is compared by what it holds."""
+    if gzip.decompress(put_plain(spark, packed, path, compare=False)) != gzip.decompress(packed):
+        raise ValueError(f"{path} holds another response")
+
+
+def put_plain(spark: SparkSession, content: bytes, path: str, compare: bool = True) -> bytes:
+    """Writes a file that is not there yet and gives what then stands there.
+
+    Each writer has its own part and moves it without overwriting; what then stands there is read back, so of two writers only those of an equal content succeed.
     This rests on a rename that does not overwrite, as HDFS has; on a local disk two writers within the same instant are not told apart.
     """
-    digest = hashlib.sha256(body).hexdigest()
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(target):
         part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
         out = fs.create(part, False)
-        out.write(bytearray(gzip.compress(body, mtime=0)))
+        out.write(bytearray(content))
         out.close()
         if fs.exists(target) or not fs.rename(part, target):
             fs.delete(part, False)
     there = read_bytes(spark, path)
     if there is None:
         raise OSError(f"{path} could not be put in place")
-    if hashlib.sha256(gzip.decompress(there)).hexdigest() != digest:
-        raise ValueError(f"{path} holds another response")
-    return digest
+    if compare and there != content:
+        raise ValueError(f"{path} holds another content")
+    return there
 
 
 def read_bytes(spark: SparkSession, path: str) -> bytes | None:
