@@ -85,3 +85,50 @@ select page_id, c.host, path, rule, coalesce(said, case when purity > 0.8 and l
     case when len(t) = 0 then '' else '/' || array_to_string(t, '/') end as template, round(purity, 9) as purity
 from cut c left join template x on c.host = x.host and c.parts = x.parts left join level v on x.host = v.host and x.t = v.node
 """
+
+
+def _lloyd(rounds: int = 4) -> str:
+    """Plain Lloyd: every part against every entry, in each round."""
+    steps = [
+        r"""with kept as (
+    select vec_id, label, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+), part as (
+    select vec_id, label, p, list_slice(v, p * (len(v) // 4) + 1, (p + 1) * (len(v) // 4)) as x from kept, (select unnest(range(4)) as p)
+), book0 as (
+    select p, row_number() over (partition by p order by vec_id) - 1 as e, x from part qualify e < 256
+)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""near{i} as (
+    select vec_id, label, p, x, min({{'d': d, 'e': e}}) as best from (
+        select part.vec_id, part.label, part.p, part.x, e, list_sum(list_transform(list_zip(part.x, b.x), z -> (z[1] - z[2]) * (z[1] - z[2]))) as d from part join book{i} b on b.p = part.p
+    ) group by all
+)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""mean{i} as (
+    select p, e, list(m order by j) as x from (
+        select p, best.e as e, j, cast(floor(sum(x[j]) / count(*)) as bigint) as m from (select *, unnest(range(1, len(x) + 1)) as j from near{i}) group by all
+    ) group by all
+), book{i + 1} as (
+    select b.p, b.e, coalesce(m.x, b.x) as x from book{i} b left join mean{i} m on m.p = b.p and m.e = b.e
+)"""
+            )
+    return (
+        ", ".join(steps)
+        + f""", coded as (
+    select vec_id, any_value(label) as label, string_agg(format('{{:02x}}', best.e), '' order by p) as code, cast(sum(best.d) as bigint) as error from near{rounds} group by vec_id
+), by_label as (
+    select label, cast(sum(error) as bigint) as label_error from coded group by label
+), flat as (
+    select sha256(string_agg(array_to_string(x, ','), ',' order by p, e)) as codebooks_sha256 from book{rounds}
+)
+select vec_id, code, error, label_error, codebooks_sha256 from coded join by_label on coded.label is not distinct from by_label.label cross join flat
+"""
+    )
+
+
+OP11_ORACLE = _lloyd()

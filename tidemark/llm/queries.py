@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, html_text, language, minhash, pii, quality, sharding, url_filter
-from .oracles import OP5_ORACLE, OP7_ORACLE, OP10_ORACLE
+from . import ann, bpe, codebooks, decontaminate, html_text, language, minhash, pii, quality, sharding, url_filter
+from .oracles import OP5_ORACLE, OP7_ORACLE, OP10_ORACLE, OP11_ORACLE
 from .shared import table, text_of
 
 QUERIES = {}
 #: The others have no SQL: fitted models, merges, approximate search, keyed permutations, packing.
-ORACLES = {"op5_decontaminate": OP5_ORACLE, "op7_urls": OP7_ORACLE, "op10_near_duplicates": OP10_ORACLE}
+ORACLES = {"op5_decontaminate": OP5_ORACLE, "op7_urls": OP7_ORACLE, "op10_near_duplicates": OP10_ORACLE, "op11_codebooks": OP11_ORACLE}
 
 
 def query(f):
@@ -109,3 +109,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.search(rows, F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op11_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, entries = codebooks.train(table(spark, sf_dir, "embeddings"))
+    found = codebooks.with_label_error(codes)
+    return found.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codebooks.digest(entries)).alias("codebooks_sha256"))

@@ -69,6 +69,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what materialize() wrote for df, once nothing will read it again."""
+    spark = df.sparkSession
+    own = f"/tidemark-{spark.sparkContext.applicationId}/"
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles() if own in f}:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def clean(spark: SparkSession) -> None:
     """Deletes all that this application has materialized. Call it when no result is needed any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}")
