@@ -91,8 +91,8 @@ def _lloyd(rounds: int = 4) -> str:
     """Plain Lloyd: every part against every entry, in each round."""
     steps = [
         r"""with kept as (
-    select vec_id, label, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
-    where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    select vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), part as (
     select vec_id, label, p, list_slice(v, p * (len(v) // 4) + 1, (p + 1) * (len(v) // 4)) as x from kept, (select unnest(range(4)) as p)
 ), book0 as (
@@ -103,7 +103,7 @@ def _lloyd(rounds: int = 4) -> str:
         steps.append(
             f"""near{i} as (
     select vec_id, label, p, x, min({{'d': d, 'e': e}}) as best from (
-        select part.vec_id, part.label, part.p, part.x, e, list_sum(list_transform(list_zip(part.x, b.x), z -> (z[1] - z[2]) * (z[1] - z[2]))) as d from part join book{i} b on b.p = part.p
+        select part.vec_id, part.label, part.p, part.x, e, list_sum(list_transform(list_zip(part.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from part join book{i} b on b.p = part.p
     ) group by all
 )"""
         )
