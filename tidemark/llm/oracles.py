@@ -132,3 +132,22 @@ select vec_id, code, error, label_error, codebooks_sha256 from coded join by_lab
 
 
 OP11_ORACLE = _lloyd()
+
+OP13_ORACLE = r"""
+with doc as (
+    select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+), win as (
+    select r, doc_id, i, md5(array_to_string(list_slice(words, i, i + 49), ' ')) as win from (select r, doc_id, words, unnest(range(1, len(words) - 48)) as i from doc where doc_id is not null)
+), hit as (
+    select r, i from win join (select win, min(doc_id) as least from win group by 1) using (win) where doc_id > least
+), gone as (
+    select distinct r, unnest(range(i, i + 50)) as p from hit
+), word as (
+    select r, unnest(words) as word, unnest(range(1, len(words) + 1)) as p from doc
+), kept as (
+    select r, string_agg(word, ' ' order by p) as kept from word anti join gone using (r, p) group by 1
+), removed as (
+    select r, count(*) as n from gone group by 1
+)
+select doc_id, cast(len(words) as bigint) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from doc left join removed using (r) left join kept using (r)
+"""

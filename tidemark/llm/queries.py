@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, codebooks, decontaminate, html_text, language, minhash, pii, quality, sharding, url_filter
-from .oracles import OP5_ORACLE, OP7_ORACLE, OP10_ORACLE, OP11_ORACLE
+from . import ann, bpe, codebooks, decontaminate, html_text, language, minhash, pii, quality, sharding, substrings, url_filter
+from .oracles import OP5_ORACLE, OP7_ORACLE, OP10_ORACLE, OP11_ORACLE, OP13_ORACLE
 from .shared import table, text_of
 
 QUERIES = {}
 #: The others have no SQL: fitted models, merges, approximate search, keyed permutations, packing.
-ORACLES = {"op5_decontaminate": OP5_ORACLE, "op7_urls": OP7_ORACLE, "op10_near_duplicates": OP10_ORACLE, "op11_codebooks": OP11_ORACLE}
+ORACLES = {"op5_decontaminate": OP5_ORACLE, "op7_urls": OP7_ORACLE, "op10_near_duplicates": OP10_ORACLE, "op11_codebooks": OP11_ORACLE, "op13_substrings": OP13_ORACLE}
 
 
 def query(f):
@@ -116,3 +116,8 @@ def op11_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, entries = codebooks.train(table(spark, sf_dir, "embeddings"))
     found = codebooks.with_label_error(codes)
     return found.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codebooks.digest(entries)).alias("codebooks_sha256"))
+
+
+@query
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

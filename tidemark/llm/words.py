@@ -37,6 +37,8 @@ def byte_table(is_word) -> np.ndarray:
 
 #: Runs of anything but white space and control characters 9 to 13.
 BETWEEN_SPACES = byte_table(lambda b: b != 0x20 and not 9 <= b <= 13)
+#: The same, case kept.
+CASED_BETWEEN_SPACES = np.array([0 if b == 0x20 or 9 <= b <= 13 else b for b in range(256)], np.uint8)
 #: Runs of digits, letters and code points beyond ASCII.
 ALPHANUMERIC = byte_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 
@@ -65,7 +67,7 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
 def _inside(data: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Whether each byte belongs to a word. The table keeps 0 for separators, so a NUL that is no separator is found apart."""
     inside = table[data] > 0
-    return inside | (data == 0) if table is BETWEEN_SPACES else inside
+    return inside | (data == 0) if table[1] else inside  # where other control characters are letters
 
 
 def hashed_words(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,10 +91,10 @@ def hashed_words(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(parts), counts
 
 
-def _hashed(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of the texts between the offsets begins and ends."""
     if not data.size:
-        return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
-    seen = table[data]
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     inside = _inside(data, table)
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -103,16 +105,45 @@ def _hashed(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[n
     ends_mask[:-1] &= ~inside[1:]
     lasts = offsets[1:][offsets[1:] > 0] - 1
     ends_mask[lasts] = inside[lasts]
-    ends = np.flatnonzero(ends_mask) + 1
+    return starts, np.flatnonzero(ends_mask) + 1
+
+
+def _hashed(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not data.size:
+        return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    starts, ends = word_bounds(data, offsets, table)
     power, inverse = _powers_to(data.size + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(data.size + 1, np.uint64)
-        np.cumsum(_LETTER[seen] * power[:-1], out=sums[1:])
+        np.cumsum(_LETTER[table[data]] * power[:-1], out=sums[1:])
         hashes = mixed((sums[ends] - sums[starts]) * inverse[starts])
     at = np.searchsorted(starts, offsets)
     return hashes, np.diff(at)
 
 
+def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Fingerprints of the runs of k words that begin at each of the first len - k + 1 words, text borders disregarded."""
+    n = len(hashes) - k + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    power, inverse = _powers_to(len(hashes))
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(mixed(hashes + np.uint64(k)) * power, out=sums[1:])
+        return mixed((sums[k:] - sums[:n]) * inverse[:n])
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` values in a row."""
+    n, held = len(values) - width + 1, 1
+    if n < 1:
+        return values[:0]
+    while 2 * held <= width:
+        values = np.minimum(values[:-held], values[held:])
+        held *= 2
+    return np.minimum(values[:n], values[width - held : width - held + n])
+
+
 def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of k words, sorted within each text, and their number. Fewer words are one shingle."""
     if len(hashes) > MANY_WORDS:
