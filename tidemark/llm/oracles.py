@@ -133,6 +133,37 @@ select vec_id, code, error, label_error, codebooks_sha256 from coded join by_lab
 
 OP11_ORACLE = _lloyd()
 
+OP12_ORACLE = r"""
+with turn as (
+    select conv_id, turn, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) as digest, length(coalesce(text, '')) as chars from conversations where conv_id is not null
+), own as (
+    select conv_id, list({'digest': digest, 'chars': chars} order by turn nulls first, digest) as turns,
+        -- CRC-32 of the decimal digits, bit by bit
+        xor(list_reduce(list_transform(string_split(cast(conv_id as varchar), ''), lambda c: cast(ascii(c) as bigint)),
+            lambda s, b: list_reduce(range(0, 8), lambda a, i: xor(a >> 1, (a & 1) * 3988292384), xor(s, b)), 4294967295), 4294967295) % 6 as h
+    from turn group by conv_id
+), rebuilt as (
+    select own.conv_id, list_concat(list_slice(coalesce(head.turns, []), 1, h), list_slice(own.turns, h + 1, len(own.turns))) as turns
+    from own left join (select conv_id, turns from own) head on head.conv_id = own.conv_id - own.conv_id % 100
+), member as (
+    select conv_id, d, len(turns) = d as ends, md5(array_to_string(list_transform(list_slice(turns, 1, d), lambda t: t.digest), '')) as node,
+        case when d > 0 then md5(array_to_string(list_transform(list_slice(turns, 1, d - 1), lambda t: t.digest), '')) end as parent, coalesce(turns[d].chars, 0) as chars
+    from (select conv_id, turns, unnest(range(0, len(turns) + 1)) as d from rebuilt)
+), node as (
+    select node, parent, d, min(conv_id) as conv_id, count(*) as n, any_value(chars) as chars, sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where ends), '')) as ends_sha256
+    from member group by node, parent, d
+), child as (
+    select parent, count(*) as n from node group by parent
+), leaf as (
+    select node.*, coalesce(child.n, 0) as n_children from node left join child on child.parent = node.node
+), below as (
+    select m.node, count(*) filter (where leaf.n_children = 0) as n_leaves, sum((leaf.n - 1) * leaf.chars) as saved
+    from leaf join member m on m.conv_id = leaf.conv_id and m.d <= leaf.d group by m.node
+)
+select leaf.conv_id, leaf.d as depth, up.conv_id as parent_conv_id, leaf.n as n_convs, leaf.n_children, below.n_leaves, cast(below.saved as bigint) as saved_tokens, leaf.ends_sha256
+from leaf join below using (node) left join node up on up.node = leaf.parent
+"""
+
 OP13_ORACLE = r"""
 with doc as (
     select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, codebooks, decontaminate, html_text, language, minhash, pii, quality, sharding, substrings, url_filter
-from .oracles import OP5_ORACLE, OP7_ORACLE, OP10_ORACLE, OP11_ORACLE, OP13_ORACLE
+from . import ann, bpe, codebooks, conversations, decontaminate, html_text, language, minhash, pii, quality, sharding, substrings, url_filter
+from .oracles import OP5_ORACLE, OP7_ORACLE, OP10_ORACLE, OP11_ORACLE, OP12_ORACLE, OP13_ORACLE
 from .shared import table, text_of
 
 QUERIES = {}
 #: The others have no SQL: fitted models, merges, approximate search, keyed permutations, packing.
-ORACLES = {"op5_decontaminate": OP5_ORACLE, "op7_urls": OP7_ORACLE, "op10_near_duplicates": OP10_ORACLE, "op11_codebooks": OP11_ORACLE, "op13_substrings": OP13_ORACLE}
+ORACLES = {"op5_decontaminate": OP5_ORACLE, "op7_urls": OP7_ORACLE, "op10_near_duplicates": OP10_ORACLE, "op11_codebooks": OP11_ORACLE, "op12_conversations": OP12_ORACLE, "op13_substrings": OP13_ORACLE}
 
 
 def query(f):
@@ -121,3 +121,11 @@ def op11_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversations.turns_of(table(spark, sf_dir, "conversations"))
+    conv_id = F.col("conv_id")
+    head = F.crc32(conv_id.cast("string").cast("binary")) % 6
+    return conversations.trie(conversations.with_shared_heads(turns, conv_id - conv_id % 100, head, 5))
