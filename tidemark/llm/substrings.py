@@ -1,11 +1,11 @@
 """Repeated passages of WINDOW words and more, by prefix-partitioned suffix trees.
 
 A suffix is what follows a word of a text. Only its first WINDOW words matter: they are its path, a string of five symbols, each the
-fingerprint of the words up to one of the DEPTHS (the last has 64 bits, the others 32). Two suffixes meet at a node of depth WINDOW
+fingerprint of the words up to one of the DEPTHS (the last has 64 bits, the others 16). Two suffixes meet at a node of depth WINDOW
 exactly if a document repeats WINDOW words of another.
 
 1. Anchors. Of the runs of GRAM words within a window the one of least hash is its anchor, so equal windows have equal anchors, and there is
-   one about every (WINDOW - GRAM) / 2 words. Anchors that lie in one document only rule out their windows; the rest are candidates.
+   one in about (WINDOW - GRAM) / 2 words. Anchors that lie in one document only rule out their windows; the rest are candidates.
    The same pass counts all suffixes by prefix, at each depth, in BUCKETS classes.
 2. Prefixes. A suffix belongs to the shortest of its prefixes whose class holds SUFFIXES at most, else to its whole path. So a prefix is as
    long as its frequency needs, and equal windows are never parted. Suffixes of short frequent prefixes share a group by hash.
@@ -31,15 +31,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .shared import byte_slices, materialize, text_of
 from .words import CASED_BETWEEN_SPACES, buffer_of, hashed_words, mixed, rolling, sliding_min, word_bounds
 
-WINDOW, GRAM, DEPTHS = 50, 25, (4, 10, 20, 34, 50)
+WINDOW, GRAM, DEPTHS = 50, 20, (4, 10, 20, 34, 50)
 #: Classes of prefixes, suffixes in a group at most (on average and by prefix), bytes of text and suffixes held at once.
-BUCKETS, SUFFIXES, SLICE, HELD = 1 << 16, 1 << 17, 4 << 20, 1 << 20
+BUCKETS, SUFFIXES, SLICE, HELD = 1 << 14, 1 << 17, 4 << 20, 1 << 20
 
-SUFFIX = np.dtype([(f"to{d}", np.uint32) for d in DEPTHS[:-1]] + [("path", np.uint64), ("doc", np.int64)])
+PAIR = np.dtype([("doc", np.int64), ("path", np.uint64)])
+SUFFIX = np.dtype([(f"to{d}", np.uint16) for d in DEPTHS[:-1]] + [("path", np.uint64), ("doc", np.int64)])
 
 
 def windows_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,7 +152,7 @@ def suffixes(docs: DataFrame, large: np.ndarray, groups: int) -> DataFrame:
                 one["group"] = grouped_by_prefix(prints, large, groups)
                 one["doc"] = one["s"]["doc"] = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[row]
                 for d, p in zip(DEPTHS[:-1], prints, strict=False):
-                    one["s"][f"to{d}"] = p.astype(np.uint32)
+                    one["s"][f"to{d}"] = p.astype(np.uint16)
                 one["s"]["path"] = prints[-1]
                 held.append(one)
                 n += len(one)
@@ -183,7 +185,8 @@ def later_documents(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeats(sent: DataFrame) -> DataFrame:
-    """(doc_id, paths): windows that an earlier document has."""
+    """(bucket, pairs): packed (document, window that an earlier document has), by buckets of documents, one row of each bucket for a task."""
+    buckets = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def close(packed: list[bytes], docs: list[np.ndarray], paths: list[np.ndarray]) -> int:
         doc, path = later_documents(np.frombuffer(b"".join(packed), SUFFIX))
@@ -192,8 +195,13 @@ def repeats(sent: DataFrame) -> DataFrame:
         return len(doc)
 
     def given(docs: list[np.ndarray], paths: list[np.ndarray]) -> pa.RecordBatch:
-        found = list(told(np.concatenate(docs), np.concatenate(paths)))
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([v for _, v in found], pa.binary())], ["doc_id", "paths"])
+        pairs = np.empty(sum(map(len, docs)), PAIR)
+        pairs["doc"], pairs["path"] = np.concatenate(docs), np.concatenate(paths)
+        bucket = (mixed(pairs["doc"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        found, first = np.unique(bucket[order], return_index=True)
+        packed = [x.tobytes() for x in np.split(pairs[order], first[1:])] if len(found) else []
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(packed, pa.binary())], ["bucket", "pairs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, paths, group, packed, n = [], [], None, [], 0
@@ -216,7 +224,28 @@ def repeats(sent: DataFrame) -> DataFrame:
         yield given(docs, paths)
 
     dealt = sent.repartition("kind", "key").sortWithinPartitions("kind", "key")
-    return dealt.mapInArrow(run, "doc_id bigint, paths binary")
+    return dealt.mapInArrow(run, "bucket bigint, pairs binary")
+
+
+def by_document(found: DataFrame) -> DataFrame:
+    """(doc_id, paths): one row for each document that was told of windows."""
+
+    def given(packed: list[bytes]) -> pa.RecordBatch:
+        pairs = np.frombuffer(b"".join(packed), PAIR)
+        rows = list(told(pairs["doc"], pairs["path"]))
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.binary())], ["doc_id", "paths"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, packed = None, []
+        for batch in batches:
+            for key, pairs in zip(batch.column("bucket").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
+                if key != bucket:
+                    yield given(packed)
+                    bucket, packed = key, []
+                packed.append(pairs)
+        yield given(packed)
+
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id bigint, paths binary")
 
 
 def spans_of(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,14 +268,16 @@ def kept_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, removed, text) of each row: removed holds the spans of words (first, end) that repeat an earlier document."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
+    # A column that is one already keeps its name without an alias: with one, the two exchanges of the texts would look different.
+    doc_id = F.col("doc_id") if docs.schema["doc_id"].dataType == LongType() else F.col("doc_id").cast("bigint").alias("doc_id")
+    rows = docs.select(doc_id, text_of().alias("text"))
     named = rows.filter("doc_id is not null")
     found = materialize(anchors(named), "anchors")
     large, groups = crowded(found)
+    named = named.repartition("doc_id")  # both joins below read this one exchange of the texts
     sent = suffixes(named.join(candidates(found), "doc_id").select("doc_id", "text", "anchors"), large, groups)
-    of_doc = repeats(sent).groupBy("doc_id").agg(F.collect_list("paths").alias("paths"))
-    whole = named.join(of_doc, "doc_id", "left").select("doc_id", "text", "paths")
-    whole = whole.union(rows.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>")))
+    whole = named.join(by_document(repeats(sent)), "doc_id", "left").select("doc_id", "text", "paths")
+    whole = whole.union(rows.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("binary")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for arrived in batches:
@@ -259,7 +290,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 lists = batch.column("paths").to_pylist()
                 if any(lists):
                     hashes, at, row = windows_of(texts)
-                    known = [np.frombuffer(b"".join(p or ()), np.uint64) for p in lists]
+                    known = [np.frombuffer(p or b"", np.uint64) for p in lists]
                     salt = mixed(np.arange(len(lists), dtype=np.uint64) + np.uint64(1))
                     wanted = mixed(np.concatenate(known) ^ np.repeat(salt, [len(p) for p in known]))
                     at = at[np.isin(mixed(rolling(hashes, WINDOW)[at] ^ salt[row]), wanted)] if len(at) else at
