@@ -1,3 +1,4 @@
+import time
 import math
 import random
 import time
@@ -110,3 +111,11 @@ def test_densities_equal_a_plain_recursion():
         found, sums = page.densities()[:2]
         body = page.tag.index("body")
         assert sorted(out) == sorted((round(a, 9), round(b, 9)) for a, b in zip(found[body:], sums[body:], strict=True))
+
+
+def test_deep_and_wide_pages_take_time_in_proportion():
+    pages = ["<div>" * 100_000 + "<header>x</header>" * 100_000, "<i><ul>" + "<b>" * 100_000 + "</i>y" * 100_000, "<p><table>" + "<b>" * 100_000 + "<div>" * 100_000, "<li>" * 200_000]
+    start = time.perf_counter()
+    for page in pages:
+        Page(page).main_text()
+    assert time.perf_counter() - start < 30  # minutes to hours with a walk over the open elements for each tag

@@ -21,7 +21,7 @@ one of the output's name is replaced; work and memory grow with the page's lengt
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -93,7 +93,9 @@ class Page:
     def __init__(self, html: str):
         self.tag, self.parent, self.noise = ["#page"], [-1], [False]
         self.events: list[tuple[int, str | None]] = []  # a node's text, or None where a block begins or ends
-        self.stack, self.open = [0], Counter()  # open elements, and how many of each name
+        self.stack = [0]  # open elements
+        self.depths: dict[str, list[int]] = defaultdict(list)  # where those of each name stand in the stack
+        self.walls: list[int] = []  # and where those that are walls do
         self.named: dict[int, str] = {}  # nodes whose class or id says that they are noise
         at = begin = 0  # where the text that is not yet taken begins, and where the next tag may
         quotes = True
@@ -136,14 +138,7 @@ class Page:
     def start(self, name: str, attributes: str) -> None:
         if name == "br":
             self.events.append((self.stack[-1], " "))
-        if any(self.open[x] for x in ENDED_BY.get(name, ())):
-            for depth in range(len(self.stack) - 1, 0, -1):
-                open_ = self.tag[self.stack[depth]]
-                if name in ENDS_AT.get(open_, ()):
-                    self.close(depth)
-                    break
-                if open_ in WALLS:
-                    break
+        self.close(max((self.depths[x][-1] for x in ENDED_BY.get(name, ()) if self.depths[x]), default=0), walled=True)
         node, up = len(self.tag), self.stack[-1]
         self.tag.append(name)
         self.parent.append(up)
@@ -153,21 +148,23 @@ class Page:
         elif name in ("td", "th"):
             self.events.append((node, " "))
         if name not in VOID and not attributes.endswith("/"):
+            self.depths[name].append(len(self.stack))
+            if name in WALLS:
+                self.walls.append(len(self.stack))
             self.stack.append(node)
-            self.open[name] += 1
 
-    def close(self, depth: int) -> None:
-        self.open.subtract(self.tag[i] for i in self.stack[depth:])
-        del self.stack[depth:]
+    def close(self, depth: int, walled: bool) -> None:
+        """Closes the open elements from a depth on, if there is one (0: none) and, where walls count, none stands deeper."""
+        if not depth or (walled and self.walls and self.walls[-1] > depth):
+            return
+        while len(self.stack) > depth:
+            self.depths[self.tag[self.stack.pop()]].pop()
+        while self.walls and self.walls[-1] >= depth:
+            self.walls.pop()
 
     def end(self, name: str) -> None:
-        for depth in range(len(self.stack) - 1 if self.open[name] else 0, 0, -1):
-            open_ = self.tag[self.stack[depth]]
-            if open_ == name:
-                self.close(depth)
-                break
-            if open_ in WALLS and name not in BLOCK:
-                break
+        open_ = self.depths[name]
+        self.close(open_[-1] if open_ else 0, walled=name not in BLOCK)
         if name in BLOCK:
             self.events.append((self.stack[-1], None))
 
@@ -178,7 +175,7 @@ class Page:
         if name in ("html", "body", "main", "article", "#page"):
             return False
         if name == "header":  # an article's own header holds its title
-            return not any(self.tag[n] in ("article", "main") for n in self.stack)
+            return not (self.depths["article"] or self.depths["main"])
         for key, value in _ATTRIBUTE.findall(attributes) if attributes else ():
             words = value.strip("\"'").lower().split()
             if key.lower() == "role":
