@@ -141,3 +141,19 @@ def test_the_key_is_not_in_the_plan(spark, capsys):
     pii.pseudonymise(spark.createDataFrame([("a@b.com",)], "text string"), "very-secret-key").explain("extended")
     shown = capsys.readouterr().out
     assert "very-secret-key" not in shown and not re.search("pii-key-[0-9a-f]{8}", shown)
+
+
+def test_long_runs_that_repeat_a_pattern(spark):
+    long = ["x@" + "a." * 100_000 + "com", "x@" + "a-" * 100_000, "token: " + "a1" * 100_000, "1 " * 5_000, "x@" + "a.." * 50_000, "DE12 " + "3456 " * 50_000, "+1 " + "22-" * 50_000]
+    rows = [(i, t) for i, t in enumerate([*long, "see x@a.com.. or y@b-c.de1 or z@q.r or w@m.co1.b"])]
+    found = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert found[0].n_private == 1 and found[0].text != rows[0][1] and found[0].text.endswith(".com") and len(found[0].text) == len(rows[0][1])
+    assert [found[i].n_private for i in (1, 4)] == [0, 0] and found[2].n_private == 1
+    assert found[7].n_private == 3 and found[7].text.endswith(".b") and " z@q.r or " in found[7].text
+
+
+def test_columns_of_any_name_pass_through(spark):
+    rows = [(1, "mail a.b@example.com", "m", "n", "k")]
+    found = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, _met string, _NEW string, n_private_ string"), "k")
+    assert found.columns == ["doc_id", "text", "_met", "_NEW", "n_private_", "n_private"]
+    assert [(r._met, r._NEW, r.n_private) for r in found.collect()] == [("m", "n", 1)]

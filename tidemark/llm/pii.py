@@ -33,6 +33,8 @@ import hmac
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 ROUNDS = 8
 #: A derived key begins so in plans, where REDACTION hides it.
 KEY_MARK = "pii-key-"
@@ -40,9 +42,10 @@ REDACTION = "spark.sql.redaction.string.regex"
 
 _SECRET_NAME = r"(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)"
 #: The patterns of each kind, in the order in which they are tried. A run of characters is entered at its beginning only, so a search is linear.
+#: What repeats without a bound is one character wide (or possessive): the engine repeats that in a loop, anything else in recursion.
 KINDS = {
     "secret": rf"(?<![A-Za-z0-9]){_SECRET_NAME}[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?[A-Za-z0-9+/_-]{{8,}}+|(?<![A-Za-z0-9])(?:[0-9a-f]{{32,64}}|[0-9A-F]{{32,64}})(?![A-Za-z0-9])",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-](?:(?!\.\.)[A-Za-z0-9.-])*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[/.-][0-9])",
@@ -107,9 +110,11 @@ def permuted(value: Column, key: str, moved=_moved, sign: int = 1) -> Column:
     """The Feistel network over a text; sign -1 undoes it."""
 
     def half(x: Column, other: Column, round_: Column) -> Column:
-        stream = lambda i: _drawn(key, round_, other, F.shiftright(i - 1, 6))
-        step = lambda i: moved(F.substring(x, i, F.lit(1)), sign * F.conv(F.substring(stream(i), F.pmod((i - 1) * 2, F.lit(128)) + 1, F.lit(2)), 16, 10).cast("int"))
-        return F.array_join(_each(F.length(x), step), "")
+        # 64 characters and their part of the stream at a time, so that each part is drawn once.
+        block = lambda b: F.struct(F.substring(x, b * 64 + 1, F.lit(64)).alias("x"), _drawn(key, round_, other, b).alias("s"))
+        step = lambda t, i: moved(F.substring(t["x"], i, F.lit(1)), sign * F.conv(F.substring(t["s"], i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
+        last = F.greatest(F.ceil(F.length(x) / 64), F.lit(1)).cast("int") - 1
+        return F.array_join(F.transform(F.transform(F.sequence(F.lit(0), last), block), lambda t: F.array_join(_each(F.length(t["x"]), lambda i: step(t, i)), "")), "")
 
     def step(a: Column, i: Column) -> Column:
         even = i % 2 == 0
@@ -279,7 +284,7 @@ def _secret(v: Column, key: str) -> Column:
     head = rf"^(?:{_SECRET_NAME}[\"']?\s*[=:]\s*[\"']?)?"
     value = F.regexp_replace(v, head, "")
     hex_ = value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
-    return _after(v, head, "secret", key, lambda c, by: F.when(hex_, _hex_moved(c, by)).otherwise(_moved(c, by)))
+    return F.when(hex_, _after(v, head, "secret", key, _hex_moved)).otherwise(_after(v, head, "secret", key))
 
 
 def _is(v: Column, kind: str) -> Column:
@@ -334,8 +339,9 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str = "n_
     # Every kind has one of these characters, so a text without them is not searched; one without candidates is searched once.
     has = F.coalesce(F.col(text).rlike("[0-9@=:]") & F.col(text).rlike(PATTERN), F.lit(False))
     met = F.transform(_all(F.col(text), KINDS), _segments)
-    docs = docs.withColumn("_met", F.when(has, met))
-    docs = docs.withColumn("_new", F.transform("_met", lambda p: F.transform(p, lambda x: F.when(x["candidate"], pseudonym(x["v"], key)).otherwise(x["v"]))))
-    joined = F.zip_with(F.split(F.col(text), PATTERN, -1), F.concat(F.transform("_new", lambda n: F.array_join(n, "")), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
-    changed = F.zip_with(F.flatten("_met"), F.flatten("_new"), lambda a, b: a["v"] != b)
-    return docs.withColumns({text: F.when(has, F.array_join(joined, "")).otherwise(F.col(text)), found: F.when(has, F.size(F.filter(changed, lambda x: x))).otherwise(0).cast("long")}).drop("_met", "_new")
+    own_met, own_new = fresh(docs.columns, "_met", "_new")
+    docs = docs.withColumn(own_met, F.when(has, met))
+    docs = docs.withColumn(own_new, F.transform(own_met, lambda p: F.transform(p, lambda x: F.when(x["candidate"], pseudonym(x["v"], key)).otherwise(x["v"]))))
+    joined = F.zip_with(F.split(F.col(text), PATTERN, -1), F.concat(F.transform(own_new, lambda n: F.array_join(n, "")), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    changed = F.zip_with(F.flatten(own_met), F.flatten(own_new), lambda a, b: a["v"] != b)
+    return docs.withColumns({text: F.when(has, F.array_join(joined, "")).otherwise(F.col(text)), found: F.when(has, F.size(F.filter(changed, lambda x: x))).otherwise(0).cast("long")}).drop(own_met, own_new)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
@@ -98,6 +98,17 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> It
             yield batch.slice(start)
 
 
+def fresh(columns: Sequence[str], *names: str) -> list[str]:
+    """Names like these that no column has."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(c: str = "text") -> Column:
     """A null text counts as empty."""
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
