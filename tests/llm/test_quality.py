@@ -85,3 +85,11 @@ def test_posteriors_equal_a_plain_computation(spark):
         site = (r.source or "", r.lang or "")
         good, toxic = logistic(r.good_evidence + prior[0, site]), logistic(r.toxic_evidence + prior[1, site])
         assert abs(r.good - good) < 1e-9 and abs(r.toxic - toxic) < 1e-9 and r.kept == (good >= 0.5 and toxic <= 0.5)
+
+
+def test_columns_of_any_name_pass_through(spark, odd_docs):
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int")
+    names = ["_host", "_PATH", "good_prior", "toxic_prior", "__host"]
+    docs = odd_docs.withColumns({n: F.lit(n) for n in names})
+    found = quality.judge(docs, labels, text=True)
+    assert found.count() == docs.count() and all(r[n] == n for r in found.collect() for n in names)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import byte_slices, materialize, text_of
+from .shared import byte_slices, fresh, materialize, text_of
 
 SAMPLE, WORDS, LEAST, GOOD, TOXIC = 8_000, 20_000, 4, 0.5, 0.5
 #: Sites that are sent to all tasks; with more of them the documents are joined by a shuffle.
@@ -291,14 +291,16 @@ def decide(scored: DataFrame, found: DataFrame, host: str, path: str) -> DataFra
     found = materialize(found, "quality-sites")
     if found.count() <= SENT_SITES:
         found = F.broadcast(found)
-    match = (F.coalesce(scored[host], F.lit("")) == F.col("_host")) & (F.coalesce(scored[path], F.lit("")) == F.col("_path"))
+    own = dict(zip(found.columns, fresh(scored.columns, *found.columns), strict=True))
+    found = found.withColumnsRenamed(own)
+    match = (F.coalesce(scored[host], F.lit("")) == F.col(own["_host"])) & (F.coalesce(scored[path], F.lit("")) == F.col(own["_path"]))
 
     def posterior(name: str) -> Column:
-        return 1 / (1 + F.exp(-(F.col(f"{name}_evidence") + F.coalesce(f"{name}_prior", F.lit(0.0)))))
+        return 1 / (1 + F.exp(-(F.col(f"{name}_evidence") + F.coalesce(own[f"{name}_prior"], F.lit(0.0)))))
 
     joined = scored.join(found, match, "left").withColumns({"good": posterior("good"), "toxic": posterior("toxic")})
     joined = joined.withColumn("kept", (F.col("good") >= GOOD - 1e-9) & (F.col("toxic") <= TOXIC + 1e-9))
-    return joined.drop("_host", "_path", "good_prior", "toxic_prior")
+    return joined.drop(*own.values())
 
 
 def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", text: bool = False) -> DataFrame:
