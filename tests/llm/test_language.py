@@ -83,3 +83,20 @@ def test_held_out_accuracy(spark):
     rows = found.join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     right = rows.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
     assert right >= 0.97
+
+
+def test_many_languages_are_each_learned_as_well_as_few(spark, monkeypatch):
+    monkeypatch.setattr(language, "CHARS", 6_000)  # of each
+    rng = random.Random(8)
+    vocabulary = {f"l{i:02d}": ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 7))) for _ in range(120)] for i in range(60)}
+    text = lambda k, n: " ".join(rng.choices(vocabulary[k], k=n))
+    train = [(text(k, 300), k) for k in vocabulary for _ in range(5)]
+    held = [(text(k, 8), k) for k in sorted(vocabulary)[:4] for _ in range(25)]
+
+    def right(languages):
+        model = language.learn(spark.createDataFrame([r for r in train if r[1] in languages], "text string, lang string"))
+        found = language.identify(spark.createDataFrame(held, "text string, lang string"), model).collect()
+        return {k: sum(r.lang_pred == k for r in found if r.lang == k) for k in sorted(vocabulary)[:4]}
+
+    few, many = right(sorted(vocabulary)[:4]), right(sorted(vocabulary))
+    assert all(many[k] >= few[k] - 1 for k in few) and min(few.values()) >= 24

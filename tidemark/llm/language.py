@@ -6,8 +6,9 @@ each character wins; ties go to the smaller name.
 
 Text is normalised for learning and for parsing alike: lower case, letters kept, every other run of characters one space.
 The automata are learned from a bounded sample of the labelled rows: of each language at most ROWS different texts, in the order
-of a hash of them; of all passages of PASSAGE characters of these whole texts, in the order of a hash again, CHARS characters over
-all languages together, one passage of each language at least. No language is left out. The texts judged are parsed whole:
+of a hash of them; of all passages of PASSAGE characters of these whole texts, in the order of a hash again, CHARS characters. That
+is each language's own budget, however many there are; so the model grows with the number of languages (about 16 MB each) and with
+nothing else. No language is left out. The texts judged are parsed whole:
 tasks parse pieces of STEP characters beside each other, then each piece's last phrase goes on into the next piece until a phrase
 begins where one began in that piece too. From there both parses are one, so the phrases are those of the one greedy parse.
 
@@ -29,7 +30,7 @@ from pyspark.sql.window import Window as W
 
 from .shared import byte_slices, materialize, text_of
 
-CHARS, ROWS, PASSAGE, STEP, SLICE_BYTES = 120_000, 400, 500, 512, 1 << 20
+CHARS, ROWS, PASSAGE, STEP, SLICE_BYTES = 30_000, 400, 500, 512, 1 << 20
 #: Letters of a language that have a column in its automaton's table; the ways of its rarer ones are a sorted list.
 ALPHABET = 64
 
@@ -252,16 +253,13 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     different = known.groupBy("_lang", "_h").agg(F.max(F.char_length("_text")).alias("chars"))
     chosen = different.withColumn("_n", F.row_number().over(W.partitionBy("_lang").orderBy(F.xxhash64("_h"), "_h"))).filter(F.col("_n") <= ROWS)
     chosen = materialize(chosen.drop("_n"), "language-rows")  # at most ROWS of a language
-    languages = chosen.select("_lang").distinct().count()
-    if not languages:
-        return Model({})
     passages = chosen.select("_lang", "_h", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("chars") / PASSAGE), F.lit(1)).cast("int") - 1)).alias("i"))
     number = F.row_number().over(W.partitionBy("_lang").orderBy(F.xxhash64("_h", "i"), "_h", "i"))
-    taken = materialize(passages.withColumn("_n", number).filter(F.col("_n") <= max(1, CHARS // languages // PASSAGE)), "language-passages")
+    taken = materialize(passages.withColumn("_n", number).filter(F.col("_n") <= CHARS // PASSAGE), "language-passages")
     texts = known.join(F.broadcast(taken.select("_lang", "_h").distinct()), ["_lang", "_h"]).groupBy("_lang", "_h").agg(F.min("_text").alias("_text"))
     taken = texts.join(F.broadcast(taken), ["_lang", "_h"]).select("_lang", "_n", F.expr(f"substring(_text, 1 + i * {PASSAGE}, {PASSAGE})").alias("t"))
     samples: dict[str, list[tuple[int, str]]] = {}
-    for r in taken.select("_lang", "_n", "t").collect():  # CHARS characters, or a passage of each language
+    for r in taken.select("_lang", "_n", "t").collect():  # CHARS characters of each language
         samples.setdefault(r["_lang"], []).append((r["_n"], normalised(r["t"])))
     return Model({k: " ".join(x for _, x in sorted(v) if x) for k, v in samples.items()})
 
