@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, minhash, pii, quality
 from tidemark.llm.queries import PII_KEY, tokenizer_path
-from tidemark.llm.shared import materialize, ship, table
+from tidemark.llm.shared import fresh, materialize, ship, table
 
 #: Rows of one 64-bit key that are sent to all tasks; more are joined by a shuffle.
 SENT_KEYS = 500_000
@@ -20,7 +20,8 @@ SENT_KEYS = 500_000
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts: good and not toxic."""
-    own = {c: f"_own_{c}" for c in docs.columns if c in quality.OUTPUTS}  # columns that only share a name with the judge's
+    alike = [c for c in docs.columns if c in quality.OUTPUTS]  # columns that only share a name with the judge's
+    own = dict(zip(alike, fresh(docs.columns, *(f"_own_{c}" for c in alike)), strict=True))
     judged = quality.judge(docs.withColumnsRenamed(own), table(spark, sf_dir, "labels"), text=True)
     return judged.filter("kept").select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
@@ -42,17 +43,19 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages, by the rule of decontaminate.is_contaminated."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = materialize(found.filter(decontaminate.is_contaminated()).select(F.col("key").alias("_key")).distinct(), "contaminated")
+    (own,) = fresh(docs.columns, "_key")
+    bad = materialize(found.filter(decontaminate.is_contaminated()).select(F.col("key").alias(own)).distinct(), "contaminated")
     if bad.count() <= SENT_KEYS:
         bad = F.broadcast(bad)
-    return docs.join(bad, decontaminate.document_key() == F.col("_key"), "left_anti")
+    return docs.join(bad, decontaminate.document_key() == F.col(own), "left_anti")
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Private values replaced by pseudonyms; n_chars follows the text."""
-    hidden = pii.pseudonymise(docs, PII_KEY, found="_private")
+    (own,) = fresh(docs.columns, "_private")
+    hidden = pii.pseudonymise(docs, PII_KEY, found=own)
     if "n_chars" in docs.columns:
-        hidden = hidden.withColumn("n_chars", F.when(F.col("_private") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        hidden = hidden.withColumn("n_chars", F.when(F.col(own) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return hidden.select(*docs.columns)
 
 
