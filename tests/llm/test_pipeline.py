@@ -59,3 +59,11 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.count() == 7  # the repeated row goes
     both = odd_docs.unionByName(odd_docs.filter("doc_id = 1").withColumn("text", F.lit("another text of that document")))
     assert p.keep_one_of_each_group(spark, both, SF).count() == 8  # what differs stays
+
+
+def test_columns_of_any_name_pass_through(spark, odd_docs):
+    docs = odd_docs.withColumns({n: F.lit(n) for n in ("_host", "_path", "good_prior", "_key", "_met", "_new", "_private", "_own_kept", "good")})
+    for _, stage in p.STAGES[:-1]:
+        found = stage(spark, docs, SF)
+        assert found.columns == docs.columns
+        assert all(r[n] == n for r in found.collect() for n in ("_host", "_path", "good_prior", "_key", "_met", "_new", "_private", "_own_kept", "good"))
