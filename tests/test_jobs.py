@@ -91,7 +91,7 @@ def test_build_takes_only_what_is_new(spark, tmp_path):
     quote = lambda day, close: {"Date": day, "Code": "52340", "C": close, "AdjC": close, "UL": "0", "LL": "0"}
     paths = [put(tmp_path / f"raw/{i}.json.gz", [quote("2026-07-0%d" % min(i, 2), str(i))]) for i in (1, 2, 3)]
     table = lambda n: spark.createDataFrame([(i + 1, "prices", "succeeded", p) for i, p in enumerate(paths[:n])], RUN).write.mode("overwrite").parquet(str(tmp_path / "runs"))
-    args = ["build", "--lake", str(tmp_path / "lake"), "--runs", str(tmp_path / "runs"), "--job-type", "prices", "--source", "jpx"]
+    args = ["build", "--lake", str(tmp_path / "lake"), "--runs", str(tmp_path / "runs"), "--job", "prices", "jpx"]
     closes = lambda: sorted((str(r.obs_date), r.close_price) for r in jobs.Lake(spark, str(tmp_path / "lake")).observations().collect())
     table(1)
     assert jobs.main(args, spark) == 0 and jobs.main(args, spark) == jobs.NOTHING_NEW

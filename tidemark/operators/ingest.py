@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as n
@@ -24,7 +24,7 @@ def keep_last(df: DataFrame, keys: Sequence[str], run: str = "ingestion_run_id")
 
 def build_prices(raw: DataFrame, source: str) -> DataFrame:
     """Price rows from the provider's records; those with an unknown flag are rejected (see rejected_prices)."""
-    rows = raw.filter(~(n.is_bad_flag(F.col("UL")) | n.is_bad_flag(F.col("LL"))))
+    rows = raw.filter(~is_rejected())
     field = {
         "raw_open_price": "O", "raw_high_price": "H", "raw_low_price": "L", "raw_close_price": "C", "raw_volume": "Vo", "turnover_value": "Va",
         "open_price": "AdjO", "high_price": "AdjH", "low_price": "AdjL", "close_price": "AdjC", "volume": "AdjVo",
@@ -62,8 +62,13 @@ def build_library_prices(records: DataFrame, source: str) -> DataFrame:
     return keep_last(rows.withColumn("security_key", F.coalesce("jpx_code", "target_key")), PRICE_KEYS)
 
 
+def is_rejected() -> Column:
+    """Whether a provider's record has a flag that is not known."""
+    return n.is_bad_flag(F.col("UL")) | n.is_bad_flag(F.col("LL"))
+
+
 def rejected_prices(raw: DataFrame) -> DataFrame:
-    return raw.filter(n.is_bad_flag(F.col("UL")) | n.is_bad_flag(F.col("LL")))
+    return raw.filter(is_rejected())
 
 
 def build_financials(raw: DataFrame, source: str) -> DataFrame:

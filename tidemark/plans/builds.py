@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import checks, comparisons, control, ingest, rules
 from ..sources import publish, raw, schemas, sinks, staging
 from ..sources.lake import Lake
+from . import jobs
 from . import runs as gated
 from .adapters import disclosures as read_disclosures
 from .adapters import sql
@@ -77,6 +78,37 @@ def price_lake(spark, sf_dir):
     return Lake(spark, root).observations().select(F.year("obs_date").alias("year"), "security_key", "obs_date", "close_price", "ingestion_run_id")
 
 
+_BY_SOURCE = f"""select *, case when ingestion_run_id % 2 = 0 then 'official' else 'backfill' end as source_key from ({QUOTES})"""
+
+
+@query(
+    "",
+    f"""select source_key, Code as security_key, Date as obs_date, try_cast(AdjC as double) as close_price, ingestion_run_id from ({_BY_SOURCE}) where coalesce(UL in ('0', '1', ''), true)
+    qualify row_number() over (partition by source_key, Code, Date order by ingestion_run_id desc) = 1""",
+)
+def price_snapshot_lake(spark, sf_dir):
+    """Quotes of two sources, built in three commits: the later source's whole past comes first, the other's runs in two steps, the later ones first to be lost
+    if its watermark were not its own. Then one source is built in full again; the lake reads the last snapshot."""
+    lake = Lake(spark, scratch(spark))
+    data, quotes = jobs.price_dataset(lake), _quotes(spark, sf_dir)
+    own = {"official": F.col("ingestion_run_id") % 2 == 0, "backfill": F.col("ingestion_run_id") % 2 == 1}
+    middle = quotes.agg(F.avg("ingestion_run_id").alias("m")).first().m or 0
+
+    def commit(source, upto=None, full=False):
+        def fresh(base):
+            rows = quotes.filter(own[source])
+            rows = rows if upto is None else rows.filter(F.col("ingestion_run_id") <= upto)
+            rows = rows if full or source not in base.watermarks else rows.filter(F.col("ingestion_run_id") > base.watermarks[source])
+            top = rows.agg(F.max("ingestion_run_id").alias("top")).first().top
+            built = spark.createDataFrame([], jobs.PRICE).unionByName(ingest.build_prices(rows, source), allowMissingColumns=True)
+            return None if top is None else (built, {source: top})
+
+        return data.build([source], jobs.PRICE, fresh, full)
+
+    commit("backfill"), commit("official", middle), commit("official"), commit("backfill", full=True)
+    return lake.observations().select("source_key", "security_key", F.col("obs_date").cast("string").alias("obs_date"), "close_price", "ingestion_run_id")
+
+
 LIBRARY = "select concat(lpad(cast(1000 + s_suppkey % 9000 as string), 4, '0'), case when s_suppkey % 6 = 0 then '.X' else '.T' end) as target_key, cast('2001-01-05' as date) as obs_date, s_acctbal as open, s_acctbal + 1 as high, s_acctbal - 1 as low, s_acctbal as close, 5 as volume, s_suppkey as ingestion_run_id from supplier"
 
 

@@ -6,14 +6,19 @@ import argparse
 import datetime as dt
 import json
 import sys
+import uuid
+from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import security_key
 from ..operators import checks, comparisons, ingest, rules
-from ..sources import raw, schemas, sinks
+from ..sources import raw, schemas
 from ..sources.lake import Lake
-from . import runs as gated
+from ..sources.snapshots import Dataset, Snapshot
 
 NOTHING_NEW = 99
 METRICS = ("revenue", "operating_income", "net_income")
@@ -32,29 +37,60 @@ def structure(lake: Lake) -> DataFrame:
     return checks.counts({"duplicate_price": checks.unique(rows, ingest.PRICE_KEYS), "price_issue": checks.price_violations(rows), "thin_day": checks.thin_days(rows)})
 
 
-def build(lake: Lake, runs: DataFrame, job: str, source: str, full: bool = False) -> int:
-    """Builds the lake's prices from the runs' raw files: from all, or with what came after the highest run there. Gives the exit code.
+PRICE = schemas.PRICE.rstrip() + ", security_key string"
 
-    The dataset is written beside the old one and read from there before it takes its place.
-    """
-    spark, path = lake.spark, f"{lake.root.rstrip('/')}/observed/market_price"
+
+def price_dataset(lake: Lake) -> Dataset:
+    return Dataset(lake.spark, f"{lake.root.rstrip('/')}/observed/market_price", ingest.PRICE_KEYS)
+
+
+def _adopted(data: Dataset) -> None:
+    """A dataset that was written as one folder of years becomes the first snapshot. Its runs count for all jobs of their source."""
     try:
-        base = None if full else lake.observations()
-    except Exception as e:  # no dataset is there yet
-        if "PATH_NOT_FOUND" not in str(e):
+        rows = data.spark.read.schema(schemas.PRICE + ", year int").parquet(data.root).drop("year")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        base = None
-    found = raw.locations(runs, job)
-    if base is not None:
-        found = gated.new_runs(found.withColumns({"status": F.lit("succeeded"), "raw_path": F.col("location")}), base).select("ingestion_run_id", "location")
-    if found.isEmpty():
-        return NOTHING_NEW
-    fresh = ingest.build_prices(raw.read_arrays(spark, found, schemas.RAW_PRICE), source).withColumn("built_at", F.current_timestamp())
-    rows = fresh if base is None else ingest.keep_last(base.unionByName(fresh, allowMissingColumns=True), ingest.PRICE_KEYS)
-    beside = path + "-next"
-    sinks.write_by_year(rows, beside, "obs_date")
-    sinks.write_by_year(spark.read.parquet(beside).drop("year"), path, "obs_date")
-    return 0
+        return
+    rows = rows.withColumn("security_key", security_key())
+    tops = {f"source:{r.source_key}": r.top for r in rows.groupBy("source_key").agg(F.max("ingestion_run_id").alias("top")).collect()}
+    if tops:
+        data.commit(Snapshot(), data.write(rows, f"adopted-{uuid.uuid4().hex}"), tops)  # if another build was first, its snapshot stands
+
+
+def build(lake: Lake, runs: DataFrame, sources: Mapping[str, str], full: bool = False) -> list[dict] | None:
+    """Builds the lake's prices from the raw files of jobs, each of a source: in one commit what came after each job's highest run, or all.
+
+    Only years that have new rows are written; rows of other sources stay, with `full` too. Gives for each job what it made of its input,
+    counted while it was written; None if nothing is new.
+    """
+    data, spark, counts = price_dataset(lake), lake.spark, {}
+    if not data.numbers():
+        _adopted(data)
+
+    def fresh(base: Snapshot) -> tuple[DataFrame, dict[str, int]] | None:
+        counts.clear()
+        tops, rows = {}, []
+        for job, source in sources.items():
+            last = base.watermarks.get(job, base.watermarks.get(f"source:{source}"))
+            found = raw.locations(runs, job)
+            if last is not None and not full:
+                found = found.filter(F.col("ingestion_run_id") > last)
+            top = found.agg(F.max("ingestion_run_id").alias("top")).first().top
+            if top is None:
+                continue
+            tops[job], counts[job] = top, (Observation(), Observation())
+            records = raw.read_arrays(spark, found, schemas.RAW_PRICE).observe(counts[job][0], F.count(F.lit(1)).alias("records"), F.count_if(ingest.is_rejected()).alias("rejected"))
+            built = ingest.build_prices(records, source).withColumn("built_at", F.current_timestamp())
+            rows.append(built.observe(counts[job][1], F.count(F.lit(1)).alias("rows"), F.count_if(F.col("target_key").isNull()).alias("unmapped")))
+        if not rows:
+            return None
+        empty = spark.createDataFrame([], PRICE)
+        return ingest.keep_last(reduce(DataFrame.unionByName, (empty.unionByName(r, allowMissingColumns=True) for r in rows)), ingest.PRICE_KEYS), tops
+
+    if data.build(sorted(set(sources.values())), PRICE, fresh, full) is None:
+        return None
+    return [{"job": job, "source": sources[job]} | a.get | b.get | {"replaced": a.get["records"] - a.get["rejected"] - b.get["rows"]} for job, (a, b) in counts.items()]
 
 
 def reconcile(lake: Lake, threshold: float = -20.0) -> DataFrame:
@@ -82,8 +118,7 @@ def _parser() -> argparse.ArgumentParser:
             j.add_argument("--as-of", type=dt.date.fromisoformat, default=dt.date.today())
         if name == "build":
             j.add_argument("--runs", required=True, help="Parquet of runs: ingestion_run_id, job_type, status, raw_path")
-            j.add_argument("--job-type", required=True)
-            j.add_argument("--source", required=True)
+            j.add_argument("--job", dest="sources", nargs=2, action="append", required=True, metavar=("JOB_TYPE", "SOURCE"), help="once for each job type")
             j.add_argument("--full", action="store_true")
     return p
 
@@ -102,7 +137,12 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(line)
         return 0
     if a.job == "build":
-        return build(lake, spark.read.parquet(a.runs), a.job_type, a.source, a.full)
+        made = build(lake, spark.read.parquet(a.runs), dict(a.sources), a.full)
+        if made is None:
+            return NOTHING_NEW
+        for line in made:
+            print(json.dumps(line))
+        return 0
     rows = structure(lake) if a.job == "check" else reconcile(lake)
     found = [r.asDict() for r in rows.collect()]  # a few lines
     print(json.dumps(found))

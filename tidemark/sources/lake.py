@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.columns import security_key
 from ..operators import comparisons, forecasts, prices, valuation
 from . import schemas
+from .snapshots import Dataset
 
 
 @dataclass(frozen=True)
@@ -21,7 +22,10 @@ class Lake:
     sources: tuple[str, ...] = (prices.PREFERRED,)
 
     def _read(self, path: str, schema: str) -> DataFrame:
-        """Partition discovery gives year for pruning; the result has the declared columns."""
+        """The dataset's last snapshot if it has one, else its folder, where partition discovery gives year for pruning. The declared columns."""
+        snapshots = Dataset(self.spark, f"{self.root.rstrip('/')}/{path}", ())
+        if snapshots.numbers():
+            return snapshots.read(schema)
         columns = [c.strip().split()[0] for c in schema.split(",")]
         return self.spark.read.schema(schema + ", year int").parquet(f"{self.root.rstrip('/')}/{path}").select(*columns)
 

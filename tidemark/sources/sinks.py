@@ -8,6 +8,7 @@ import json
 import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,22 +52,52 @@ def put_packed(spark: SparkSession, packed: bytes, path: str) -> None:
         raise ValueError(f"{path} holds another response")
 
 
-def put_plain(spark: SparkSession, content: bytes, path: str, compare: bool = True) -> bytes:
-    """Writes a file that is not there yet and gives what then stands there.
+def put_new(spark: SparkSession, content: bytes, path: str) -> bool:
+    """Creates a whole file, or gives False if there is one: of several writers exactly one creates it, and no reader sees a part of it.
 
-    Each writer has its own part and moves it without overwriting; what then stands there is read back, so of two writers only those of an equal content succeed.
-    This rests on a rename that does not overwrite, as HDFS has; on a local disk two writers within the same instant are not told apart.
+    A local disk links a finished file to the name, a file system with renames moves one there without overwriting, and any other store
+    is asked to create without overwriting, which it decides when the file is closed.
     """
-    jvm = spark._jvm
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(target):
-        part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
-        out = fs.create(part, False)
-        out.write(bytearray(content))
-        out.close()
-        if fs.exists(target) or not fs.rename(part, target):
-            fs.delete(part, False)
+    fs = target.getFileSystem(conf)
+    if fs.exists(target):
+        return False
+    scheme = fs.getUri().getScheme()
+    if scheme not in ("file", "hdfs", "viewfs", "webhdfs"):
+        return _created(lambda: _fill(fs.createFile(target).overwrite(False).recursive().build(), content))
+    part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    _fill(fs.create(part, False), content)
+    try:
+        if scheme == "file":
+            at = jvm.java.nio.file.Paths
+            place = lambda p: at.get(fs.makeQualified(p).toUri())
+            return _created(lambda: jvm.java.nio.file.Files.createLink(place(target), place(part)))
+        none = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+        return _created(lambda: jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(fs.makeQualified(part), fs.makeQualified(target), none))
+    finally:
+        fs.delete(part, False)
+
+
+def _fill(out, content: bytes) -> None:
+    out.write(bytearray(content))
+    out.close()
+
+
+def _created(f) -> bool:
+    """Whether f went through; False if a file was there."""
+    try:
+        f()
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+    return True
+
+
+def put_plain(spark: SparkSession, content: bytes, path: str, compare: bool = True) -> bytes:
+    """Writes a file that is not there yet and gives what then stands there, so of several writers only those of an equal content succeed."""
+    put_new(spark, content, path)
     there = read_bytes(spark, path)
     if there is None:
         raise OSError(f"{path} could not be put in place")
