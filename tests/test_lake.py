@@ -29,7 +29,8 @@ def test_plans(spark, tmp_path):
     assert "PushedFilters" in one and "isnull(jpx_code" in one and "turnover_value" not in one and one.count("hashpartitioning") == 1
     assert plan(lake.run("daily_return")).count("hashpartitioning") == 1
     assert plan(lake.run("point_in_time_forecast")).count("hashpartitioning") == 1
-    assert plan(lake.run("point_in_time_pbr")).count("hashpartitioning") == 2  # prices and disclosures, each once
+    pbr = plan(lake.run("point_in_time_pbr"))
+    assert pbr.count("MapIn") == 0 and "CartesianProduct" not in pbr and "BroadcastNestedLoopJoin" not in pbr
     assert "WindowGroupLimit" in plan(prices.latest_prices(lake.observations(), ["90010"]))
     year = plan(lake.spark.read.parquet(f"{tmp_path}/observed/market_price").filter("year = 2026"))
     assert "PartitionFilters: [isnotnull(year" in year

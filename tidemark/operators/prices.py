@@ -14,15 +14,16 @@ from ..functions.columns import pick_first
 PREFERRED = "jpx"
 
 
-def preferred_price(observations: DataFrame, preferred: str = PREFERRED, where: Column | None = None) -> DataFrame:
+def preferred_price(observations: DataFrame, preferred: str = PREFERRED, where: Column | None = None, by_day: bool = False) -> DataFrame:
     """One adjusted observation for each security and day: that of the preferred source, else of the first source by name.
 
     where: narrows the scan before the window, as a filter behind it would not be pushed through unless it is on the key.
+    by_day: deals rows by security and day, for what follows in running scans; a security's past is then no task's alone.
     """
     rows = observations.filter(F.col("price_basis") == "adjusted")
     rows = rows.filter(where) if where is not None else rows
     # Dealt by security at once: the windows of all that follows are by security too, so this is their only shuffle.
-    rows = rows.repartition("security_key")
+    rows = rows if by_day else rows.repartition("security_key")
     return pick_first(rows, ["security_key", "obs_date"], [F.when(F.col("source_key") == preferred, 0).otherwise(1), F.col("source_key").asc_nulls_last()])
 
 

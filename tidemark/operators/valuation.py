@@ -6,22 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from ..functions import scan
 from ..functions.columns import pick_first
 
 
 def _curve(rows: DataFrame, day: Column, counts: Column) -> DataFrame:
     """The curve over rows in the order of a day; only those that count move it, and they come first on their day."""
-    upto = W.partitionBy("security_key").orderBy(day.asc_nulls_first(), F.when(counts, 0).otherwise(1)).rowsBetween(W.unboundedPreceding, W.currentRow)
     valid = F.coalesce(F.col("adjustment_factor") > 0, F.lit(False))
-    return rows.withColumns(
-        {
-            "factor_coverage_start": F.min(F.when(counts, day)).over(upto),
-            "invalid_factor_count": F.sum(F.when(valid | ~counts, 0).otherwise(1)).over(upto),
-            "cumulative_adjustment_factor": F.exp(F.sum(F.ln(F.when(valid & counts, F.col("adjustment_factor")).otherwise(1.0))).over(upto)),
-        }
-    )
+    wanted = {
+        "factor_coverage_start": ("min", F.when(counts, day)),
+        "invalid_factor_count": ("sum", F.when(valid | ~counts, 0).otherwise(1)),
+        "_log_factor": ("sum", F.ln(F.when(valid & counts, F.col("adjustment_factor")).otherwise(1.0))),
+    }
+    rows = scan.running(rows.withColumn("_part", scan.year_of(day)), "security_key", "_part", [day, F.when(counts, 0).otherwise(1)], wanted)
+    return rows.withColumn("cumulative_adjustment_factor", F.exp("_log_factor")).drop("_log_factor", "_part")
 
 
 def factor_curve(prices: DataFrame) -> DataFrame:
@@ -38,11 +37,12 @@ def point_in_time_pbr(prices: DataFrame, disclosures: DataFrame, sources: Sequen
     """Price to book of each day from the latest disclosure strictly before it, with the book value moved by splits since its period.
 
     prices: preferred prices, of which only those of `sources` are used. calculation_status says what the first obstacle was.
-    Prices and disclosures of a security are united once; two windows over that partitioning do the curve and both as-of steps.
+    Prices and disclosures of a security are united once; two running scans do the curve and both as-of steps. Both run by (security,
+    year), so a security's whole past is never one task's.
     """
     kept = prices.filter(F.col("source_key").isin(list(sources)))
     dated = disclosures.filter(F.col("bps").isNotNull() & F.col("security_key").isNotNull() & F.col("disclosed_date").isNotNull())
-    facts = pick_first(dated.repartition("security_key"), ["security_key", "disclosed_date"], same_day_order())
+    facts = pick_first(dated, ["security_key", "disclosed_date"], same_day_order())
     fields = {
         "disclosure_number": "disclosure_number",
         "financial_disclosed_date": "disclosed_date",
@@ -62,9 +62,10 @@ def point_in_time_pbr(prices: DataFrame, disclosures: DataFrame, sources: Sequen
     at_end = F.struct(F.when(placed, F.col("cumulative_adjustment_factor")).alias("factor"), F.when(placed, F.col("invalid_factor_count")).alias("invalid"))
     rows = rows.withColumn("_known", F.when(F.col("_side") == 1, F.struct("_fact.*", at_end.alias("end"))))
     # Then it stands at its day, after that day's price: so each price has the latest one strictly before it.
-    upto = W.partitionBy("security_key").orderBy(F.coalesce("obs_date", "_fact.financial_disclosed_date"), "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("_known", F.last("_known", ignorenulls=True).over(upto)).filter("_side = 0")
-    rows = rows.select(*(c for c in rows.columns if c not in ("_side", "_fact", "_known")), *(F.col("_known")[c].alias(c) for c in fields), F.col("_known.end.factor").alias("_end_factor"), F.col("_known.end.invalid").alias("_end_invalid"))
+    seen = F.coalesce("obs_date", "_fact.financial_disclosed_date")
+    rows = scan.running(rows.withColumn("_part", scan.year_of(seen)), "security_key", "_part", [seen, F.col("_side")], {"_latest": ("last", F.col("_known"))}).filter("_side = 0")
+    rows = rows.drop("_known").withColumnRenamed("_latest", "_known")
+    rows = rows.select(*(c for c in rows.columns if c not in ("_side", "_fact", "_known", "_part")), *(F.col("_known")[c].alias(c) for c in fields), F.col("_known.end.factor").alias("_end_factor"), F.col("_known.end.invalid").alias("_end_invalid"))
 
     unmoved = F.col("_end_factor").isNotNull() & (F.col("invalid_factor_count") <= F.col("_end_invalid"))
     book = F.col("reported_bps") > 0

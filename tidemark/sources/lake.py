@@ -55,7 +55,7 @@ class Lake:
 DEFINITIONS: dict[str, Callable[[Lake], DataFrame]] = {
     "preferred_price": lambda k: prices.preferred_price(k.observations()),
     "daily_return": lambda k: prices.daily_return(k.run("preferred_price")),
-    "point_in_time_pbr": lambda k: valuation.point_in_time_pbr(k.run("preferred_price"), k.disclosures(), k.sources),
+    "point_in_time_pbr": lambda k: valuation.point_in_time_pbr(prices.preferred_price(k.observations(), by_day=True), k.disclosures(), k.sources),
     "point_in_time_forecast": lambda k: forecasts.point_in_time_forecast(k.disclosures()),
     "forecast_accuracy": lambda k: forecasts.forecast_accuracy(k.run("point_in_time_forecast"), k.disclosures()),
     "metric_comparison_input": lambda k: comparisons.metric_comparison_input(k.disclosures()),
