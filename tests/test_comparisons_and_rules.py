@@ -121,3 +121,22 @@ def test_rules_run_over_their_scopes_once(spark):
     replay = run("replay")
     assert sorted((r.actual_disclosure_number, r.status) for r in replay.collect()) == [("1", "fired"), ("2", "fired")]
     assert run("replay", replay).count() == 0 and run("live", replay).count() == 1
+
+
+def test_events_that_differ_in_a_missing_condition_have_their_own_keys(spark):
+    df = disclosures(spark, [{"disclosed_date": dt.date(2026, 5, 8), "operating_income": 10, "net_income": 5}])
+    facts = c.metric_comparison_input(df).filter("comparison_type = 'absolute'")
+    kinds = "rule_id long, logic string, position int, metric_key string, comparison_type string, operator string, threshold_value string"
+    made = spark.createDataFrame([(1, "any", 1, "operating_income", "absolute", "gt", "0"), (1, "any", 2, "net_income", "absolute", "gt", "9")], kinds)
+    both, one = (rules.evaluate_rules(f, made, F.lit(dt.date(2026, 7, 1))).first() for f in (facts, facts.filter("metric_key <> 'net_income'")))
+    assert [m.reason for m in both.conditions] == ["ok", "ok"] and [m.reason for m in one.conditions] == ["ok", "condition_input_missing"]
+    assert both.status == one.status == "fired" and both.event_key != one.event_key and both.evidence_hash != one.evidence_hash
+    assert "condition_input_missing" in one.evidence and one.n_conditions == 2 and one.definition_version == rules.DEFINITION_VERSION
+
+
+def test_scopes_by_day(spark):
+    kinds = "rule_id long, target_id long, valid_from date, valid_until date"
+    d = lambda m, n: dt.date(2026, m, n)
+    scopes = spark.createDataFrame([(1, 7, d(1, 1), d(3, 1)), (1, 7, d(2, 1), d(2, 10)), (1, 7, d(3, 1), None), (1, 8, d(5, 5), d(5, 6)), (2, 7, dt.date(1, 1, 1), None)], kinds)
+    events = spark.createDataFrame([(1, 7, dt.date(2025, 12, 31), "a"), (1, 7, d(1, 1), "b"), (1, 7, d(2, 5), "c"), (1, 7, d(3, 1), "d"), (1, 7, dt.date(2040, 1, 1), "e"), (1, 8, d(5, 5), "f"), (1, 8, d(5, 6), "g"), (2, 7, dt.date(2001, 1, 1), "h"), (1, 7, None, "i"), (None, 7, d(1, 2), "j"), (3, 7, d(1, 2), "k")], "rule_id long, target_id long, day date, e string")
+    assert sorted(r.e for r in rules.in_scope_on_their_day(events, scopes, "day").collect()) == list("bcdefh")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import scan
 from ..functions.columns import exact_decimal, pick_first, tokyo_date, valid_on
 
 #: Operators, statuses and reasons, and what makes an event, are the contract of stored rules and events.
 OPERATORS = ("lt", "lte", "gt", "gte", "crosses_below", "crosses_above")
+#: The version of the comparisons' definition that facts are of unless they say so.
+DEFINITION_VERSION = "1"
 #: What makes an event: rows that share these are judged together.
 EVENT = ("security_key", "fiscal_year_end", "actual_disclosure_number", "actual_disclosed_date", "reporting_scope", "accounting_standard")
 
@@ -39,16 +44,24 @@ def holds() -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def event_key() -> Column:
+def event_key(columns: Sequence[str] = ()) -> Column:
+    """Names a judged fact: by its comparison key and the two disclosures where the fact has one, else by what makes it."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
-    return F.concat_ws(":", *(text(c) for c in ("security_key", "fiscal_year_end", "actual_disclosure_number", "reporting_scope", "accounting_standard", "metric_key", "comparison_type")))
+    whole = F.concat_ws(":", *(text(c) for c in ("security_key", "fiscal_year_end", "actual_disclosure_number", "reporting_scope", "accounting_standard", "metric_key", "comparison_type")))
+    if "comparison_key" not in columns:
+        return whole
+    prior = text("prior_disclosure_number") if "prior_disclosure_number" in columns else F.lit("None")
+    return F.when(F.length("comparison_key") > 0, F.concat_ws(":", F.col("comparison_key").cast("string"), text("actual_disclosure_number"), prior)).otherwise(whole)
 
 
 def evaluate(facts: DataFrame, as_of: Column) -> DataFrame:
-    """Adds reason, status and event_key to facts that carry operator and threshold_value."""
+    """Adds reason, status, event_key and definition_version to facts that carry operator and threshold_value."""
     rows = facts.withColumn("reason", reason_of(as_of))
     status = F.when(F.col("reason") != "ok", "unavailable").when(holds(), "fired").otherwise("not_fired")
-    return rows.withColumns({"status": status, "event_key": event_key()})
+    version = F.lit(DEFINITION_VERSION)
+    if "calculation_definition_version" in facts.columns:
+        version = F.when(F.length("calculation_definition_version") > 0, F.col("calculation_definition_version").cast("string")).otherwise(version)
+    return rows.withColumns({"status": status, "event_key": event_key(facts.columns), "definition_version": version})
 
 
 def evidence(columns: list[str]) -> tuple[Column, Column]:
@@ -57,33 +70,48 @@ def evidence(columns: list[str]) -> tuple[Column, Column]:
     return text, F.sha2(text, 256)
 
 
+def _judgement() -> Column:
+    """A judged condition as it stands in the evidence, with a hash of what it rests on."""
+    rests_on = F.to_json(F.struct("event_key", "reference_value", "current_value", "observed_value", "input_status", "available_on", "operator", F.col("threshold_value").cast("string").alias("threshold_value"), "definition_version"))
+    return F.struct(
+        "position", "metric_key", "comparison_type", "operator", F.col("threshold_value").cast("string").alias("threshold_value"), "status", "reason", "observed_value", "reference_value",
+        F.col("event_key").alias("source_event_key"), "definition_version", F.sha2(rests_on, 256).alias("evidence_hash"),
+    )
+
+
 def evaluate_rules(facts: DataFrame, rules: DataFrame, as_of: Column) -> DataFrame:
-    """One row for each rule and event: rule_id, the event's columns, status, reason, n_conditions, evidence (JSON), its hash, event_key.
+    """One row for each rule and event: rule_id, the event's columns, conditions, status, reason, observed_value (of a rule of one condition),
+    n_conditions, evidence (JSON), its hash, event_key, definition_version.
 
     rules: rule_id, logic (all / any), position, metric_key, comparison_type, operator, threshold_value. Facts are scanned once for
-    all rules: those that no condition names go with the join on (metric, comparison). A condition without its fact is unavailable.
+    all rules: those that no condition names go with the join on (metric, comparison). conditions holds every condition of the rule in its
+    order; one without its fact is unavailable (condition_input_missing), in the evidence and in the key of the event too.
     All: a condition that did not fire decides, then an unavailable one. Any: one that fired decides, then an unavailable one.
     """
-    named = facts.join(rules, ["metric_key", "comparison_type"])
-    judged = evaluate(named, as_of)
-    # Each rule's number of conditions travels with it, so missing facts show as a difference.
-    size = rules.groupBy("rule_id").agg(F.count(F.lit(1)).alias("_size"))
-    count = lambda s: F.count_if(F.col("status") == s).alias(f"_{s}")
-    # A rule has at most twenty conditions, so an event's list is short.
-    condition = F.struct("position", "metric_key", "comparison_type", "operator", F.col("threshold_value").cast("string").alias("threshold_value"), "status", "reason", "observed_value", "reference_value", "event_key")
-    conditions = F.array_sort(F.collect_list(condition)).alias("conditions")
-    events = judged.groupBy("rule_id", "logic", *EVENT).agg(count("fired"), count("not_fired"), count("unavailable"), F.count(F.lit(1)).alias("_met"), conditions)
-    events = events.join(size, "rule_id")
-    open_ = F.col("_unavailable") + F.col("_size") - F.col("_met") > 0
-    every = F.when(F.col("_not_fired") > 0, "not_fired").when(open_, "unavailable").otherwise("fired")
-    some = F.when(F.col("_fired") > 0, "fired").when(open_, "unavailable").otherwise("not_fired")
-    events = events.withColumn("status", F.when(F.col("logic") == "all", every).otherwise(some))
+    judged = evaluate(facts.join(rules, ["metric_key", "comparison_type"]), as_of).withColumn("_judged", _judgement())
+    kind = judged.schema["_judged"].dataType
+    # A rule has at most twenty conditions, so these lists are short. They travel with each event, so missing facts show.
+    asked = F.struct("position", "metric_key", "comparison_type", "operator", F.col("threshold_value").cast("string").alias("threshold_value"))
+    lists = rules.groupBy("rule_id").agg(F.array_sort(F.collect_list(asked)).alias("_asked"))
+    events = judged.groupBy("rule_id", "logic", *EVENT).agg(F.collect_list("_judged").alias("_met")).join(lists, "rule_id")
+    given = {"status": F.lit("unavailable"), "reason": F.lit("condition_input_missing")}
+    absent = lambda c: F.struct(*((given[f.name] if f.name in given else c[f.name] if f.name in ("position", "metric_key", "comparison_type", "operator", "threshold_value") else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields))
+    # Of facts that are there twice the last in the judgement's order counts.
+    member = lambda c: F.coalesce(F.array_max(F.filter("_met", lambda m: m["position"] == c["position"])), absent(c))
+    events = events.withColumn("conditions", F.transform("_asked", member))
+    any_is = lambda status: F.exists("conditions", lambda c: c["status"] == status)
+    every = F.when(any_is("not_fired"), "not_fired").when(any_is("unavailable"), "unavailable").otherwise("fired")
+    some = F.when(any_is("fired"), "fired").when(any_is("unavailable"), "unavailable").otherwise("not_fired")
+    events = events.withColumns({"status": F.when(F.col("logic") == "all", every).otherwise(some), "n_conditions": F.size("conditions").cast("long")})
     reason = F.when(F.col("status") == "fired", F.concat("logic", F.lit("_conditions_fired"))).when(F.col("status") == "not_fired", "condition_not_fired").otherwise("condition_unavailable")
-    text = F.to_json(F.struct(*EVENT, F.col("logic").alias("logic_operator"), "conditions"))
-    identity = F.to_json(F.struct(*EVENT, F.transform("conditions", lambda c: F.struct(c["position"], c["event_key"])).alias("members")))
-    key = F.when(F.col("_size") == 1, F.get("conditions", F.lit(0))["event_key"]).otherwise(F.concat(F.lit("multi:"), F.sha2(identity, 256)))
-    events = events.withColumns({"reason": reason, "n_conditions": F.col("_size"), "evidence": text, "event_key": key})
-    return events.withColumn("evidence_hash", F.sha2("evidence", 256)).drop("_fired", "_not_fired", "_unavailable", "_met", "_size", "conditions")
+    text = F.to_json(F.struct(*EVENT, F.col("logic").alias("logic_operator"), "conditions"), {"ignoreNullFields": "false"})
+    members = F.transform("conditions", lambda c: F.struct(c["position"].alias("position"), c["metric_key"].alias("metric_key"), c["comparison_type"].alias("comparison_type"), c["source_event_key"].alias("source_event_key")))
+    identity = F.to_json(F.struct(*EVENT, members.alias("members")), {"ignoreNullFields": "false"})
+    first = F.get("conditions", F.lit(0))
+    key = F.when((F.col("n_conditions") == 1) & first["source_event_key"].isNotNull(), first["source_event_key"]).otherwise(F.concat(F.lit("multi:"), F.sha2(identity, 256)))
+    versions = F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform("conditions", lambda c: c["definition_version"]), lambda v: v.isNotNull()))), "+")
+    events = events.withColumns({"reason": reason, "observed_value": F.when(F.col("n_conditions") == 1, first["observed_value"]), "evidence": text, "event_key": key, "definition_version": versions})
+    return events.withColumn("evidence_hash", F.sha2("evidence", 256)).drop("_met", "_asked")
 
 
 def conditions_json(rules: DataFrame) -> DataFrame:
@@ -245,3 +273,42 @@ def explain_nothing(facts: DataFrame, as_of: Column, created: Column, mode: str
     counts = facts.agg(F.count(F.lit(1)).alias("n_facts"), F.count_if(public).alias("n_public"), F.count_if(later).alias("n_live"))
     answer = F.when(F.col("n_facts") == 0, "no_data").when(F.col("n_public") == 0, "not_yet_public").when(F.lit(mode == "live") & (F.col("n_live") == 0), "only_before_registration").otherwise("has_events")
     return counts.withColumn("explanation", answer)
+
+
+def scopes_in_force(assignments: DataFrame, members: DataFrame, mandates: DataFrame, watchlist: DataFrame) -> DataFrame:
+    """(rule_id, target_id, valid_from, valid_until): when each target is in each rule's scope, half-open; null: without an end.
+
+    Inputs as for expand_scopes. Targets and watchlist entries hold on all days; a mandate's assignment holds while its version does.
+    """
+    always = {"valid_from": F.lit("0001-01-01").cast("date"), "valid_until": F.lit(None).cast("date")}
+    of = lambda kind: assignments.filter(F.col("scope_type") == kind)
+    columns = ["rule_id", "target_id", "valid_from", "valid_until"]
+    direct = of("target").withColumn("target_id", F.col("scope_id")).withColumns(always)
+    theme = of("theme").join(members, F.col("scope_id") == F.col("theme_id")).withColumn("valid_until", F.col("valid_to"))
+    known = (F.col("status") == "active") & F.col("effective_from").isNotNull() & F.col("version_from").isNotNull()
+    both = {"valid_from": F.greatest("effective_from", "version_from"), "valid_until": F.least("effective_until", "version_until")}
+    mandate = of("mandate").join(mandates.filter(known), F.col("scope_id") == F.col("mandate_id")).withColumns(both)
+    entries = watchlist.select("target_id", F.explode(F.array("status", F.lit("*any*"))).alias("_status"))
+    watched = of("watchlist").withColumn("_status", F.coalesce("watchlist_status", F.lit("*any*"))).join(entries, "_status").withColumns(always)
+    every = direct.select(*columns).unionByName(theme.select(*columns)).unionByName(mandate.select(*columns)).unionByName(watched.select(*columns))
+    return every.filter(F.col("valid_from").isNotNull() & (F.col("valid_until").isNull() | (F.col("valid_from") < F.col("valid_until"))))
+
+
+def in_scope_on_their_day(events: DataFrame, scopes: DataFrame, day: str, keys: Sequence[str] = ("rule_id", "target_id")) -> DataFrame:
+    """The events that were in scope on their own day, each once however many intervals hold it. scopes: keys, valid_from, valid_until.
+
+    A sweep instead of a join: an interval opens on one day and closes on another, and a running count over the days of a key says
+    how many are open. So the work is linear in events and intervals, and years of a key are told apart (see scan.running). Events
+    without a day or a key are in no scope.
+    """
+    key = F.struct(*keys)
+    has = F.lit(True)
+    for k in keys:
+        has = has & F.col(k).isNotNull()
+    opened = scopes.filter(has).select(key.alias("_key"), F.col("valid_from").alias("_day"), F.lit(1).alias("_open"))
+    closed = scopes.filter(has & F.col("valid_until").isNotNull()).select(key.alias("_key"), F.col("valid_until").alias("_day"), F.lit(-1).alias("_open"))
+    marks = opened.unionByName(closed).groupBy("_key", "_day").agg(F.sum("_open").alias("_open")).withColumns({"_side": F.lit(0), "_event": F.lit(None)})
+    rows = events.filter(has & F.col(day).isNotNull()).select(key.alias("_key"), F.col(day).cast("date").alias("_day"), F.lit(0).cast("long").alias("_open"), F.lit(1).alias("_side"), F.struct(*events.columns).alias("_event"))
+    both = rows.unionByName(marks).withColumn("_part", scan.year_of(F.col("_day")))
+    found = scan.running(both, "_key", "_part", [F.col("_day"), F.col("_side")], {"_n": ("sum", F.col("_open"))})
+    return found.filter((F.col("_side") == 1) & (F.col("_n") > 0)).select("_event.*")
