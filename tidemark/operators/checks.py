@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scan
+
 
 def not_null(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).isNull())
@@ -73,10 +75,24 @@ def price_violations(prices: DataFrame) -> DataFrame:
     return prices.withColumn("issue", F.explode(issues))
 
 
+def exact_median(rows: DataFrame, value: str, step: float, name: str = "median") -> DataFrame:
+    """One row: the median of a column, the mean of the two middle values of an even number; null without values.
+
+    Values are counted first, and the counts added up over ranges of `step`, so no task holds more than a range's different values.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")).withColumns({"_key": F.lit(0), "_part": F.floor(F.col("_v") / step)})
+    summed = scan.running(counted, "_key", "_part", [F.col("_v")], {"_upto": ("sum", F.col("_n"))})
+    whole = counted.agg(F.sum("_n").alias("_all"))
+    # The two middle places, counted from 1; of an odd number they are one. A value holds the places after those before it, up to its own.
+    places = F.array(F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2))
+    held = F.size(F.filter(places, lambda p: (p <= F.col("_upto")) & (p > F.col("_upto") - F.col("_n"))))
+    return summed.crossJoin(F.broadcast(whole)).select((F.col("_v") * held).alias("_w"), held.alias("_h")).filter("_h > 0").agg((F.sum("_w") / F.sum("_h")).alias(name))  # one row
+
+
 def thin_days(prices: DataFrame, share: float = 0.5) -> DataFrame:
     """Days with fewer than a share of the median day's rows. The median is over one row for each day."""
     days = prices.groupBy("obs_date").agg(F.count(F.lit(1)).alias("n_rows"))
-    middle = days.agg(F.median("n_rows").alias("median_rows"))
+    middle = exact_median(days, "n_rows", 1_000, "median_rows")
     return days.crossJoin(F.broadcast(middle)).filter(F.col("n_rows") < F.col("median_rows") * share)
 
 
@@ -116,3 +132,37 @@ def reconcile(ours: DataFrame, theirs: DataFrame, keys: Sequence[str], value: st
 def near_threshold(rows: DataFrame, value: str, threshold: float, n: int = 20) -> DataFrame:
     """The n rows whose value is the nearest to a threshold."""
     return rows.filter(F.col(value).isNotNull()).orderBy(F.abs(F.col(value) - threshold), *rows.columns).limit(n)
+
+
+def fingerprints(rows: DataFrame, part: Column) -> DataFrame:
+    """(part, n_rows, sum, xor) of two hashes of each row by part: equal multisets of rows have equal ones, in any order.
+
+    Hashes are of all columns by name, null apart from any value. Different parts agree by chance once in 2^128 only.
+    """
+    columns = sorted(rows.columns)
+    whole = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    hashed = rows.select(part.cast("string").alias("part"), F.xxhash64(whole).alias("_a"), F.xxhash64(F.lit("second"), whole).alias("_b"))
+    return hashed.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("_a").cast("decimal(38,0)")).alias("sum"), F.bit_xor("_b").alias("xor"))
+
+
+def differing_parts(a: DataFrame, b: DataFrame, part: Column) -> DataFrame:
+    """The parts in which two datasets of the same columns differ."""
+    x, y = fingerprints(a, part).withColumn("side", F.lit("a")), fingerprints(b, part).withColumn("side", F.lit("b"))
+    both = x.unionByName(y).groupBy("part", "n_rows", "sum", "xor").agg(F.count(F.lit(1)).alias("_sides"))
+    return both.filter("_sides = 1").select("part").distinct()
+
+
+def dataset_differences(a: DataFrame, b: DataFrame, part: Column) -> DataFrame:
+    """(part, side, n, columns): the rows that one of two datasets has n times more often than the other, as multisets.
+
+    Parts are compared by their fingerprints first; rows are compared in parts that differ only. No row means that both are equal.
+    """
+    wrong = differing_parts(a, b, part).withColumn("_wrong", F.coalesce("part", F.lit("-"))).select("_wrong", F.col("part").isNull().alias("_none"))
+    columns = sorted(a.columns)
+
+    def of(rows: DataFrame, n: int) -> DataFrame:
+        named = rows.select(part.cast("string").alias("part"), *columns, F.lit(n).alias("_n"))
+        return named.join(wrong, (F.coalesce("part", F.lit("-")) == F.col("_wrong")) & (F.col("part").isNull() == F.col("_none")), "left_semi")
+
+    left = of(a, 1).unionByName(of(b, -1)).groupBy("part", *columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    return left.select("part", F.when(F.col("_n") > 0, "a").otherwise("b").alias("side"), F.abs("_n").alias("n"), *columns)
