@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checks, comparisons, control, ingest, rules
-from ..sources import publish, raw, schemas, sinks, staging
+from ..sources import arrays, publish, raw, schemas, sinks, staging
 from ..sources.lake import Lake
 from . import jobs
 from . import runs as gated
@@ -109,6 +109,20 @@ def price_snapshot_lake(spark, sf_dir):
     return lake.observations().select("source_key", "security_key", F.col("obs_date").cast("string").alias("obs_date"), "close_price", "ingestion_run_id")
 
 
+@query("", """select c_custkey as k, concat('a"}{[', c_name, chr(92)) as name, c_acctbal as v, c_nationkey as n, row_number() over (partition by c_nationkey order by c_custkey) - 1 as position from customer""")
+def raw_array_items(spark, sf_dir):
+    """Customers as one response for each nation, with braces and quotes in their names, read item by item; the file's own count must agree."""
+    root = scratch(spark)
+    rows = sql(spark, sf_dir, """select c_custkey as k, concat('a"}{[', c_name, char(92)) as name, c_acctbal as v, c_nationkey as n from customer""")
+    bodies = rows.groupBy("n").agg(F.to_json(F.array_sort(F.collect_list(F.struct("k", "name", "v")))).alias("body"))
+    bodies.withColumn("nation", F.col("n")).select("nation", "body").repartition("nation").write.option("compression", "gzip").partitionBy("nation").text(root)
+    found = arrays.items(spark, root)
+    whole = found.filter("item is null").select("file", F.col("position").alias("_all"))
+    each = found.filter("item is not null").join(whole, "file").filter("position < _all")
+    read = each.select(F.from_json("item", "k bigint, name string, v double").alias("r"), F.regexp_extract("file", r"nation=(\d+)", 1).cast("int").alias("n"), "position")
+    return read.select("r.*", "n", "position")
+
+
 LIBRARY = "select concat(lpad(cast(1000 + s_suppkey % 9000 as string), 4, '0'), case when s_suppkey % 6 = 0 then '.X' else '.T' end) as target_key, cast('2001-01-05' as date) as obs_date, s_acctbal as open, s_acctbal + 1 as high, s_acctbal - 1 as low, s_acctbal as close, 5 as volume, s_suppkey as ingestion_run_id from supplier"
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import security_key
 from ..operators import checks, comparisons, ingest, rules
-from ..sources import raw, schemas
+from ..sources import arrays, raw, schemas
 from ..sources.lake import Lake
 from ..sources.snapshots import Dataset, Snapshot
 
@@ -58,11 +58,12 @@ def _adopted(data: Dataset) -> None:
         data.commit(Snapshot(), data.write(rows, f"adopted-{uuid.uuid4().hex}"), tops)  # if another build was first, its snapshot stands
 
 
-def build(lake: Lake, runs: DataFrame, sources: Mapping[str, str], full: bool = False) -> list[dict] | None:
+def build(lake: Lake, runs: DataFrame, sources: Mapping[str, str], full: bool = False, raw_root: str | None = None) -> list[dict] | None:
     """Builds the lake's prices from the raw files of jobs, each of a source: in one commit what came after each job's highest run, or all.
 
     Only years that have new rows are written; rows of other sources stay, with `full` too. Gives for each job what it made of its input,
-    counted while it was written; None if nothing is new.
+    counted while it was written; None if nothing is new. raw_root: the folder of all raw files; with it they are met by a join and read
+    item by item, without it the paths of a load go through the driver.
     """
     data, spark, counts = price_dataset(lake), lake.spark, {}
     if not data.numbers():
@@ -80,7 +81,8 @@ def build(lake: Lake, runs: DataFrame, sources: Mapping[str, str], full: bool =
             if top is None:
                 continue
             tops[job], counts[job] = top, (Observation(), Observation())
-            records = raw.read_arrays(spark, found, schemas.RAW_PRICE).observe(counts[job][0], F.count(F.lit(1)).alias("records"), F.count_if(ingest.is_rejected()).alias("rejected"))
+            read = raw.read_arrays(spark, found, schemas.RAW_PRICE) if raw_root is None else arrays.records(spark, found, raw_root, schemas.RAW_PRICE)
+            records = read.observe(counts[job][0], F.count(F.lit(1)).alias("records"), F.count_if(ingest.is_rejected()).alias("rejected"))
             built = ingest.build_prices(records, source).withColumn("built_at", F.current_timestamp())
             rows.append(built.observe(counts[job][1], F.count(F.lit(1)).alias("rows"), F.count_if(F.col("target_key").isNull()).alias("unmapped")))
         if not rows:
@@ -120,6 +122,7 @@ def _parser() -> argparse.ArgumentParser:
             j.add_argument("--runs", required=True, help="Parquet of runs: ingestion_run_id, job_type, status, raw_path")
             j.add_argument("--job", dest="sources", nargs=2, action="append", required=True, metavar=("JOB_TYPE", "SOURCE"), help="once for each job type")
             j.add_argument("--full", action="store_true")
+            j.add_argument("--raw-root", help="the folder of all raw files, for large loads")
     return p
 
 
@@ -137,7 +140,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(line)
         return 0
     if a.job == "build":
-        made = build(lake, spark.read.parquet(a.runs), dict(a.sources), a.full)
+        made = build(lake, spark.read.parquet(a.runs), dict(a.sources), a.full, a.raw_root)
         if made is None:
             return NOTHING_NEW
         for line in made:
