@@ -7,17 +7,17 @@ from tidemark.operators import analyses, checks, rules
 from tidemark.operators import comparisons as c
 from tests.helpers import day, disclosures
 
-AS_OF = dt.date(2030, 1, 1)
+AS_OF = dt.date(2033, 1, 1)
 
 
 def years(spark, current, prior, **more):
     now = {"disclosed_date": day(10), "disclosure_number": "2"} | current | more
-    before = {"disclosed_date": dt.date(2025, 7, 1), "fiscal_year_end": dt.date(2025, 3, 31), "fiscal_year_start": dt.date(2024, 4, 1)} | prior
+    before = {"disclosed_date": dt.date(2030, 2, 20), "fiscal_year_end": dt.date(2029, 12, 31), "fiscal_year_start": dt.date(2029, 1, 1)} | prior
     return disclosures(spark, [now, before])
 
 
 def facts(df):
-    found = c.metric_comparison_input(df).filter("fiscal_year_end = '2026-03-31'").collect()
+    found = c.metric_comparison_input(df).filter("fiscal_year_end = '2030-12-31'").collect()
     return {(r.metric_key, r.comparison_type): r for r in found}
 
 
@@ -28,7 +28,7 @@ def test_input(spark):
     assert got["revenue", "yoy"].input_status == "current_missing" and len(got) == 12
     lone = facts(disclosures(spark, [{"disclosed_date": day(1), "operating_income": 1}]))
     assert lone["operating_income", "yoy"].input_status == "reference_missing" and lone["operating_income", "absolute"].input_status == "ok"
-    odd = facts(years(spark, {"operating_income": 1, "fiscal_year_start": dt.date(2025, 7, 1)}, {}))
+    odd = facts(years(spark, {"operating_income": 1, "fiscal_year_start": dt.date(2030, 4, 1)}, {}))
     assert odd["operating_income", "absolute"].input_status == "unsupported_period"
 
 
@@ -37,7 +37,7 @@ def judged(spark, df, conditions, as_of=AS_OF):
     from decimal import Decimal
 
     made = spark.createDataFrame([(r, lo, i, m, k, o, None if t is None else Decimal(t)) for i, (r, lo, m, k, o, t) in enumerate(conditions)], columns)
-    return {r.rule_id: r for r in rules.evaluate_rules(c.metric_comparison_input(df).filter("fiscal_year_end = '2026-03-31'"), made, F.lit(as_of)).collect()}
+    return {r.rule_id: r for r in rules.evaluate_rules(c.metric_comparison_input(df).filter("fiscal_year_end = '2030-12-31'"), made, F.lit(as_of)).collect()}
 
 
 def test_limits_are_exact(spark):

@@ -30,7 +30,7 @@ def test_same_day_and_next_year(spark):
     assert [r.forecast_operating_income for r in intervals(spark, rows).collect()] == [300]
     annual = {"fiscal_period_type": "FY", "disclosed_date": day(3), "next_forecast_operating_income": 7, "forecast_operating_income": 1}
     (r,) = intervals(spark, [annual]).collect()
-    assert (r.fiscal_year_end, r.forecast_operating_income) == (dt.date(2027, 3, 31), 7)
+    assert (r.fiscal_year_end, r.forecast_operating_income) == (dt.date(2031, 12, 31), 7)
 
 
 def accuracy(spark, rows):
@@ -63,5 +63,5 @@ def test_later_forecasts_change_nothing_before_them(spark):
     rows = [quarter(1, 100), quarter(10, 250, "2")]
     before = f.forecast_at(intervals(spark, rows), F.lit(day(9))).collect()
     after = f.forecast_at(intervals(spark, [*rows, quarter(5, 999, "3", fiscal_year_end=dt.date(2027, 3, 31)), quarter(20, 750, "4")]), F.lit(day(9)))
-    assert before == after.filter("fiscal_year_end = '2026-03-31'").collect()
+    assert before == after.filter("fiscal_year_end = '2030-12-31'").collect()
     assert [r.forecast_operating_income for r in before] == [100]

@@ -2,10 +2,14 @@ import datetime as dt
 import gzip
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.functions import normalize
 from tidemark.operators import prices
 from tidemark.plans.cli import shown
 from tidemark.sources import demo, raw, staging
-from tidemark.sources.lake import DEFINITIONS
+from tidemark.sources.lake import DEFINITIONS, Lake
 
 
 def test_demo_lake(spark, tmp_path):
@@ -61,3 +65,28 @@ def test_annual_reports(spark):
     assert got == [(0, None, None), (2025, 12.5, "2026-06-25 00:30:00")]
     years = raw.response_years(staging.financial_actual(rows)).first()
     assert (years.record_count, years.min_fiscal_year, years.max_fiscal_year) == (2, 2025, 2025)
+
+
+def test_one_dataset_is_bound_without_the_others(spark, tmp_path):
+    lake = demo.build(spark, str(tmp_path))
+    other = Lake(spark, str(tmp_path / "none"))
+    with pytest.raises(KeyError, match="market_price"):
+        other.bind("prices")
+    lake.bind("security_master")
+    assert spark.sql("select * from security_master").count() == 4
+    lake.bind_files("some_years", "observed/market_price/year=*")
+    assert spark.sql("select * from some_years").count() == lake.observations().count()
+
+
+def test_a_manifest_is_an_object(spark, tmp_path):
+    for name, text in (("a", '{"run_id": "1", "http_status": 200}'), ("b", '[{"run_id": "1"}]')):
+        (tmp_path / f"{name}/endpoint=e").mkdir(parents=True)
+        (tmp_path / f"{name}/endpoint=e/unit=u.json").write_text(text)
+    assert [(r.run_id, r.http_status) for r in raw.read_manifests(spark, str(tmp_path / "a")).collect()] == [("1", 200)]
+    with pytest.raises(Exception, match="no manifest"):
+        raw.read_manifests(spark, str(tmp_path / "b")).collect()
+
+
+def test_a_null_field_is_told_from_none(spark):
+    row = spark.sql("select cast(null as string) as a, 'x' as b").select(normalize.record_hash(F.col("a"), F.col("b")).alias("with"), normalize.record_hash(F.col("b")).alias("without")).first()
+    assert row["with"] != row["without"]

@@ -43,10 +43,6 @@ def code_of(ticker: Column) -> Column:
     return F.when(ticker.rlike(r"^[0-9A-Z]{4}\.T$"), F.concat(F.substring(ticker, 1, 4), F.lit("0")))
 
 
-def loose_ticker_of(code: Column) -> Column:
-    """The first four characters with the exchange's ending, whatever follows."""
-    return F.concat(F.substring(code, 1, 4), F.lit(".T"))
-
 
 def _parts(document_type: Column) -> Column:
     return F.split(document_type, "_")
@@ -78,5 +74,5 @@ def available_at(disclosed: Column, time: Column, zone: str = "Asia/Tokyo") -> C
 
 
 def record_hash(*columns: Column) -> Column:
-    """SHA-256 of the columns as one JSON text, names in order, nulls left out."""
-    return F.sha2(F.to_json(F.struct(*columns)), 256)
+    """SHA-256 of the columns as one JSON text, names in order; a null stands as null, so a field that turns null is told from one that goes."""
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)

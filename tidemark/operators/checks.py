@@ -101,10 +101,13 @@ def summary(prices: DataFrame) -> DataFrame:
 
 
 def freshness(prices: DataFrame, disclosures: DataFrame, today: Column, stale_after: int = 2) -> DataFrame:
-    """The newest day of each price source and of disclosures, its age, and whether that is stale."""
+    """The newest day of each price source, of disclosures and, if prices say when they were built, of the build; its age, and whether that is stale."""
     by_source = prices.groupBy(F.concat(F.lit("price:"), "source_key").alias("dataset")).agg(F.max("obs_date").alias("latest"))
     filed = disclosures.agg(F.max("disclosed_date").alias("latest")).select(F.lit("disclosure").alias("dataset"), "latest")
-    rows = by_source.unionByName(filed).withColumn("age_days", F.datediff(today, F.col("latest")).cast("long"))
+    rows = by_source.unionByName(filed)
+    if "built_at" in prices.columns:
+        rows = rows.unionByName(prices.agg(F.max("built_at").cast("date").alias("latest")).select(F.lit("build").alias("dataset"), "latest"))
+    rows = rows.withColumn("age_days", F.datediff(today, F.col("latest")).cast("long"))
     return rows.withColumn("is_stale", F.col("age_days") > stale_after)
 
 

@@ -121,6 +121,32 @@ def conditions_json(rules: DataFrame) -> DataFrame:
     return listed.select("rule_id", F.to_json(F.transform("c", lambda x: x.dropFields("position"))).alias("conditions"))
 
 
+def conditions_of(rules: DataFrame) -> DataFrame:
+    """(rule_id, position, metric_key, comparison_type, operator, threshold_value) of stored rules in both forms: a list `conditions` of structs of
+    the four, or the older form, one condition in the rule's own four columns. A rule with a list is read by it.
+    """
+    fields = ("metric_key", "comparison_type", "operator", "threshold_value")
+    listed = rules.filter(F.coalesce(F.size("conditions"), F.lit(0)) > 0).select("rule_id", F.posexplode("conditions").alias("_i", "c"))
+    listed = listed.select("rule_id", (F.col("_i") + 1).alias("position"), *(F.col("c")[f].alias(f) for f in fields))
+    older = rules.filter((F.coalesce(F.size("conditions"), F.lit(0)) <= 0) & F.col("metric_key").isNotNull())
+    return listed.unionByName(older.select("rule_id", F.lit(1).alias("position"), *fields))
+
+
+def form_violations(rules: DataFrame) -> DataFrame:
+    """(rule_id, violation) of stored rules of no form or of both, and of the older form with a part missing. rules: as for conditions_of."""
+    n, own = F.coalesce(F.size("conditions"), F.lit(0)), ("metric_key", "comparison_type", "operator")
+    some, every = F.lit(False), F.lit(True)
+    for c in own:
+        some, every = some | F.col(c).isNotNull(), every & F.col(c).isNotNull()
+    found = F.array(
+        F.when((n <= 0) & ~some, "conditions_missing"),
+        F.when((n > 0) & (some | F.col("threshold_value").isNotNull()), "two_forms"),
+        F.when((n <= 0) & some & ~every, "condition_incomplete"),
+        F.when(n > 20, "too_many_conditions"),
+    )
+    return rules.select("rule_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("violation"))
+
+
 def live_only(events: DataFrame, created: Column) -> DataFrame:
     """Events disclosed after the day (in Tokyo) on which the rule was made; a replay leaves this out."""
     return events.filter(F.col("actual_disclosed_date") > tokyo_date(created))

@@ -232,15 +232,15 @@ def pending_raw(spark, sf_dir):
     return raw.pending(sql(spark, sf_dir, RAW_RUNS), "hdfs://lake")
 
 
-@query("", f"select ingestion_run_id, raw_path from ({RAW_RUNS}) where status = 'succeeded' and raw_path is not null and ingestion_run_id > (select max(event_id) from events where event_type = 'purchase' and event_id % 10 = 1)")
+@query("", f"select ingestion_run_id, raw_path from ({RAW_RUNS}) where status = 'succeeded' and raw_path is not null and ingestion_run_id > (select max(event_id) from events where event_id <= (select avg(event_id) from events))")
 def new_runs(spark, sf_dir):
     """Runs after the last one loaded."""
-    loaded = sql(spark, sf_dir, "select event_id as ingestion_run_id from events where event_type = 'purchase' and event_id % 10 = 1")
+    loaded = sql(spark, sf_dir, "select event_id as ingestion_run_id from events where event_id <= (select avg(event_id) from events)")
     return gated.new_runs(sql(spark, sf_dir, RAW_RUNS), loaded).select("ingestion_run_id", "raw_path")
 
 
 UNITS = "select n_name as endpoint, cast(n_nationkey as string) as unit_key, make_date(2000, 1, 1) as snapshot_date from nation"
-MANIFESTS = "select n_name as endpoint, cast(n_nationkey as string) as unit_key, make_date(2000, 1, 1) as snapshot_date, case when s_suppkey % 2 = 0 then 'failed' else 'succeeded' end as status from supplier join nation on s_nationkey = n_nationkey where s_nationkey < 12"
+MANIFESTS = "select n_name as endpoint, cast(n_nationkey as string) as unit_key, make_date(2000, 1, 1) as snapshot_date, case when s_suppkey % 4 > 0 then 'failed' else 'succeeded' end as status from supplier join nation on s_nationkey = n_nationkey"
 
 
 @query("", f"select endpoint, unit_key from ({UNITS}) u where not exists (select 1 from ({MANIFESTS}) m where m.unit_key = u.unit_key and status = 'succeeded')")
@@ -251,6 +251,31 @@ def remaining_units(spark, sf_dir):
 # ---- checks and the gated run
 
 
+#: The fact with keys lost and given twice, values of no vocabulary, references of the same day or later, and bases lost.
+_BROKEN = """select * replace (case when n % 11 = 0 then null when n % 13 = 0 then 'one' else comparison_key end as comparison_key, case when n % 17 = 0 then 'profit' else metric_key end as metric_key,
+    case when n % 19 = 0 then null when n % 23 = 0 then 'twice' else comparison_type end as comparison_type, case when n % 5 = 0 then null else reporting_scope end as reporting_scope) from (select *, cast(disclosure_number as bigint) as n from fact)"""
+
+
+@query(
+    "fact",
+    f"""select * from (with b as materialized ({_BROKEN}) select 'key_missing' as check_name, count(*) filter (comparison_key is null) as violations from b union all select 'key_twice', (select count(*) from (select comparison_key from b group by 1 having count(*) > 1))
+    union all select 'metric_unknown', count(*) filter (metric_key not in ('revenue', 'operating_income', 'net_income')) from b union all select 'comparison_unknown', count(*) filter (comparison_type not in ('forecast_variance', 'yoy', 'absolute', 'sign_transition')) from b
+    union all select 'reference_not_before', count(*) filter (reference_disclosure_number is not null and n % 3 = 0) from b union all select 'ok_without_basis', count(*) filter (comparison_status = 'ok' and (reporting_scope is null or accounting_standard is null)) from b)""",
+)
+def fact_checks_broken(spark, sf_dir):
+    """What the checks find where there is something to find."""
+    n = F.col("current_disclosure_number").cast("bigint")
+    hit = lambda k, new, c: F.when(n % k == 0, new).otherwise(F.col(c))
+    fact = _fact(spark, sf_dir).withColumns({
+        "comparison_key": F.when(n % 11 == 0, None).when(n % 13 == 0, "one").otherwise(F.col("comparison_key")),
+        "metric_key": hit(17, "profit", "metric_key"),
+        "comparison_type": F.when(n % 19 == 0, None).when(n % 23 == 0, "twice").otherwise(F.col("comparison_type")),
+        "reporting_scope": hit(5, None, "reporting_scope"),
+        "reference_available_at": F.when((n % 3 == 0) & F.col("reference_disclosure_number").isNotNull(), F.col("current_available_at")).when(n % 3 == 0, None).otherwise(F.col("reference_available_at")),
+    })
+    return checks.counts(gated.fact_checks(fact))
+
+
 @query(
     "fact",
     """select 'key_missing' as check_name, count(*) filter (comparison_key is null) as violations from fact union all select 'key_twice', (select count(*) from (select comparison_key from fact group by 1 having count(*) > 1))
@@ -307,10 +332,36 @@ def deleted_rules(spark, sf_dir):
     return gone.withColumnRenamed("table", "table_name").crossJoin(F.broadcast(n))  # one row each
 
 
-@query("", f"select rule_id, count(*) as n, string_agg(operator, ',' order by position) as operators from {_RULES_SQL} group by 1")
+LISTED_RULES = "select o_custkey as rule_id, cast(row_number() over (partition by o_custkey order by o_orderkey) as int) as position, lower(o_orderstatus) as metric_key, o_orderpriority as comparison_type, case when o_orderkey % 2 = 0 then 'lt' else 'gte' end as operator, cast(o_orderkey % 100 as decimal(20,4)) as threshold_value from orders"
+
+
+@query("", f"""select rule_id, concat('[', string_agg(concat('{{"metric_key":"', metric_key, '","comparison_type":"', comparison_type, '","operator":"', operator, '","threshold_value":', cast(threshold_value as varchar), '}}'), ',' order by position), ']') as conditions from ({LISTED_RULES}) group by 1""")
 def rule_condition_lists(spark, sf_dir):
-    listed = rules.conditions_json(_rules(spark)).withColumn("c", F.from_json("conditions", "array<struct<operator string>>"))
-    return listed.select("rule_id", F.size("c").cast("long").alias("n"), F.array_join("c.operator", ",").alias("operators"))
+    """A customer's orders as the conditions of a rule, listed in their order."""
+    return rules.conditions_json(sql(spark, sf_dir, LISTED_RULES))
+
+
+#: Customers as stored rules: with a list of conditions, of the older form, of both or of none, by their keys.
+_FORMS = "c_custkey as rule_id, c_custkey % 3 as n_listed, case when c_custkey % 4 in (0, 1) then 'revenue' end as metric_key, case when c_custkey % 4 in (0, 1) and c_custkey % 7 > 0 then 'yoy' end as comparison_type, case when c_custkey % 4 in (0, 1) then 'gt' end as operator, case when c_custkey % 4 = 0 then cast(c_acctbal as decimal(20,4)) end as threshold_value from customer"
+
+
+def _stored_rules(spark, sf_dir):
+    rows = sql(spark, sf_dir, f"select {_FORMS}")
+    one = F.struct(F.lit("net_income").alias("metric_key"), F.lit("absolute").alias("comparison_type"), F.lit("lt").alias("operator"), F.col("rule_id").cast("decimal(20,4)").alias("threshold_value"))
+    return rows.withColumn("conditions", F.array_repeat(one, F.col("n_listed").cast("int"))).drop("n_listed")
+
+
+@query("", f"""select rule_id, cast(p as bigint) as position, 'net_income' as metric_key, 'absolute' as comparison_type, 'lt' as operator, cast(rule_id as double) as threshold_value from (select rule_id, unnest(range(1, n_listed + 1)) as p from (select {_FORMS}))
+    union all select rule_id, 1, metric_key, comparison_type, operator, cast(threshold_value as double) from (select {_FORMS}) where n_listed = 0 and metric_key is not null""")
+def rule_forms(spark, sf_dir):
+    found = rules.conditions_of(_stored_rules(spark, sf_dir))
+    return found.withColumns({"position": F.col("position").cast("long"), "threshold_value": F.col("threshold_value").cast("double")})
+
+
+@query("", f"""select rule_id, violation from (select rule_id, unnest([case when n_listed = 0 and metric_key is null then 'conditions_missing' end, case when n_listed > 0 and (metric_key is not null or threshold_value is not null) then 'two_forms' end,
+    case when n_listed = 0 and metric_key is not null and comparison_type is null then 'condition_incomplete' end]) as violation from (select {_FORMS})) where violation is not null""")
+def rule_form_violations(spark, sf_dir):
+    return rules.form_violations(_stored_rules(spark, sf_dir))
 
 
 THEMES = "select p_partkey as theme_id, concat(case when p_partkey % 2 = 0 then '  ' else '' end, case when p_partkey % 3 = 0 then upper(p_type) else lower(p_type) end) as theme_name, p_size % 4 <> 0 as is_active from part"
@@ -331,7 +382,7 @@ def scope_labels(spark, sf_dir):
     return rules.scope_labels(sql(spark, sf_dir, SCOPES), *named).select("rule_id", "scope_type", F.col("scope_id").cast("long").alias("scope_id"), "scope_label")
 
 
-TARGET_NAMES = "select concat('S', lpad(cast(s_suppkey as string), 6, '0')) as security_key, s_suppkey as target_id, s_name as target_name from supplier where s_suppkey % 4 <> 1"
+TARGET_NAMES = "select concat('S', lpad(cast(s_suppkey as string), 6, '0')) as security_key, s_suppkey as target_id, s_name as target_name from supplier where s_acctbal >= 0"
 
 
 @query("pref", f"select security_key, cast(max(obs_date) as varchar) as obs_date, any_value(target_id) as target_id, any_value(target_name) as target_name from pref left join ({TARGET_NAMES}) using (security_key) group by 1")

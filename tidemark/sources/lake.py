@@ -38,12 +38,21 @@ class Lake:
     def master(self) -> DataFrame:
         return self.spark.read.schema(schemas.MASTER).parquet(f"{self.root.rstrip('/')}/reference/security_master")
 
-    def bind(self) -> None:
-        """Temporary views of the session, for SQL."""
-        self.observations().createOrReplaceTempView("market_price")
-        self.run("preferred_price").createOrReplaceTempView("preferred_price")
-        self.disclosures().createOrReplaceTempView("financial_disclosure")
-        self.master().createOrReplaceTempView("security_master")
+    def views(self) -> dict[str, Callable[[], DataFrame]]:
+        return {"market_price": self.observations, "preferred_price": lambda: self.run("preferred_price"), "financial_disclosure": self.disclosures, "security_master": self.master}
+
+    def bind(self, *names: str) -> None:
+        """Temporary views of the session, for SQL: all datasets, or those named, so that the others need not be there."""
+        views = self.views()
+        if unknown := set(names) - set(views):
+            raise KeyError(f"no dataset {', '.join(sorted(unknown))}; there are {', '.join(sorted(views))}")
+        for name in names or views:
+            views[name]().createOrReplaceTempView(name)
+
+    def bind_files(self, name: str, glob: str, schema: str | None = None) -> None:
+        """A view over the Parquet files of a pattern under the root."""
+        read = self.spark.read.schema(schema) if schema else self.spark.read
+        read.parquet(f"{self.root.rstrip('/')}/{glob}").createOrReplaceTempView(name)
 
     def run(self, name: str) -> DataFrame:
         """A definition as a lazy DataFrame; what it builds on is resolved along."""

@@ -70,10 +70,13 @@ def _inflated(files: DataFrame) -> DataFrame:
 
 
 def read_manifests(spark: SparkSession, glob: str) -> DataFrame:
-    """Manifests under paths that name an endpoint. A file that is no JSON object raises."""
+    """Manifests under paths that name an endpoint. A file that is no JSON object, as an array of objects, raises."""
     schema = "run_id string, source string, endpoint string, unit_key string, snapshot_date date, request_url string, fetched_at timestamp, http_status int, record_count bigint, response_sha256 string, local_raw_path string, raw_uri string, status string"
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(glob)
-    return rows.withColumn("_path", F.col("_metadata.file_path")).filter(F.contains("_path", F.lit("endpoint="))).drop("_path")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(glob, wholetext=True)
+    files = files.select("value", F.col("_metadata.file_path").alias("_path")).filter(F.contains("_path", F.lit("endpoint=")))
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("value")), F.lit("OBJECT<")), F.lit(False))
+    checked = F.when(is_object, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("no manifest: "), "_path")).cast("string"))
+    return files.select(F.from_json(checked, schema).alias("m")).select("m.*")
 
 
 def _bodies(rows: DataFrame, location: str) -> DataFrame:
