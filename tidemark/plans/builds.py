@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from ..operators import checks, comparisons, control, ingest, rules
 from ..sources import arrays, publish, raw, schemas, sinks, staging
 from ..sources.lake import Lake
+from ..streaming import latest
 from . import jobs
 from . import runs as gated
 from .adapters import disclosures as read_disclosures
 from .adapters import sql
-from .registry import _RULES_SQL, DAY, SCOPES, VERSION_ROWS, WEIGHT_ROWS, _day, _fact, _pref, _rules, query
+from .registry import DAY, RUNS, SCOPES, VERSION_ROWS, WEIGHT_ROWS, _day, _fact, _pref, _rules, query
 
 
 def scratch(spark: SparkSession) -> str:
@@ -109,6 +110,18 @@ def price_snapshot_lake(spark, sf_dir):
     return lake.observations().select("source_key", "security_key", F.col("obs_date").cast("string").alias("obs_date"), "close_price", "ingestion_run_id")
 
 
+@query("", f"select user_id, cast(day as varchar) as day, event_type, ingestion_run_id, value from (select *, row_number() over (partition by user_id, day, event_type order by ingestion_run_id desc) as n from ({RUNS})) where n = 1")
+def streamed_latest(spark, sf_dir):
+    """Events that arrive in four files, out of their order, as a stream that keeps the last of each key in its state."""
+    root, keys = scratch(spark), ["user_id", "day", "event_type"]
+    rows = sql(spark, sf_dir, RUNS)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    rows.repartition(4, F.xxhash64("ingestion_run_id")).write.parquet(f"{root}/in")
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    latest.follow_latest(arriving, keys, f"{root}/out", f"{root}/check").awaitTermination()
+    return latest.current(spark, f"{root}/out", schema, keys).withColumn("day", F.col("day").cast("string"))
+
+
 @query("", """select c_custkey as k, concat('a"}{[', c_name, chr(92)) as name, c_acctbal as v, c_nationkey as n, row_number() over (partition by c_nationkey order by c_custkey) - 1 as position from customer""")
 def raw_array_items(spark, sf_dir):
     """Customers as one response for each nation, with braces and quotes in their names, read item by item; the file's own count must agree."""
