@@ -5,7 +5,8 @@
    quantization on a sample of at most SAMPLE vectors (by the order of a hash). BITS bits. Equal vectors are one entry, with the
    smallest of its ids that any answer can need.
 2. Index. Each code is cut into substrings whose length grows with the number of vectors (substring_bits); the index is a table of
-   postings (substring's number, value, entry, code), dealt by number and value.
+   postings (substring's number, value, entry, code), dealt by number and value. If none of the sample's vectors has its neighbours
+   within the radius that probing covers, there is nothing that it would settle, and step 5 takes all queries at once.
 3. Probing. A query looks up each substring's values within FLIPS bits of its own. By the pigeonhole principle that finds every code
    within m (FLIPS + 1) - 1 of the query's, m being the number of substrings. A code that several substrings find counts at the
    first. Codes within that radius are reranked on the original vectors in double precision.
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
@@ -54,6 +55,8 @@ class Codes:
     radius: int = BITS
     #: How many standard deviations above the mean RECALL of the neighbours' distances lie.
     above: float = 2.0
+    #: The radii that the sample's vectors would need as queries for their k nearest in the sample.
+    needed: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
     def of(self, x: np.ndarray, query: bool) -> np.ndarray:
         """Codes (rows x BITS / 8 bytes)."""
@@ -85,7 +88,7 @@ def learn(sample: np.ndarray, norm: float, k: int, seed: int = 0) -> Codes:
         rotations.append(parts @ r)
     codes = Codes(mean, np.concatenate(rotations, axis=1)[:, :BITS], norm)
     # The radius, by exact search of some of the sample in all of it.
-    own, far, above = codes.of(sample, False), [], []
+    own, far, above, worst = codes.of(sample, False), [], [], []
     picked = np.arange(0, len(sample), max(1, len(sample) // 256))
     asked = codes.of(sample[picked], True)
     for i, q in zip(picked, asked, strict=True):
@@ -95,10 +98,13 @@ def learn(sample: np.ndarray, norm: float, k: int, seed: int = 0) -> Codes:
         differ = distances(own[top], q)
         far.extend(differ.tolist())
         share = np.arccos(np.clip(s[top] / (norm * np.linalg.norm(sample[i])), -1, 1)) / math.pi
+        worst.extend(share[-1:].tolist())
         above.extend(((differ - BITS * share) / np.sqrt(BITS * share * (1 - share) + 1)).tolist())
     if far:
         codes.radius = int(np.quantile(far, RECALL, method="higher"))
         codes.above = float(np.quantile(above, RECALL, method="higher"))
+        worst = np.array(worst)
+        codes.needed = np.ceil(BITS * worst + codes.above * np.sqrt(BITS * worst * (1 - worst) + 1))
     return codes
 
 
@@ -200,8 +206,12 @@ def search(df: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vect
     queries = materialize(entries.join(asked.select("entry").distinct(), "entry", "left_semi").select(F.col("entry").alias("query"), "x"), "ann-asked")
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
 
-    near, radius = probed(entries, queries, substring_bits(n), sent, need)
-    near = materialize(near, "ann-near")
+    bits = substring_bits(n)
+    radius = index_radius(bits)
+    if (codes.needed <= radius).any():
+        near = materialize(probed(entries, queries, bits, sent, need), "ann-near")
+    else:
+        near = spark.createDataFrame([], "query long, vec_id long, score double, rank int")
     worst = near.groupBy("query").agg(F.max("rank").alias("n"), F.min("score").alias("worst"))
     reached = queries.join(worst, "query", "left").withColumn("radius", F.when(F.col("n") >= need, needed_radius(F.col("worst"), norm, codes)).otherwise(BITS))
     far = materialize(reached.filter(F.col("radius") > radius).select("query", "x", F.least(F.col("radius"), F.lit(codes.radius)).cast("int").alias("radius")), "ann-far")
@@ -228,8 +238,13 @@ def ranked(scored: DataFrame, entries: DataFrame, need: int) -> DataFrame:
     return named.withColumn("rank", rank).filter(F.col("rank") <= need)
 
 
-def probed(entries: DataFrame, queries: DataFrame, bits: int, sent: Broadcast, need: int) -> tuple[DataFrame, int]:
-    """The best of the entries that the queries' probes find within a radius, and that radius. Crowded queries find none."""
+def index_radius(bits: int) -> int:
+    """Within which the probes find every code."""
+    return BITS // bits * (FLIPS + 1) - 1
+
+
+def probed(entries: DataFrame, queries: DataFrame, bits: int, sent: Broadcast, need: int) -> DataFrame:
+    """The best of the entries that the queries' probes find within the index's radius. Crowded queries find none."""
     change = flips(bits)
     tables = BITS // bits
 
@@ -256,13 +271,13 @@ def probed(entries: DataFrame, queries: DataFrame, bits: int, sent: Broadcast, n
     own = queries.select("query", "x").mapInArrow(coded(True, False), f"query long, {kind}").join(sizes, ["t", "v"]).groupBy("query").agg(F.sum("n").alias("n"))
     free = queries.join(own, "query", "left").filter(F.coalesce("n", F.lit(0)) <= CROWD).select("query", "x")
     free = free.mapInArrow(coded(True, True), f"query long, {kind}").select("query", F.col("c0").alias("a0"), F.col("c1").alias("a1"), "t", "v")
-    radius = tables * (FLIPS + 1) - 1
+    radius = index_radius(bits)
     met = free.join(postings.select("entry", F.col("c0").alias("b0"), F.col("c1").alias("b1"), "t", "v"), ["t", "v"])
     apart = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in range(1, BITS // 64)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
     met = met.filter((apart <= radius) & (F.col("t") == first_substring(bits))).select("query", "entry")
     both = met.join(entries.select("entry", "x"), "entry").join(queries.select("query", F.col("x").alias("q")), "query")
     score = F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    return ranked(both.select("query", "entry", score.alias("score")), entries, need), radius
+    return ranked(both.select("query", "entry", score.alias("score")), entries, need)
 
 
 def blockwise(entries: DataFrame, queries: DataFrame, n: int, sent: Broadcast, need: int) -> DataFrame:
