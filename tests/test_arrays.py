@@ -73,3 +73,16 @@ def test_builds_without_paths_in_the_driver(spark, tmp_path):
     with pytest.raises(Exception, match="no such file"):
         jobs.build(lake, runs((3, str(tmp_path / "raw/gone.json.gz"))), {"j": "s"}, raw_root=str(tmp_path / "raw"))
     assert jobs.build(lake, runs((3, paths[2])), {"j": "s"}, raw_root=str(tmp_path / "raw"))[0]["rows"] == 1
+
+
+def test_hashes_are_checked(spark, tmp_path):
+    texts = {"a.json.gz": '[{"k": 1}, {"k": 2}]', "b.json.gz": '[{"k": 3}]'}
+    paths = {n: put(tmp_path / n, t) for n, t in texts.items()}
+    want = lambda **other: spark.createDataFrame([(paths[n], other.get(n[0], hashlib.sha256(t.encode()).hexdigest())) for n, t in texts.items()], "location string, sha256 string")
+    found = arrays.items(spark, str(tmp_path))
+    assert sorted(json.loads(r.item)["k"] for r in arrays.verified(found, want(b=None)).collect()) == [1, 2, 3]
+    assert arrays.verified(found, want().filter("location like '%a.json.gz'")).count() == 2
+    with pytest.raises(Exception, match="hash differs"):
+        arrays.verified(found, want(b="0")).collect()
+    with pytest.raises(Exception, match="hash differs or no file"):
+        arrays.verified(found, want().union(spark.createDataFrame([("gone", "x")], "location string, sha256 string"))).collect()

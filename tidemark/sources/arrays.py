@@ -139,9 +139,28 @@ def records(spark: SparkSession, found: DataFrame, folder: str, schema: str) ->
 
     Files and runs meet by a join on the path, so the list of files stays distributed.
     """
-    every = items(spark, folder).withColumn("_place", place(F.col("file")))
-    there = every.filter("item is null").select("_place", F.col("position").alias("_n"))
     lost = F.raise_error(F.concat(F.lit("no such file: "), "location")).cast("bigint")
-    runs = found.withColumn("_place", place(F.col("location"))).join(there, "_place", "left").select("_place", F.when(F.col("_n").isNull(), lost).otherwise(F.col("ingestion_run_id")).alias("ingestion_run_id"))
-    joined = every.filter("item is not null").join(runs.filter("ingestion_run_id is not null"), "_place")
+    runs = found.withColumn("_place", place(F.col("location"))).join(listed(spark, folder), "_place", "left").select("_place", F.when(F.col("_there").isNull(), lost).otherwise(F.col("ingestion_run_id")).alias("ingestion_run_id"))
+    rows = items(spark, folder).filter("item is not null").withColumn("_place", place(F.col("file")))
+    joined = rows.join(runs.filter("ingestion_run_id is not null"), "_place")
     return joined.select(F.from_json("item", schema).alias("_r"), "ingestion_run_id").select("_r.*", "ingestion_run_id")
+
+
+def listed(spark: SparkSession, folder: str, glob: str = "*.gz") -> DataFrame:
+    """(_place, _there) of the files under a folder, without their contents."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
+    return files.select(place(F.col("path")).alias("_place"), F.lit(True).alias("_there"))
+
+
+def verified(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """The items of the files that (location, sha256) names. A file of another hash, or one that is not there, raises; a hash of null takes any.
+
+    found: as items() gives it, better materialized, as its items and its last rows are read apart.
+    """
+    ends = found.filter("item is null").select(place(F.col("file")).alias("_place"), F.col("sha256").alias("_is"))
+    wanted = expected.select(place(F.col("location")).alias("_place"), "location", F.col("sha256").alias("_want"))
+    wrong = F.raise_error(F.concat(F.lit("hash differs or no file: "), "location")).cast("string")
+    same = F.col("_is").isNotNull() & (F.col("_want").isNull() | (F.col("_is") == F.col("_want")))
+    good = wanted.join(ends, "_place", "left").select(F.when(F.coalesce(same, F.lit(False)), F.col("_place")).otherwise(wrong).alias("_good"))
+    rows = found.filter("item is not null").withColumn("_place", place(F.col("file")))
+    return rows.join(good.filter("_good is not null"), F.col("_place") == F.col("_good"), "left_semi").select("file", "position", "item")
