@@ -22,5 +22,5 @@ def test_query_equals_oracle(spark, name):
 
 
 def test_every_query_gives_each_row_once(spark):
-    for name, table in (("op2_quality", "documents"), ("op3_html", "pages"), ("op4_bpe", "documents"), ("op6_language", "documents"), ("op8_pii", "documents"), ("op9_shards", "documents")):
+    for name, table in (("op2_quality", "documents"), ("op3_html", "pages"), ("op4_bpe", "documents"), ("op6_language", "documents"), ("op8_pii", "documents"), ("op9_shards", "documents"), ("op13_substrings", "documents")):
         assert queries.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
