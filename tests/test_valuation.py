@@ -95,7 +95,7 @@ def test_no_task_has_the_whole_past_of_a_hot_security(spark):
     few = hot.filter("day(obs_date) = 7").withColumn("security_key", F.lit("cold")).union(hot.filter("day(obs_date) = 3").withColumn("security_key", F.lit("cool")))
     quotes_ = hot.union(few)
     facts = disclosures(spark, [{"security_key": k, "disclosed_date": dt.date(y, 5, 8), "period_end": dt.date(y, 3, 31), "bps": 50.0 + y, "disclosure_number": str(y)} for k in ("hot", "cold") for y in range(2002, 2025)])
-    found = v.point_in_time_pbr(quotes_, facts, ("jpx",))
+    found = v.point_in_time_pbr(quotes_, facts, ("jpx",), by_year=True)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(security_key" in plan
     for line in (x for x in plan.splitlines() if " Window " in x):  # each over (security, part), or over the totals of parts
@@ -106,3 +106,15 @@ def test_no_task_has_the_whole_past_of_a_hot_security(spark):
         y = r.as_of_date.year - (r.as_of_date <= dt.date(r.as_of_date.year, 5, 8))  # of the latest disclosure before
         splits = sum(dt.date(y, 3, 31) < dt.date(z, 1, 1) + dt.timedelta(days=99) <= r.as_of_date for z in range(2001, 2026))
         assert round(r.bps_adjustment_factor, 9) == 0.5**splits
+    at_once = v.point_in_time_pbr(quotes_, facts, ("jpx",))
+    exact = ["security_key", "as_of_date", "disclosure_number", "calculation_status", "is_below_book_value", F.round("pbr", 9).alias("pbr")]
+    assert sorted(map(str, found.select(*exact).collect())) == sorted(map(str, at_once.select(*exact).collect()))
+
+
+def test_hot_securities_are_scanned_by_year(spark, monkeypatch):
+    quotes_ = prices(spark, quotes(1.0, 2.0))
+    facts = disclosures(spark, [{"disclosed_date": day(1), "bps": 1.0}])
+    plan = lambda: v.point_in_time_pbr(quotes_, facts, ("jpx",))._jdf.queryExecution().executedPlan().toString()
+    assert "_cp" not in plan()
+    monkeypatch.setattr(v, "HOT", 1)
+    assert "_cp" in plan()

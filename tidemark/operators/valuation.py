@@ -11,7 +11,11 @@ from ..functions import scan
 from ..functions.columns import pick_first
 
 
-def _curve(rows: DataFrame, day: Column, counts: Column) -> DataFrame:
+#: Prices of a security from which on its years are scanned apart.
+HOT = 1_000_000
+
+
+def _curve(rows: DataFrame, day: Column, counts: Column, by_year: bool = True) -> DataFrame:
     """The curve over rows in the order of a day; only those that count move it, and they come first on their day."""
     valid = F.coalesce(F.col("adjustment_factor") > 0, F.lit(False))
     wanted = {
@@ -19,7 +23,7 @@ def _curve(rows: DataFrame, day: Column, counts: Column) -> DataFrame:
         "invalid_factor_count": ("sum", F.when(valid | ~counts, 0).otherwise(1)),
         "_log_factor": ("sum", F.ln(F.when(valid & counts, F.col("adjustment_factor")).otherwise(1.0))),
     }
-    rows = scan.running(rows.withColumn("_part", scan.year_of(day)), "security_key", "_part", [day, F.when(counts, 0).otherwise(1)], wanted)
+    rows = scan.running(rows.withColumn("_part", scan.year_of(day)), "security_key", "_part", [day, F.when(counts, 0).otherwise(1)], wanted, by_year)
     return rows.withColumn("cumulative_adjustment_factor", F.exp("_log_factor")).drop("_log_factor", "_part")
 
 
@@ -33,14 +37,18 @@ def same_day_order() -> list:
     return [F.when(F.col("reporting_scope") == "consolidated", 0).otherwise(1), F.col("disclosed_time").desc_nulls_last(), F.col("disclosure_number").desc_nulls_last()]
 
 
-def point_in_time_pbr(prices: DataFrame, disclosures: DataFrame, sources: Sequence[str]) -> DataFrame:
+def point_in_time_pbr(prices: DataFrame, disclosures: DataFrame, sources: Sequence[str], by_year: bool | None = None) -> DataFrame:
     """Price to book of each day from the latest disclosure strictly before it, with the book value moved by splits since its period.
 
     prices: preferred prices, of which only those of `sources` are used. calculation_status says what the first obstacle was.
-    Prices and disclosures of a security are united once; two running scans do the curve and both as-of steps. Both run by (security,
-    year), so a security's whole past is never one task's.
+    Prices and disclosures of a security are united once; two running scans do the curve and both as-of steps. by_year: whether they run by
+    (security, year), so that a security's whole past is never one task's; None counts the rows of securities first and does so if
+    one has more than HOT. Either way gives the same rows.
     """
     kept = prices.filter(F.col("source_key").isin(list(sources)))
+    if by_year is None:
+        most = kept.groupBy("security_key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first().n
+        by_year = (most or 0) > HOT
     dated = disclosures.filter(F.col("bps").isNotNull() & F.col("security_key").isNotNull() & F.col("disclosed_date").isNotNull())
     facts = pick_first(dated, ["security_key", "disclosed_date"], same_day_order())
     fields = {
@@ -57,13 +65,13 @@ def point_in_time_pbr(prices: DataFrame, disclosures: DataFrame, sources: Sequen
     rows = kept.withColumn("_side", F.lit(0)).unionByName(facts.withColumn("_side", F.lit(1)), allowMissingColumns=True)
 
     # A disclosure stands in the curve at its period's end, after that day's price, and adds nothing to it: so it gets the curve's values there.
-    rows = _curve(rows, F.coalesce("obs_date", "_fact.financial_period_end"), F.col("_side") == 0)
+    rows = _curve(rows, F.coalesce("obs_date", "_fact.financial_period_end"), F.col("_side") == 0, by_year)
     placed = F.col("_fact.financial_period_end").isNotNull() & F.col("factor_coverage_start").isNotNull()
     at_end = F.struct(F.when(placed, F.col("cumulative_adjustment_factor")).alias("factor"), F.when(placed, F.col("invalid_factor_count")).alias("invalid"))
     rows = rows.withColumn("_known", F.when(F.col("_side") == 1, F.struct("_fact.*", at_end.alias("end"))))
     # Then it stands at its day, after that day's price: so each price has the latest one strictly before it.
     seen = F.coalesce("obs_date", "_fact.financial_disclosed_date")
-    rows = scan.running(rows.withColumn("_part", scan.year_of(seen)), "security_key", "_part", [seen, F.col("_side")], {"_latest": ("last", F.col("_known"))}).filter("_side = 0")
+    rows = scan.running(rows.withColumn("_part", scan.year_of(seen)), "security_key", "_part", [seen, F.col("_side")], {"_latest": ("last", F.col("_known"))}, by_year).filter("_side = 0")
     rows = rows.drop("_known").withColumnRenamed("_latest", "_known")
     rows = rows.select(*(c for c in rows.columns if c not in ("_side", "_fact", "_known", "_part")), *(F.col("_known")[c].alias(c) for c in fields), F.col("_known.end.factor").alias("_end_factor"), F.col("_known.end.invalid").alias("_end_invalid"))
 
