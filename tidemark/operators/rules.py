@@ -70,13 +70,21 @@ def evidence(columns: list[str]) -> tuple[Column, Column]:
     return text, F.sha2(text, 256)
 
 
+#: What a condition's hash rests on, besides its key and operator.
+_RESTS_ON = ("reference_value", "current_value", "observed_value", "input_status", "available_on")
+
+
 def _judgement() -> Column:
-    """A judged condition as it stands in the evidence, with a hash of what it rests on."""
-    rests_on = F.to_json(F.struct("event_key", "reference_value", "current_value", "observed_value", "input_status", "available_on", "operator", F.col("threshold_value").cast("string").alias("threshold_value"), "definition_version"))
-    return F.struct(
-        "position", "metric_key", "comparison_type", "operator", F.col("threshold_value").cast("string").alias("threshold_value"), "status", "reason", "observed_value", "reference_value",
-        F.col("event_key").alias("source_event_key"), "definition_version", F.sha2(rests_on, 256).alias("evidence_hash"),
-    )
+    """A judged condition with what its evidence needs."""
+    threshold = F.col("threshold_value").cast("string").alias("threshold_value")
+    return F.struct("position", "metric_key", "comparison_type", "operator", threshold, "status", "reason", *_RESTS_ON, F.col("event_key").alias("source_event_key"), "definition_version")
+
+
+def _in_evidence(c: Column) -> Column:
+    """A judged condition as it stands in the evidence, with a hash of what it rests on (null without a fact)."""
+    rests_on = F.to_json(F.struct(*(c[x].alias(x) for x in ("source_event_key", *_RESTS_ON, "operator", "threshold_value", "definition_version"))))
+    names = ("position", "metric_key", "comparison_type", "operator", "threshold_value", "status", "reason", "observed_value", "reference_value", "source_event_key", "definition_version")
+    return F.struct(*(c[x].alias(x) for x in names), F.when(c["source_event_key"].isNotNull(), F.sha2(rests_on, 256)).alias("evidence_hash"))
 
 
 def evaluate_rules(facts: DataFrame, rules: DataFrame, as_of: Column) -> DataFrame:
@@ -98,20 +106,20 @@ def evaluate_rules(facts: DataFrame, rules: DataFrame, as_of: Column) -> DataFra
     absent = lambda c: F.struct(*((given[f.name] if f.name in given else c[f.name] if f.name in ("position", "metric_key", "comparison_type", "operator", "threshold_value") else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields))
     # Of facts that are there twice the last in the judgement's order counts.
     member = lambda c: F.coalesce(F.array_max(F.filter("_met", lambda m: m["position"] == c["position"])), absent(c))
-    events = events.withColumn("conditions", F.transform("_asked", member))
-    any_is = lambda status: F.exists("conditions", lambda c: c["status"] == status)
+    events = events.withColumn("_judged", F.transform("_asked", member))
+    any_is = lambda status: F.exists("_judged", lambda c: c["status"] == status)
     every = F.when(any_is("not_fired"), "not_fired").when(any_is("unavailable"), "unavailable").otherwise("fired")
     some = F.when(any_is("fired"), "fired").when(any_is("unavailable"), "unavailable").otherwise("not_fired")
-    events = events.withColumns({"status": F.when(F.col("logic") == "all", every).otherwise(some), "n_conditions": F.size("conditions").cast("long")})
+    events = events.withColumns({"status": F.when(F.col("logic") == "all", every).otherwise(some), "n_conditions": F.size("_judged").cast("long"), "conditions": F.transform("_judged", _in_evidence)})
     reason = F.when(F.col("status") == "fired", F.concat("logic", F.lit("_conditions_fired"))).when(F.col("status") == "not_fired", "condition_not_fired").otherwise("condition_unavailable")
     text = F.to_json(F.struct(*EVENT, F.col("logic").alias("logic_operator"), "conditions"), {"ignoreNullFields": "false"})
-    members = F.transform("conditions", lambda c: F.struct(c["position"].alias("position"), c["metric_key"].alias("metric_key"), c["comparison_type"].alias("comparison_type"), c["source_event_key"].alias("source_event_key")))
+    members = F.transform("_judged", lambda c: F.struct(c["position"].alias("position"), c["metric_key"].alias("metric_key"), c["comparison_type"].alias("comparison_type"), c["source_event_key"].alias("source_event_key")))
     identity = F.to_json(F.struct(*EVENT, members.alias("members")), {"ignoreNullFields": "false"})
-    first = F.get("conditions", F.lit(0))
+    first = F.get("_judged", F.lit(0))
     key = F.when((F.col("n_conditions") == 1) & first["source_event_key"].isNotNull(), first["source_event_key"]).otherwise(F.concat(F.lit("multi:"), F.sha2(identity, 256)))
-    versions = F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform("conditions", lambda c: c["definition_version"]), lambda v: v.isNotNull()))), "+")
+    versions = F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform("_judged", lambda c: c["definition_version"]), lambda v: v.isNotNull()))), "+")
     events = events.withColumns({"reason": reason, "observed_value": F.when(F.col("n_conditions") == 1, first["observed_value"]), "evidence": text, "event_key": key, "definition_version": versions})
-    return events.withColumn("evidence_hash", F.sha2("evidence", 256)).drop("_met", "_asked")
+    return events.withColumn("evidence_hash", F.sha2("evidence", 256)).drop("_met", "_asked", "_judged")
 
 
 def conditions_json(rules: DataFrame) -> DataFrame:
