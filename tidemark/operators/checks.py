@@ -155,17 +155,21 @@ def differing_parts(a: DataFrame, b: DataFrame, part: Column) -> DataFrame:
     return both.filter("_sides = 1").select("part").distinct()
 
 
-def dataset_differences(a: DataFrame, b: DataFrame, part: Column) -> DataFrame:
+def dataset_differences(a: DataFrame, b: DataFrame, part: Column, buckets: int = 1 << 18) -> DataFrame:
     """(part, side, n, columns): the rows that one of two datasets has n times more often than the other, as multisets.
 
-    Parts are compared by their fingerprints first; rows are compared in parts that differ only. No row means that both are equal.
+    Rows are dealt to buckets within their parts by a hash, and buckets are compared by their fingerprints first; rows are compared in
+    buckets that differ only. No task holds more fingerprints than parts times `buckets`. No row means that both are equal.
     """
-    wrong = differing_parts(a, b, part).withColumn("_wrong", F.coalesce("part", F.lit("-"))).select("_wrong", F.col("part").isNull().alias("_none"))
     columns = sorted(a.columns)
+    bucket = F.pmod(F.xxhash64(F.lit("bucket"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})), F.lit(buckets)).cast("int")
+    where = F.concat_ws("/", part.cast("string"), bucket.cast("string"))  # of a null part it has no stroke
+    wrong = differing_parts(a, b, where).withColumnRenamed("part", "_wrong")
 
     def of(rows: DataFrame, n: int) -> DataFrame:
-        named = rows.select(part.cast("string").alias("part"), *columns, F.lit(n).alias("_n"))
-        return named.join(wrong, (F.coalesce("part", F.lit("-")) == F.col("_wrong")) & (F.col("part").isNull() == F.col("_none")), "left_semi")
+        named = rows.select(where.alias("_where"), part.cast("string").alias("part"), *columns, F.lit(n).alias("_n"))
+        return named.join(wrong, F.col("_where") == F.col("_wrong"), "left_semi").drop("_where")
 
-    left = of(a, 1).unionByName(of(b, -1)).groupBy("part", *columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    # Most rows that are left are different ones: they are dealt first, as counts before that would hold each of a file's rows.
+    left = of(a, 1).unionByName(of(b, -1)).repartition("part", *columns).groupBy("part", *columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
     return left.select("part", F.when(F.col("_n") > 0, "a").otherwise("b").alias("side"), F.abs("_n").alias("n"), *columns)
