@@ -118,3 +118,12 @@ def test_hot_securities_are_scanned_by_year(spark, monkeypatch):
     assert "_cp" not in plan()
     monkeypatch.setattr(v, "HOT", 1)
     assert "_cp" in plan()
+
+
+def test_asof_carries_only_what_is_read(spark):
+    a = spark.range(9).select(F.col("id").alias("k"), F.col("id").alias("t"), F.expr("concat('wide', id)").alias("w"))
+    b = spark.range(9).select(F.col("id").alias("k"), (F.col("id") - 1).alias("u"), F.col("id").alias("p"))
+    found = asof_join(a, b, "k", "t", "u", ["p"], part=lambda t: F.lit(0))
+    assert sorted(r.w for r in found.collect()) == [f"wide{i}" for i in range(9)]
+    assert "wide" not in found.select("k", "t", "p")._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.k, r.p) for r in found.select("k", "p").collect()} == {(i, i) for i in range(9)}
