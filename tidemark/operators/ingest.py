@@ -22,8 +22,8 @@ def keep_last(df: DataFrame, keys: Sequence[str], run: str = "ingestion_run_id")
     return pick_first(df, keys, [F.col(run).desc_nulls_last(), *rest])
 
 
-def build_prices(raw: DataFrame, source: str) -> DataFrame:
-    """Price rows from the provider's records; those with an unknown flag are rejected (see rejected_prices)."""
+def typed_prices(raw: DataFrame, source: str) -> DataFrame:
+    """A price row of each of the provider's records; those with an unknown flag are rejected (see rejected_prices)."""
     rows = raw.filter(~is_rejected())
     field = {
         "raw_open_price": "O", "raw_high_price": "H", "raw_low_price": "L", "raw_close_price": "C", "raw_volume": "Vo", "turnover_value": "Va",
@@ -42,8 +42,12 @@ def build_prices(raw: DataFrame, source: str) -> DataFrame:
         n.flag(F.col("LL")).alias("lower_limit_flag"),
         "ingestion_run_id",
     )
-    rows = rows.withColumn("security_key", F.coalesce("jpx_code", "target_key"))
-    return keep_last(rows, PRICE_KEYS)
+    return rows.withColumn("security_key", F.coalesce("jpx_code", "target_key"))
+
+
+def build_prices(raw: DataFrame, source: str) -> DataFrame:
+    """The price row of each key from the provider's records: that of its highest run."""
+    return keep_last(typed_prices(raw, source), PRICE_KEYS)
 
 
 def build_library_prices(records: DataFrame, source: str) -> DataFrame:

@@ -112,7 +112,7 @@ def price_snapshot_lake(spark, sf_dir):
             rows = rows if upto is None else rows.filter(F.col("ingestion_run_id") <= upto)
             rows = rows if full or source not in base.watermarks else rows.filter(F.col("ingestion_run_id") > base.watermarks[source])
             top = rows.agg(F.max("ingestion_run_id").alias("top")).first().top
-            built = spark.createDataFrame([], jobs.PRICE).unionByName(ingest.build_prices(rows, source), allowMissingColumns=True)
+            built = spark.createDataFrame([], jobs.PRICE).unionByName(ingest.typed_prices(rows, source), allowMissingColumns=True)  # build() keeps the last of each key
             return None if top is None else (built, {source: top})
 
         return data.build([source], jobs.PRICE, fresh, full)

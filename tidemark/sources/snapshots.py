@@ -90,9 +90,19 @@ class Dataset:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def write(self, rows: DataFrame, name: str) -> dict[Part, str]:
-        """New parts; what was written is listed, not read. Ranges of source, year and key: a year has as many tasks as its share of the rows."""
+        """New parts, with the last row of each key; what was written is listed, not read. Ranges of source, year and key: a year has as many tasks as its
+        share of the rows.
+
+        A range holds all rows of its keys, so last rows are found in it, without a shuffle of their own. For ranges the rows are made twice, once
+        for a sample of them: what counts them must lie before a shuffle.
+        """
         order = ["part_source", "part_year", *self.sort, self.day]
-        dealt = rows.withColumns({"part_source": F.col(self.source), "part_year": F.coalesce(F.year(self.day).cast("string"), F.lit("none"))}).repartitionByRange(*order).sortWithinPartitions(*order)
+        within = {self.source, self.day, *self.sort} <= set(self.keys)  # else a key's rows may lie in several ranges
+        rows = rows if within else keep_last(rows, self.keys)
+        # The union keeps a source that is a literal from being folded, after which Spark would not see that the ranges hold whole keys.
+        rows = self.spark.createDataFrame([], rows.schema).unionByName(rows)
+        dealt = rows.withColumns({"part_source": F.col(self.source), "part_year": F.coalesce(F.year(self.day).cast("string"), F.lit("none"))}).repartitionByRange(*order)
+        dealt = (keep_last(dealt, list(dict.fromkeys([*order, *self.keys]))) if within else dealt).sortWithinPartitions(*order)
         dealt.write.mode("errorifexists").option("compression", "zstd").partitionBy("part_source", "part_year").parquet(f"{self.root.rstrip('/')}/parts/{name}")
         found = {}
         for source in (n for n in self._names(f"parts/{name}") if n.startswith("part_source=")):
@@ -106,7 +116,8 @@ class Dataset:
         return new if sinks.put_new(self.spark, new.text(), f"{self.root.rstrip('/')}/snapshots/{new.number:010d}.json") else None
 
     def build(self, sources: Sequence[str], schema: str, fresh: Callable[[Snapshot], tuple[DataFrame, Mapping[str, int]] | None], full: bool = False) -> Snapshot | None:
-        """Merges what `fresh` gives for a snapshot: rows of `sources`, with the highest run of each job; None if there is nothing new.
+        """Merges what `fresh` gives for a snapshot: rows of `sources`, of which the last of each key counts, with the highest run of each job; None if
+        there is nothing new.
 
         Only the parts that have new rows are merged and written; `full` replaces all parts of the sources. Parts of other sources stay
         as they are, and a new part without an older one is not written twice.
@@ -121,7 +132,7 @@ class Dataset:
             if not full and (touched := sorted(k for k in parts if k in base.parts)):
                 old, new = ([f"{self.root.rstrip('/')}/{x[k]}" for k in touched] for x in (base.parts, parts))
                 both = self.spark.read.schema(schema).parquet(*old, *new)
-                parts |= self.write(keep_last(both, self.keys), f"{build}-merged")
+                parts |= self.write(both, f"{build}-merged")
             watermarks = {j: max(n, base.watermarks.get(j, n)) for j, n in runs.items()}
             rests_on = base.part_of(sources, runs)
             while base.part_of(sources, runs) == rests_on:  # others' commits to other sources are taken along
