@@ -140,3 +140,21 @@ def test_scopes_by_day(spark):
     scopes = spark.createDataFrame([(1, 7, d(1, 1), d(3, 1)), (1, 7, d(2, 1), d(2, 10)), (1, 7, d(3, 1), None), (1, 8, d(5, 5), d(5, 6)), (2, 7, dt.date(1, 1, 1), None)], kinds)
     events = spark.createDataFrame([(1, 7, dt.date(2025, 12, 31), "a"), (1, 7, d(1, 1), "b"), (1, 7, d(2, 5), "c"), (1, 7, d(3, 1), "d"), (1, 7, dt.date(2040, 1, 1), "e"), (1, 8, d(5, 5), "f"), (1, 8, d(5, 6), "g"), (2, 7, dt.date(2001, 1, 1), "h"), (1, 7, None, "i"), (None, 7, d(1, 2), "j"), (3, 7, d(1, 2), "k")], "rule_id long, target_id long, day date, e string")
     assert sorted(r.e for r in rules.in_scope_on_their_day(events, scopes, "day").collect()) == list("bcdefh")
+
+
+def test_no_task_gets_all_facts_of_a_condition(spark):
+    """Without a broadcast the facts of one condition are dealt into shares, and every fact meets every condition once."""
+    found = spark.range(3000).select(F.concat(F.lit("S"), "id").alias("security_key"), *(F.lit(None).cast("string").alias(x) for x in rules.EVENT[1:]), F.lit("revenue").alias("metric_key"), F.lit("yoy").alias("comparison_type"), F.col("id").cast("double").alias("observed_value"), F.col("id").cast("double").alias("reference_value"), F.col("id").cast("double").alias("current_value"), F.lit("ok").alias("input_status"), F.lit(dt.date(2030, 1, 1)).alias("available_on"))
+    made = spark.createDataFrame([(1, "all", 1, "revenue", "yoy", "gt", "10"), (2, "all", 1, "revenue", "yoy", "lt", "5"), (2, "all", 2, "net_income", "yoy", "lt", "5")], "rule_id long, logic string, position int, metric_key string, comparison_type string, operator string, threshold_value string")
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        events = rules.evaluate_rules(found, made, F.lit(AS_OF)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k in changed:
+            spark.conf.unset(k)
+    assert sorted((r.rule_id, int(r.security_key[1:])) for r in events) == [(i, k) for i in (1, 2) for k in range(3000)]
+    assert {r.n_conditions for r in events if r.rule_id == 2} == {2} and sum(r.status == "fired" for r in events) == 2989
+    sizes = [sum(r.task == x for r in events) for x in {r.task for r in events}]
+    assert max(sizes) < 2500, sizes  # by rule alone 3,000 each

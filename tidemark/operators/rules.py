@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import scan
-from ..functions.columns import exact_decimal, pick_first, tokyo_date, valid_on
+from ..functions.columns import exact_decimal, join_few, pick_first, tokyo_date, valid_on
 
 #: Operators, statuses and reasons, and what makes an event, are the contract of stored rules and events.
 OPERATORS = ("lt", "lte", "gt", "gte", "crosses_below", "crosses_above")
@@ -64,6 +64,11 @@ def evaluate(facts: DataFrame, as_of: Column) -> DataFrame:
     return rows.withColumns({"status": status, "event_key": event_key(facts.columns), "definition_version": version})
 
 
+def asked_of(facts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Each fact with each condition on its metric and comparison."""
+    return join_few(facts, rules, ["metric_key", "comparison_type"], EVENT)
+
+
 def evidence(columns: list[str]) -> tuple[Column, Column]:
     """The judged row as JSON with its keys in order, and the JSON's hash."""
     text = F.to_json(F.struct(*sorted(columns)))
@@ -96,12 +101,12 @@ def evaluate_rules(facts: DataFrame, rules: DataFrame, as_of: Column) -> DataFra
     order; one without its fact is unavailable (condition_input_missing), in the evidence and in the key of the event too.
     All: a condition that did not fire decides, then an unavailable one. Any: one that fired decides, then an unavailable one.
     """
-    judged = evaluate(facts.join(rules, ["metric_key", "comparison_type"]), as_of).withColumn("_judged", _judgement())
+    judged = evaluate(asked_of(facts, rules), as_of).withColumn("_judged", _judgement())
     kind = judged.schema["_judged"].dataType
     # A rule has at most twenty conditions, so these lists are short. They travel with each event, so missing facts show.
     asked = F.struct("position", "metric_key", "comparison_type", "operator", F.col("threshold_value").cast("string").alias("threshold_value"))
     lists = rules.groupBy("rule_id").agg(F.array_sort(F.collect_list(asked)).alias("_asked"))
-    events = judged.groupBy("rule_id", "logic", *EVENT).agg(F.collect_list("_judged").alias("_met")).join(lists, "rule_id")
+    events = join_few(judged.groupBy("rule_id", "logic", *EVENT).agg(F.collect_list("_judged").alias("_met")), lists, ["rule_id"], EVENT)
     given = {"status": F.lit("unavailable"), "reason": F.lit("condition_input_missing")}
     absent = lambda c: F.struct(*((given[f.name] if f.name in given else c[f.name] if f.name in ("position", "metric_key", "comparison_type", "operator", "threshold_value") else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields))
     # Of facts that are there twice the last in the judgement's order counts.
@@ -178,7 +183,7 @@ def evaluate_rule(facts: DataFrame, rules: DataFrame, scope: DataFrame, as_of: C
     events = evaluate_rules(visible, rules.drop("created_at"), as_of).join(scope.select("rule_id", "security_key").distinct(), ["rule_id", "security_key"], "left_semi")
     if mode == "live":
         made = rules.groupBy("rule_id").agg(tokyo_date(F.min("created_at")).alias("_made"))
-        events = events.join(made, "rule_id").filter(F.col("actual_disclosed_date") > F.col("_made")).drop("_made")
+        events = join_few(events, made, ["rule_id"], EVENT).filter(F.col("actual_disclosed_date") > F.col("_made")).drop("_made")
     events = events.withColumn("mode", F.lit(mode))
     return events if log is None else events.dropDuplicates(list(keys)).join(log.select(*keys), list(keys), "left_anti")
 
