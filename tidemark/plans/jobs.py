@@ -88,7 +88,6 @@ def build(lake: Lake, runs: DataFrame, sources: Mapping[str, str], full: bool =
         if not rows:
             return None
         empty = spark.createDataFrame([], PRICE)
-        # Its shuffle lies between the counters and the write, which makes its rows twice.
         return ingest.keep_last(reduce(DataFrame.unionByName, (empty.unionByName(r, allowMissingColumns=True) for r in rows)), ingest.PRICE_KEYS), tops
 
     if data.build(sorted(set(sources.values())), PRICE, fresh, full) is None:
